@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
 from .simhash_dedup import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op7_bpe": op7_bpe,
 }
 
 ORACLES: dict[str, str] = {}
