@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .quality_rules import op6_quality_rules
 from .simhash_dedup import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
 }
 
