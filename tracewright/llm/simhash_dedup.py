@@ -5,7 +5,8 @@ of their 8 bytes. The index therefore has an entry for every choice of 8 - d
 byte positions with the bytes found there: two fingerprints whose tally of
 shared positional bytes reaches the guaranteed minimum meet in an entry, and no
 posting list of a single byte is ever paired up. A pair counts at its first
-entry only and is then verified bit by bit.
+entry only and is verified bit by bit; of an entry's verified pairs a spanning
+forest is passed on, as components need no more.
 
 Entries with more than BUCKET_LIMIT fingerprints are not paired at all. Their
 fingerprints go through an exact second way: each lists all values within d/2
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -54,14 +57,39 @@ def _entries(value: Column, shared: int) -> Column:
     return F.array(*made)
 
 
-def _first_mask(a: Column, b: Column, shared: int) -> Column:
-    """Mask of the first `shared` byte positions in which a and b agree; below that many bits if they agree in fewer."""
-    mask, seen = F.lit(0), F.lit(0)
-    for k in range(8):
-        same = (_byte(a, k) == _byte(b, k)).cast("int")
-        mask = mask + F.when(seen < shared, same * (1 << k)).otherwise(0)
-        seen = seen + same
-    return mask
+def _tree(entry: int, fps: np.ndarray, shared: int, max_bits: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of one entry's verified pairs, counting only pairs that have the entry as their first."""
+    x = fps[:, None] ^ fps[None, :]
+    a, b = np.nonzero(np.triu(np.bitwise_count(x) <= max_bits, 1))
+    same = x[a, b].view(np.uint8).reshape(-1, 8) == 0
+    tally = same.cumsum(axis=1)
+    first = ((same & (tally <= shared)) << np.arange(8)).sum(axis=1) == entry >> 8 * shared
+    above, edges = list(range(len(fps))), []
+
+    def top(k: int) -> int:
+        while above[k] != k:
+            above[k] = k = above[above[k]]
+        return k
+
+    for i, j in zip(a[first].tolist(), b[first].tolist()):
+        if (p := top(i)) != (q := top(j)):
+            above[max(p, q)] = min(p, q)
+            edges.append((i, j))
+    return edges
+
+
+def _trees(batches, shared: int, max_bits: int):
+    for batch in batches:
+        lists = batch.column("fps")
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        a, b = [], []
+        for k, entry in enumerate(batch.column("entry").to_pylist()):
+            fps = values[at[k] : at[k + 1]]
+            for i, j in _tree(entry, fps, shared, max_bits):
+                a.append(fps[i])
+                b.append(fps[j])
+        sides = [pa.array(np.array(side, np.uint64).view(np.int64)) for side in (a, b)]
+        yield pa.RecordBatch.from_arrays(sides, ["a", "b"])
 
 
 def _neighbours(value: Column, radius: int) -> Column:
@@ -81,8 +109,8 @@ def _neighbours(value: Column, radius: int) -> Column:
 def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints (column fp, distinct) within max_bits of each other.
 
-    In entries of up to BUCKET_LIMIT members every verified pair is an edge;
-    beyond, edges lead over common neighbours, which may be values no document has.
+    Entries of up to BUCKET_LIMIT members give a spanning forest of their verified
+    pairs; beyond, edges lead over common neighbours, which may be values no document has.
     """
     if not 0 <= max_bits <= 6 or max_bits % 2:
         raise ValueError("max_bits must be 0, 2, 4 or 6")
@@ -94,27 +122,7 @@ def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
         met.where(F.col("n") <= BUCKET_LIMIT)
         .groupBy("entry")
         .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        .select(
-            F.explode(
-                F.flatten(
-                    F.transform(
-                        "fps",
-                        lambda a, i: F.transform(
-                            F.filter(
-                                F.slice(F.col("fps"), i + 2, F.size("fps")),
-                                lambda b: (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
-                                & (
-                                    _first_mask(a, b, shared)
-                                    == F.shiftright(F.col("entry"), 8 * shared)
-                                ),
-                            ),
-                            lambda b: F.struct(a.alias("a"), b.alias("b")),
-                        ),
-                    )
-                )
-            ).alias("pair")
-        )
-        .select("pair.a", "pair.b")
+        .mapInArrow(lambda batches: _trees(batches, shared, max_bits), "a long, b long")
     )
     crowded = met.where(F.col("n") > BUCKET_LIMIT).select("fp").distinct()
     over = crowded.repartition("fp").select(F.col("fp").alias("a"), F.explode(_neighbours(F.col("fp"), max_bits // 2)).alias("b"))
