@@ -28,6 +28,8 @@ LEAST = 1e-4
 GROUP_MIN = 200
 #: Distance of a cut-off from the middle half, in widths of that half.
 FENCE = 6.0
+#: Least distance of a cut-off from the middle half, as a factor; for groups that hardly vary.
+MARGIN = 1.5
 #: Tolerances: ratios at or below these never fail, whatever a group's spread.
 FLOORS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.3, "repeat_ratio": 0.2, "upper_ratio": 0.4, "word_length": 25.0}
 #: Cut-offs below the middle half, for rules that a small value can fail.
@@ -144,8 +146,8 @@ def _fences(quartiles: DataFrame, keys: list[str]) -> DataFrame:
     floor = reduce(lambda e, r: e.when(F.col("rule") == r, FLOORS[r]), FLOORS, F.when(F.lit(False), 0.0))
     ceiling = reduce(lambda e, r: e.when(F.col("rule") == r, CEILINGS[r]), CEILINGS, F.when(F.lit(False), 0.0))
     fence = F.struct(
-        F.least(F.col("q1") - FENCE * width, ceiling).alias("low"),
-        F.greatest(F.col("q3") + FENCE * width, floor).alias("high"),
+        F.least(F.col("q1") - FENCE * width, F.col("q1") / MARGIN, ceiling).alias("low"),
+        F.greatest(F.col("q3") + FENCE * width, F.col("q3") * MARGIN, floor).alias("high"),
     )
     one = quartiles.withColumn("fence", fence).groupBy(*keys) if keys else quartiles.withColumn("fence", fence).groupBy()
     return one.agg(F.max("total").alias("total"), *[F.max(F.when(F.col("rule") == r, F.col("fence"))).alias(r) for r in FLOORS])
