@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .mixing import op9_mixture
 from .quality_rules import op6_quality_rules
 from .simhash_dedup import op2_simhash
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
+    "op9_mixture": op9_mixture,
 }
 
 ORACLES: dict[str, str] = {}
