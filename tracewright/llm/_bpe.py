@@ -20,8 +20,15 @@ from tokenizers import Tokenizer
 #: Fixed value: the characters that the tokenizer's text rules take as white space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
-#: Pieces whose encoding a worker remembers; beyond, it forgets all and goes on.
-REMEMBERED = 300_000
+#: Fixed value: the tokenizer's split pattern, for lower-case text below U+0100 (there no Unicode version differs).
+LATIN = [chr(k) for k in range(256)]
+SPLIT = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^{0}{1}{2}]+".format(
+        "".join(c for c in LATIN if c.isalpha()), "".join(c for c in LATIN if c.isnumeric()), WHITE_SPACE
+    )
+)
+#: Pieces, and units, whose encoding a worker remembers; beyond, it forgets all and goes on.
+REMEMBERED = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -45,7 +52,7 @@ class Merges:
         self.letters = [(k,) for k in range(base)]
         for a, b in pairs:
             self.letters.append(self.letters[a] + self.letters[b])
-        self.seams: dict[tuple[int, int], bool] = {}
+        self.seams: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         self.whole: dict[str, int] = {}
         reached = [True] * base
@@ -78,23 +85,25 @@ class Merges:
             else:
                 return True
 
-    def seam(self, left: int, right: int) -> bool:
-        known = self.seams.get((left, right))
-        if known is None:
-            if len(self.seams) >= REMEMBERED:
-                self.seams.clear()
-            known = self.seams[left, right] = self.fits(left, right)
-        return known
-
     def encode(self, unit: str) -> list[int]:
         """Tokens of a unit whose characters are base symbols (chr(k) for symbol k)."""
         if (token := self.whole.get(unit)) is not None:
             return [token]
-        last = [-1] * (len(unit) + 1)
-        width = [0] * (len(unit) + 1)
+        seams, last = self.seams, [-1] * (len(unit) + 1)
+        if len(seams) >= REMEMBERED:
+            seams.clear()
+        width = [0] * len(last)
         for at, (length, token) in self.automaton.iter(unit):
             end = at + 1
-            if last[end] < 0 and (length == end or (last[end - length] >= 0 and self.seam(last[end - length], token))):
+            if last[end] < 0:
+                if length < end:
+                    if (before := last[end - length]) < 0:
+                        continue
+                    seam = before << 32 | token
+                    if (fits := seams.get(seam)) is None:
+                        fits = seams[seam] = self.fits(before, token)
+                    if not fits:
+                        continue
                 last[end], width[end] = token, length
         tokens, end = [], len(unit)
         while end:
@@ -131,14 +140,27 @@ class WordEndBpe:
         rules = Tokenizer.from_file(path)  # only its Unicode tables: normal form, case and character classes
         self.normal, self.units = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.known_units: dict[str, tuple[int, str, str]] = {}
 
     def _piece(self, piece: str) -> tuple[int, str, str]:
         """Count, ids and token names of a piece without white space."""
-        tokens: list[int] = []
-        for unit, _ in self.units(self.normal(piece)):
-            symbols = unit.translate(self.symbol_of)
-            tokens += self.merges.encode(symbols[:-1] + chr(256 + ord(symbols[-1])))
-        return len(tokens), " ".join([self.ids[t] for t in tokens]), " ".join([self.names[t] for t in tokens])
+        if max(piece, default="") < "\u0100":
+            units = [unit.encode().decode("latin-1") for unit in SPLIT.findall(piece.lower())]
+        else:
+            units = [unit.translate(self.symbol_of) for unit, _ in self.units(self.normal(piece))]
+        found = [self.known_units.get(unit) or self._unit(unit) for unit in units]
+        if len(found) == 1:
+            return found[0]
+        return sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+
+    def _unit(self, unit: str) -> tuple[int, str, str]:
+        """The same of a unit, given as one character for each byte."""
+        if len(self.known_units) >= REMEMBERED:
+            self.known_units.clear()
+        tokens = self.merges.encode(unit[:-1] + chr(256 + ord(unit[-1])))
+        found = len(tokens), " ".join([self.ids[t] for t in tokens]), " ".join([self.names[t] for t in tokens])
+        self.known_units[unit] = found
+        return found
 
     def _pieces(self, text: str):
         for part in self.cut.split(text) if self.special else [text]:
