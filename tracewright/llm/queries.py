@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .fingerprints import op10_fingerprints
 from .mixing import op9_mixture
 from .quality_rules import op6_quality_rules
 from .simhash_dedup import op2_simhash
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
     "op9_mixture": op9_mixture,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
