@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .fingerprints import op10_fingerprints
+from .license_scan import op8_license_scan
 from .mixing import op9_mixture
 from .quality_rules import op6_quality_rules
 from .simhash_dedup import op2_simhash
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
+    "op8_license_scan": op8_license_scan,
     "op9_mixture": op9_mixture,
     "op10_fingerprints": op10_fingerprints,
 }
