@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .fingerprints import op10_fingerprints
+from .kneser_ney import op3_quality_classifier
 from .license_scan import op8_license_scan
+from .lm_scoring import op5_lm_score
 from .mixing import op9_mixture
 from .quality_rules import op6_quality_rules
 from .simhash_dedup import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_lm_score": op5_lm_score,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
