@@ -9,11 +9,15 @@ from .license_scan import op8_license_scan
 from .lm_scoring import op5_lm_score
 from .mixing import op9_mixture
 from .quality_rules import op6_quality_rules
+from .secret_scan import op4_secret_scan
+from .url_filter import op1_url_filter
 from .simhash_dedup import op2_simhash
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_secret_scan": op4_secret_scan,
     "op5_lm_score": op5_lm_score,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
