@@ -2,5 +2,464 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names as N
+from ..operators import compare, counters, filters, intervals, kernels, silver
+from .fixtures import TR, trace_events
+
+#: Buckets of range joins on this data: times are months in microseconds, spans last minutes.
+WIDTH = 600_000_000
+#: Delay below which a gap counts as waiting for the kernel, on this data's scale.
+DELAY = 30_000_000
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of events, with SQL over the expressions in TR."""
+
+    def register(f):
+        QUERIES[name] = lambda spark, sf_dir: f(trace_events(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = f"WITH {TR}" + (sql if sql.lstrip().startswith(",") else "\n" + sql)
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 3) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+
+
+GPU = """, gpu AS (SELECT *, CASE WHEN regexp_matches(name, '^(?:(^nccl.*)|(^hip)|(^hccl)|(.*ncclKernel.*))') THEN 'COMMUNICATION'
+ WHEN regexp_matches(name, '^(?:(^(hip)?Memcpy)|(^(hip)?Memset)|(^dma))') THEN 'MEMORY' ELSE 'COMPUTATION' END AS kernel_type FROM tr WHERE stream <> -1)"""
+
+
+def merged(source: str, keys: str, name: str) -> str:
+    return f""", {name}_f AS (SELECT {keys}, ts, "end", CASE WHEN ts > max("end") OVER (PARTITION BY {keys} ORDER BY ts, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM {source}),
+{name}_g AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY ts, "end" ROWS UNBOUNDED PRECEDING) AS island FROM {name}_f),
+{name} AS (SELECT {keys}, min(ts) AS ts, max("end") AS "end" FROM {name}_g GROUP BY {keys}, island)"""
+
+
+def swept(name: str, bits: str) -> str:
+    return (
+        GPU
+        + f", bitted AS (SELECT *, {bits} AS bit FROM gpu), wanted AS (SELECT * FROM bitted WHERE bit IS NOT NULL)"
+        + merged("wanted", "rank, bit", "isl")
+        + f""", pts AS (SELECT rank, ts AS moment, bit AS delta FROM isl UNION ALL SELECT rank, "end", -bit FROM isl),
+steps AS (SELECT rank, moment, sum(delta) AS delta FROM pts GROUP BY rank, moment),
+run AS (SELECT rank, moment AS ts, lead(moment) OVER (PARTITION BY rank ORDER BY moment) AS "end", sum(delta) OVER (PARTITION BY rank ORDER BY moment ROWS UNBOUNDED PRECEDING) AS state FROM steps),
+{name} AS (SELECT *, "end" - ts AS len FROM run WHERE state > 0 AND "end" > ts)"""
+    )
+
+
+@query(
+    "kernel_type_breakdown",
+    swept("seg", "CASE kernel_type WHEN 'COMPUTATION' THEN 1 WHEN 'COMMUNICATION' THEN 2 WHEN 'MEMORY' THEN 4 END")
+    + """ SELECT kernel_type, CAST(sum AS BIGINT) AS sum, round_even(sum * 100.0 / sum(sum) OVER (), 1) AS percentage FROM (
+ SELECT CASE CAST(state AS INT) WHEN 1 THEN 'COMPUTATION' WHEN 2 THEN 'COMMUNICATION' WHEN 3 THEN 'COMPUTATION overlapping COMMUNICATION' WHEN 4 THEN 'MEMORY'
+  WHEN 5 THEN 'COMPUTATION overlapping MEMORY' WHEN 6 THEN 'COMMUNICATION overlapping MEMORY' ELSE 'COMPUTATION overlapping COMMUNICATION overlapping MEMORY' END AS kernel_type,
+  sum(len) AS sum FROM seg GROUP BY 1) s""",
+)
+def kernel_type_breakdown(events):
+    return kernels.type_breakdown(events)
+
+
+STATS = 'sum(dur) AS sum, max(dur) AS max, min(dur) AS min, round(avg(dur), 3) AS mean, round(coalesce(stddev_samp(dur), 0), 3) AS stddev'
+
+
+@query("gpu_kernel_stats_by_name", GPU + f" SELECT rank, kernel_type, name, {STATS} FROM gpu GROUP BY ALL")
+def gpu_kernel_stats(events):
+    return rounded(kernels.time_statistics(kernels.gpu_rows(events), ["rank", "kernel_type", "name"]), "mean", "stddev")
+
+
+@query(
+    "gpu_kernel_top_with_others",
+    f""", s AS (SELECT rank, name, sum(dur) AS sum, max(dur) AS max, min(dur) AS min, avg(dur) AS mean, coalesce(stddev_samp(dur), 0) AS stddev FROM tr WHERE stream = -1 GROUP BY rank, name),
+r AS (SELECT *, sum(sum) OVER (PARTITION BY rank ORDER BY sum DESC, name ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY rank ORDER BY sum DESC, name) AS place, count(*) OVER (PARTITION BY rank) AS n FROM s),
+q AS (SELECT rank AS qr, quantile_cont(run, 0.8) AS cut FROM r GROUP BY rank),
+m AS (SELECT rank, CASE WHEN run > cut OR place > 6 THEN 'others' ELSE name END AS name, sum AS dur FROM r JOIN q ON rank = qr WHERE n > 6)
+SELECT rank, name, {STATS} FROM m GROUP BY rank, name
+UNION ALL SELECT rank, name, sum, max, min, round(mean, 3), round(stddev, 3) FROM r WHERE n <= 6""",
+)
+def gpu_kernel_top(events):
+    stats = kernels.time_statistics(events.where("stream = -1"), ["rank", "name"])
+    return rounded(kernels.top_with_others(stats, ["rank"], 6), "mean", "stddev")
+
+
+@query("merged_kernel_intervals", GPU + merged("gpu", "rank", "isl") + ' SELECT rank, ts, "end" FROM isl')
+def merged_kernel_intervals(events):
+    return intervals.merge_intervals(kernels.gpu_rows(events), ["rank"])
+
+
+@query(
+    "temporal_breakdown",
+    GPU + merged("gpu", "rank", "a") + ", comp AS (SELECT * FROM gpu WHERE kernel_type = 'COMPUTATION')" + merged("comp", "rank", "c_")
+    + """, x AS (SELECT rank, max("end") - min(ts) AS kernel_time, sum("end" - ts) AS busy FROM a GROUP BY rank),
+y AS (SELECT rank AS r, sum("end" - ts) AS comp FROM c_ GROUP BY rank),
+z AS (SELECT rank, kernel_time, kernel_time - busy AS idle_time, coalesce(comp, 0) AS compute_time, busy - coalesce(comp, 0) AS non_compute_time FROM x LEFT JOIN y ON rank = r)
+SELECT *, round_even(idle_time * 100.0 / kernel_time, 2) AS idle_time_pctg, round_even(compute_time * 100.0 / kernel_time, 2) AS compute_time_pctg,
+ round_even(non_compute_time * 100.0 / kernel_time, 2) AS non_compute_time_pctg FROM z""",
+)
+def temporal_breakdown(events):
+    return kernels.temporal_breakdown(events)
+
+
+@query(
+    "comm_comp_overlap",
+    swept("seg", "CASE kernel_type WHEN 'COMPUTATION' THEN 1 WHEN 'COMMUNICATION' THEN 2 END")
+    + " SELECT rank, round_even(coalesce(sum(len) FILTER (state = 3), 0) * 100.0 / sum(len) FILTER (state >= 2), 2) AS comp_comm_overlap_pctg FROM seg GROUP BY rank",
+)
+def comm_comp_overlap(events):
+    return kernels.communication_overlap(events)
+
+
+GAPS = """, k AS (SELECT * FROM tr WHERE stream <> -1 AND cat IN ('kernel', 'gpu_memcpy', 'gpu_memset')), h AS (SELECT rank AS hr, corr AS hc, ts AS lts FROM tr WHERE stream = -1 AND corr >= 0),
+g0 AS (SELECT k.*, lts, lag("end") OVER (PARTITION BY rank, stream ORDER BY ts, idx) AS before FROM k LEFT JOIN h ON rank = hr AND corr = hc),
+gaps AS (SELECT *, ts - before AS gap, CASE WHEN lts > before THEN 'host_wait' WHEN ts - before < 30000000 THEN 'kernel_wait' ELSE 'other' END AS idle_category FROM g0)"""
+
+
+def described(value: str) -> str:
+    return (
+        f"count({value}) AS count, round(avg({value}), 3) AS mean, round(stddev_samp({value}), 3) AS std, min({value}) AS min, round(quantile_cont({value}, 0.25), 3) AS q25, "
+        f"round(quantile_cont({value}, 0.5), 3) AS q50, round(quantile_cont({value}, 0.75), 3) AS q75, max({value}) AS max"
+    )
+
+
+@query(
+    "idle_time_breakdown",
+    GAPS + """, s AS (SELECT rank, stream, idle_category, CAST(coalesce(sum(gap), 0) AS BIGINT) AS idle_time FROM gaps GROUP BY ALL)
+SELECT *, round_even(idle_time / sum(idle_time) OVER (PARTITION BY rank, stream), 2) AS idle_time_ratio FROM s""",
+)
+def idle_time_breakdown(events):
+    return counters.idle_breakdown(counters.idle_gaps(events, DELAY))
+
+
+@query("idle_interval_stats", GAPS + f" SELECT rank, stream, idle_category, {described('gap')} FROM gaps WHERE gap IS NOT NULL GROUP BY ALL")
+def idle_interval_stats(events):
+    return rounded(counters.idle_statistics(counters.idle_gaps(events, DELAY)), "mean", "std", "q25", "q50", "q75")
+
+
+QUEUE = """, hh AS (SELECT * FROM tr WHERE name IN ('cudaLaunchKernel', 'cudaMemcpyAsync', 'cudaMemsetAsync')), kk AS (SELECT * FROM tr WHERE stream <> -1 AND corr >= 0),
+pp AS (SELECT kk.rank, kk.stream, hh.ts AS lts, hh.idx AS lidx, kk.ts AS kts, kk.idx AS kidx FROM hh JOIN kk ON hh.rank = kk.rank AND hh.corr = kk.corr),
+dd AS (SELECT rank, stream, lts AS ts, lidx AS index, 1 AS delta FROM pp UNION ALL SELECT rank, stream, kts, kidx, -1 FROM pp),
+series AS (SELECT rank, stream, ts, index, CAST(sum(delta) OVER (PARTITION BY rank, stream ORDER BY ts, delta DESC, index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS queue_length, delta FROM dd)"""
+
+
+@query("queue_length_series", QUEUE + " SELECT rank, stream, ts, index, queue_length FROM series")
+def queue_length_series(events):
+    return counters.queue_series(events).drop("delta")
+
+
+@query("queue_length_summary", QUEUE + f" SELECT rank, stream, {described('queue_length')} FROM series GROUP BY ALL")
+def queue_length_summary(events):
+    return rounded(counters.queue_summary(counters.queue_series(events)), "mean", "std", "q25", "q50", "q75")
+
+
+@query(
+    "time_blocked_full_queue",
+    QUEUE + """, w AS (SELECT *, lead(ts) OVER (PARTITION BY rank, stream ORDER BY ts, delta DESC, index) - ts AS len FROM series),
+sp AS (SELECT rank AS r, max(ts) - min(ts) AS span FROM tr GROUP BY rank)
+SELECT rank, stream, CAST(coalesce(sum(len), 0) AS BIGINT) AS duration_at_max_queue_length, round(coalesce(sum(len), 0) / max(span), 9) AS relative_duration_at_max_queue_length
+FROM w JOIN sp ON rank = r WHERE queue_length >= 2 GROUP BY rank, stream""",
+)
+def time_blocked_full_queue(events):
+    return rounded(counters.time_blocked(events, counters.queue_series(events), 2), "relative_duration_at_max_queue_length", digits=9)
+
+
+BANDWIDTH = """, mm AS (SELECT rank, CASE WHEN name LIKE 'Memset%' THEN 'Memset' ELSE substr(name, 1, 11) END AS name, ts, ts + greatest(dur, 1) AS fin, bw FROM tr WHERE stream <> -1 AND (name LIKE 'Memcpy%' OR name LIKE 'Memset%')),
+bd AS (SELECT rank, name, ts, sum(delta) AS delta FROM (SELECT rank, name, ts, bw AS delta FROM mm UNION ALL SELECT rank, name, fin, -bw FROM mm) u GROUP BY ALL),
+bws AS (SELECT rank, name, ts, round(round(sum(delta) OVER (PARTITION BY rank, name ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) + 0.0, 4) AS memory_bw_gbps FROM bd)"""
+
+
+@query("memory_bw_series", BANDWIDTH + " SELECT rank, name, ts, CAST(CASE WHEN memory_bw_gbps = 0 THEN 0 ELSE memory_bw_gbps END AS DOUBLE) AS memory_bw_gbps FROM bws")
+def memory_bw_series(events):
+    series = rounded(counters.bandwidth_series(events), "memory_bw_gbps", digits=4)
+    return series.withColumn("memory_bw_gbps", F.when(F.col("memory_bw_gbps") == 0, 0.0).otherwise(F.col("memory_bw_gbps")))
+
+
+@query("memory_bw_summary", BANDWIDTH + f" SELECT rank, name, {described('memory_bw_gbps')} FROM bws WHERE memory_bw_gbps > 0 GROUP BY ALL")
+def memory_bw_summary(events):
+    series = rounded(counters.bandwidth_series(events), "memory_bw_gbps", digits=4)
+    return rounded(counters.bandwidth_summary(series), "mean", "std", "q25", "q50", "q75")
+
+
+LAUNCH = """, ls AS (SELECT h.rank, h.corr AS correlation, h.dur AS cpu_duration, k.dur AS gpu_duration, greatest(k.ts - h.ts - h.dur, 0) AS launch_delay
+ FROM tr h JOIN tr k ON h.rank = k.rank AND h.corr = k.corr WHERE h.name IN ('cudaLaunchKernel', 'cudaMemcpyAsync', 'cudaMemsetAsync') AND k.stream <> -1)"""
+
+
+@query("kernel_launch_stats", LAUNCH + " SELECT * FROM ls")
+def kernel_launch_stats(events):
+    return kernels.launch_statistics(events, with_memory=True)
+
+
+@query(
+    "launch_outliers",
+    LAUNCH + """ SELECT rank, count(*) FILTER (cpu_duration <= 5000000 AND gpu_duration < cpu_duration) AS short_kernels, count(*) FILTER (cpu_duration > 5000000) AS runtime_outliers,
+ count(*) FILTER (launch_delay > 90000000) AS delay_outliers FROM ls GROUP BY rank""",
+)
+def launch_outliers(events):
+    return kernels.launch_outliers(kernels.launch_statistics(events, with_memory=True), 5_000_000, 90_000_000)
+
+
+@query(
+    "aten_op_kernels_delay",
+    """, o AS (SELECT * FROM tr WHERE cat = 'cpu_op' AND name LIKE 'aten::%'), h AS (SELECT * FROM tr WHERE cat = 'cuda_runtime' AND corr >= 0),
+m AS (SELECT h.rank, h.tid, h.idx, h.corr, h.ts AS lts, arg_max(o.name, (o.ts, o.idx)) AS op, max(o.ts) AS ots FROM h JOIN o ON h.rank = o.rank AND o.ts <= h.ts AND h.ts <= o."end" GROUP BY ALL),
+r AS (SELECT m.rank, m.tid, op, ots, string_agg(k.name, ' -> ' ORDER BY lts, m.idx) AS seq, min(lts) AS l1, arg_min(k.ts, (lts, m.idx)) AS k1 FROM m JOIN tr k ON k.rank = m.rank AND k.corr = m.corr AND k.stream <> -1 GROUP BY ALL)
+SELECT op AS aten_op_name, seq AS kernel_sequence, count(*) AS occurrence_count, round(avg(l1 - ots), 3) AS avg_aten_op_launch_delay, round(avg(k1 - l1), 3) AS avg_runtime_delay FROM r GROUP BY ALL""",
+)
+def aten_op_kernels_delay(events):
+    return kernels.operator_kernels(events, WIDTH)
+
+
+def with_annotations(events: DataFrame) -> DataFrame:
+    """events with GPU annotations: host operators put on their kernels' stream."""
+    ops = events.where("cat = 'cpu_op'")
+    marks = ops.select(
+        "rank", (F.col("index") + 1_000_000_000).alias("index"), F.lit(7).alias("tid"), F.lit(7).alias("stream"), "ts", (F.col("dur") + 30_000_000).alias("dur"), "name",
+        F.lit("gpu_user_annotation").alias("cat"), "correlation", "memory_bw_gbps", "pid", (F.col("end") + 30_000_000).alias("end"),
+    )
+    return events.unionByName(marks)
+
+
+@query(
+    "kernels_with_annotation",
+    """, a AS (SELECT rank, idx + 1000000000 AS idx, 7 AS tid, ts, dur + 30000000 AS dur, "end" + 30000000 AS "end", name FROM tr WHERE cat = 'cpu_op'), k AS (SELECT * FROM tr WHERE stream <> -1)
+SELECT k.rank, k.idx AS index, k.name, arg_min(a.name, (a.dur, a.ts, a.idx)) AS user_annotation FROM k LEFT JOIN a ON k.rank = a.rank AND k.tid = a.tid AND a.ts < k."end" AND k.ts < a."end" GROUP BY k.rank, k.idx, k.name""",
+)
+def kernels_with_annotation(events):
+    return kernels.kernels_with_annotation(with_annotations(events), WIDTH).select("rank", "index", "name", "user_annotation")
+
+
+@query(
+    "user_annotation_breakdown",
+    f" SELECT rank, name, {STATS} FROM tr WHERE cat = 'user_annotation' GROUP BY rank, name",
+)
+def user_annotation_breakdown(events):
+    return rounded(kernels.annotation_breakdown(events, gpu=False), "mean", "stddev")
+
+
+CORRELATED = """, ic AS (SELECT t.*, CASE WHEN t.corr < 0 THEN -1 ELSE coalesce(p.idx, 0) END AS index_correlation FROM tr t LEFT JOIN tr p ON t.rank = p.rank AND t.corr = p.corr AND t.corr >= 0 AND (t.stream = -1) <> (p.stream = -1))"""
+
+
+@query("correlation_index", CORRELATED + " SELECT rank, idx AS index, correlation, index_correlation FROM (SELECT *, corr AS correlation FROM ic) q")
+def correlation_index(events):
+    return silver.with_index_correlation(events).select("rank", "index", "correlation", "index_correlation")
+
+
+ITERATED = (
+    CORRELATED
+    + """, it0 AS (SELECT *, CASE WHEN stream = -1 THEN CAST(floor(ts / 86400000000.0) AS BIGINT) END AS own FROM ic),
+it AS (SELECT a.*, CAST(coalesce(a.own, b.own, -1) AS INT) AS iteration FROM it0 a LEFT JOIN it0 b ON a.stream > 0 AND b.stream = -1 AND a.rank = b.rank AND a.index_correlation = b.idx)"""
+)
+
+
+def iterated(events):
+    return silver.with_iteration(silver.with_index_correlation(events))
+
+
+@query("iteration_assignment", ITERATED + " SELECT rank, idx AS index, iteration FROM it")
+def iteration_assignment(events):
+    return iterated(events).select("rank", "index", "iteration")
+
+
+@query("iterations", ITERATED + " SELECT DISTINCT iteration FROM it WHERE iteration >= 0")
+def iterations(events):
+    return filters.iterations(iterated(events))
+
+
+@query("align_ranks", " SELECT rank, idx AS index, ts - (SELECT min(ts) FROM tr) AS ts FROM tr")
+def align_ranks(events):
+    return silver.align_ranks(events).select("rank", "index", "ts")
+
+
+@query(
+    "trim_last_step",
+    """, bo AS (SELECT rank AS br, max(ts) AS bound FROM tr WHERE cat = 'user_annotation' GROUP BY rank), ho AS (SELECT * FROM tr JOIN bo ON rank = br WHERE stream = -1 AND ts < bound)
+SELECT rank, idx AS index FROM ho UNION ALL SELECT rank, idx FROM tr WHERE stream <> -1 AND EXISTS (SELECT 1 FROM ho WHERE ho.rank = tr.rank AND ho.corr = tr.corr AND ho.corr >= 0)""",
+)
+def trim_last_step(events):
+    return silver.trim_to_steps(events).select("rank", "index")
+
+
+KEYS = ["rank", "index"]
+
+
+@query("filter_time_range", ' SELECT rank, idx AS index FROM tr WHERE ts >= 86400000000 AND "end" <= 259200000000')
+def filter_time_range(events):
+    return filters.time_range_filter((86_400_000_000, 259_200_000_000))(events).select(*KEYS)
+
+
+@query("filter_name_regex", " SELECT rank, idx AS index FROM tr WHERE regexp_matches(name, '^(?:aten::(mm|add))')")
+def filter_name_regex(events):
+    return filters.distinct_name_filter("aten::(mm|add)")(events).select(*KEYS)
+
+
+@query("filter_iteration", ITERATED + " SELECT rank, idx AS index FROM it WHERE iteration IN (2, 5)")
+def filter_iteration(events):
+    return filters.iteration_filter([2, 5])(iterated(events)).select(*KEYS)
+
+
+@query("filter_iteration_index", ITERATED + " SELECT rank, idx AS index FROM it WHERE iteration IN (SELECT DISTINCT iteration FROM it WHERE iteration >= 0 ORDER BY 1 LIMIT 1 OFFSET 3)")
+def filter_iteration_index(events):
+    return filters.iteration_index_filter(3)(iterated(events)).select(*KEYS)
+
+
+def anchored(condition: str, name: str = "aten::mm", position: int = 4) -> str:
+    return f""", an AS (SELECT rank AS ar, stream AS s, ts AS a, "end" AS z FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY ts, idx) AS p FROM tr WHERE name = '{name}') q WHERE p = {position + 1})
+SELECT rank, idx AS index FROM tr JOIN an ON rank = ar AND stream = s WHERE {condition}"""
+
+
+@query("filter_under_operator", anchored('ts >= a AND "end" <= z', "ProfilerStep#4", 0))
+def filter_under_operator(events):
+    return filters.operator_filter("ProfilerStep#4", 0, "under")(events).select(*KEYS)
+
+
+@query("filter_after_operator", anchored("ts >= z"))
+def filter_after_operator(events):
+    return filters.operator_filter("aten::mm", 4, "after")(events).select(*KEYS)
+
+
+@query("filter_before_operator", anchored('"end" <= a'))
+def filter_before_operator(events):
+    return filters.operator_filter("aten::mm", 4, "before")(events).select(*KEYS)
+
+
+@query(
+    "filter_combined_operator",
+    """, an AS (SELECT rank AS ar, ts AS a, "end" AS z FROM tr WHERE name = 'ProfilerStep#4'), un AS (SELECT rank, idx, corr, cat FROM tr JOIN an ON rank = ar WHERE stream = -1 AND ts >= a AND "end" <= z)
+SELECT rank, idx AS index FROM un UNION ALL SELECT rank, idx FROM tr WHERE stream <> -1 AND EXISTS (SELECT 1 FROM un WHERE un.rank = tr.rank AND un.corr = tr.corr AND un.cat = 'cuda_runtime')""",
+)
+def filter_combined_operator(events):
+    return filters.combined_operator_filter(root="ProfilerStep#4", following="no such operator", gpu=True)(silver.with_index_correlation(events)).select(*KEYS)
+
+
+@query("filter_composite", " SELECT rank, idx AS index FROM tr WHERE rank IN (1, 2) AND dur > 0 AND (stream >= 0 AND corr >= 0) AND name = 'Memcpy HtoD (Pageable -> Device)' AND cat = 'gpu_memcpy'")
+def filter_composite(events):
+    chain = [filters.rank_filter([1, 2]), filters.zero_duration_filter(), filters.gpu_kernel_filter(), filters.memcpy_filter("Memcpy HtoD (Pageable -> Device)")]
+    return filters.composite_filter(chain)(events).select(*KEYS)
+
+
+@query("filter_cpu_operators", " SELECT rank, idx AS index FROM tr WHERE NOT (stream >= 0 AND corr >= 0)")
+def filter_cpu_operators(events):
+    return filters.cpu_operator_filter()(events).select(*KEYS)
+
+
+COMPARED = (
+    ITERATED
+    + """, c1 AS (SELECT name, count(*) AS n, sum(dur) AS d FROM it WHERE rank = 0 AND iteration = 1 GROUP BY name), c2 AS (SELECT name, count(*) AS n, sum(dur) AS d FROM it WHERE rank = 1 AND iteration = 2 GROUP BY name),
+cmp AS (SELECT coalesce(c1.name, c2.name) AS name, coalesce(c1.n, 0) AS control_counts, CAST(coalesce(c1.d, 0) AS BIGINT) AS control_total_duration, coalesce(c2.n, 0) AS test_counts, CAST(coalesce(c2.d, 0) AS BIGINT) AS test_total_duration FROM c1 FULL JOIN c2 ON c1.name = c2.name)"""
+)
+
+
+def compared(events):
+    rows = iterated(events)
+    return compare.compare_traces(compare.extract(rows, 0, 1), compare.extract(rows, 1, 2))
+
+
+@query(
+    "trace_compare",
+    COMPARED + """ SELECT *, test_counts - control_counts AS diff_counts, test_total_duration - control_total_duration AS diff_duration,
+ CASE WHEN test_counts > control_counts THEN '+' WHEN test_counts < control_counts THEN '-' ELSE '=' END AS counts_change_categories FROM cmp""",
+)
+def trace_compare(events):
+    return compared(events)
+
+
+@query(
+    "ops_diff",
+    COMPARED + """ SELECT name, CASE WHEN control_counts = 0 THEN 'added' WHEN test_counts = 0 THEN 'deleted' WHEN test_counts > control_counts THEN 'increased'
+ WHEN test_counts < control_counts THEN 'decreased' ELSE 'unchanged' END AS change FROM cmp""",
+)
+def ops_diff(events):
+    return compare.operator_changes(compared(events))
+
+
+STARTS = (
+    ITERATED
+    + """, sr AS (SELECT * FROM it WHERE stream > 0 AND iteration > 0), ss AS (SELECT min(ts) AS t0, (max("end") - min(ts)) / count(DISTINCT iteration) AS mean FROM sr),
+cs AS (SELECT * FROM sr, ss WHERE name LIKE 'ncclKernel%' AND dur >= 0.0001 * mean),
+st AS (SELECT rank, stream, iteration, name, (arg_max(ts, idx) - max(t0)) / max(mean) AS start FROM cs GROUP BY rank, stream, iteration, name),
+sm AS (SELECT stream, name, avg(std) AS spread FROM (SELECT stream, name, iteration, stddev_samp(start) AS std FROM st GROUP BY ALL) q GROUP BY ALL)"""
+)
+
+
+def starts(events):
+    return compare.communication_starts(iterated(events), least_share=0.0001)
+
+
+@query("straggler_metric", STARTS + " SELECT stream, name, round(spread, 6) AS spread FROM sm")
+def straggler_metric(events):
+    return rounded(compare.straggler_metric(starts(events)), "spread", digits=6)
+
+
+@query(
+    "straggler_topk",
+    STARTS + """, ch AS (SELECT stream AS cs_, name AS cn_ FROM sm ORDER BY spread DESC, stream, name DESC LIMIT 1),
+pl AS (SELECT rank, rank() OVER (PARTITION BY iteration ORDER BY start DESC) AS place FROM st JOIN ch ON stream = cs_ AND name = cn_)
+SELECT rank, count(*) AS times FROM pl WHERE place <= 2 GROUP BY rank ORDER BY times DESC, rank LIMIT 2""",
+)
+def straggler_topk(events):
+    return compare.stragglers(starts(events), 2)
+
+
+@query(
+    "anomaly_zscore",
+    """, s AS (SELECT rank, name, avg(dur) AS value FROM tr GROUP BY ALL), w AS (SELECT *, avg(value) OVER (PARTITION BY name) AS mean, greatest(stddev_samp(value) OVER (PARTITION BY name), 0.1) AS std, count(*) OVER (PARTITION BY name) AS n FROM s)
+SELECT rank, name, round(value, 3) AS value, round((value - mean) / std, 6) AS z_score, n > 1 AND (abs((value - mean) / std) > 1.2 OR coalesce(abs(value - mean) / nullif(abs(mean), 0), 0) > 0.5) AS is_anomaly FROM w""",
+)
+def anomaly_zscore(events):
+    means = events.groupBy("rank", "name").agg(F.avg("dur").alias("value"))
+    out = compare.anomalies(means, ["name"], "value", z=1.2)
+    return rounded(rounded(out, "value"), "z_score", digits=6).select("rank", "name", "value", "z_score", "is_anomaly")
+
+
+@query("profiler_steps", " SELECT DISTINCT CAST(regexp_extract(name, '^ProfilerStep#(\\d+)', 1) AS BIGINT) AS step FROM tr WHERE cat = 'user_annotation'")
+def profiler_steps(events):
+    return compare.profiler_steps(events)
+
+
+@query(
+    "cuda_event_asof_prev",
+    """, v AS (SELECT rank, ts, idx, name FROM tr WHERE cat = 'cuda_runtime'), p AS (SELECT rank, ts, idx FROM tr WHERE cat = 'cpu_op')
+SELECT p.rank, p.idx AS index, v.idx AS v_index, v.name AS v_name FROM p ASOF LEFT JOIN v ON p.rank = v.rank AND p.ts >= v.ts""",
+)
+def cuda_event_asof_prev(events):
+    points = events.where("cat = 'cpu_op'").select("rank", "ts", F.col("index").alias("index"))
+    values = events.where("cat = 'cuda_runtime'").select("rank", "ts", "index", "name")
+    return intervals.asof_backward(points, values, ["rank"], ["ts"], ["index", "name"]).select("rank", "index", "v_index", "v_name")
+
+
+@query(
+    "stream_wait_asof_next",
+    """, v AS (SELECT rank, ts, idx FROM tr WHERE cat = 'cuda_runtime'), p AS (SELECT rank, ts, idx FROM tr WHERE cat = 'user_annotation')
+SELECT p.rank, p.idx AS index, v.idx AS v_index FROM p ASOF LEFT JOIN v ON p.rank = v.rank AND p.ts < v.ts""",
+)
+def stream_wait_asof_next(events):
+    points = events.where("cat = 'user_annotation'").select("rank", "ts", "index")
+    values = events.where("cat = 'cuda_runtime'").select("rank", "ts", "index")
+    return intervals.asof_forward(points, values, ["rank"], ["ts"], ["index"]).select("rank", "index", "v_index")
+
+
+@query("short_names", " SELECT DISTINCT name, CASE name WHEN 'void gemm_kernel<float>(int)' THEN 'gemm_kernel' ELSE name END AS short_name FROM tr")
+def short_names(events):
+    return N.short_names(events.select("name").distinct())
+
+
+@query("device_type_by_rank", ", x AS (SELECT * FROM tr WHERE rank > 0) SELECT rank, stream, CASE WHEN stream > 0 THEN 'GPU' ELSE 'CPU' END AS device_type FROM x GROUP BY rank, stream")
+def device_type_by_rank(events):
+    return N.device_type(events.where("rank > 0"), "rank", "stream", zero_ids=False)
+
+
+@query("trace_duration", " SELECT rank, max(ts) - min(ts) AS duration FROM tr GROUP BY rank")
+def trace_duration(events):
+    return events.groupBy("rank").agg((F.max("ts") - F.min("ts")).alias("duration"))
+
+
+@query("symbols", ", s AS (SELECT name FROM tr UNION SELECT cat FROM tr) SELECT row_number() OVER (ORDER BY name) - 1 AS sym_id, name AS symbol FROM s")
+def symbols(events):
+    return silver.symbols(events)
