@@ -46,6 +46,19 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.select(F.lit(1)).take(most_rows + 1)) <= most_rows else df
 
 
+def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """Rows with the largest counts (from 1 on), at most `most` of them and all above some count; only sizes by count come to the driver."""
+    bucket = F.floor(F.log2(count) * 16)
+    sizes = {r.b: r.n for r in df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}  # 16 for each power of two
+    total, least = 0, None
+    for b in sorted(sizes, reverse=True):
+        total += sizes[b]
+        if total > most:
+            break
+        least = b
+    return df.where(F.lit(False)) if least is None else df.where(bucket >= least)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
