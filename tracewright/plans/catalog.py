@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import compare, counters, filters, intervals, kernels, silver
+from ..operators import callstack, compare, counters, filters, intervals, kernels, silver
 from .fixtures import TR, trace_events
 
 #: Buckets of range joins on this data: times are months in microseconds, spans last minutes.
@@ -463,3 +463,49 @@ def trace_duration(events):
 @query("symbols", ", s AS (SELECT name FROM tr UNION SELECT cat FROM tr) SELECT row_number() OVER (ORDER BY name) - 1 AS sym_id, name AS symbol FROM s")
 def symbols(events):
     return silver.symbols(events)
+
+
+ENCLOSED = """, cp AS (SELECT rank, idx, ts, "end", name, dur, corr, cat FROM tr WHERE stream = -1),
+pr AS (SELECT a.rank, a.idx, a.corr, b.idx AS anc, b.ts AS bts, b.dur AS bdur, b.cat AS bcat FROM cp a JOIN cp b ON a.rank = b.rank AND ((a.idx = b.idx) OR (b.ts <= a.ts AND a."end" <= b."end" AND b.cat < a.cat AND b.cat = 'user_annotation')
+  OR (b.cat = 'user_annotation' AND a.cat <> 'user_annotation' AND b.ts <= a.ts AND a."end" <= b."end") OR (b.cat = 'cpu_op' AND a.cat = 'cuda_runtime' AND b.idx = a.idx - 1)))"""
+
+
+@query(
+    "call_stack_parent_depth",
+    ENCLOSED + """ SELECT rank, idx AS index, coalesce(arg_max(anc, CASE bcat WHEN 'cpu_op' THEN 2 ELSE 1 END) FILTER (anc <> idx), -1) AS parent, count(DISTINCT anc) - 1 AS depth FROM pr GROUP BY rank, idx""",
+)
+def call_stack_parent_depth(events):
+    return callstack.call_stacks(events).select("rank", "index", "parent", "depth")
+
+
+def with_pairs(events):
+    return silver.with_index_correlation(events), callstack.closure(callstack.starts_with_depth(events))
+
+
+@query(
+    "call_stack_kernel_rollup",
+    ENCLOSED + """, kd AS (SELECT DISTINCT pr.rank, pr.anc, k.idx, k.ts, k.dur, k."end" FROM pr JOIN tr k ON k.rank = pr.rank AND k.corr = pr.corr AND k.stream <> -1 WHERE pr.corr >= 0)
+SELECT rank, anc AS index, count(*) AS num_kernels, sum(dur) AS kernel_dur_sum, min(ts) AS first_kernel_start, max("end") AS last_kernel_end, max("end") - min(ts) AS kernel_span FROM kd GROUP BY rank, anc""",
+)
+def call_stack_kernel_rollup(events):
+    return callstack.kernel_rollup(*with_pairs(events))
+
+
+@query(
+    "op_stack_paths",
+    ENCLOSED + """ SELECT rank, idx AS index, string_agg(CAST(anc AS VARCHAR), '/' ORDER BY CASE WHEN anc = idx THEN 3 WHEN bcat = 'cpu_op' THEN 2 ELSE 1 END) AS path FROM (SELECT DISTINCT rank, idx, anc, bcat FROM pr) q GROUP BY rank, idx""",
+)
+def op_stack_paths(events):
+    found = callstack.paths(callstack.closure(callstack.starts_with_depth(events)))
+    return found.select("rank", "index", F.array_join("path", "/").alias("path"))
+
+
+@query(
+    "frequent_kernel_sequences",
+    """, o AS (SELECT * FROM tr WHERE cat = 'cpu_op' AND contains(name, 'aten')), h AS (SELECT * FROM tr WHERE cat = 'cuda_runtime'),
+x AS (SELECT o.name || '|' || k.name AS pattern, k.dur AS kd, o.dur AS od FROM o JOIN h ON h.rank = o.rank AND h.idx = o.idx + 1 JOIN tr k ON k.rank = h.rank AND k.corr = h.corr AND k.stream <> -1)
+SELECT pattern, count(*) AS count, sum(kd) AS kernel_duration, sum(od) AS op_duration FROM x GROUP BY pattern ORDER BY count DESC, pattern LIMIT 5""",
+)
+def frequent_kernel_sequences(events):
+    rows, pairs = with_pairs(events)
+    return callstack.frequent_sequences(rows, pairs, "aten", least=1)
