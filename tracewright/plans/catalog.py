@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import callstack, compare, counters, filters, intervals, kernels, silver
+from ..operators import callstack, compare, counters, dag, filters, intervals, kernels, parallel, silver
 from .fixtures import TR, trace_events
+from .pipeline_fixtures import MICRO_BATCHES, STAGES, STEPS, TRANSFERS, VIRTUAL, steps, transfers
 
 #: Buckets of range joins on this data: times are months in microseconds, spans last minutes.
 WIDTH = 600_000_000
@@ -509,3 +510,160 @@ SELECT pattern, count(*) AS count, sum(kd) AS kernel_duration, sum(od) AS op_dur
 def frequent_kernel_sequences(events):
     rows, pairs = with_pairs(events)
     return callstack.frequent_sequences(rows, pairs, "aten", least=1)
+
+
+def plain_query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) with SQL of its own."""
+
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+SIZES = {"tp": 2, "ep": 2, "dp": 3, "pp": 4}
+
+
+@plain_query(
+    "rank_groups",
+    """WITH r AS (SELECT CAST(k AS INT) AS rank, k % 2 AS tp, k // 2 % 2 AS ep, k // 4 % 3 AS dp, k // 12 % 4 AS pp FROM range(48) t(k))
+SELECT 'pp' AS token, CAST(tp + 2 * ep + 4 * dp AS INT) AS group_id, CAST(pp AS INT) AS pos, rank FROM r UNION ALL SELECT 'tp-dp', CAST(ep + 2 * pp AS INT), CAST(tp + 2 * dp AS INT), rank FROM r""",
+)
+def rank_groups(spark, sf_dir):
+    return parallel.rank_groups(spark, SIZES, "pp").unionByName(parallel.rank_groups(spark, SIZES, "tp-dp"))
+
+
+@plain_query(
+    "rank_neighbours",
+    """WITH r AS (SELECT CAST(k AS INT) AS rank, CAST(k % 12 AS INT) AS group_id, CAST(k // 12 AS INT) AS pos FROM range(48) t(k))
+SELECT group_id, rank, CAST((rank + 36) % 48 AS INT) AS prev_rank, CAST((rank + 12) % 48 AS INT) AS next_rank, pos = 0 AS is_first, pos = 3 AS is_last FROM r""",
+)
+def rank_neighbours(spark, sf_dir):
+    return parallel.neighbours(parallel.rank_groups(spark, SIZES, "pp")).select("group_id", "rank", "prev_rank", "next_rank", "is_first", "is_last")
+
+
+@plain_query(
+    "pp_schedule_table",
+    """WITH t AS (SELECT k AS position, k // 8 AS block, least(4, 10 - 4 * (k // 8)) AS width, k % 8 AS inside FROM range(20) t(k)),
+s AS (SELECT position, CAST(block * 4 + inside % width AS BIGINT) AS micro_batch, CAST(inside // width AS BIGINT) AS chunk FROM t)
+SELECT CASE WHEN position < 5 THEN position ELSE 5 + 2 * (position - 5) END AS step, 'forward' AS direction, micro_batch, chunk FROM s
+UNION ALL SELECT CASE WHEN position < 15 THEN 5 + 2 * position + 1 ELSE 20 + position END, 'backward', micro_batch, 1 - chunk FROM s""",
+)
+def pp_schedule_table(spark, sf_dir):
+    return parallel.schedule_order(parallel.schedule_table(spark, 10, 2, 4), 5)
+
+
+@plain_query("pp_warmup", "SELECT CAST(k AS INT) AS stage, CAST(least((4 - k - 1) * 2 + 4, 16) AS INT) AS interleaved, CAST(least(4 - k - 1, 8) AS INT) AS plain FROM range(4) t(k)")
+def pp_warmup(spark, sf_dir):
+    stage = F.col("id").cast("int")
+    four = F.lit(4)
+    return spark.range(4).select(stage.alias("stage"), parallel.warmup(four, stage, F.lit(8), F.lit(2), four).alias("interleaved"), parallel.warmup(four, stage, F.lit(8)).alias("plain"))
+
+
+@plain_query("p2p_link", f'WITH {TRANSFERS} SELECT rank, name, index, comm_time, wait FROM linked')
+def p2p_link(spark, sf_dir):
+    return parallel.link_transfers(parallel.micro_batch_ids(transfers(spark))).select("rank", "name", "index", "comm_time", "wait")
+
+
+@plain_query(
+    "bubble_report_1f1b",
+    f"""WITH {TRANSFERS}, o AS (SELECT min(ts) AS opt FROM linked WHERE stage = 0 AND name = 'optimizer_step'),
+p AS (SELECT "group", rank, stage, arg_min(wait, ts) FILTER (name = 'recv_forward') AS w, coalesce(sum(wait) FILTER (name IN ('recv_forward', 'send_forward')), 0) AS warm,
+ coalesce(sum(wait) FILTER (name IN ('send_backward', 'recv_backward')), 0) AS cool, max(ts + dur) FILTER (name IN ('backward_step', 'send_backward', 'recv_backward')) AS fin, sum(comm_time) AS comm FROM linked GROUP BY ALL)
+SELECT "group", rank, stage, CASE stage WHEN 0 THEN 0 ELSE w END / 1000.0 AS warmup_theoretical, warm / 1000.0 AS warmup_total, (warm - CASE stage WHEN 0 THEN 0 ELSE w END) / 1000.0 AS warmup_non_balanced,
+ 0.0 AS steady_theoretical, 0.0 AS steady_total, 0.0 AS steady_non_balanced, (CASE stage WHEN 3 THEN 0 ELSE cool END + greatest(opt - fin, 0)) / 1000.0 AS cooldown_theoretical, 0.0 AS cooldown_extra,
+ comm / 1000.0 AS comm_total, CAST(3.0 / 11 AS DOUBLE) AS ideal_bubble_ratio FROM p, o""",
+)
+def bubble_report_1f1b(spark, sf_dir):
+    return parallel.bubble_report_1f1b(parallel.link_transfers(parallel.micro_batch_ids(transfers(spark))), STAGES, MICRO_BATCHES)
+
+
+@plain_query(
+    "bubble_report_interleaved",
+    f"""WITH {STEPS}, i AS (SELECT *, coalesce(ts - lag(ts + dur) OVER (PARTITION BY rank ORDER BY ts), 0) AS idle, row_number() OVER (PARTITION BY rank, direction ORDER BY ts) AS k, (4 - rank - 1) * 2 + 4 AS w FROM steps),
+f AS (SELECT *, direction = 'forward' AS fw, direction = 'backward' AND k > 16 - w AS cool FROM i)
+SELECT "group", rank, coalesce(sum(idle) FILTER (rank > 0 AND fw AND k = 1), 0) / 1000.0 AS warmup_theoretical, coalesce(sum(idle) FILTER (fw AND k <= w + 1), 0) / 1000.0 AS warmup_total,
+ coalesce(sum(idle) FILTER (rank < 3 AND NOT fw AND k = 1), 0) / 1000.0 AS steady_theoretical, coalesce(sum(idle) FILTER ((fw AND k > w + 1) OR (NOT fw AND NOT cool)), 0) / 1000.0 AS steady_total,
+ coalesce(sum(idle) FILTER (cool AND k - (16 - w) <= (4 - rank - 1) * 2), 0) / 1000.0 AS cooldown_theoretical, coalesce(sum(idle) FILTER (cool AND k - (16 - w) > (4 - rank - 1) * 2), 0) / 1000.0 AS cooldown_extra
+FROM f GROUP BY "group", rank""",
+)
+def bubble_report_interleaved(spark, sf_dir):
+    rows = parallel.idle_intervals(steps(spark)).withColumn("stage", F.col("rank"))
+    return parallel.bubble_report_interleaved(rows, STAGES, VIRTUAL, MICRO_BATCHES, 4).drop("stage", "comm_total", "ideal_bubble_ratio")
+
+
+@plain_query(
+    "ep_group_stats",
+    f"""WITH {STEPS} SELECT CAST(rank % 2 AS INT) AS group_id, micro_batch, direction || '_vpp' || (stage - 1) AS event, min(ts) / 1000.0 AS start_min, max(ts) / 1000.0 AS start_max, min(dur) / 1000.0 AS dur_min,
+ max(dur) / 1000.0 AS dur_max, avg(dur) / 1000.0 AS dur_mean, round(stddev_pop(dur) / 1000.0, 6) AS dur_std, count(DISTINCT rank) AS ranks FROM steps GROUP BY ALL""",
+)
+def ep_group_stats(spark, sf_dir):
+    rows = steps(spark).withColumn("event", F.concat(F.col("direction"), F.lit("_vpp"), (F.col("stage") - 1).cast("string")))
+    return rounded(parallel.expert_statistics(rows, parallel.rank_groups(spark, {"tp": 2, "ep": 2}, "ep")), "dur_std", digits=6)
+
+
+@plain_query("ep_pp_bundles", "SELECT CAST(g AS INT) AS ep_group, [CAST(g % 2 + 4 * (g // 2 % 3) AS INT), CAST(g % 2 + 4 * (g // 2 % 3) + 2 AS INT)] AS pp_groups FROM range(24) t(g)")
+def ep_pp_bundles(spark, sf_dir):
+    return parallel.bundles(parallel.rank_groups(spark, SIZES, "ep"), parallel.rank_groups(spark, SIZES, "pp"))
+
+
+DAG = f"""{STEPS}, n AS (SELECT *, row_number() OVER (ORDER BY ts, rank, direction, micro_batch, stage) AS node FROM steps),
+ed AS (SELECT node AS b, lag(node) OVER (PARTITION BY rank ORDER BY ts, node) AS a, 'local' AS kind FROM n
+ UNION ALL SELECT t.node, s.node, CASE WHEN s.rank < 3 THEN 'forward' ELSE 'forward_wrap' END FROM n s JOIN n t ON s.direction = 'forward' AND t.direction = 'forward' AND s.micro_batch = t.micro_batch
+   AND ((s.rank < 3 AND t.rank = s.rank + 1 AND t.stage = s.stage) OR (s.rank = 3 AND t.rank = 0 AND t.stage = s.stage + 1))
+ UNION ALL SELECT t.node, s.node, CASE WHEN s.rank > 0 THEN 'backward' ELSE 'backward_wrap' END FROM n s JOIN n t ON s.direction = 'backward' AND t.direction = 'backward' AND s.micro_batch = t.micro_batch
+   AND ((s.rank > 0 AND t.rank = s.rank - 1 AND t.stage = s.stage) OR (s.rank = 0 AND t.rank = 3 AND t.stage = s.stage - 1))
+ UNION ALL SELECT t.node, s.node, 'activation' FROM n s JOIN n t ON s.direction = 'forward' AND t.direction = 'backward' AND s.rank = t.rank AND s.micro_batch = t.micro_batch AND s.stage = t.stage),
+edges AS (SELECT * FROM ed WHERE a IS NOT NULL)"""
+
+
+def schedule(spark):
+    nodes = dag.schedule_nodes(steps(spark))
+    return nodes, dag.schedule_edges(nodes, STAGES, VIRTUAL)
+
+
+@plain_query("pp_dag_edges", f"WITH {DAG} SELECT a, b, kind FROM edges")
+def pp_dag_edges(spark, sf_dir):
+    return schedule(spark)[1].select("a", "b", "kind")
+
+
+@plain_query("pp_dag_violations", f"WITH {DAG} SELECT a, b, kind, t.ts - s.ts - s.dur AS gap FROM edges JOIN n s ON a = s.node JOIN n t ON b = t.node WHERE t.ts - s.ts - s.dur < 0")
+def pp_dag_violations(spark, sf_dir):
+    return dag.violations(*schedule(spark)).select("a", "b", "kind", "gap")
+
+
+@plain_query(
+    "pp_dag_total_time",
+    f"""WITH RECURSIVE {DAG}, reach AS (SELECT node, dur AS t FROM n UNION SELECT b, t + d.dur FROM reach JOIN edges ON a = node JOIN n d ON d.node = b) SELECT 0 AS "group", max(t) AS total FROM reach""",
+)
+def pp_dag_total_time(spark, sf_dir):
+    return pp_dag_longest_path(spark, sf_dir).groupBy("group").agg(F.max("reached").alias("total"))
+
+
+@plain_query("pp_dag_longest_path")
+def pp_dag_longest_path(spark, sf_dir):
+    nodes, edges = schedule(spark)
+    return dag.longest_path(nodes.withColumn("weight", F.col("dur")), edges.withColumn("weight", F.lit(0).cast("long")), "group")
+
+
+@plain_query("gemm_tflops", "SELECT l_quantity AS m, round(2.0 * l_quantity * 128 * 64 / (l_linenumber * 10) / 1e6, 9) AS tflops, round((l_quantity * 64 + 64 * 128 + l_quantity * 128) * 2.0 / (l_linenumber * 10) / 1e3, 9) AS gbps FROM lineitem")
+def gemm_tflops(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    work = N.gemm_work(F.col("l_quantity"), F.lit(128), F.lit(64), F.col("l_linenumber") * 10, F.lit("half"))
+    return rounded(rows.select(F.col("l_quantity").alias("m"), work.alias("w")).select("m", "w.tflops", "w.gbps"), "tflops", "gbps", digits=9)
+
+
+@query(
+    "memory_timeline",
+    """, a AS (SELECT ts AS t, dur AS b, CAST(idx % 3 AS INT) AS c, CASE WHEN stream = -1 THEN 1 ELSE -1 END AS s FROM tr WHERE idx >= 0 AND ts > 0),
+w AS (SELECT t, sum(CASE WHEN c = 0 THEN s * b ELSE 0 END) AS x, sum(CASE WHEN c = 1 THEN s * b ELSE 0 END) AS y, sum(CASE WHEN c = 2 THEN s * b ELSE 0 END) AS z FROM a GROUP BY t)
+SELECT t, [CAST(sum(x) OVER (ORDER BY t) AS BIGINT), CAST(sum(y) OVER (ORDER BY t) AS BIGINT), CAST(sum(z) OVER (ORDER BY t) AS BIGINT)] AS sizes FROM w""",
+)
+def memory_timeline(events):
+    rows = events.where("index >= 0 and ts > 0").select(
+        F.col("ts").alias("t"), F.when(F.col("stream") == -1, "create").otherwise("destroy").alias("action"), F.col("dur").alias("numbytes"), (F.col("index") % 3).cast("int").alias("category")
+    )
+    return counters.memory_timeline(rows, 3)
