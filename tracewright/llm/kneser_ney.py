@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import broadcast_if_small, cut, small_batches, table
+from ._shared import broadcast_if_small, cut, most_frequent, small_batches, table
 
 ORDER = 4
 START, STOP, BEYOND = 0xFFFE, 0xFFFD, 0xFFFF
@@ -168,7 +168,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     counted = marked.select("text", "learn").mapInArrow(_count, "gram long, seen long, c long")
     grams = cut(counted.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("c").alias("c")))
     logs = cut(probabilities(grams).select("gram", "seen", F.log10("p").alias("log_p")))
-    top = logs.orderBy(F.desc("seen"), "gram").limit(HEAD).toPandas()  # at most HEAD rows
+    top = most_frequent(logs, "seen", HEAD).toPandas()  # at most HEAD rows
     head = spark.sparkContext.broadcast((uuid.uuid4().hex, top["gram"].to_numpy(np.int64), top["log_p"].to_numpy(np.float64)))
 
     kinds = {c: marked.schema[c].dataType.simpleString() for c in ("id_", "lang_")}
