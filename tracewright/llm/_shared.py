@@ -29,12 +29,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder; for tables that carry texts."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+def write_table(df: DataFrame, label: str) -> str:
+    """Write the rows as a Parquet table in the shared folder; the path."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a whole row; equal rows are interchangeable, so it identifies a row when a table is read twice."""
+    return F.xxhash64(*[F.col(c) for c in df.columns])
 
 
 def small_batches(spark: SparkSession) -> None:

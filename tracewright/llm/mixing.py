@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import broadcast_if_small, cut, table, written
+from ._shared import broadcast_if_small, cut, row_hash, table
 
 WORD = r"[^ \t-\r]+"
 #: Sources in order of their names weigh these, repeating.
@@ -186,19 +186,23 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix as documents. Whole copies keep their text; each run of a document's words in a picked block is a row of its own.
 
-    n_chars follows the text of each row.
+    n_chars follows the text of each row. docs is read twice: for the words'
+    numbers, and for the texts, which meet their runs by the hash of their rows.
     """
     columns = docs.columns
-    sized = written(docs.withColumns({"row_": F.monotonically_increasing_id(), "size_": n_words(F.col("text"))}), "mixing")
-    shares_ = mix(sized.select("row_", "doc_id", "source", F.col("size_").alias("size"))).where("taken > 0")
-    shares_ = shares_.select(F.col("row_").alias("r_"), "whole", "pieces")
+    hashed = docs.withColumn("hash_", row_hash(docs))
+    numbered = hashed.select(F.monotonically_increasing_id().alias("row_"), "hash_", "doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = cut(numbered)
+    mixed = mix(sized.select("row_", "doc_id", "source", "size")).where("taken > 0").select(F.col("row_").alias("r_"), "whole", "pieces")
+    mixed = cut(mixed.join(sized.select("row_", "hash_", "size"), F.col("r_") == F.col("row_")).select("hash_", "size", "whole", "pieces"))
+    copies = mixed.where("whole > 0").groupBy("hash_").agg(F.sum("whole").alias("times")).select("hash_", "times", F.lit(None).cast("struct<from_:bigint,to_:bigint>").alias("run"))
+    parts = mixed.select("hash_", F.lit(1).cast("long").alias("times"), F.explode("pieces").alias("run"))
+    runs = copies.unionByName(parts).withColumnRenamed("hash_", "h_")
+    repeated = not sized.groupBy("hash_").count().where("count > 1").isEmpty()
+    texts = (hashed.dropDuplicates(["hash_"]) if repeated else hashed).join(runs, F.col("hash_") == F.col("h_"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
-    runs = F.concat(
-        F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("from_"), F.col("size_").alias("to_")), F.col("whole").cast("int")), F.col("pieces")
-    )
     part = F.array_join(F.slice(words, (F.col("run.from_") + 1).cast("int"), (F.col("run.to_") - F.col("run.from_")).cast("int")), " ")
-    mixed = sized.join(shares_, F.col("row_") == F.col("r_")).withColumn("run", F.explode(runs))
-    mixed = mixed.withColumn("text", F.when(F.col("run.to_") - F.col("run.from_") == F.col("size_"), F.col("text")).otherwise(part))
+    out = texts.withColumn("text", F.when(F.col("run").isNull(), F.col("text")).otherwise(part))
     if "n_chars" in columns:
-        mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
-    return mixed.select(*columns)
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time_")).select(*columns)

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import broadcast_if_small, cut, table, written
+from ._shared import broadcast_if_small, cut, table
 
 SPACE = r"[ \t-\r]"
 NOT_SPACE = r"[^ \t-\r]"
@@ -171,15 +171,15 @@ def cutoffs(measured: DataFrame, lang: str = "lang", source: str = "source") ->
     )
 
 
-def judged(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """measured with kept: neither base_failed nor any rule outside its group's cut-offs. measured is read twice."""
-    cuts = broadcast_if_small(cutoffs(measured, lang, source), BROADCAST_GROUPS)
+def judged(rows: DataFrame, lang: str = "lang", source: str = "source", measured: DataFrame | None = None) -> DataFrame:
+    """rows with kept: neither base_failed nor any rule outside its group's cut-offs. The cut-offs come from measured, or else from rows, read once more."""
+    cuts = broadcast_if_small(cutoffs(measured or rows, lang, source), BROADCAST_GROUPS)
     inside = reduce(
         lambda a, b: a & b,
         [F.col(r).between(F.col(f"cuts.{r}.low"), F.col(f"cuts.{r}.high")) if r in CEILINGS else F.col(r) <= F.col(f"cuts.{r}.high") for r in FLOORS],
     )
     return (
-        measured.join(cuts, measured[lang].eqNullSafe(cuts.lang_) & measured[source].eqNullSafe(cuts.source_))
+        rows.join(cuts, F.col(lang).eqNullSafe(F.col("lang_")) & F.col(source).eqNullSafe(F.col("source_")))
         .withColumn("kept", ~F.col("base_failed") & inside)
         .drop("lang_", "source_", "cuts")
     )
@@ -192,7 +192,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules keep, with the columns they came with."""
-    columns = docs.columns
-    measured = written(with_measures(docs), "quality")
-    return judged(measured).where("kept").select(*columns)
+    """Pipeline stage: documents that the rules keep, with the columns they came with. docs is read twice, so texts are neither kept nor moved.
+
+    The row number keeps the optimizer from copying the measures' expressions into the filter.
+    """
+    measured = with_measures(docs)
+    numbered = measured.withColumn("row_", F.monotonically_increasing_id())
+    return judged(numbered, measured=measured).where("kept and row_ >= 0").select(*docs.columns)

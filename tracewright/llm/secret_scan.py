@@ -9,15 +9,13 @@ positives. Everything is DataFrame functions and Spark ML's JVM transformers.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import broadcast_if_small, cut, lower_ascii, table, written
+from ._shared import broadcast_if_small, cut, lower_ascii, row_hash, table
 
 SPACE = r"[ \t-\r]+"
 #: A candidate: at least LEAST key characters after a start, a quote, bracket, colon or equals sign.
@@ -166,12 +164,16 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents; found secrets are replaced by MASK in the text, and n_chars follows."""
+    """Pipeline stage: all documents; found secrets are replaced by MASK in the text, and n_chars follows.
+
+    docs is read twice; the documents with findings are few and joined back by
+    the hash of their rows.
+    """
     columns = docs.columns
-    marked = written(docs.withColumn("row_", F.monotonically_increasing_id()), "secrets")
-    found = findings(marked.select("row_", "text"), train(labelled_findings(spark)))
-    values = cut(found.groupBy(F.col("row_").alias("r_")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("values_")))
-    joined = marked.join(broadcast_if_small(values, BROADCAST_DOCS), F.col("row_") == F.col("r_"), "left")
+    marked = docs.withColumn("hash_", row_hash(docs))
+    found = findings(marked.select("hash_", "text"), train(labelled_findings(spark)))
+    values = cut(found.groupBy(F.col("hash_").alias("h_")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("values_")))
+    joined = marked.join(broadcast_if_small(values, BROADCAST_DOCS), F.col("hash_") == F.col("h_"), "left")
     clean = F.aggregate("values_", F.col("text"), lambda text, value: F.replace(text, value, F.lit(MASK)))
     joined = joined.withColumn("text", F.when(F.col("values_").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in columns:

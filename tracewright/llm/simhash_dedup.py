@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ._fingerprint import simhash_batch
-from ._shared import cut, small_batches, table, written
+from ._shared import broadcast_if_small, cut, small_batches, table
 from .components import connected_components
 
 #: Fingerprints of one index entry that are compared with each other directly.
 BUCKET_LIMIT = 128
+#: Dropped rows of the pipeline stage that are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_DROPPED = 500_000
 
 
 def fingerprint(text: Column, words_per_shingle: int = 4) -> Column:
@@ -163,15 +165,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id stays (of repeated rows of that id, one)."""
+    """Pipeline stage: of each group the document with the smallest id stays (of repeated rows of that id, one).
+
+    docs is read twice. What goes is a narrow table of ids and fingerprints,
+    broadcast up to BROADCAST_DROPPED rows, else joined by a shuffle.
+    """
     small_batches(spark)
-    columns = docs.columns
-    marked = written(docs.withColumns({"fp": fingerprint(F.col("text")), "row_": F.monotonically_increasing_id()}), "simhash")
-    keys = with_groups(marked.select("doc_id", "fp", "row_"))
-    best = (
-        keys.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id")
-        .agg(F.min("row_").alias("row_"))
-        .select("row_")
-    )
-    return marked.join(best, "row_", "left_semi").select(*columns)
+    keys = cut(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
+    grouped = cut(with_groups(keys).groupBy("doc_id", "fp").agg(F.first("component_id").alias("component_id"), F.count("*").alias("n")))
+    # a group is a component, named by its smallest id; of several texts with that id the one with the least fingerprint stays
+    named = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = named.groupBy(F.col("doc_id").alias("k_id")).agg(F.min("fp").alias("k_fp"))
+    same = lambda a, b, c, d: F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
+    gone = cut(grouped.join(kept, same("doc_id", "k_id", "fp", "k_fp"), "left_anti").select(F.col("doc_id").alias("g_id"), F.col("fp").alias("g_fp")))
+    marked = docs.withColumn("fp_", fingerprint(F.col("text")))
+    left = marked.join(broadcast_if_small(gone, BROADCAST_DROPPED), same("doc_id", "g_id", "fp_", "g_fp"), "left_anti")
+    if not grouped.where("n > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "fp_"])
+    return left.select(*docs.columns)
