@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import callstack, compare, counters, dag, filters, intervals, kernels, parallel, silver
+from ..operators import callstack, compare, counters, critical_path, dag, filters, intervals, kernels, parallel, silver
 from .fixtures import TR, trace_events
 from .pipeline_fixtures import MICRO_BATCHES, STAGES, STEPS, TRANSFERS, VIRTUAL, steps, transfers
 
@@ -667,3 +667,36 @@ def memory_timeline(events):
         F.col("ts").alias("t"), F.when(F.col("stream") == -1, "create").otherwise("destroy").alias("action"), F.col("dur").alias("numbytes"), (F.col("index") % 3).cast("int").alias("category")
     )
     return counters.memory_timeline(rows, 3)
+
+
+def clipped(events):
+    return critical_path.clip(silver.with_index_correlation(events), "ProfilerStep", 2).persist()
+
+
+CLIPPED = CORRELATED + """, cw AS (SELECT rank AS wr, ts AS a, "end" AS z FROM tr WHERE name = 'ProfilerStep#2'), ch AS (SELECT ic.* FROM ic JOIN cw ON rank = wr WHERE stream = -1 AND ts >= a AND ts <= z AND dur > 0),
+cd AS (SELECT * FROM ic WHERE stream <> -1 AND EXISTS (SELECT 1 FROM ch WHERE ch.rank = ic.rank AND ch.corr = ic.corr AND ch.corr >= 0))"""
+
+
+@query(
+    "critical_path_nodes",
+    CLIPPED + """, u AS (SELECT * FROM ch WHERE cat IN ('cpu_op', 'cuda_runtime') UNION ALL SELECT * FROM cd)
+SELECT rank, idx AS index, 2 * idx AS node, true AS is_start, ts FROM u UNION ALL SELECT rank, idx, 2 * idx + 1, false, "end" FROM u""",
+)
+def critical_path_nodes(events):
+    return critical_path.nodes(clipped(events))
+
+
+@query("critical_path_edges")
+def critical_path_edges(events):
+    return critical_path.edges(clipped(events))
+
+
+@query("critical_path_longest")
+def critical_path_longest(events):
+    return critical_path.critical_path(clipped(events))
+
+
+@query("critical_path_breakdown")
+def critical_path_breakdown(events):
+    rows = clipped(events)
+    return critical_path.summary(critical_path.breakdown(rows, critical_path.critical_path(rows)))
