@@ -69,12 +69,12 @@ def kernel_type_breakdown(events):
     return kernels.type_breakdown(events)
 
 
-STATS = 'sum(dur) AS sum, max(dur) AS max, min(dur) AS min, round(avg(dur), 3) AS mean, round(coalesce(stddev_samp(dur), 0), 3) AS stddev'
+STATS = 'sum(dur) AS sum, max(dur) AS max, min(dur) AS min, round(avg(dur), 1) AS mean, round(coalesce(stddev_samp(dur), 0), 1) AS stddev'
 
 
 @query("gpu_kernel_stats_by_name", GPU + f" SELECT rank, kernel_type, name, {STATS} FROM gpu GROUP BY ALL")
 def gpu_kernel_stats(events):
-    return rounded(kernels.time_statistics(kernels.gpu_rows(events), ["rank", "kernel_type", "name"]), "mean", "stddev")
+    return rounded(kernels.time_statistics(kernels.gpu_rows(events), ["rank", "kernel_type", "name"]), "mean", "stddev", digits=1)
 
 
 @query(
@@ -84,11 +84,11 @@ r AS (SELECT *, sum(sum) OVER (PARTITION BY rank ORDER BY sum DESC, name ROWS UN
 q AS (SELECT rank AS qr, quantile_cont(run, 0.8) AS cut FROM r GROUP BY rank),
 m AS (SELECT rank, CASE WHEN run > cut OR place > 6 THEN 'others' ELSE name END AS name, sum AS dur FROM r JOIN q ON rank = qr WHERE n > 6)
 SELECT rank, name, {STATS} FROM m GROUP BY rank, name
-UNION ALL SELECT rank, name, sum, max, min, round(mean, 3), round(stddev, 3) FROM r WHERE n <= 6""",
+UNION ALL SELECT rank, name, sum, max, min, round(mean, 1), round(stddev, 1) FROM r WHERE n <= 6""",
 )
 def gpu_kernel_top(events):
     stats = kernels.time_statistics(events.where("stream = -1"), ["rank", "name"])
-    return rounded(kernels.top_with_others(stats, ["rank"], 6), "mean", "stddev")
+    return rounded(kernels.top_with_others(stats, ["rank"], 6), "mean", "stddev", digits=1)
 
 
 @query("merged_kernel_intervals", GPU + merged("gpu", "rank", "isl") + ' SELECT rank, ts, "end" FROM isl')
@@ -241,7 +241,7 @@ def kernels_with_annotation(events):
     f" SELECT rank, name, {STATS} FROM tr WHERE cat = 'user_annotation' GROUP BY rank, name",
 )
 def user_annotation_breakdown(events):
-    return rounded(kernels.annotation_breakdown(events, gpu=False), "mean", "stddev")
+    return rounded(kernels.annotation_breakdown(events, gpu=False), "mean", "stddev", digits=1)
 
 
 CORRELATED = """, ic AS (SELECT t.*, CASE WHEN t.corr < 0 THEN -1 ELSE coalesce(p.idx, 0) END AS index_correlation FROM tr t LEFT JOIN tr p ON t.rank = p.rank AND t.corr = p.corr AND t.corr >= 0 AND (t.stream = -1) <> (p.stream = -1))"""
