@@ -171,8 +171,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     broadcast up to BROADCAST_DROPPED rows, else joined by a shuffle.
     """
     small_batches(spark)
-    keys = cut(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
-    grouped = cut(with_groups(keys).groupBy("doc_id", "fp").agg(F.first("component_id").alias("component_id"), F.count("*").alias("n")))
+    keys = docs.select("doc_id", fingerprint(F.col("text")).alias("fp"))
+    grouped = cut(with_groups(cut(keys.groupBy("doc_id", "fp").agg(F.count("*").alias("n")))))
     # a group is a component, named by its smallest id; of several texts with that id the one with the least fingerprint stays
     named = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = named.groupBy(F.col("doc_id").alias("k_id")).agg(F.min("fp").alias("k_fp"))
