@@ -167,3 +167,25 @@ def counters_with_operators(events: DataFrame, pairs: DataFrame, launch_order: l
     stack = stack.groupBy("rank", "index").agg(F.sort_array(F.collect_list(F.struct("level", "op"))).alias("o_"))
     out = met.join(stack, ["rank", "index"], "left").withColumn("op_stack", F.col("o_.op"))
     return out.withColumns({"top_level_op": F.get("op_stack", F.lit(0)), "bottom_level_op": F.get("op_stack", F.size("op_stack") - 1)}).drop("i_", "n_", "o_")
+
+
+def overlay_patterns(events: DataFrame, pairs: DataFrame, found: DataFrame, operator: str, compress: bool = True) -> DataFrame:
+    """events with pattern: the number (from 0) of the frequent sequence that a row's operator began, -1 elsewhere; with compress only rows of patterns and device rows.
+
+    found is frequent_sequences(); it has few rows.
+    """
+    depth = pairs.where("level = depth").select("rank", "index", "depth")
+    named = events.where((F.col("stream") == -1) & F.col("name").contains(operator)).join(depth, ["rank", "index"])
+    least = named.agg(F.min("depth").alias("d_"))
+    roots = named.join(F.broadcast(least), F.col("depth") == F.col("d_")).select("rank", F.col("index").alias("ancestor"), F.col("name").alias("op"))
+    below = roots.join(pairs.select("rank", "index", "ancestor"), ["rank", "ancestor"])
+    kernels = events.where(N.is_gpu_stream()).select("rank", F.col("index_correlation").alias("index"), F.col("index").alias("k_index"), "ts", "name")
+    of_root = below.join(kernels, ["rank", "index"]).groupBy("rank", "ancestor", "op").agg(F.sort_array(F.collect_list(F.struct("ts", "k_index", "name"))).alias("k_"))
+    numbers = found.select("pattern", (F.row_number().over(Window.orderBy(F.desc("count"), "pattern")) - 1).alias("number"))
+    marked = of_root.withColumn("pattern", F.concat_ws("|", "op", F.array_join(F.col("k_.name"), "|"))).join(F.broadcast(numbers), "pattern")
+    rows = marked.select("rank", "ancestor", "number", "k_")
+    host = rows.join(pairs.select("rank", "index", "ancestor"), ["rank", "ancestor"]).select("rank", "index", "number")
+    device = rows.select("rank", F.explode("k_.k_index").alias("index"), "number")
+    numbered = host.unionByName(device).groupBy("rank", "index").agg(F.min("number").alias("number"))
+    out = events.join(numbered, ["rank", "index"], "left").withColumn("pattern", F.coalesce("number", F.lit(-1))).select(*events.columns, "pattern")
+    return out.where((F.col("pattern") >= 0) | N.is_gpu_stream()) if compress else out

@@ -182,3 +182,13 @@ def save(nodes_: DataFrame, edges_: DataFrame, path: str) -> None:
 
 def restore(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def nodes_of_event(points: DataFrame, rank: int, index: int) -> DataFrame:
+    """Start and end node of a row."""
+    return points.where((F.col("rank") == rank) & (F.col("index") == index))
+
+
+def events_of_edge(events: DataFrame, rank: int, a: int, b: int) -> DataFrame:
+    """The rows at both sides of an edge."""
+    return events.where((F.col("rank") == rank) & F.col("index").isin(a // 2, b // 2))

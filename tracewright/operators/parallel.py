@@ -214,3 +214,20 @@ def bundles(expert: DataFrame, pipeline: DataFrame) -> DataFrame:
     """(ep_group, pp_groups): the pipeline groups that an expert group's ranks belong to."""
     met = expert.select(F.col("group_id").alias("ep_group"), "rank").join(pipeline.select(F.col("group_id").alias("pp_group"), "rank"), "rank")
     return met.groupBy("ep_group").agg(F.sort_array(F.collect_set("pp_group")).alias("pp_groups"))
+
+
+def device_timeline(rows: DataFrame) -> DataFrame:
+    """(group, rank, direction, micro_batch, stage, start, end): first and last kernel times of each step that has kernels; rows that repeat a step are merged."""
+    step = ["group", "rank", "direction", "micro_batch", "stage"]
+    busy = rows.where("num_kernels > 0 and first_kernel_start > 0")
+    return busy.groupBy(*step).agg(F.min("first_kernel_start").alias("start"), F.max("last_kernel_end").alias("end"), F.count("*").alias("rows"))
+
+
+def step_spans_from(events: DataFrame, name: str = "pretrain") -> DataFrame:
+    """events in which the k-th profiler step of a rank takes start and length of the k-th row of the given name, where there is one."""
+    order = Window.partitionBy("rank").orderBy("ts", "index")
+    is_step = F.col("name").startswith("ProfilerStep")
+    numbered = events.withColumn("k_", F.when(is_step, F.row_number().over(Window.partitionBy("rank", is_step).orderBy("ts", "index"))))
+    spans = events.where(F.col("name") == name).select(F.col("rank").alias("s_rank"), F.row_number().over(order).alias("s_k"), F.col("ts").alias("s_ts"), F.col("dur").alias("s_dur"))
+    joined = numbered.join(spans, (F.col("rank") == F.col("s_rank")) & (F.col("k_") == F.col("s_k")), "left")
+    return joined.withColumns({"ts": F.coalesce("s_ts", "ts"), "dur": F.coalesce("s_dur", "dur")}).select(*events.columns)

@@ -700,3 +700,65 @@ def critical_path_longest(events):
 def critical_path_breakdown(events):
     rows = clipped(events)
     return critical_path.summary(critical_path.breakdown(rows, critical_path.critical_path(rows)))
+
+
+@query("kernel_breakdown_by_type", GPU + f" SELECT rank, kernel_type, name, {STATS} FROM gpu GROUP BY ALL")
+def kernel_breakdown_by_type(events):
+    return rounded(kernels.kernel_breakdown(events), "mean", "stddev", digits=1)
+
+
+@query("memory_kernel_types", " SELECT CASE WHEN name LIKE 'Memset%' THEN 'Memset' WHEN name LIKE 'Memcpy%' THEN substr(name, 1, 11) ELSE 'Memcpy Unknown' END AS kind, count(*) AS n FROM tr WHERE stream <> -1 GROUP BY 1")
+def memory_kernel_types(events):
+    return events.where(N.is_gpu_stream()).groupBy(N.memory_kernel_type(F.col("name")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("find_occurrence", ", o AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY ts DESC, idx DESC) AS p FROM tr WHERE name = 'aten::add') SELECT rank, idx AS index FROM o WHERE p = 2")
+def find_occurrence(events):
+    return filters.find_occurrence(events, "aten::add", -2).select(*KEYS)
+
+
+@query("matching_kernels", " SELECT k.rank, k.idx AS index FROM tr k WHERE k.stream <> -1 AND EXISTS (SELECT 1 FROM tr h WHERE h.rank = k.rank AND h.corr = k.corr AND h.name = 'cudaMemcpyAsync')")
+def matching_kernels(events):
+    rows = silver.with_index_correlation(events)
+    return filters.matching_kernels(rows.where("name = 'cudaMemcpyAsync'"), rows).select(*KEYS)
+
+
+@query(
+    "backward_links",
+    """, a AS (SELECT rank, idx, ts, row_number() OVER (PARTITION BY rank ORDER BY ts, idx) AS p FROM tr WHERE cat = 'cpu_op'), s AS (SELECT * FROM a WHERE p % 10 = 1), f AS (SELECT * FROM a WHERE p % 10 = 6)
+SELECT s.rank, s.idx AS index, f.idx AS fwdbwd_index, 0 AS fwdbwd FROM s JOIN f ON s.rank = f.rank AND f.p = s.p + 5 UNION ALL SELECT s.rank, f.idx, s.idx, 1 FROM s JOIN f ON s.rank = f.rank AND f.p = s.p + 5""",
+)
+def backward_links(events):
+    from pyspark.sql import Window
+
+    placed = events.where("cat = 'cpu_op'").withColumn("p", F.row_number().over(Window.partitionBy("rank").orderBy("ts", "index")))
+    flows = placed.where("p % 10 in (1, 6)").select("rank", F.floor(F.col("p") / 10).cast("string").alias("id"), F.when(F.col("p") % 10 == 1, "s").otherwise("f").alias("ph"), "ts", "tid", "pid")
+    return silver.with_backward_links(events, flows).where("fwdbwd >= 0").select("rank", "index", "fwdbwd_index", "fwdbwd")
+
+
+@query("overlay_patterns")
+def overlay_patterns(events):
+    rows, pairs = with_pairs(events)
+    found = callstack.frequent_sequences(rows, pairs, "aten", least=1)
+    return callstack.overlay_patterns(rows, pairs, found, "aten").select("rank", "index", "pattern")
+
+
+@plain_query(
+    "ep_group_wide",
+    f"""WITH {STEPS} SELECT CAST(rank % 2 AS INT) AS group_id, micro_batch, min(ts) FILTER (direction = 'forward') / 1000.0 AS forward_start_min, max(dur) FILTER (direction = 'backward') / 1000.0 AS backward_dur_max FROM steps GROUP BY ALL""",
+)
+def ep_group_wide(spark, sf_dir):
+    rows = steps(spark).withColumn("event", F.col("direction"))
+    wide = parallel.expert_wide(parallel.expert_statistics(rows, parallel.rank_groups(spark, {"tp": 2, "ep": 2}, "ep")), ["forward", "backward"])
+    return wide.select("group_id", "micro_batch", "forward_start_min", "backward_dur_max")
+
+
+@plain_query("bubble_ratios", "SELECT CAST(k AS INT) AS p, (k - 1) / CAST(k - 1 + 8 AS DOUBLE) AS plain, (k - 1) / CAST(8 AS DOUBLE) / 2 AS interleaved FROM range(1, 9) t(k)")
+def bubble_ratios(spark, sf_dir):
+    p = F.col("id").cast("int")
+    return spark.range(1, 9).select(p.alias("p"), N.bubble_ratio(p, F.lit(8)).alias("plain"), N.bubble_ratio(p, F.lit(8), F.lit(2)).alias("interleaved"))
+
+
+@query("timeline_events", " SELECT rank, idx AS index, CASE WHEN name LIKE '%(%' THEN trim(regexp_replace(regexp_replace(name, '<.*>', ''), '\\(.*\\)', '')) ELSE name END AS label, dur AS duration FROM tr WHERE stream <> -1")
+def timeline_events(events):
+    return events.where(N.is_gpu_stream()).select("rank", "index", F.trim(N.simple_name(F.col("name"))).alias("label"), F.col("dur").alias("duration"))

@@ -177,3 +177,15 @@ def to_unix_ns(events: DataFrame, meta: DataFrame) -> DataFrame:
     joined = events.join(F.broadcast(base), F.col("rank") == F.col("b_rank"), "left")  # one row for each rank
     missing = F.raise_error(F.lit("the trace has no baseTimeNanoseconds")).cast("bigint")
     return joined.withColumn("ts_unix_ns", F.coalesce("base_", missing) + (F.col("ts") * 1000).cast("long")).drop("b_rank", "base_")
+
+
+def with_rank(docs: DataFrame, rank: Column) -> DataFrame:
+    """read_documents() with another rank, in the metadata too."""
+    info = F.when(F.col("distributedInfo").isNull(), F.struct(F.lit(None).cast("string").alias("backend"), rank.cast("int").alias("rank"), F.lit(None).cast("int").alias("world_size"), F.lit(None).cast("int").alias("pg_count")))
+    info = info.otherwise(F.struct("distributedInfo.backend", rank.cast("int").alias("rank"), "distributedInfo.world_size", "distributedInfo.pg_count"))
+    return docs.withColumns({"distributedInfo": info, "rank": rank.cast("int")})
+
+
+def events_only(docs: DataFrame, path: str) -> None:
+    """Traces with their event lists alone, one document for each row, as some viewers want them."""
+    docs.select(F.to_json(F.struct("traceEvents")).alias("value")).write.mode("overwrite").text(path)
