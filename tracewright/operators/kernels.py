@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from .intervals import containment_join, covered_time, merge_intervals, overlap_join, overlap_states
+from .intervals import containment_join, covered_time, overlap_join, overlap_states
 
 #: Kinds of kernels with their bits, in the order of labels.
 TYPE_BITS = {"COMPUTATION": 1, "COMMUNICATION": 2, "MEMORY": 4}
