@@ -152,6 +152,17 @@ def taken_pieces(placed: DataFrame) -> DataFrame:
     )
 
 
+def _joined(runs: Column) -> Column:
+    """Sorted runs with those that touch made one."""
+
+    def step(done: Column, run: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["from_"].alias("from_"), run["to_"].alias("to_"))))
+        return F.when(F.size(done) == 0, F.array(run)).when(F.get(done, F.size(done) - 1)["to_"] == run["from_"], longer).otherwise(F.concat(done, F.array(run)))
+
+    return F.aggregate(runs, F.array().cast("array<struct<from_:bigint,to_:bigint>>"), step)
+
+
 def mix(sized: DataFrame) -> DataFrame:
     """sized rows (row_, doc_id, source, size) with source_size, target, taken, and pieces: ARRAY<STRUCT<from_, to_>> beside whole copies.
 
@@ -163,7 +174,7 @@ def mix(sized: DataFrame) -> DataFrame:
     placed = cut(placed)
     pieces = (
         taken_pieces(placed).groupBy(F.col("row_").alias("r_"))
-        .agg(F.sum(F.col("to_") - F.col("from_")).alias("more_"), F.sort_array(F.collect_list(F.struct("from_", "to_"))).alias("pieces"))
+        .agg(F.sum(F.col("to_") - F.col("from_")).alias("more_"), _joined(F.sort_array(F.collect_list(F.struct("from_", "to_")))).alias("pieces"))
     )
     few = broadcast_if_small(quota.select(F.col("source").alias("s_"), "source_size", "target"), BROADCAST_SOURCES)
     return (
