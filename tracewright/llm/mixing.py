@@ -199,6 +199,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the text of each row. docs is read twice: for the words'
     numbers, and for the texts, which meet their runs by the hash of their rows.
+    Columns of docs whose names end in _ may not be kept; all others are.
     """
     columns = docs.columns
     hashed = docs.withColumn("hash_", row_hash(docs))
@@ -206,14 +207,14 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sized = cut(numbered)
     mixed = mix(sized.select("row_", "doc_id", "source", "size")).where("taken > 0").select(F.col("row_").alias("r_"), "whole", "pieces")
     mixed = cut(mixed.join(sized.select("row_", "hash_", "size"), F.col("r_") == F.col("row_")).select("hash_", "size", "whole", "pieces"))
-    copies = mixed.where("whole > 0").groupBy("hash_").agg(F.sum("whole").alias("times")).select("hash_", "times", F.lit(None).cast("struct<from_:bigint,to_:bigint>").alias("run"))
-    parts = mixed.select("hash_", F.lit(1).cast("long").alias("times"), F.explode("pieces").alias("run"))
+    copies = mixed.where("whole > 0").groupBy("hash_").agg(F.sum("whole").alias("times_")).select("hash_", "times_", F.lit(None).cast("struct<from_:bigint,to_:bigint>").alias("run_"))
+    parts = mixed.select("hash_", F.lit(1).cast("long").alias("times_"), F.explode("pieces").alias("run_"))
     runs = copies.unionByName(parts).withColumnRenamed("hash_", "h_")
     repeated = not sized.groupBy("hash_").count().where("count > 1").isEmpty()
     texts = (hashed.dropDuplicates(["hash_"]) if repeated else hashed).join(runs, F.col("hash_") == F.col("h_"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
-    part = F.array_join(F.slice(words, (F.col("run.from_") + 1).cast("int"), (F.col("run.to_") - F.col("run.from_")).cast("int")), " ")
-    out = texts.withColumn("text", F.when(F.col("run").isNull(), F.col("text")).otherwise(part))
+    part = F.array_join(F.slice(words, (F.col("run_.from_") + 1).cast("int"), (F.col("run_.to_") - F.col("run_.from_")).cast("int")), " ")
+    out = texts.withColumn("text", F.when(F.col("run_").isNull(), F.col("text")).otherwise(part))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time_")).select(*columns)
+    return out.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times_"))).alias("time_")).select(*columns)

@@ -194,8 +194,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules keep, with the columns they came with. docs is read twice, so texts are neither kept nor moved.
 
-    The row number keeps the optimizer from copying the measures' expressions into the filter.
+    Columns with the names of measures are kept as they are. The row number
+    keeps the optimizer from copying the measures' expressions into the filter.
     """
-    measured = with_measures(docs)
+    own = {c: f"own__{c}" for c in docs.columns if c in {*BASE, *FLOORS, "base_failed", "kept", "cuts"}}
+    measured = with_measures(docs.withColumnsRenamed(own))
     numbered = measured.withColumn("row_", F.monotonically_increasing_id())
-    return judged(numbered, measured=measured).where("kept and row_ >= 0").select(*docs.columns)
+    kept = judged(numbered, measured=measured).where("kept and row_ >= 0")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
