@@ -81,3 +81,63 @@ def test_query_against_all_pairs(spark):
     groups = slow_groups(prints)
     want = {(r.doc_id, f"{p:016x}", docs[g].doc_id) for r, p, g in zip(docs, prints, groups)}
     assert set(map(tuple, S.op2_simhash(spark, sf).collect())) == want
+
+
+def five_word_sets(texts):
+    sets = []
+    for text in texts:
+        words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return sets
+
+
+def near_groups(sets):
+    """Smallest index reachable over pairs of similarity 4/5 or more, by trying all pairs."""
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("sample", [16, 1])
+def test_stage_against_all_pairs_of_edited_copies(spark, monkeypatch, sample):
+    monkeypatch.setattr(S, "SAMPLE", sample)
+    rng = random.Random(5)
+    line = " ".join(f"common{k}" for k in range(40))
+    texts = ["", None, "one two", "One  two"]
+    for c in range(14):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([6, 30, 120, 200]))] + (line.split() if c % 2 else [])
+        for _ in range(8):
+            copy = list(words)
+            for _ in range(rng.randrange(5)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(99)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = near_groups(five_word_sets(texts))
+    assert sorted(r.doc_id for r in S.dedup_stage(spark, docs, "").collect()) == sorted(set(want))
+    assert len(set(want)) < len(set(slow_groups([slow_simhash(t) for t in texts])))
+
+
+def test_stage_follows_chains_past_the_first_of_a_posting_list(spark):
+    words = [f"w{k}" for k in range(140)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 41, 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in S.dedup_stage(spark, docs, "").collect()] == [0]
+
+
+def test_stage_on_documents_against_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id")
+    rows = docs.select("doc_id", "text").collect()
+    want = sorted({rows[g].doc_id for g in near_groups(five_word_sets([r.text for r in rows]))})
+    assert sorted(r.doc_id for r in S.dedup_stage(spark, docs, sf).collect()) == want

@@ -42,3 +42,17 @@ def simhash(text: str | None, words_per_shingle: int = 4) -> int:
 def simhash_batch(texts: pa.Array, words_per_shingle: int = 4) -> pa.Array:
     values = np.fromiter((simhash(t, words_per_shingle) for t in texts.to_pylist()), np.uint64, len(texts))
     return pa.array(values.view(np.int64))
+
+
+def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 hashes (signed) of a text's word shingles, with words and short texts as for simhash; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest, k = xxhash.xxh64_intdigest, words_per_shingle
+    n = max(1, len(words) - k + 1) if words else 0
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + k]), SEED) for i in range(n)), np.uint64, n).view(np.int64))
+
+
+def signature(shingles: np.ndarray) -> int:
+    """Hash (signed) that stands for a whole shingle set; zero for the empty one."""
+    digest = xxhash.xxh64_intdigest(shingles.tobytes(), SEED) if len(shingles) else 0
+    return digest - (1 << 64) if digest >> 63 else digest

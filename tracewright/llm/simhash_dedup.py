@@ -13,6 +13,13 @@ fingerprints go through an exact second way: each lists all values within d/2
 bits. Fingerprints that list a common value differ in at most d bits, and any
 two that differ in at most d bits list a common value, so linking each to the
 value loses and adds nothing, with work linear in the group.
+
+The pipeline stage asks for more: texts whose sets of 5-word shingles have a
+Jaccard similarity of 4/5 or more, which differ in up to 13 bits, so shared
+bytes guarantee nothing. Its candidates come from an exact prefix filter: under
+any one order of all shingles, two such sets share one of the first
+m - ceil(4m/5) + 1 of their m shingles. Common shingles are ordered last. Every
+candidate pair that can still join two groups is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -25,14 +32,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ._fingerprint import simhash_batch
-from ._shared import broadcast_if_small, cut, small_batches, table
+from ._fingerprint import shingle_set, signature, simhash_batch
+from ._shared import broadcast_if_small, cut, most_frequent, small_batches, table
 from .components import connected_components
 
 #: Fingerprints of one index entry that are compared with each other directly.
 BUCKET_LIMIT = 128
 #: Dropped rows of the pipeline stage that are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_DROPPED = 500_000
+#: Common shingles that are ordered last, at most, and the part of the sets they are found from; neither bears on results.
+COMMON, SAMPLE = 65_536, 16
+#: Sets of a sample that hold a common shingle, at least.
+COMMON_SETS = 8
 
 
 def fingerprint(text: Column, words_per_shingle: int = 4) -> Column:
@@ -145,10 +156,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return with_groups(marked, id_col, max_bits)
 
 
-def with_groups(marked: DataFrame, id_col: str = "doc_id", max_bits: int = 4) -> DataFrame:
-    """component_id for rows that carry their fingerprint fp; marked is read twice."""
+def with_groups(marked: DataFrame, id_col: str = "doc_id", max_bits: int = 4, edges: DataFrame | None = None) -> DataFrame:
+    """component_id for rows that carry their fingerprint fp; marked is read twice. Edges between fingerprints replace links()."""
     prints = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    groups = connected_components(links(prints.select("fp"), max_bits))
+    groups = connected_components(links(prints.select("fp"), max_bits) if edges is None else edges)
     placed = prints.join(groups, prints.fp == groups.node, "left").select(
         "fp", "least_id", F.coalesce("component", "fp").alias("root")
     )
@@ -157,6 +168,86 @@ def with_groups(marked: DataFrame, id_col: str = "doc_id", max_bits: int = 4) ->
     return marked.join(found, marked.fp == found.fp_).drop("fp_")
 
 
+def _signed_sets(texts: pa.Array) -> pa.Array:
+    sets = [shingle_set(t) for t in texts.to_pylist()]
+    listed = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate([np.empty(0, np.int64), *sets]))
+    odd = [np.packbits((np.bincount(s & 255, minlength=256) & 1).astype(bool)).view(np.int64).tolist() for s in sets]
+    return pa.StructArray.from_arrays(
+        [pa.array([signature(s) for s in sets], pa.int64()), listed, pa.array(odd, pa.list_(pa.int64()))], ["fp", "shingles", "odd"]
+    )
+
+
+def set_signature(text: Column) -> Column:
+    """Signature of a text's shingle set as BIGINT; equal for equal sets."""
+    return F.arrow_udf(lambda texts: pa.array([signature(shingle_set(t)) for t in texts.to_pylist()], pa.int64()), LongType())(text)
+
+
+def _prefix(shingles: Column, common: np.ndarray) -> Column:
+    """The shingles of which two sets of similarity 4/5 share one: the first by value, common ones last."""
+
+    def first(lists: pa.Array) -> pa.Array:
+        out = []
+        for s in lists:
+            s = s.values.to_numpy()
+            late = np.isin(s, common)
+            out.append(np.concatenate((s[~late], s[late]))[: len(s) - (4 * len(s) + 4) // 5 + 1])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return F.arrow_udf(first, "array<bigint>")(shingles)
+
+
+def _near(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Whether the Jaccard similarity of two shingle sets is 4/5 or more."""
+    out = []
+    for x, y in zip(a, b):
+        shared = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
+        out.append(5 * shared >= 4 * (len(x) + len(y) - shared))
+    return pa.array(out, pa.bool_())
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of signatures whose sets (row_, fp, shingles; equal fp, equal set) are near."""
+    pairs = cut(pairs.distinct())
+    named = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    rows = cut(sets.select("row_", "fp").join(named, "fp").groupBy("fp").agg(F.min("row_").alias("r_")))
+    read = sets.join(broadcast_if_small(rows.select("r_"), BROADCAST_DROPPED), F.col("row_") == F.col("r_"))
+    one, two = (read.select(F.col("fp").alias(f"{k}_"), F.col("shingles").alias(f"{k}_set")) for k in "ab")
+    both = pairs.join(one, F.col("a") == F.col("a_")).join(two, F.col("b") == F.col("b_"))
+    return cut(both.where(F.arrow_udf(_near, "boolean")("a_set", "b_set")).select("a", "b"))
+
+
+def near_links(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect exactly the signatures whose sets have a similarity of 4/5 or more, over chains of such pairs.
+
+    sets has row_ (distinct), fp, shingles and odd; rows of equal fp count once.
+    Each posting list first verifies its members with one of them, so that a large
+    group of near copies needs one pair a member; of lists whose members then
+    lie in different groups, all pairs between groups follow. Of those go the ones
+    whose bits of odd (which of 256 classes hold an odd number of shingles) differ
+    in more places than sets of that similarity can differ in shingles.
+    """
+    sample = sets.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).select("fp", F.explode("shingles").alias("s")).distinct()
+    often = sample.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_SETS)
+    common = np.array([r.s for r in most_frequent(cut(often), "n", COMMON).select("s").collect()], np.int64)
+    posted = sets.select("fp", F.size("shingles").alias("m"), F.explode(_prefix(F.col("shingles"), common)).alias("s")).distinct()
+    heads = posted.groupBy("s").agg(F.min(F.struct("fp", "m")).alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("s").alias("s_"), "head")
+    met = cut(posted.join(heads, F.col("s") == F.col("s_")).select("s", "fp", "m", "head"))
+    sized = lambda x, y: (5 * F.least(x, y) >= 4 * F.greatest(x, y))
+    stars = met.where((F.col("fp") != F.col("head.fp")) & sized(F.col("m"), F.col("head.m"))).select(F.col("fp").alias("a"), F.col("head.fp").alias("b"))
+    first = _verified(stars, sets)
+    groups = connected_components(first)
+    named = met.join(groups, met.fp == groups.node, "left").select("s", "fp", "m", F.coalesce("component", "fp").alias("group"))
+    mixed = named.groupBy("s").agg(F.min("group").alias("g_"), F.max("group").alias("h_")).where("g_ <> h_").select(F.col("s").alias("s_"))
+    bits = sets.select(F.col("fp").alias("fp_"), "odd").distinct()
+    open_ = cut(named.join(mixed, F.col("s") == F.col("s_")).join(bits, F.col("fp") == F.col("fp_")).drop("s_", "fp_"))
+    x, y = open_.alias("x"), open_.alias("y")
+    apart = (F.col("x.s") == F.col("y.s")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.group") != F.col("y.group")) & sized(F.col("x.m"), F.col("y.m"))
+    differ = sum(F.bit_count(F.get("x.odd", F.lit(k)).bitwiseXOR(F.get("y.odd", F.lit(k)))) for k in range(4))
+    apart = apart & (9 * differ <= F.col("x.m") + F.col("y.m"))
+    across = x.join(y, apart).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    return first.union(_verified(across, sets))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -167,18 +258,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest id stays (of repeated rows of that id, one).
 
-    docs is read twice. What goes is a narrow table of ids and fingerprints,
-    broadcast up to BROADCAST_DROPPED rows, else joined by a shuffle.
+    A group is what chains of texts with a similarity of 4/5 or more reach (near_links);
+    texts without words are alike. docs is read twice; its shingle sets are kept in
+    between. What goes is a narrow table of ids and signatures, broadcast up to
+    BROADCAST_DROPPED rows, else joined by a shuffle.
     """
     small_batches(spark)
-    keys = docs.select("doc_id", fingerprint(F.col("text")).alias("fp"))
-    grouped = cut(with_groups(cut(keys.groupBy("doc_id", "fp").agg(F.count("*").alias("n")))))
-    # a group is a component, named by its smallest id; of several texts with that id the one with the least fingerprint stays
+    signed = F.arrow_udf(_signed_sets, "fp long, shingles array<bigint>, odd array<bigint>")(F.col("text"))
+    sets = cut(docs.select("doc_id", signed.alias("s")).select(F.monotonically_increasing_id().alias("row_"), "doc_id", "s.*"))
+    keys = cut(sets.groupBy("doc_id", "fp").agg(F.count("*").alias("n")))
+    grouped = cut(with_groups(keys, edges=near_links(sets.where(F.size("shingles") > 0))))
+    # a group is a component, named by its smallest id; of several texts with that id the one with the least signature stays
     named = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = named.groupBy(F.col("doc_id").alias("k_id")).agg(F.min("fp").alias("k_fp"))
     same = lambda a, b, c, d: F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
     gone = cut(grouped.join(kept, same("doc_id", "k_id", "fp", "k_fp"), "left_anti").select(F.col("doc_id").alias("g_id"), F.col("fp").alias("g_fp")))
-    marked = docs.withColumn("fp_", fingerprint(F.col("text")))
+    marked = docs.withColumn("fp_", set_signature(F.col("text")))
     left = marked.join(broadcast_if_small(gone, BROADCAST_DROPPED), same("doc_id", "g_id", "fp_", "g_fp"), "left_anti")
     if not grouped.where("n > 1").isEmpty():
         left = left.dropDuplicates(["doc_id", "fp_"])
