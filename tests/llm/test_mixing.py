@@ -73,3 +73,26 @@ def test_query_and_stage_agree(spark):
     for r in staged.select("doc_id", M.n_words(staged.text).alias("n")).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.n
     assert got == {k: v for k, v in want.items() if v}
+
+
+@pytest.mark.parametrize("blocks, shard_words", [(50, 2000), (10, 4000)])
+def test_targets_are_met_when_all_words_over_blocks_pass_a_shard(spark, monkeypatch, blocks, shard_words):
+    monkeypatch.setattr(M, "BLOCKS", blocks)
+    monkeypatch.setattr(M, "SHARD_WORDS", shard_words)
+    rows = [(i, "abcdef"[i % 6], 20 + i % 50) for i in range(2700)]
+    by = {}
+    for r in M.mix(sized(spark, rows)).collect():
+        by.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert all(abs(n - t) <= 0.02 * t for t, n in by.values()), by
+
+
+def test_many_seats_are_highest_quotients_from_few_rows(spark):
+    from pyspark.sql import functions as F
+
+    votes = {k: float(v) for k, v in zip("abcdefg", (5301, 2400, 2399, 4, 2400, 0.5, 1))}
+    df = spark.createDataFrame([("g", k, v) for k, v in votes.items()], "g string, k string, v double")
+    for seats in (3, 1999, 6005):
+        got = {r.k: r.seats for r in M.apportion(df, ["g"], "k", "v", F.lit(seats), F.lit(10**6)).collect()}
+        assert got == slow_seats(votes, seats)
+    # as many seats as would never end if each were listed
+    assert sum(r.seats for r in M.apportion(df, ["g"], "k", "v", F.lit(10**12), F.lit(10**15)).collect()) == 10**12

@@ -10,7 +10,7 @@ each time, so a block may take a part of a document.
 
 Word counts are taken once; all else works on narrow rows. No step needs a
 source's rows together: only shards (at most SHARD_WORDS words on average) are
-ordered, and the quotients of all sources number at most BLOCKS plus their count.
+ordered, and quotients are listed only where seats are in doubt, a few for each source or shard.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ WORD = r"[^ \t-\r]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source's target and no document's words exceed this many times its size.
 EPOCHS = 3
-#: Blocks in which all targets together are counted; bounds the apportionment's rows.
+#: Blocks in which all targets together are counted, at least; more as soon as a block would pass its part of a shard.
 BLOCKS = 20_000
 #: Words of a shard, about; what one task orders.
 SHARD_WORDS = 400_000
+#: Blocks of a shard, at least about, however large the corpus.
+SHARD_BLOCKS = 100
 #: Sources whose figures are broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 SEED = 17
@@ -67,21 +69,27 @@ def targets(sources: DataFrame) -> DataFrame:
 def apportion(votes: DataFrame, group: list[str], key: str, value: str, seats: Column, most: Column) -> DataFrame:
     """Sainte-Lague seats for each key within its group: the `seats` highest quotients value / (2k + 1), ties by key.
 
-    A key gets at most `most` seats. All seats of a group lie among the listed
-    quotients, as the divisor total / (2 seats + number of keys) would give out
-    at least as many.
+    A key gets at most `most` seats. All seats of a group lie among quotients down
+    to total / (2 seats + number of keys), a floor that would give out at least as
+    many; those from total / (2 seats - number of keys) on number at most `seats`,
+    so they are seats unseen (one fewer for each key, for rounding). Only the few
+    between are listed.
     """
     within = Window.partitionBy(*group)
+    sure = F.floor((F.col(value) * (2 * F.col("seats_") - F.col("keys_")) / F.col("all_votes_") + 1) / 2) - 1
     listed = (
         votes.withColumns({"seats_": seats.cast("long"), "most_": most.cast("long")})
-        .withColumn("floor_", F.sum(value).over(within) / (2 * F.col("seats_") + F.count("*").over(within)))
+        .withColumns({"all_votes_": F.sum(value).over(within), "keys_": F.count("*").over(within)})
+        .withColumn("floor_", F.col("all_votes_") / (2 * F.col("seats_") + F.col("keys_")))
         .where((F.col(value) > 0) & (F.col("seats_") > 0) & (F.col("most_") > 0))
         .withColumn("listed_", F.least(F.col("most_"), F.floor((F.col(value) / F.col("floor_") + 1) / 2) + 1))
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("listed_") - 1)).alias("k_"))
+        .withColumn("sure_", F.greatest(F.lit(0), F.least(sure, F.col("listed_") - 1)).cast("long"))
+        .withColumn("left_", F.col("seats_") - F.sum("sure_").over(within))
+        .select("*", F.explode(F.sequence(F.col("sure_"), F.col("listed_") - 1)).alias("k_"))
         .withColumn("place_", F.row_number().over(Window.partitionBy(*group).orderBy((F.col(value) / (2 * F.col("k_") + 1)).desc(), F.col(key).asc_nulls_last(), "k_")))
-        .where(F.col("place_") <= F.col("seats_"))
     )
-    return listed.groupBy(*group, key).agg(F.count("*").alias("seats"))
+    taken = F.max("sure_") + F.sum(F.when(F.col("place_") <= F.col("left_"), 1).otherwise(0))
+    return listed.groupBy(*group, key).agg(taken.cast("long").alias("seats")).where("seats > 0")
 
 
 def shares(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,7 +101,7 @@ def shares(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
     total = F.sum("target").over(Window.partitionBy())
-    quota = sources.withColumns({"one": F.lit(1), "block": F.greatest(F.lit(1), F.ceil(total / BLOCKS)).cast("long"), "all_": total})
+    quota = sources.withColumns({"one": F.lit(1), "block": F.greatest(F.lit(1), F.least(F.ceil(total / BLOCKS), F.lit(SHARD_WORDS // SHARD_BLOCKS))).cast("long"), "all_": total})
     seats = apportion(
         quota, ["one"], "source", "target",
         F.greatest(F.lit(1), F.round(F.col("all_") / F.col("block"))), F.ceil(EPOCHS * F.col("source_size") / F.col("block")),
