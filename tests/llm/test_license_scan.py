@@ -62,3 +62,27 @@ def test_query(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == slow_base(texts[r.doc_id])
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
         assert ("mit" in r.labels.split(",")) == ("Released under the MIT License" in texts[r.doc_id])
+
+
+def test_an_inserted_or_replaced_word_anywhere_in_a_long_template():
+    scanner = L.Scanner()
+    for label, text in L.TEMPLATES:
+        words = [w.decode() for w in slow_words_of(text)]
+        if len(words) < 20:
+            continue
+        edited = [words[:k] + ["zzyzx"] + words[k + skip :] for k in range(1, len(words) - 1) for skip in (0, 1)]
+        for words, row in zip(edited, scanner.scan([" ".join(w) for w in edited])):
+            assert label in row[5].split(","), (label, words.index("zzyzx"))
+
+
+def slow_words_of(text):
+    return [w.encode() for w in slow_words(text)]
+
+
+def test_chains_end_at_long_gaps_and_bridge_changed_names():
+    mit = L.TEMPLATES[4][1]
+    half = mit.index("modify")
+    broken = [mit.replace("Software", "Library").replace("software", "library"), mit[:half] + "zz " * 30 + mit[half:], mit[:half] + "zz " * 60 + mit[half:]]
+    assert [r[5] for r in L.Scanner().scan(broken)] == ["mit", "mit", ""]
+    start, end = next(s[1:3] for s in L.Scanner().scan(["zz " * 7 + broken[1]])[0][7] if s[0] == "mit")
+    assert (start, end) == (7, 7 + len(slow_words(broken[1])))

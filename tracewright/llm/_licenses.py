@@ -122,26 +122,36 @@ class Scanner:
         self.phrases = [(label, np.array(learn(phrase))) for phrase, label in phrases.items()]
         self.automaton = Automaton([words for _, words in self.templates])
 
-    def chains(self, at: int, words: list[int]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, covered share of the template) for each chain over matches in template order."""
+    def _end_after(self, number: int, passage: list[int], after: int) -> int:
+        """Where the passage next ends in the template beyond `after` words; 0 if nowhere."""
+        words, n = self.templates[number][1], len(passage)
+        return next((e for e in range(max(n, after + 1), len(words) + 1) if words[e - n : e] == passage), 0)
+
+    def chains(self, runs: list[tuple[int, list[int]]]) -> list[tuple[str, int, int, float]]:
+        """(label, first word, end, covered share of the template) for each chain over matches in template order.
+
+        runs are (first word, words) of a text in order. A chain goes on over the
+        words between runs, MAX_GAP at most between two matches.
+        """
         open_: dict[int, list[int]] = {}
         done = []
-        for end, length, ends in self.automaton.maximal_matches(words):
-            for number, stop in ends.items():
-                chain = open_.get(number)
-                start = end - length
-                if chain and start - chain[1] <= MAX_GAP and stop > chain[2]:
-                    chain[3] += min(length, stop - max(chain[2], stop - length))
-                    chain[1:3] = end, stop
-                else:
-                    if chain:
-                        done.append((number, *chain))
-                    open_[number] = [start, end, stop, length]
+        for at, words in runs:
+            for end, length, ends in self.automaton.maximal_matches(words):
+                passage, start, end = words[end - length : end], at + end - length, at + end
+                for number, stop in ends.items():
+                    chain = open_.get(number)
+                    near = chain and start - chain[1] <= MAX_GAP
+                    if near and stop <= chain[2]:
+                        stop = self._end_after(number, passage, chain[2]) or stop
+                    if near and stop > chain[2]:
+                        chain[3] += min(length, stop - max(chain[2], stop - length))
+                        chain[1:3] = end, stop
+                    else:
+                        if chain:
+                            done.append((number, *chain))
+                        open_[number] = [start, end, stop, length]
         done += [(number, *chain) for number, chain in open_.items()]
-        return [
-            (self.templates[number][0], at + first, at + end, min(1.0, covered / len(self.templates[number][1])))
-            for number, first, end, _, covered in done
-        ]
+        return [(self.templates[number][0], first, end, min(1.0, covered / len(self.templates[number][1]))) for number, first, end, _, covered in done]
 
     def scan(self, texts: list[str | None]) -> list[tuple]:
         """(n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of each text."""
@@ -166,11 +176,9 @@ class Scanner:
                     base.add(label)
         first = int(min(p[0] for p in places)) if places else None
         last = int(max(p[-1] for p in places)) if places else None
-        spans = []
         edge = np.flatnonzero(np.diff(np.concatenate(([0], (codes >= 0).view(np.int8), [0]))))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):  # runs of words that templates have at all
-            if b - a >= MIN_WORDS:
-                spans += self.chains(a, codes[a:b].tolist())
+        # runs of words that templates have at all
+        spans = self.chains([(a, codes[a:b].tolist()) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= MIN_WORDS])
         score = max((s[3] for s in spans), default=0.0)
         spans = [s for s in spans if s[3] >= MIN_COVER]
         labels = base | {s[0] for s in spans}
