@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -226,19 +226,23 @@ def near_links(sets: DataFrame) -> DataFrame:
     whose bits of odd (which of 256 classes hold an odd number of shingles) differ
     in more places than sets of that similarity can differ in shingles.
     """
-    sample = sets.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).select("fp", F.explode("shingles").alias("s")).distinct()
+    least = cut(sets.groupBy("fp").agg(F.min("row_").alias("least_"), F.count("*").alias("n")).where("n > 1"))
+    again = cut(sets.select("row_", "fp").join(least.withColumnRenamed("fp", "f_"), F.col("fp") == F.col("f_")).where("row_ > least_").select(F.col("row_").alias("r_")))
+    sets = sets.join(broadcast_if_small(again, BROADCAST_DROPPED), F.col("row_") == F.col("r_"), "left_anti")
+    sample = sets.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).select("fp", F.explode("shingles").alias("s"))
     often = sample.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_SETS)
     common = np.array([r.s for r in most_frequent(cut(often), "n", COMMON).select("s").collect()], np.int64)
-    posted = sets.select("fp", F.size("shingles").alias("m"), F.explode(_prefix(F.col("shingles"), common)).alias("s")).distinct()
-    heads = posted.groupBy("s").agg(F.min(F.struct("fp", "m")).alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("s").alias("s_"), "head")
-    met = cut(posted.join(heads, F.col("s") == F.col("s_")).select("s", "fp", "m", "head"))
+    posted = sets.select("fp", F.size("shingles").alias("m"), F.explode(_prefix(F.col("shingles"), common)).alias("s"))
+    listed = Window.partitionBy("s")
+    met = posted.select("*", F.min(F.struct("fp", "m")).over(listed).alias("head"), F.max("fp").over(listed).alias("last"))
+    met = cut(met.where(F.col("head.fp") < F.col("last")).drop("last"))
     sized = lambda x, y: (5 * F.least(x, y) >= 4 * F.greatest(x, y))
     stars = met.where((F.col("fp") != F.col("head.fp")) & sized(F.col("m"), F.col("head.m"))).select(F.col("fp").alias("a"), F.col("head.fp").alias("b"))
     first = _verified(stars, sets)
     groups = connected_components(first)
     named = met.join(groups, met.fp == groups.node, "left").select("s", "fp", "m", F.coalesce("component", "fp").alias("group"))
     mixed = named.groupBy("s").agg(F.min("group").alias("g_"), F.max("group").alias("h_")).where("g_ <> h_").select(F.col("s").alias("s_"))
-    bits = sets.select(F.col("fp").alias("fp_"), "odd").distinct()
+    bits = sets.select(F.col("fp").alias("fp_"), "odd")
     open_ = cut(named.join(mixed, F.col("s") == F.col("s_")).join(bits, F.col("fp") == F.col("fp_")).drop("s_", "fp_"))
     x, y = open_.alias("x"), open_.alias("y")
     apart = (F.col("x.s") == F.col("y.s")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.group") != F.col("y.group")) & sized(F.col("x.m"), F.col("y.m"))
