@@ -1,15 +1,19 @@
 import hashlib
+import re
 
 import pytest
 
 from tracewright.llm import fingerprints as P
 
 
+def parts(text):
+    return set(re.split(P.SEAM, text))
+
+
 def slow(rows):
     """Result rows by plain sets, for rows (doc_id, text) with distinct ids."""
     rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0]))
     near = lambda a, b: len(a & b) / len(a | b)
-    parts = lambda t: set(t.split("\n"))
     out = {}
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
@@ -50,6 +54,13 @@ def test_peeling_recovers_differences(spark):
     assert got == pytest.approx(want)
 
 
+def test_one_line_shares_pieces_with_its_edit(spark):
+    line = " ".join(f"the end of day{k} goes on and fills a line" for k in range(60))
+    docs = spark.createDataFrame([(1, line), (2, "other words " * 300)], "doc_id long, text string")
+    near = {r.doc_id: r.near_edited for r in P.compare_with_edits(docs).collect()}
+    assert 0.3 < near[1] < 0.7
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()

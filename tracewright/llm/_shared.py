@@ -69,6 +69,14 @@ def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
     return df.where(F.lit(False)) if least is None else df.where(bucket >= least)
 
 
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as many times as its column `times` says, without that column; no list is longer than about the count's square root."""
+    n, side = F.col(times), F.ceil(F.sqrt(times)).cast("long")
+    blocks = df.where(n > 0).withColumn("block__", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / side) - 1)))
+    here = F.least(side, n - F.col("block__") * side)
+    return blocks.withColumn("one__", F.explode(F.sequence(F.lit(1).cast("long"), here))).drop("block__", "one__", times)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -7,17 +7,24 @@ leaves the paragraphs that differ; cells with a single digest left are peeled
 until all are empty. If a page can't be peeled, the pair is tried again with
 more pages (other cells), until every pair is recovered.
 
+Paragraphs are lines, cut further at seams that lie in the words themselves
+(SEAM), so that an edit changes the pieces it touches and no others and a text
+of one line still has pieces to share.
+
 All of it is DataFrame functions. Texts move once, and the opening half of the
-next document once more; sketches are built and peeled on narrow rows that stay
-in the partition of their document.
+next document once more. Sketches are built, subtracted and peeled within the
+row; only pairs that IN_ROW tries leave open, those of long texts, go on as rows
+of single cells.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, table
+from ._shared import cut, repeated, table
 
 #: Cells of a page, in HASHES parts of equal size; each digest has a cell in each part.
 HASHES = 3
@@ -27,127 +34,100 @@ CELLS = HASHES * PART
 ROUNDS = 14
 #: Pages of the first try are 1; each further try has so many times as many.
 MORE = 4
+#: Tries that are made within the row (of 1, 4 and 16 pages).
+IN_ROW = 3
+#: Pieces end with lines, and at blanks between these letters, about one blank in 20 of European prose.
+SEAM = r"\n|(?<=[a-f]) (?=[d-g])"
 
 
 def digests(text: Column) -> Column:
-    """ARRAY<BIGINT> of the distinct paragraphs' digests; paragraphs are the text's lines. A null is an empty text, which has one empty paragraph."""
-    return F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.xxhash64(p)))
-
-
-def _cells(digest: Column, level: int) -> Column:
-    """The digest's cells at a level of retrying, as ARRAY<STRUCT<cell, key, check>>."""
-    return F.array(
-        *[
-            F.struct(
-                (F.pmod(F.xxhash64(digest, F.lit(level), F.lit(k)), F.lit(PART)) + k * PART).cast("int").alias("cell"),
-                digest.alias("key"),
-                F.xxhash64(digest, F.lit("check")).alias("check"),
-            )
-            for k in range(HASHES)
-        ]
-    )
+    """ARRAY<BIGINT> of the distinct paragraphs' digests. A null is an empty text, which has one empty paragraph."""
+    return F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), SEAM), lambda p: F.xxhash64(p)))
 
 
-def _entries(found: Column, level: int = 0) -> Column:
-    return F.flatten(F.transform(found, lambda d: _cells(d, level)))
+def _cells(digest: str, level: int) -> str:
+    """SQL of the digest's cells at a level of retrying, as ARRAY<INT>, one in each part."""
+    return "array(" + ", ".join(f"cast(pmod(xxhash64({digest}, {level}, {k}), {PART}) + {k * PART} as int)" for k in range(HASHES)) + ")"
 
 
-def _xor(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
+def _page(digest: str, level: int) -> str:
+    """SQL of the digest's page at a level."""
+    return f"cast(pmod(xxhash64({digest}, {level}, 'page'), {MORE**level}) as int)"
 
 
-def with_sketches(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
-    """df with a text column for each (digests column: name): the one-page sketch as count:key:check of each cell in hex.
+def _sketch(found: str, level: int = 0) -> str:
+    """SQL of one page, ARRAY<STRUCT<n, key, check>> of CELLS cells, for an array of digests."""
+    entries = f"transform({found}, d -> struct({_cells('d', level)} as cells, d as key, xxhash64(d, 'check') as check))"
+    held = """struct(cast(size(mine) as bigint) as n, aggregate(mine, 0L, (x, e) -> x ^ e.key) as key,
+        aggregate(mine, 0L, (x, e) -> x ^ e.check) as check)"""
+    cell = f"transform(array(filter(listed, e -> e.cells[i div {PART}] = i)), mine -> {held})[0]"
+    return f"transform(array({entries}), listed -> transform(sequence(0, {CELLS - 1}), i -> {cell}))[0]"
+
+
+def sketch_text(found: str) -> Column:
+    """The one-page sketch of a column of digests as count:key:check of each cell in hex.
 
     Cells are joined by a comma, empty ones left empty. Equal sets of digests
     give equal texts.
     """
-    listed = df.withColumns({f"entries_{name}": _entries(F.col(found)) for found, name in pairs.items()})
-
-    def cell(i: Column, entries: str) -> Column:
-        return F.transform(
-            F.array(F.filter(entries, lambda e: e["cell"] == i)),
-            lambda mine: F.when(F.size(mine) == 0, "").otherwise(
-                F.concat_ws(
-                    ":", F.hex(F.size(mine).cast("bigint")), F.hex(_xor(F.transform(mine, lambda e: e["key"]))), F.hex(_xor(F.transform(mine, lambda e: e["check"])))
-                )
-            ),
-        )[0]
-
-    def whole(entries: str) -> Column:
-        return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: cell(i, entries)), ","))
-
-    made = {name: whole(f"entries_{name}") for name in pairs.values()}
-    return listed.withColumns(made).drop(*[f"entries_{name}" for name in pairs.values()])
-
-
-def _peeled(cells: Column, level: int) -> Column:
-    """Peel one page's cells, ARRAY<STRUCT<cell, n, key, check>>; STRUCT<cells (those left), plus, minus (digests recovered)>."""
-
-    def round_(state: Column, _: Column) -> Column:
-        single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == F.xxhash64(c["key"], F.lit("check"))))
-        keys = F.array_distinct(F.transform(single, lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
-        return F.transform(F.array(keys), lambda found: removed(state, found))[0]
-
-    def removed(state: Column, found: Column) -> Column:
-        hits = F.flatten(F.transform(found, lambda f: F.transform(_cells(f["key"], level), lambda e: F.struct(e["cell"].alias("cell"), f["n"].alias("n"), e["key"].alias("key"), e["check"].alias("check")))))
-        left = F.transform(F.array(hits), lambda h: F.filter(F.transform(state["cells"], lambda c: less(c, h)), lambda c: (c["n"] != 0) | (c["key"] != 0)))[0]
-        of = lambda sign: F.transform(F.filter(found, lambda f: f["n"] == sign), lambda f: f["key"])
-        return F.when(F.size(found) == 0, state).otherwise(
-            F.struct(left.alias("cells"), F.concat(state["plus"], of(1)).alias("plus"), F.concat(state["minus"], of(-1)).alias("minus"))
-        )
+    shown = "if(c.n = 0, '', concat_ws(':', hex(c.n), hex(c.key), hex(c.check)))"
+    return F.expr(f"lower(array_join(transform({_sketch(found)}, c -> {shown}), ','))")
 
-    def less(c: Column, hits: Column) -> Column:
-        mine = F.filter(hits, lambda h: h["cell"] == c["cell"])
-        return F.transform(
-            F.array(mine),
-            lambda m: F.struct(
-                c["cell"].alias("cell"),
-                F.aggregate(m, c["n"], lambda a, h: a - h["n"]).alias("n"),
-                F.aggregate(m, c["key"], lambda a, h: a.bitwiseXOR(h["key"])).alias("key"),
-                F.aggregate(m, c["check"], lambda a, h: a.bitwiseXOR(h["check"])).alias("check"),
-            ),
-        )[0]
-
-    none = F.array().cast("array<bigint>")
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), none.alias("plus"), none.alias("minus")), round_
-    )
 
+def _difference(own: str, other: str, level: int) -> str:
+    """SQL of the cells, ARRAY<STRUCT<cell, n, key, check>>, in which two pages of digests differ."""
+    both = f"zip_with({_sketch(own, level)}, {_sketch(other, level)}, (a, b) -> struct(a.n - b.n as n, a.key ^ b.key as key, a.check ^ b.check as check))"
+    return f"filter(transform({both}, (c, i) -> struct(i as cell, c.n as n, c.key as key, c.check as check)), c -> c.n <> 0 or c.key <> 0)"
 
-def _attempt(pairs: DataFrame, level: int) -> DataFrame:
-    """(row_, pair, done, mine, theirs) for pairs (row_, pair, own, other) whose sketches differ; equal sketches give no row.
 
-    pairs is partitioned by row_, and so is every step.
+def _peeled(cells: str, level: int) -> str:
+    """SQL that peels one page's cells, ARRAY<STRUCT<cell, n, key, check>>; STRUCT<cells (those left), plus, minus (digests recovered)>."""
+    single = "filter(state.cells, c -> abs(c.n) = 1 and c.check = xxhash64(c.key, 'check'))"
+    keys = f"array_distinct(transform({single}, c -> struct(c.key as key, c.n as n)))"
+    hits = f"flatten(transform(found, f -> transform({_cells('f.key', level)}, at -> struct(at, f.n as n, f.key as key, xxhash64(f.key, 'check') as check))))"
+    less = """transform(array(filter(hits, h -> h.at = c.cell)), mine -> struct(c.cell as cell, aggregate(mine, c.n, (x, h) -> x - h.n) as n,
+        aggregate(mine, c.key, (x, h) -> x ^ h.key) as key, aggregate(mine, c.check, (x, h) -> x ^ h.check) as check))[0]"""
+    left = f"transform(array({hits}), hits -> filter(transform(state.cells, c -> {less}), c -> c.n <> 0 or c.key <> 0))[0]"
+    of = lambda sign: f"transform(filter(found, f -> f.n = {sign}), f -> f.key)"
+    after = f"struct({left} as cells, concat(state.plus, {of(1)}) as plus, concat(state.minus, {of(-1)}) as minus)"
+    none = "cast(array() as array<bigint>)"
+    return f"""aggregate(sequence(1, {ROUNDS}), struct({cells} as cells, {none} as plus, {none} as minus),
+        (state, turn) -> transform(array({keys}), found -> if(size(found) = 0, state, {after}))[0])"""
+
+
+_COUNTS = "struct({} as done, cast({} as bigint) as mine, cast({} as bigint) as theirs)"
+
+
+def with_tries(df: DataFrame, own: str, others: dict[str, str]) -> DataFrame:
+    """df with a column STRUCT<done, mine, theirs> for each (other digests column: name), by IN_ROW tries within the row at most.
+
+    mine and theirs count the digests that only one side has. A try is left out
+    where an earlier one recovered all, or where the sets' sizes alone differ by
+    more digests than its cells can hold.
     """
-    pages = MORE**level
-    sides = F.concat(
-        F.transform("own", lambda d: F.struct(F.lit(True).alias("own"), d.alias("d"))), F.transform("other", lambda d: F.struct(F.lit(False).alias("own"), d.alias("d")))
-    )
+    df = df.withColumns({name: F.expr(_COUNTS.format("false", 0, 0)) for name in others.values()})
+    for level in range(IN_ROW):
+        of = lambda found, level=level: f"filter({found}, d -> {_page('d', level)} = p)" if level else found
+        for other, name in others.items():
+            due = f"not {name}.done and abs(size({own}) - size({other})) <= {CELLS * MORE**level}"
+            pages = f"transform(sequence(0, {MORE**level - 1}), p -> {_difference(of(own), of(other), level)})"
+            counts = _COUNTS.format("size(s.cells) = 0", "size(s.plus)", "size(s.minus)")
+            summed = _COUNTS.format("x.done and y.done", "x.mine + y.mine", "x.theirs + y.theirs")
+            tried = f"aggregate(transform(pages_, cells -> transform(array({_peeled('cells', level)}), s -> {counts})[0]), {_COUNTS.format('true', 0, 0)}, (x, y) -> {summed})"
+            df = df.withColumn("pages_", F.expr(f"if({due}, {pages}, null)")).withColumn(name, F.expr(f"coalesce({tried}, {name})")).drop("pages_")
+    return df
+
+
+def _attempt(pairs: DataFrame, level: int) -> DataFrame:
+    """(row_, pair, done, mine, theirs) for pairs (row_, pair, own, other) whose sketches differ, from rows of single cells; equal sketches give no row."""
+    sides = F.expr("concat(transform(own, d -> struct(true as own, d)), transform(other, d -> struct(false as own, d)))")
     put = pairs.select("row_", "pair", F.explode(sides).alias("s")).select(
-        "row_", "pair", F.pmod(F.xxhash64("s.d", F.lit(level), F.lit("page")), F.lit(pages)).cast("int").alias("page"),
-        F.col("s.own").alias("own"), F.explode(_cells(F.col("s.d"), level)).alias("e"),
+        "row_", "pair", F.expr(_page("s.d", level)).alias("page"), F.col("s.own").alias("own"), F.col("s.d").alias("key"), F.explode(F.expr(_cells("s.d", level))).alias("cell"),
     )
-    of = lambda own, x: F.when(F.col("own") == own, x)
-    cells = put.groupBy("row_", "pair", "page", F.col("e.cell").alias("cell")).agg(
-        *[
-            column
-            for own, side in ((True, "own"), (False, "other"))
-            for column in (
-                F.count(of(own, F.lit(1))).alias(f"{side}_n"),
-                F.coalesce(F.bit_xor(of(own, F.col("e.key"))), F.lit(0).cast("bigint")).alias(f"{side}_key"),
-                F.coalesce(F.bit_xor(of(own, F.col("e.check"))), F.lit(0).cast("bigint")).alias(f"{side}_check"),
-            )
-        ]
-    )
-    differ = cells.select(
-        "row_", "pair", "page",
-        F.struct(
-            "cell", (F.col("own_n") - F.col("other_n")).alias("n"), F.col("own_key").bitwiseXOR(F.col("other_key")).alias("key"),
-            F.col("own_check").bitwiseXOR(F.col("other_check")).alias("check"),
-        ).alias("c"),
-    ).where("c.n <> 0 or c.key <> 0")
-    peeled = differ.groupBy("row_", "pair", "page").agg(F.collect_list("c").alias("cells")).select("row_", "pair", _peeled(F.col("cells"), level).alias("p"))
+    check, sign = F.xxhash64("key", F.lit("check")), F.when(F.col("own"), 1).otherwise(-1)
+    cells = put.groupBy("row_", "pair", "page", "cell").agg(F.sum(sign).alias("n"), F.bit_xor("key").alias("key"), F.bit_xor(check).alias("check"))
+    differ = cells.where("n <> 0 or key <> 0").select("row_", "pair", "page", F.struct("cell", "n", "key", "check").alias("c"))
+    peeled = differ.groupBy("row_", "pair", "page").agg(F.collect_list("c").alias("cells")).select("row_", "pair", F.expr(_peeled("cells", level)).alias("p"))
     peeled = peeled.select("row_", "pair", (F.size("p.cells") == 0).alias("done"), F.size("p.plus").alias("mine"), F.size("p.minus").alias("theirs"))
     return peeled.groupBy("row_", "pair").agg(F.min("done").alias("done"), F.sum("mine").alias("mine"), F.sum("theirs").alias("theirs"))
 
@@ -155,26 +135,29 @@ def _attempt(pairs: DataFrame, level: int) -> DataFrame:
 def likeness(pairs: DataFrame) -> DataFrame:
     """(row_, pair, near) for pairs (row_, pair, own, other) of digest arrays: shared over all distinct paragraphs, from peeled sketches.
 
-    Tries again with MORE times the pages for the pairs that were not recovered,
-    as long as there are any.
+    Tries within the row come first; the pairs they leave go on with MORE times
+    the pages each time, as long as there are any. Two empty arrays are alike.
     """
-    pairs = cut(pairs.repartition("row_"))
-    tried, level, found = pairs, 0, []
-    while True:
-        result = cut(_attempt(tried, level))
-        found.append(result.where("done"))
-        failed = result.where("not done").select(F.col("row_").alias("r_"), F.col("pair").alias("p_"))
-        if failed.isEmpty():
-            break
-        tried, level = tried.join(failed, (F.col("row_") == F.col("r_")) & (F.col("pair") == F.col("p_")), "left_semi"), level + 1
-    done = found[0]
-    for more in found[1:]:
-        done = done.union(more)
-    done = done.select(F.col("row_").alias("r_"), F.col("pair").alias("p_"), "mine", "theirs")
-    shared = F.size("own") - F.coalesce("mine", F.lit(0))
-    return pairs.join(done, (F.col("row_") == F.col("r_")) & (F.col("pair") == F.col("p_")), "left").select(
-        "row_", "pair", (shared / (F.size("own") + F.size("other") - shared)).alias("near")
-    )
+    tried = cut(with_tries(pairs, "own", {"other": "t_"}))
+    shared = F.size("own") - F.col("t_.mine")
+    return tried.where("t_.done").select("row_", "pair", _near(shared, F.size("own"), F.size("other"))).union(_retried(tried.where("not t_.done").select("row_", "pair", "own", "other")))
+
+
+def _near(shared: Column, own: Column, other: Column) -> Column:
+    return F.when(own + other > shared, shared / (own + other - shared)).otherwise(1.0).alias("near")
+
+
+def _retried(left: DataFrame) -> DataFrame:
+    """(row_, pair, near) for the pairs that the tries within the row have left."""
+    out, level = [left.select("row_", "pair", F.lit(0.0).alias("near")).limit(0)], IN_ROW
+    while not left.isEmpty():
+        result = _attempt(left, level).withColumnsRenamed({"row_": "r_", "pair": "q_"})
+        both = cut(left.join(result, (F.col("row_") == F.col("r_")) & (F.col("pair") == F.col("q_")), "left"))
+        done = F.coalesce("done", F.lit(True))
+        shared = F.size("own") - F.coalesce("mine", F.lit(0))
+        out.append(both.where(done).select("row_", "pair", _near(shared, F.size("own"), F.size("other"))))
+        left, level = both.where(~done).select("row_", "pair", "own", "other"), level + 1
+    return reduce(DataFrame.union, out)
 
 
 def followers(ids: DataFrame) -> DataFrame:
@@ -237,22 +220,29 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             )
         ).alias("v"),
     )
-    table_ = cut(
-        kept.select(
-            F.monotonically_increasing_id().alias("row_"), "id_", "size", "own", F.col("v.times").alias("times"), F.sha2("v.edited", 256).alias("edited_sha256"),
-            digests(F.col("v.edited")).alias("edited"), F.col("v.next").alias("next"),
-        )
+    table_ = kept.select(
+        F.monotonically_increasing_id().alias("row_"), "id_", "size", "own", F.col("v.times").alias("times"), F.sha2("v.edited", 256).alias("edited_sha256"),
+        digests(F.col("v.edited")).alias("edited"), F.col("v.next").alias("next"),
     )
-    pairs = table_.select("row_", "own", F.explode(F.array(F.struct(F.lit(0).alias("pair"), F.col("edited").alias("other")), F.struct(F.lit(1).alias("pair"), F.col("next").alias("other")))).alias("p"))
-    near = likeness(pairs.select("row_", "p.pair", "own", "p.other"))
-    near = near.groupBy(F.col("row_").alias("r_")).agg(
-        F.max(F.when(F.col("pair") == 0, F.col("near"))).alias("near_edited"), F.max(F.when(F.col("pair") == 1, F.col("near"))).alias("near_next")
+    table_ = cut(with_tries(cut(table_), "own", {"edited": "to_edited", "next": "to_next"}))
+    near = lambda t, other: _near(F.size("own") - F.col(f"{t}.mine"), F.size("own"), F.size(other))
+    open_ = table_.where("not (to_edited.done and to_next.done)")
+    settled = table_.where("to_edited.done and to_next.done").withColumns({"near_edited": near("to_edited", "edited"), "near_next": near("to_next", "next")})
+    sides = [F.when(~F.col(f"{t}.done"), F.struct(F.lit(k).alias("pair"), F.col(other).alias("other"))) for k, (t, other) in enumerate((("to_edited", "edited"), ("to_next", "next")))]
+    pairs = open_.select("row_", "own", F.explode(F.filter(F.array(*sides), lambda p: p.isNotNull())).alias("p"))
+    late = _retried(pairs.select("row_", "p.pair", "own", "p.other")).groupBy(F.col("row_").alias("r_")).agg(
+        *[F.max(F.when(F.col("pair") == k, F.col("near"))).alias(f"late_{k}") for k in (0, 1)]
+    )
+    open_ = open_.join(late, F.col("row_") == F.col("r_")).withColumns(
+        {"near_edited": F.coalesce("late_0", near("to_edited", "edited")), "near_next": F.coalesce("late_1", near("to_next", "next"))}
     )
-    full = with_sketches(table_.join(near, F.col("row_") == F.col("r_")), {"own": "fingerprint", "edited": "edited_fingerprint"})
+    settled, open_ = settled.drop("row_"), open_.select(*[c for c in settled.columns if c != "row_"])
+    full = settled.unionByName(open_)
     out = full.select(
-        F.col("id_").alias(id_col), F.col("size").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "times"
-    )
-    return out.withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).drop("times")
+        F.col("id_").alias(id_col), F.col("size").cast("long").alias("n_chars"), "edited_sha256", sketch_text("own").alias("fingerprint"),
+        sketch_text("edited").alias("edited_fingerprint"), "near_edited", "near_next", "times",
+    )
+    return repeated(out, "times")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
