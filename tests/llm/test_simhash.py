@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from tracewright.llm import near_sets
 from tracewright.llm import simhash_dedup as S
 from tracewright.llm._fingerprint import simhash
 
@@ -50,9 +53,9 @@ def near_prints(rng, centres, each, flips):
     return sorted(set(made))
 
 
-@pytest.mark.parametrize("limit", [128, 6])
+@pytest.mark.parametrize("limit", [1024, 6, 1])
 def test_links_give_exact_components(spark, monkeypatch, limit):
-    monkeypatch.setattr(S, "BUCKET_LIMIT", limit)
+    monkeypatch.setattr(S, "CROWDED", limit)
     prints = near_prints(random.Random(3), 12, 25, 5)
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     marked = spark.createDataFrame([(i, x) for i, x in enumerate(signed)], "doc_id long, fp long")
@@ -60,6 +63,29 @@ def test_links_give_exact_components(spark, monkeypatch, limit):
     assert got == dict(enumerate(slow_groups(prints)))
 
 
+def test_group_of_thousands_is_linked_within_bounds(spark, monkeypatch):
+    """5,000 fingerprints around one centre, most of them in crowded entries, and as many apart."""
+    monkeypatch.setattr(S, "CROWDED", 64)
+    rng = random.Random(8)
+    prints = sorted({*near_prints(rng, 1, 5000, 6), *(rng.getrandbits(64) for _ in range(5000))})
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    marked = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    got = {r.doc_id: r.component_id for r in S.with_groups(marked).collect()}
+    left, values, want = np.arange(len(prints)), np.array(prints, np.uint64), {}
+    while len(left):  # breadth-first over all pairs
+        reached, group = [left[0]], [left[0]]
+        left = left[1:]
+        while reached:
+            near = np.bitwise_count(values[left] ^ values[reached.pop()]) <= 4
+            reached += left[near].tolist()
+            group += left[near].tolist()
+            left = left[~near]
+        want |= dict.fromkeys(map(int, group), int(min(group)))
+    assert got == want
+    edges = S.links(marked.select("fp"))
+    assert edges.count() < 70 * len(prints) and edges.join(marked, edges.b == marked.fp, "left_anti").isEmpty()
+
+
 def test_documents_with_odd_rows(spark):
     rows = [(1, "a b c d e f", "x"), (2, "A b  c d e f", "y"), (3, None, "z"), (4, "", "z"), (None, "q r s t", "n"), (5, "lone", None), (5, "lone", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
@@ -74,6 +100,20 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in S.dedup_stage(spark, docs, "").collect()) == [2, 9]
 
 
+def test_stage_with_odd_rows_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "quite another text with the same id"), (None, "a b c d e f"), (None, "only a null id"), (5, None), (6, ""), (7, "a b c d e f")]
+    names = ["fp", "fp_", "f_", "i_", "g_id", "g_fp", "row_", "id_", "k_id", "s", "n", "m", "odd", "component_id", "root", "null"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in names])
+    out = S.dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    found = sorted(((str(r.doc_id), r.text) for r in out.collect()), key=str)
+    texts = {t for _, t in found}
+    assert [i for i, _ in found].count("5") == 1 and ("None", "only a null id") in found and ("6", "") not in found and ("7", "a b c d e f") not in found
+    assert [i for i, _ in found if i == "1"] == ["1", "1"] and {"a b c d e f", "quite another text with the same id"} <= texts
+    assert all(r[n] == n for r in out.collect() for n in names)
+    assert S.dedup_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_query_against_all_pairs(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
@@ -110,7 +150,7 @@ def near_groups(sets):
 
 @pytest.mark.parametrize("sample", [16, 1])
 def test_stage_against_all_pairs_of_edited_copies(spark, monkeypatch, sample):
-    monkeypatch.setattr(S, "SAMPLE", sample)
+    monkeypatch.setattr(near_sets, "SAMPLE", sample)
     rng = random.Random(5)
     line = " ".join(f"common{k}" for k in range(40))
     texts = ["", None, "one two", "One  two"]

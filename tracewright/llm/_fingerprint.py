@@ -11,32 +11,33 @@ SEED = 42
 CHUNK = 1 << 16
 
 
-def simhash(text: str | None, words_per_shingle: int = 4) -> int:
-    """Majority bits of the XXH64 hashes (seed 42) of a text's word shingles.
+def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """XXH64 hashes (seed 42, unsigned) of a text's word shingles in order, repeats included.
 
-    Words are runs free of ASCII white space after lower-casing A-Z; shingles
-    keep repeats. A text with fewer words than a shingle hashes whole; one
-    without words (null included) gives zero.
+    Words are runs free of ASCII white space after lower-casing A-Z. A text with
+    fewer words than a shingle hashes whole; one without words (null included)
+    has none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - words_per_shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     stops = ends[min(words_per_shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops.tolist())),
-        np.uint64,
-        n,
-    )
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops.tolist())), np.uint64, n)
+
+
+def simhash(text: str | None, words_per_shingle: int = 4) -> int:
+    """Majority bits of the hashes of a text's shingles; zero without words."""
+    hashes = shingle_hashes(text, words_per_shingle)
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
+    for at in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def simhash_batch(texts: pa.Array, words_per_shingle: int = 4) -> pa.Array:
@@ -45,11 +46,8 @@ def simhash_batch(texts: pa.Array, words_per_shingle: int = 4) -> pa.Array:
 
 
 def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
-    """Sorted distinct XXH64 hashes (signed) of a text's word shingles, with words and short texts as for simhash; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    digest, k = xxhash.xxh64_intdigest, words_per_shingle
-    n = max(1, len(words) - k + 1) if words else 0
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + k]), SEED) for i in range(n)), np.uint64, n).view(np.int64))
+    """Sorted distinct hashes (signed) of a text's shingles."""
+    return np.unique(shingle_hashes(text, words_per_shingle).view(np.int64))
 
 
 def signature(shingles: np.ndarray) -> int:

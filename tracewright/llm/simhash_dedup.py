@@ -4,22 +4,18 @@ Fingerprints of 64 bits that differ in at most d bits agree in at least 8 - d
 of their 8 bytes. The index therefore has an entry for every choice of 8 - d
 byte positions with the bytes found there: two fingerprints whose tally of
 shared positional bytes reaches the guaranteed minimum meet in an entry, and no
-posting list of a single byte is ever paired up. A pair counts at its first
-entry only and is verified bit by bit; of an entry's verified pairs a spanning
-forest is passed on, as components need no more.
-
-Entries with more than BUCKET_LIMIT fingerprints are not paired at all. Their
-fingerprints go through an exact second way: each lists all values within d/2
-bits. Fingerprints that list a common value differ in at most d bits, and any
-two that differ in at most d bits list a common value, so linking each to the
-value loses and adds nothing, with work linear in the group.
-
-The pipeline stage asks for more: texts whose sets of 5-word shingles have a
-Jaccard similarity of 4/5 or more, which differ in up to 13 bits, so shared
-bytes guarantee nothing. Its candidates come from an exact prefix filter: under
-any one order of all shingles, two such sets share one of the first
-m - ceil(4m/5) + 1 of their m shingles. Common shingles are ordered last. Every
-candidate pair that can still join two groups is verified on the whole sets.
+posting list of a single byte is ever paired up. Pairs of an entry are verified
+bit by bit; a spanning forest of the verified pairs is passed on, as components
+need no more.
+
+Entries with more than CROWDED fingerprints are indexed once more by positions
+of half a byte: of the 2d halves that the entry leaves free, two fingerprints
+that differ in at most d bits share at least d. Such a finer entry leaves 4d
+bits free, so it holds at most 65,536 distinct fingerprints at d = 4, whatever
+the input.
+
+The pipeline stage asks for more, texts with a similarity of 4/5 or more; see
+near_sets.
 """
 
 from __future__ import annotations
@@ -28,22 +24,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ._fingerprint import shingle_set, signature, simhash_batch
-from ._shared import broadcast_if_small, cut, most_frequent, small_batches, table
+from ._fingerprint import simhash_batch
+from ._shared import broadcast_if_small, cut, small_batches, table
 from .components import connected_components
+from .near_sets import BROADCAST_ROWS, Sets, signed
 
-#: Fingerprints of one index entry that are compared with each other directly.
-BUCKET_LIMIT = 128
-#: Dropped rows of the pipeline stage that are broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_DROPPED = 500_000
-#: Common shingles that are ordered last, at most, and the part of the sets they are found from; neither bears on results.
-COMMON, SAMPLE = 65_536, 16
-#: Sets of a sample that hold a common shingle, at least.
-COMMON_SETS = 8
+#: Fingerprints of one index entry from which on the entry is indexed by finer positions.
+CROWDED = 1024
 
 
 def fingerprint(text: Column, words_per_shingle: int = 4) -> Column:
@@ -70,76 +61,78 @@ def _entries(value: Column, shared: int) -> Column:
     return F.array(*made)
 
 
-def _tree(entry: int, fps: np.ndarray, shared: int, max_bits: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of one entry's verified pairs, counting only pairs that have the entry as their first."""
-    x = fps[:, None] ^ fps[None, :]
-    a, b = np.nonzero(np.triu(np.bitwise_count(x) <= max_bits, 1))
-    same = x[a, b].view(np.uint8).reshape(-1, 8) == 0
-    tally = same.cumsum(axis=1)
-    first = ((same & (tally <= shared)) << np.arange(8)).sum(axis=1) == entry >> 8 * shared
-    above, edges = list(range(len(fps))), []
-
-    def top(k: int) -> int:
-        while above[k] != k:
-            above[k] = k = above[above[k]]
-        return k
-
-    for i, j in zip(a[first].tolist(), b[first].tolist()):
-        if (p := top(i)) != (q := top(j)):
-            above[max(p, q)] = min(p, q)
-            edges.append((i, j))
-    return edges
-
-
-def _trees(batches, shared: int, max_bits: int):
-    for batch in batches:
-        lists = batch.column("fps")
-        at, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        a, b = [], []
-        for k, entry in enumerate(batch.column("entry").to_pylist()):
-            fps = values[at[k] : at[k + 1]]
-            for i, j in _tree(entry, fps, shared, max_bits):
-                a.append(fps[i])
-                b.append(fps[j])
-        sides = [pa.array(np.array(side, np.uint64).view(np.int64)) for side in (a, b)]
-        yield pa.RecordBatch.from_arrays(sides, ["a", "b"])
-
-
-def _neighbours(value: Column, radius: int) -> Column:
-    """All values within `radius` bits."""
-    bit = [-(1 << 63) if k == 63 else 1 << k for k in range(64)]
-    flips = [0]
-    for r in range(1, radius + 1):
-        for chosen in combinations(range(64), r):
-            x = 0
-            for k in chosen:
-                x ^= bit[k]
-            flips.append(x)
-    listed = F.from_json(F.lit("[" + ",".join(map(str, flips)) + "]"), "array<bigint>")
-    return F.transform(listed, lambda x: value.bitwiseXOR(x))
+def _forest(fps: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of the fingerprints within max_bits of each other; each is compared with those not yet reached."""
+    a, b, left = [], [], fps
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            x = reached.pop()
+            near = np.bitwise_count(left ^ x) <= max_bits
+            if near.any():
+                found = left[near]
+                a += [x] * len(found)
+                b += found.tolist()
+                reached += list(found)
+                left = left[~near]
+    return a, b
+
+
+def _forests(met: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
+    """Edges (a, b) within the lists of fp by keys."""
+
+    def trees(batches):
+        for batch in batches:
+            lists = batch.column("fps")
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            a, b = [], []
+            for first, end in zip(at[:-1].tolist(), at[1:].tolist()):
+                more_a, more_b = _forest(values[first:end], max_bits)
+                a += more_a
+                b += more_b
+            sides = [pa.array(np.array(side, np.uint64).view(np.int64)) for side in (a, b)]
+            yield pa.RecordBatch.from_arrays(sides, ["a", "b"])
+
+    return met.groupBy(*keys).agg(F.sort_array(F.collect_list("fp")).alias("fps")).select("fps").mapInArrow(trees, "a long, b long")
+
+
+def _finer(met: DataFrame, shared: int) -> DataFrame:
+    """(entry, part, fp) for each choice of half the half bytes that an entry leaves free, with the values found there."""
+    free = 8 - shared
+    choices = list(combinations(range(2 * free), free))
+
+    def made(batches):
+        for batch in batches:
+            entries, fps = (batch.column(c).to_numpy() for c in ("entry", "fp"))
+            masks = entries >> 8 * shared
+            for mask in np.unique(masks).tolist():
+                entry, fp = entries[masks == mask], fps[masks == mask].view(np.uint64)
+                halves = [(fp >> np.uint64(8 * k + h) & np.uint64(15)).astype(np.int64) for k in range(8) if not mask >> k & 1 for h in (0, 4)]
+                for number, chosen in enumerate(choices):
+                    part = np.full(len(fp), number, np.int64)
+                    for k in chosen:
+                        part = part << 4 | halves[k]
+                    yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(part), pa.array(fp.view(np.int64))], ["entry", "part", "fp"])
+
+    return met.select("entry", "fp").mapInArrow(made, "entry long, part long, fp long")
+
+
+def _shared_lists(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, fp) of the lists with several members, with their number n."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(sizes, keys)
 
 
 def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Edges (a, b) that connect exactly the fingerprints (column fp, distinct) within max_bits of each other.
-
-    Entries of up to BUCKET_LIMIT members give a spanning forest of their verified
-    pairs; beyond, edges lead over common neighbours, which may be values no document has.
-    """
-    if not 0 <= max_bits <= 6 or max_bits % 2:
-        raise ValueError("max_bits must be 0, 2, 4 or 6")
+    """Edges (a, b) that connect exactly the fingerprints (column fp, distinct) within max_bits (0 to 6) of each other, over chains of such pairs."""
+    if not 0 <= max_bits <= 6:
+        raise ValueError("max_bits must be 0 to 6")
     shared = 8 - max_bits
     index = prints.select("fp", F.explode(_entries(F.col("fp"), shared)).alias("entry"))
-    sizes = index.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(index.join(sizes, "entry"))
-    verified = (
-        met.where(F.col("n") <= BUCKET_LIMIT)
-        .groupBy("entry")
-        .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        .mapInArrow(lambda batches: _trees(batches, shared, max_bits), "a long, b long")
-    )
-    crowded = met.where(F.col("n") > BUCKET_LIMIT).select("fp").distinct()
-    over = crowded.repartition("fp").select(F.col("fp").alias("a"), F.explode(_neighbours(F.col("fp"), max_bits // 2)).alias("b"))
-    return verified.union(over)
+    met = cut(_shared_lists(index, ["entry"]))
+    crowded = met.where(F.col("n") > CROWDED).repartition("fp")
+    finer = _shared_lists(cut(_finer(crowded, shared)), ["entry", "part"])
+    return _forests(met.where(F.col("n") <= CROWDED), ["entry"], max_bits).union(_forests(finer, ["entry", "part"], max_bits)).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -148,108 +141,26 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null and empty texts have fingerprint zero and link with each other like any
     other. Null ids never become a component_id unless a group has no other.
     Repeated rows stay. An empty table gives no rows. Columns of docs named fp or
-    component_id are replaced.
+    component_id are replaced, fp_ and group dropped. Very long texts have one fingerprint like others.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("fp", "component_id")
+    docs = docs.drop("fp", "component_id", "fp_", "group")
     marked = docs.withColumn("fp", fingerprint(F.col(text_col), words_per_shingle))
-    return with_groups(marked, id_col, max_bits)
+    return with_groups(marked, id_col, max_bits).drop("group")
 
 
-def with_groups(marked: DataFrame, id_col: str = "doc_id", max_bits: int = 4, edges: DataFrame | None = None) -> DataFrame:
-    """component_id for rows that carry their fingerprint fp; marked is read twice. Edges between fingerprints replace links()."""
+def with_groups(marked: DataFrame, id_col: str = "doc_id", max_bits: int = 4, groups: DataFrame | None = None) -> DataFrame:
+    """component_id and group (a fingerprint of it) for rows that carry their fingerprint fp; marked is read twice. Groups (node, component) of fingerprints replace those of links()."""
     prints = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    groups = connected_components(links(prints.select("fp"), max_bits) if edges is None else edges)
-    placed = prints.join(groups, prints.fp == groups.node, "left").select(
-        "fp", "least_id", F.coalesce("component", "fp").alias("root")
-    )
-    roots = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    found = cut(placed.join(roots, "root").select(F.col("fp").alias("fp_"), "component_id"))
-    return marked.join(found, marked.fp == found.fp_).drop("fp_")
-
-
-def _signed_sets(texts: pa.Array) -> pa.Array:
-    sets = [shingle_set(t) for t in texts.to_pylist()]
-    listed = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate([np.empty(0, np.int64), *sets]))
-    odd = [np.packbits((np.bincount(s & 255, minlength=256) & 1).astype(bool)).view(np.int64).tolist() for s in sets]
-    return pa.StructArray.from_arrays(
-        [pa.array([signature(s) for s in sets], pa.int64()), listed, pa.array(odd, pa.list_(pa.int64()))], ["fp", "shingles", "odd"]
+    groups = connected_components(links(prints.select("fp"), max_bits)) if groups is None else groups
+    members = cut(groups.join(prints, F.col("node") == F.col("fp")).select("fp", "component", "least_id"))
+    roots = cut(members.groupBy(F.col("component").alias("root")).agg(F.min("least_id").alias("component_id")))
+    placed = members.join(broadcast_if_small(roots, BROADCAST_ROWS), F.col("component") == F.col("root")).select(F.col("fp").alias("m_"), "component_id", F.col("component").alias("group_"))
+    alone = F.col("m_").isNull()
+    found = prints.join(placed, F.col("fp") == F.col("m_"), "left").select(
+        F.col("fp").alias("fp_"), F.when(alone, F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("group_", "fp").alias("group")
     )
-
-
-def set_signature(text: Column) -> Column:
-    """Signature of a text's shingle set as BIGINT; equal for equal sets."""
-    return F.arrow_udf(lambda texts: pa.array([signature(shingle_set(t)) for t in texts.to_pylist()], pa.int64()), LongType())(text)
-
-
-def _prefix(shingles: Column, common: np.ndarray) -> Column:
-    """The shingles of which two sets of similarity 4/5 share one: the first by value, common ones last."""
-
-    def first(lists: pa.Array) -> pa.Array:
-        out = []
-        for s in lists:
-            s = s.values.to_numpy()
-            late = np.isin(s, common)
-            out.append(np.concatenate((s[~late], s[late]))[: len(s) - (4 * len(s) + 4) // 5 + 1])
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return F.arrow_udf(first, "array<bigint>")(shingles)
-
-
-def _near(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Whether the Jaccard similarity of two shingle sets is 4/5 or more."""
-    out = []
-    for x, y in zip(a, b):
-        shared = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
-        out.append(5 * shared >= 4 * (len(x) + len(y) - shared))
-    return pa.array(out, pa.bool_())
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets (row_, fp, shingles; equal fp, equal set) are near."""
-    pairs = cut(pairs.distinct())
-    named = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    rows = cut(sets.select("row_", "fp").join(named, "fp").groupBy("fp").agg(F.min("row_").alias("r_")))
-    read = sets.join(broadcast_if_small(rows.select("r_"), BROADCAST_DROPPED), F.col("row_") == F.col("r_"))
-    one, two = (read.select(F.col("fp").alias(f"{k}_"), F.col("shingles").alias(f"{k}_set")) for k in "ab")
-    both = pairs.join(one, F.col("a") == F.col("a_")).join(two, F.col("b") == F.col("b_"))
-    return cut(both.where(F.arrow_udf(_near, "boolean")("a_set", "b_set")).select("a", "b"))
-
-
-def near_links(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect exactly the signatures whose sets have a similarity of 4/5 or more, over chains of such pairs.
-
-    sets has row_ (distinct), fp, shingles and odd; rows of equal fp count once.
-    Each posting list first verifies its members with one of them, so that a large
-    group of near copies needs one pair a member; of lists whose members then
-    lie in different groups, all pairs between groups follow. Of those go the ones
-    whose bits of odd (which of 256 classes hold an odd number of shingles) differ
-    in more places than sets of that similarity can differ in shingles.
-    """
-    least = cut(sets.groupBy("fp").agg(F.min("row_").alias("least_"), F.count("*").alias("n")).where("n > 1"))
-    again = cut(sets.select("row_", "fp").join(least.withColumnRenamed("fp", "f_"), F.col("fp") == F.col("f_")).where("row_ > least_").select(F.col("row_").alias("r_")))
-    sets = sets.join(broadcast_if_small(again, BROADCAST_DROPPED), F.col("row_") == F.col("r_"), "left_anti")
-    sample = sets.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).select("fp", F.explode("shingles").alias("s"))
-    often = sample.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_SETS)
-    common = np.array([r.s for r in most_frequent(cut(often), "n", COMMON).select("s").collect()], np.int64)
-    posted = sets.select("fp", F.size("shingles").alias("m"), F.explode(_prefix(F.col("shingles"), common)).alias("s"))
-    listed = Window.partitionBy("s")
-    met = posted.select("*", F.min(F.struct("fp", "m")).over(listed).alias("head"), F.max("fp").over(listed).alias("last"))
-    met = cut(met.where(F.col("head.fp") < F.col("last")).drop("last"))
-    sized = lambda x, y: (5 * F.least(x, y) >= 4 * F.greatest(x, y))
-    stars = met.where((F.col("fp") != F.col("head.fp")) & sized(F.col("m"), F.col("head.m"))).select(F.col("fp").alias("a"), F.col("head.fp").alias("b"))
-    first = _verified(stars, sets)
-    groups = connected_components(first)
-    named = met.join(groups, met.fp == groups.node, "left").select("s", "fp", "m", F.coalesce("component", "fp").alias("group"))
-    mixed = named.groupBy("s").agg(F.min("group").alias("g_"), F.max("group").alias("h_")).where("g_ <> h_").select(F.col("s").alias("s_"))
-    bits = sets.select(F.col("fp").alias("fp_"), "odd")
-    open_ = cut(named.join(mixed, F.col("s") == F.col("s_")).join(bits, F.col("fp") == F.col("fp_")).drop("s_", "fp_"))
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.s") == F.col("y.s")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.group") != F.col("y.group")) & sized(F.col("x.m"), F.col("y.m"))
-    differ = sum(F.bit_count(F.get("x.odd", F.lit(k)).bitwiseXOR(F.get("y.odd", F.lit(k)))) for k in range(4))
-    apart = apart & (9 * differ <= F.col("x.m") + F.col("y.m"))
-    across = x.join(y, apart).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    return first.union(_verified(across, sets))
+    return marked.join(cut(found), marked.fp == F.col("fp_")).drop("fp_")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,25 +171,28 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id stays (of repeated rows of that id, one).
-
-    A group is what chains of texts with a similarity of 4/5 or more reach (near_links);
-    texts without words are alike. docs is read twice; its shingle sets are kept in
-    between. What goes is a narrow table of ids and signatures, broadcast up to
-    BROADCAST_DROPPED rows, else joined by a shuffle.
+    """Pipeline stage: of each group the document with the smallest id stays (of repeated rows of that id, one; of its several texts, one).
+
+    A group is what chains of texts with a similarity of 4/5 or more reach
+    (near_sets); texts without words, null included, are alike. A null id stays
+    only where its group has no other. All columns of docs are kept, whatever
+    their names. Very long texts are one shingle set like others. No rows give
+    no rows. docs is read several times; what goes is a narrow table of ids,
+    broadcast up to BROADCAST_ROWS rows, else joined by a shuffle.
     """
     small_batches(spark)
-    signed = F.arrow_udf(_signed_sets, "fp long, shingles array<bigint>, odd array<bigint>")(F.col("text"))
-    sets = cut(docs.select("doc_id", signed.alias("s")).select(F.monotonically_increasing_id().alias("row_"), "doc_id", "s.*"))
-    keys = cut(sets.groupBy("doc_id", "fp").agg(F.count("*").alias("n")))
-    grouped = cut(with_groups(keys, edges=near_links(sets.where(F.size("shingles") > 0))))
-    # a group is a component, named by its smallest id; of several texts with that id the one with the least signature stays
+    sets = Sets(docs.select("doc_id", "text"))
+    keys = sets.keys.select("doc_id", "fp", "n")
+    grouped = cut(with_groups(keys, groups=sets.components()))
+    # of a group's texts with its smallest id the one with the least signature stays
     named = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = named.groupBy(F.col("doc_id").alias("k_id")).agg(F.min("fp").alias("k_fp"))
-    same = lambda a, b, c, d: F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
-    gone = cut(grouped.join(kept, same("doc_id", "k_id", "fp", "k_fp"), "left_anti").select(F.col("doc_id").alias("g_id"), F.col("fp").alias("g_fp")))
-    marked = docs.withColumn("fp_", set_signature(F.col("text")))
-    left = marked.join(broadcast_if_small(gone, BROADCAST_DROPPED), same("doc_id", "g_id", "fp_", "g_fp"), "left_anti")
-    if not grouped.where("n > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "fp_"])
-    return left.select(*docs.columns)
+    kept = named.groupBy("group").agg(F.min(F.struct("fp", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.fp").alias("k_fp"))
+    gone = grouped.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("fp") == F.col("k_fp")), "left_anti")
+    gone = broadcast_if_small(cut(gone.select(F.col("doc_id").alias("g_id"), F.col("fp").alias("g_fp"))), BROADCAST_ROWS)
+    packed = docs.select(F.struct(*docs.columns).alias("row_"))
+    same_id = F.col("row_.doc_id").eqNullSafe(F.col("g_id"))
+    if keys.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
+        return packed.join(gone, same_id, "left_anti").select("row_.*")
+    marked = packed.withColumn("fp_", signed(F.col("row_.text"))["fp"])
+    left = marked.join(gone, same_id & (F.col("fp_") == F.col("g_fp")), "left_anti")
+    return left.withColumn("id_", F.col("row_.doc_id")).dropDuplicates(["id_", "fp_"]).select("row_.*")
