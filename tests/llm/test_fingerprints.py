@@ -55,7 +55,7 @@ def test_peeling_recovers_differences(spark):
 
 
 def test_one_line_shares_pieces_with_its_edit(spark):
-    line = " ".join(f"the end of day{k} goes on and fills a line" for k in range(60))
+    line = " ".join(f"the end of day{k} goes on. As it fills a line" for k in range(60))
     docs = spark.createDataFrame([(1, line), (2, "other words " * 300)], "doc_id long, text string")
     near = {r.doc_id: r.near_edited for r in P.compare_with_edits(docs).collect()}
     assert 0.3 < near[1] < 0.7

@@ -36,8 +36,8 @@ ROUNDS = 14
 MORE = 4
 #: Tries that are made within the row (of 1, 4 and 16 pages).
 IN_ROW = 3
-#: Pieces end with lines, and at blanks between these letters, about one blank in 20 of European prose.
-SEAM = r"\n|(?<=[a-f]) (?=[d-g])"
+#: Pieces end with lines, and at the blanks after a mark and before these letters, about one blank in 30 of European prose.
+SEAM = r"[\n ](?:(?<=\n)|(?<=[.!?:;|] )(?=[a-fA-F]))"
 
 
 def digests(text: Column) -> Column:
@@ -57,26 +57,27 @@ def _page(digest: str, level: int) -> str:
 
 def _sketch(found: str, level: int = 0) -> str:
     """SQL of one page, ARRAY<STRUCT<n, key, check>> of CELLS cells, for an array of digests."""
-    entries = f"transform({found}, d -> struct({_cells('d', level)} as cells, d as key, xxhash64(d, 'check') as check))"
+    places = ", ".join(f"cast(pmod(xxhash64(d, {level}, {k}), {PART}) as int) as c{k}" for k in range(HASHES))
+    entries = f"transform({found}, d -> struct({places}, d as key, xxhash64(d, 'check') as check))"
     held = """struct(cast(size(mine) as bigint) as n, aggregate(mine, 0L, (x, e) -> x ^ e.key) as key,
         aggregate(mine, 0L, (x, e) -> x ^ e.check) as check)"""
-    cell = f"transform(array(filter(listed, e -> e.cells[i div {PART}] = i)), mine -> {held})[0]"
-    return f"transform(array({entries}), listed -> transform(sequence(0, {CELLS - 1}), i -> {cell}))[0]"
+    part = f"transform(sequence(0, {PART - 1}), i -> transform(array(filter(listed, e -> e.c{{}} = i)), mine -> {held})[0])"
+    return f"transform(array({entries}), listed -> concat({', '.join(part.format(k) for k in range(HASHES))}))[0]"
 
 
-def sketch_text(found: str) -> Column:
-    """The one-page sketch of a column of digests as count:key:check of each cell in hex.
+def sketch_text(sketch: str) -> Column:
+    """A sketch column as count:key:check of each cell in hex.
 
     Cells are joined by a comma, empty ones left empty. Equal sets of digests
     give equal texts.
     """
     shown = "if(c.n = 0, '', concat_ws(':', hex(c.n), hex(c.key), hex(c.check)))"
-    return F.expr(f"lower(array_join(transform({_sketch(found)}, c -> {shown}), ','))")
+    return F.expr(f"lower(array_join(transform({sketch}, c -> {shown}), ','))")
 
 
-def _difference(own: str, other: str, level: int) -> str:
-    """SQL of the cells, ARRAY<STRUCT<cell, n, key, check>>, in which two pages of digests differ."""
-    both = f"zip_with({_sketch(own, level)}, {_sketch(other, level)}, (a, b) -> struct(a.n - b.n as n, a.key ^ b.key as key, a.check ^ b.check as check))"
+def _difference(own: str, other: str) -> str:
+    """SQL of the cells, ARRAY<STRUCT<cell, n, key, check>>, in which two pages differ."""
+    both = f"zip_with({own}, {other}, (a, b) -> struct(a.n - b.n as n, a.key ^ b.key as key, a.check ^ b.check as check))"
     return f"filter(transform({both}, (c, i) -> struct(i as cell, c.n as n, c.key as key, c.check as check)), c -> c.n <> 0 or c.key <> 0)"
 
 
@@ -84,10 +85,9 @@ def _peeled(cells: str, level: int) -> str:
     """SQL that peels one page's cells, ARRAY<STRUCT<cell, n, key, check>>; STRUCT<cells (those left), plus, minus (digests recovered)>."""
     single = "filter(state.cells, c -> abs(c.n) = 1 and c.check = xxhash64(c.key, 'check'))"
     keys = f"array_distinct(transform({single}, c -> struct(c.key as key, c.n as n)))"
-    hits = f"flatten(transform(found, f -> transform({_cells('f.key', level)}, at -> struct(at, f.n as n, f.key as key, xxhash64(f.key, 'check') as check))))"
-    less = """transform(array(filter(hits, h -> h.at = c.cell)), mine -> struct(c.cell as cell, aggregate(mine, c.n, (x, h) -> x - h.n) as n,
-        aggregate(mine, c.key, (x, h) -> x ^ h.key) as key, aggregate(mine, c.check, (x, h) -> x ^ h.check) as check))[0]"""
-    left = f"transform(array({hits}), hits -> filter(transform(state.cells, c -> {less}), c -> c.n <> 0 or c.key <> 0))[0]"
+    less = "struct(c.cell as cell, c.n - f.n as n, c.key ^ f.key as key, c.check ^ xxhash64(f.key, 'check') as check)"
+    without = f"transform(array({_cells('f.key', level)}), at -> transform(cells, c -> if(array_contains(at, c.cell), {less}, c)))[0]"
+    left = f"filter(aggregate(found, state.cells, (cells, f) -> {without}), c -> c.n <> 0 or c.key <> 0)"
     of = lambda sign: f"transform(filter(found, f -> f.n = {sign}), f -> f.key)"
     after = f"struct({left} as cells, concat(state.plus, {of(1)}) as plus, concat(state.minus, {of(-1)}) as minus)"
     none = "cast(array() as array<bigint>)"
@@ -103,14 +103,15 @@ def with_tries(df: DataFrame, own: str, others: dict[str, str]) -> DataFrame:
 
     mine and theirs count the digests that only one side has. A try is left out
     where an earlier one recovered all, or where the sets' sizes alone differ by
-    more digests than its cells can hold.
+    more digests than its cells can hold. df has the sketches of all digests
+    columns, named sketch_ and the column's name.
     """
     df = df.withColumns({name: F.expr(_COUNTS.format("false", 0, 0)) for name in others.values()})
     for level in range(IN_ROW):
-        of = lambda found, level=level: f"filter({found}, d -> {_page('d', level)} = p)" if level else found
+        page = lambda found, level=level: _sketch(f"filter({found}, d -> {_page('d', level)} = p)", level) if level else f"sketch_{found}"
         for other, name in others.items():
             due = f"not {name}.done and abs(size({own}) - size({other})) <= {CELLS * MORE**level}"
-            pages = f"transform(sequence(0, {MORE**level - 1}), p -> {_difference(of(own), of(other), level)})"
+            pages = f"transform(sequence(0, {MORE**level - 1}), p -> {_difference(page(own), page(other))})"
             counts = _COUNTS.format("size(s.cells) = 0", "size(s.plus)", "size(s.minus)")
             summed = _COUNTS.format("x.done and y.done", "x.mine + y.mine", "x.theirs + y.theirs")
             tried = f"aggregate(transform(pages_, cells -> transform(array({_peeled('cells', level)}), s -> {counts})[0]), {_COUNTS.format('true', 0, 0)}, (x, y) -> {summed})"
@@ -118,6 +119,10 @@ def with_tries(df: DataFrame, own: str, others: dict[str, str]) -> DataFrame:
     return df
 
 
+def with_sketches(df: DataFrame, *found: str) -> DataFrame:
+    return df.withColumns({f"sketch_{c}": F.expr(_sketch(c)) for c in found})
+
+
 def _attempt(pairs: DataFrame, level: int) -> DataFrame:
     """(row_, pair, done, mine, theirs) for pairs (row_, pair, own, other) whose sketches differ, from rows of single cells; equal sketches give no row."""
     sides = F.expr("concat(transform(own, d -> struct(true as own, d)), transform(other, d -> struct(false as own, d)))")
@@ -138,7 +143,7 @@ def likeness(pairs: DataFrame) -> DataFrame:
     Tries within the row come first; the pairs they leave go on with MORE times
     the pages each time, as long as there are any. Two empty arrays are alike.
     """
-    tried = cut(with_tries(pairs, "own", {"other": "t_"}))
+    tried = cut(with_tries(with_sketches(pairs, "own", "other"), "own", {"other": "t_"}))
     shared = F.size("own") - F.col("t_.mine")
     return tried.where("t_.done").select("row_", "pair", _near(shared, F.size("own"), F.size("other"))).union(_retried(tried.where("not t_.done").select("row_", "pair", "own", "other")))
 
@@ -192,30 +197,30 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id_"), text.alias("text_")).withColumn("h_", F.xxhash64("text_"))
+    listed = rows.withColumn("own", digests(F.col("text_")))
     counted = rows.groupBy("id_", "h_").agg(F.count("*").alias("copies"), F.max(F.length("text_")).alias("size"))
     ids = cut(followers(counted))
     if not ids.where("copies > 1").isEmpty():
-        rows = rows.dropDuplicates(["id_", "h_"])
+        listed = listed.dropDuplicates(["id_", "h_"])
     before = ids.select(F.col("next_id").alias("id_"), F.col("next_h").alias("h_"), F.col("id_").alias("to_id"), F.col("h_").alias("to_h"), F.col("size").alias("to_size"))
     same = F.col("d.id_").eqNullSafe(F.col("b.id_")) & (F.col("d.h_") == F.col("b.h_"))
     opening = (
-        rows.alias("d").join(before.alias("b"), same)
+        listed.alias("d").join(before.alias("b"), same)
         .select(
-            F.col("to_id"), F.col("to_h"), F.expr("left(text_, cast(floor(to_size / 2) as int))").alias("opening"), digests(F.col("text_")).alias("next_digests"),
+            F.col("to_id"), F.col("to_h"), F.expr("left(text_, cast(floor(to_size / 2) as int))").alias("opening"), F.col("own").alias("next_digests"),
         )
     )
-    own = rows.alias("d").join(ids.select("id_", "h_", "copies", "size").alias("b"), same).select("d.id_", "d.h_", "text_", "copies", "size")
+    own = listed.alias("d").join(ids.select("id_", "h_", "copies", "size").alias("b"), same).select("d.id_", "d.h_", "text_", "own", "copies", "size")
     both = own.join(opening, own.id_.eqNullSafe(opening.to_id) & (own.h_ == opening.to_h))
     first_half = lambda of: F.expr(f"concat(left(text_, size - cast(floor(size / 2) as int)), {of})")
     kept = both.select(
-        "id_", "h_", "size", "copies",
-        digests(F.col("text_")).alias("own"),
+        "id_", "h_", "size", "copies", "own",
         F.explode(
             F.concat(
                 F.array(F.struct(F.lit(1).cast("bigint").alias("times"), first_half("opening").alias("edited"), F.col("next_digests").alias("next"))),
                 F.when(
                     F.col("copies") > 1,
-                    F.array(F.struct((F.col("copies") - 1).alias("times"), first_half("left(text_, cast(floor(size / 2) as int))").alias("edited"), digests(F.col("text_")).alias("next"))),
+                    F.array(F.struct((F.col("copies") - 1).alias("times"), first_half("left(text_, cast(floor(size / 2) as int))").alias("edited"), F.col("own").alias("next"))),
                 ).otherwise(F.array().cast("array<struct<times:bigint,edited:string,next:array<bigint>>>")),
             )
         ).alias("v"),
@@ -224,7 +229,9 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.monotonically_increasing_id().alias("row_"), "id_", "size", "own", F.col("v.times").alias("times"), F.sha2("v.edited", 256).alias("edited_sha256"),
         digests(F.col("v.edited")).alias("edited"), F.col("v.next").alias("next"),
     )
-    table_ = cut(with_tries(cut(table_), "own", {"edited": "to_edited", "next": "to_next"}))
+    tried = with_tries(with_sketches(table_, "own", "edited", "next"), "own", {"edited": "to_edited", "next": "to_next"})
+    shown = {"fingerprint": sketch_text("sketch_own"), "edited_fingerprint": sketch_text("sketch_edited")}
+    table_ = cut(tried.withColumns(shown).drop("sketch_own", "sketch_edited", "sketch_next"))
     near = lambda t, other: _near(F.size("own") - F.col(f"{t}.mine"), F.size("own"), F.size(other))
     open_ = table_.where("not (to_edited.done and to_next.done)")
     settled = table_.where("to_edited.done and to_next.done").withColumns({"near_edited": near("to_edited", "edited"), "near_next": near("to_next", "next")})
@@ -239,8 +246,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     settled, open_ = settled.drop("row_"), open_.select(*[c for c in settled.columns if c != "row_"])
     full = settled.unionByName(open_)
     out = full.select(
-        F.col("id_").alias(id_col), F.col("size").cast("long").alias("n_chars"), "edited_sha256", sketch_text("own").alias("fingerprint"),
-        sketch_text("edited").alias("edited_fingerprint"), "near_edited", "near_next", "times",
+        F.col("id_").alias(id_col), F.col("size").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "times",
     )
     return repeated(out, "times")
 
