@@ -1,7 +1,9 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import quality_rules as Q
 
@@ -57,16 +59,52 @@ def test_cutoffs_follow_each_group(spark):
 def test_sketches_merge(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     measured = Q.with_measures(docs).cache()
-    whole = Q._quartiles(Q.sketches(measured, []), [])
-    halves = Q.sketches(measured.where("doc_id % 2 = 0"), []).union(Q.sketches(measured.where("doc_id % 2 = 1"), []))
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, Q._quartiles(halves, []).collect()))
-    exact = measured.selectExpr("percentile_approx(word_length, 0.75, 100000) q").first().q
-    got = whole.where("rule = 'word_length'").first().q3
-    assert got == pytest.approx(exact, rel=0.06)
+    merged = lambda parts: sorted(map(tuple, parts.groupBy("measure", "bucket").agg(F.sum("n").alias("n")).collect()))
+    whole = Q.sketches(measured, [])
+    assert merged(whole) == merged(Q.sketches(measured.where("doc_id % 2 = 0"), []).union(Q.sketches(measured.where("doc_id % 2 = 1"), [])))
+    shares = whole.withColumn("share", F.col("n") / measured.count())
+    got = Q._quantiles(shares, []).where("measure = 'word_length'").first().q75
+    assert got == pytest.approx(measured.selectExpr("percentile_approx(word_length, 0.75, 100000) q").first().q, rel=0.06)
+
+
+def test_query_equals_sql_and_real_groups_differ(spark):
+    """kept equals DuckDB's on the documents, cut-offs differ between groups, and no one fixed set of them gives the same verdicts."""
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    columns = ["doc_id", *Q.BASE, "base_failed", "kept"]
+    got = sorted(map(tuple, Q.op6_quality_rules(spark, sf).select(*columns).collect()))
+    assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({Q.ORACLE})").fetchall())
+    measured = Q.with_measures(spark.read.parquet(f"{sf}/documents.parquet")).cache()
+    cuts = Q.cutoffs(measured).select("lang_", "source_", "cuts.*").collect()
+    for rule in Q.RULES:
+        assert len({c[rule].high for c in cuts}) > 2
+    kept, gone = (measured.join(Q.judged(measured).where(f"not base_failed and {x}").select("doc_id"), "doc_id") for x in ("kept", "not kept"))
+    assert gone.count() > 0
+    tallest = kept.agg(*[F.max(r).alias(r) for r in Q.RULES], F.min("word_length").alias("least")).first()
+    passes = " and ".join(f"{r} <= {tallest[r]!r}" for r in Q.RULES) + f" and word_length >= {tallest.least!r}"
+    assert gone.where(passes).count() > 0
+
+
+def test_labelled_documents(spark):
+    """Good documents stay, bad ones mostly go."""
+    sf = "/root/testdata/sf0.1"
+    verdicts = Q.op6_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed")
+    share = {r.quality: r.k for r in verdicts.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert share[1] > 0.97 and share[0] < 0.5
 
 
 def test_stage_keeps_columns(spark):
-    docs = spark.createDataFrame([(1, prose(1, "en"), "en", "s", 9), (2, "too short", "en", "s", 9), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, prose(1, "en"), "en", "s", 9), (1, prose(1, "en"), "en", "s", 9), (2, "too short", "en", "s", 9), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["words_", "at_", "lang_", "source_", "row_", "doc_", "text_", "number_", "cuts", "kept", "n_words", "n_lines", "word_length", "measure", "hashes_", "sorted_", "windows_", "lines_", "upper_"]
+    docs = docs.select("*", *[F.lit(n).alias(n) for n in names])
     out = Q.filter_stage(spark, docs, "")
-    assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [1]
+    rows = out.collect()
+    assert out.columns == docs.columns and [r.doc_id for r in rows] == [1, 1] and all(r[n] == n for r in rows for n in names)
     assert Q.filter_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_very_long_text_is_measured_whole(spark):
+    text = " ".join(f"w{k}" for k in range(200_000)) + " tail tail"
+    row = Q.with_measures(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_words, row.word_chars, row.n_repeat_words) == (200_002, len(text) - 200_001, 0)

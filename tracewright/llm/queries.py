@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import quality_rules
 from .bpe import op7_bpe
 from .fingerprints import op10_fingerprints
 from .kneser_ney import op3_quality_classifier
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE}
