@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import mixing as M
 
@@ -34,8 +35,6 @@ def slow_seats(votes, seats):
 
 @pytest.mark.parametrize("seats", [1, 7, 100])
 def test_seats_are_highest_quotients(spark, seats):
-    from pyspark.sql import functions as F
-
     votes = {"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.4, "e": 24.0}
     df = spark.createDataFrame([("g", k, v) for k, v in votes.items()], "g string, k string, v double")
     got = {r.k: r.seats for r in M.apportion(df, ["g"], "k", "v", F.lit(seats), F.lit(10**6)).collect()}
@@ -63,6 +62,18 @@ def test_mix_properties(spark):
     assert M.mix(sized(spark, rows).limit(0)).count() == 0
 
 
+def test_stage_keeps_spacing_and_clashing_columns(spark):
+    names = ["hash_", "h_", "times_", "doc_", "part_", "run_", "size", "whole", "pieces", "row_", "block__", "one__", "times"]
+    text = "\n".join("  ".join(f"w{k}x{j}" for j in range(7)) for k in range(400))
+    rows = [(1, text, "a"), (2, text, "a"), (2, text, "a"), (3, "b " * 900, "b"), (None, "c\td " * 300, None), (5, None, "a"), (6, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(n).alias(n) for n in names])
+    out = M.mix_stage(spark, docs, "")
+    found = out.collect()
+    assert out.columns == docs.columns and found and all(r[n] == n for r in found for n in names)
+    assert all(r.text in {1: text, 2: text, 3: "b " * 900, None: "c\td " * 300}[r.doc_id] for r in found)
+    assert M.mix_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_query_and_stage_agree(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -87,8 +98,6 @@ def test_targets_are_met_when_all_words_over_blocks_pass_a_shard(spark, monkeypa
 
 
 def test_many_seats_are_highest_quotients_from_few_rows(spark):
-    from pyspark.sql import functions as F
-
     votes = {k: float(v) for k, v in zip("abcdefg", (5301, 2400, 2399, 4, 2400, 0.5, 1))}
     df = spark.createDataFrame([("g", k, v) for k, v in votes.items()], "g string, k string, v double")
     for seats in (3, 1999, 6005):

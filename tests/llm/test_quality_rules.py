@@ -78,7 +78,7 @@ def test_query_equals_sql_and_real_groups_differ(spark):
     measured = Q.with_measures(spark.read.parquet(f"{sf}/documents.parquet")).cache()
     cuts = Q.cutoffs(measured).select("lang_", "source_", "cuts.*").collect()
     for rule in Q.RULES:
-        assert len({c[rule].high for c in cuts}) > 2
+        assert len({c[rule].high for c in cuts}) > 1
     kept, gone = (measured.join(Q.judged(measured).where(f"not base_failed and {x}").select("doc_id"), "doc_id") for x in ("kept", "not kept"))
     assert gone.count() > 0
     tallest = kept.agg(*[F.max(r).alias(r) for r in Q.RULES], F.min("word_length").alias("least")).first()

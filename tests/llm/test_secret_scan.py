@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import secret_scan as S
 
@@ -50,6 +51,23 @@ def test_stage_masks(spark):
         assert r.text == want and r.n_chars == len(want or "")
 
 
+def test_stage_masks_overlapping_secrets_and_keeps_clashing_columns(spark):
+    inner = "zz9f41b7c8d2e6a0935c"
+    names = ["hash_", "h_", "values_", "doc_", "clean_", "f", "word", "score", "at", "value", "size"]
+    docs = spark.createDataFrame([(1, f"password=aa1{inner} token={inner}"), (2, None), (3, "")], "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in names])
+    out = S.redact_stage(spark, docs, "")
+    rows = {r.doc_id: r for r in out.collect()}
+    assert out.columns == docs.columns and all(r[n] == n for r in rows.values() for n in names)
+    assert inner not in rows[1].text and "aa1" not in rows[1].text and rows[2].text is None and rows[3].text == ""
+    assert S.train(S.labelled_findings(spark).limit(0)) is None and S.findings(docs.select("doc_id", "text"), None).count() == 0
+
+
+def test_parts_of_dotted_tokens(spark, model):
+    parts = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"]
+    docs = spark.createDataFrame([(1, "authorization bearer " + ".".join(parts))], "doc_id long, text string")
+    assert {r.value for r in S.findings(docs, model).collect()} == set(parts)
+
+
 def test_query_finds_planted_forms(spark):
     sf = "/root/testdata/sf0.01"
     texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())

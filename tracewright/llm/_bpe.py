@@ -131,19 +131,18 @@ class WordEndBpe:
             symbols.append(a + b)
         self.merges = Merges(512, pairs)
         self.ids = [str(vocab[name]) for name in symbols]
-        self.names = symbols
         self.special = {t["content"]: str(t["id"]) for t in spec["added_tokens"]}
-        self.names_by_id = {int(i): name for i, name in zip(self.ids, symbols)} | {int(i): t for t, i in self.special.items()}
+        self.names = dict(zip(self.ids, symbols)) | {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.space = re.compile(f"[{WHITE_SPACE}]+")
         self.symbol_of = {ord(x): k for k, x in enumerate(letters)}
         rules = Tokenizer.from_file(path)  # only its Unicode tables: normal form, case and character classes
         self.normal, self.units = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.known_units: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str]] = {}
+        self.known_units: dict[str, tuple[int, str]] = {}
 
-    def _piece(self, piece: str) -> tuple[int, str, str]:
-        """Count, ids and token names of a piece without white space."""
+    def _piece(self, piece: str) -> tuple[int, str]:
+        """Count and ids of a piece without white space."""
         if max(piece, default="") < "\u0100":
             units = [unit.encode().decode("latin-1") for unit in SPLIT.findall(piece.lower())]
         else:
@@ -151,21 +150,21 @@ class WordEndBpe:
         found = [self.known_units.get(unit) or self._unit(unit) for unit in units]
         if len(found) == 1:
             return found[0]
-        return sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+        return sum(f[0] for f in found), " ".join([f[1] for f in found])
 
-    def _unit(self, unit: str) -> tuple[int, str, str]:
+    def _unit(self, unit: str) -> tuple[int, str]:
         """The same of a unit, given as one character for each byte."""
         if len(self.known_units) >= REMEMBERED:
             self.known_units.clear()
         tokens = self.merges.encode(unit[:-1] + chr(256 + ord(unit[-1])))
-        found = len(tokens), " ".join([self.ids[t] for t in tokens]), " ".join([self.names[t] for t in tokens])
+        found = len(tokens), " ".join([self.ids[t] for t in tokens])
         self.known_units[unit] = found
         return found
 
     def _pieces(self, text: str):
         for part in self.cut.split(text) if self.special else [text]:
             if part in self.special:
-                yield (1, self.special[part], part)
+                yield (1, self.special[part])
                 continue
             odd = any(c in part for c in "\x1c\x1d\x1e\x1f")
             for piece in self.space.split(part) if odd else part.split():
@@ -177,11 +176,11 @@ class WordEndBpe:
                 if found[0]:
                     yield found
 
-    def encode(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, ids and token names, each joined by one space."""
+    def encode(self, text: str | None) -> tuple[int, str]:
+        """Number of tokens, and ids joined by one space."""
         found = list(self._pieces(text or ""))
-        return sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+        return sum(f[0] for f in found), " ".join([f[1] for f in found])
 
     def decode(self, ids: str) -> str:
         """The tokens' names joined by a space, as for a tokenizer that has no decoder; specials stay."""
-        return " ".join([self.names_by_id[int(i)] for i in ids.split()])
+        return " ".join([self.names[i] for i in ids.split()])

@@ -13,9 +13,11 @@ BATCH_ROWS = "256"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or on a single machine an own one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -24,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder; for narrow tables (Spark removes the files with the plan)."""
+    """The rows, computed once and kept in the shared folder; for narrow tables. spark.cleaner.referenceTracking.cleanCheckpoints lets Spark remove them."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -46,17 +46,17 @@ def decode(ids: Column, path: str | None = None) -> Column:
 
 
 def round_trip(text: Column, path: str | None = None) -> Column:
-    """STRUCT<n_tokens, ids_sha256, decoded_sha256> without materialising ids outside the worker.
+    """STRUCT<n_tokens, ids_sha256, decoded_sha256>: the text is encoded, and the ids are decoded, without leaving the worker.
 
-    The decoded text is made from the ids of each piece as it is encoded, so
-    that both digests come from one pass.
+    A null or empty text has no tokens and decodes to the empty text.
     """
     path = path or default_vocabulary()
 
     def digests(texts: pa.Array) -> pa.Array:
         rows = []
         for text in texts.to_pylist():
-            n, ids, decoded = _tokenizer(path).encode(text)
+            n, ids = _tokenizer(path).encode(text)
+            decoded = _tokenizer(path).decode(ids)
             rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         columns = list(zip(*rows)) or [(), (), ()]
         kinds = (("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()))
@@ -72,7 +72,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all columns of the documents, with their token ids, count and digest."""
+    """Pipeline stage: all columns of the documents, with token_ids, n_tokens and ids_sha256.
+
+    Columns of docs with these three names are replaced. Null and empty texts
+    have no ids; very long texts are encoded whole; repeated rows stay; no rows
+    give no rows.
+    """
     small_batches(spark)
     return docs.withColumn("token_ids", encode(F.col("text"))).withColumns(
         {

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import broadcast_if_small, cut, row_hash, table
+from ._shared import broadcast_if_small, cut, repeated, row_hash, table
 
 WORD = r"[^ \t-\r]+"
 #: Sources in order of their names weigh these, repeating.
@@ -205,24 +205,26 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix as documents. Whole copies keep their text; each run of a document's words in a picked block is a row of its own.
 
-    n_chars follows the text of each row. docs is read twice: for the words'
-    numbers, and for the texts, which meet their runs by the hash of their rows.
-    Columns of docs whose names end in _ may not be kept; all others are.
+    A run keeps the white space between its words. n_chars follows the text of
+    each row; all other columns stay, whatever their names. Null and empty texts
+    have no words and take nothing. Repeated rows are mixed like others. No rows
+    give no rows. docs is read twice: for the words' numbers, and for the texts,
+    which meet their runs by the hash of their rows.
     """
     columns = docs.columns
-    hashed = docs.withColumn("hash_", row_hash(docs))
-    numbered = hashed.select(F.monotonically_increasing_id().alias("row_"), "hash_", "doc_id", "source", n_words(F.col("text")).alias("size"))
+    hashed = docs.select(row_hash(docs).alias("hash_"), F.struct(*columns).alias("doc_"))
+    numbered = hashed.select(F.monotonically_increasing_id().alias("row_"), "hash_", "doc_.doc_id", "doc_.source", n_words(F.col("doc_.text")).alias("size"))
     sized = cut(numbered)
     mixed = mix(sized.select("row_", "doc_id", "source", "size")).where("taken > 0").select(F.col("row_").alias("r_"), "whole", "pieces")
     mixed = cut(mixed.join(sized.select("row_", "hash_", "size"), F.col("r_") == F.col("row_")).select("hash_", "size", "whole", "pieces"))
     copies = mixed.where("whole > 0").groupBy("hash_").agg(F.sum("whole").alias("times_")).select("hash_", "times_", F.lit(None).cast("struct<from_:bigint,to_:bigint>").alias("run_"))
     parts = mixed.select("hash_", F.lit(1).cast("long").alias("times_"), F.explode("pieces").alias("run_"))
     runs = copies.unionByName(parts).withColumnRenamed("hash_", "h_")
-    repeated = not sized.groupBy("hash_").count().where("count > 1").isEmpty()
-    texts = (hashed.dropDuplicates(["hash_"]) if repeated else hashed).join(runs, F.col("hash_") == F.col("h_"))
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
-    part = F.array_join(F.slice(words, (F.col("run_.from_") + 1).cast("int"), (F.col("run_.to_") - F.col("run_.from_")).cast("int")), " ")
-    out = texts.withColumn("text", F.when(F.col("run_").isNull(), F.col("text")).otherwise(part))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times_"))).alias("time_")).select(*columns)
+    twice = not sized.groupBy("hash_").count().where("count > 1").isEmpty()
+    texts = (hashed.dropDuplicates(["hash_"]) if twice else hashed).join(runs, F.col("hash_") == F.col("h_"))
+    words = F.regexp_extract_all("doc_.text", F.lit(rf"({WORD}[ \t-\r]*)"))
+    part = F.array_join(F.slice(words, (F.col("run_.from_") + 1).cast("int"), (F.col("run_.to_") - F.col("run_.from_")).cast("int")), "")
+    part = F.regexp_replace(part, r"[ \t-\r]+$", "")
+    out = texts.select("doc_", "times_", F.when(F.col("run_").isNull(), F.col("doc_.text")).otherwise(part).alias("part_"))
+    changed = {"text": F.col("part_"), "n_chars": F.length("part_").cast("long")}
+    return repeated(out, "times_").select(*[changed[c].alias(c) if c in changed else F.col("doc_")[c].alias(c) for c in columns])

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from ._shared import broadcast_if_small, cut, lower_ascii, row_hash, table
 
 SPACE = r"[ \t-\r]+"
-#: A candidate: at least LEAST key characters after a start, a quote, bracket, colon or equals sign.
+#: A candidate: at least LEAST key characters in a row, whatever stands around them; a dotted token gives one for each part.
 LEAST = 12
-CANDIDATE = r"(?:^|[=:\"'(\[<,;])([A-Za-z0-9+/_\-]{12,}={0,2})"
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{12,}={0,2})"
 #: Words that name secrets, words that name other codes, and common pieces of prose.
 KEY_WORDS = "password passwd pwd secret token apikey api_key access_key credential auth bearer private aws key"
 OTHER_WORDS = "example sample dummy placeholder changeme sha1 sha256 md5 checksum digest commit hash uuid guid card account order invoice phone tel page http https www"
@@ -118,7 +118,9 @@ def labelled_findings(spark: SparkSession, n: int = DEFAULT_FINDINGS) -> DataFra
         (1, part(mixed, 20, 60, "4"), F.concat(F.lit("'"), base, F.lit("',")), F.concat(plain, F.lit(" "), key, F.lit(":"))),
         (1, F.concat(one_of("AKIA ASIA", "a"), F.substr(F.upper(F.regexp_replace(mixed, "[a-z]", "")), F.lit(1), F.lit(16))), base, plain),
         (1, F.concat(one_of("ghp_ sk_live_ xoxb- AIza", "g"), part(mixed, 30, 40, "5")), base, plain),
+        (1, part(mixed, 20, 60, "10"), F.concat(F.lit("eyJhbGciOiJIUzI1NiJ9."), base, F.lit("."), F.substr(mixed, F.lit(30), F.lit(40))), F.concat(plain, F.lit(" "), one_of("bearer token auth", "j"))),
         (0, F.substr(digits, F.lit(1), F.lit(16)), base, plain),
+        (0, F.substr(digits, F.lit(1), F.lit(16)), F.concat(base, one_of("$$$ ### , . %%%", "z")), F.concat(plain, F.lit(" "), key, F.lit(' = "'), part(hexes, 32, 64, "11"), F.lit('"'))),
         (0, part(digits, 12, 19, "6"), base, F.concat(plain, F.lit(" "), one_of(OTHER_WORDS, "o"))),
         (0, F.concat(prose, F.substr(digits, F.lit(1), F.lit(2))), base, plain),
         (0, part(hexes, 32, 64, "7"), base, F.concat(plain, F.lit(" "), one_of("commit sha1 sha256 md5 checksum digest", "c"))),
@@ -126,6 +128,7 @@ def labelled_findings(spark: SparkSession, n: int = DEFAULT_FINDINGS) -> DataFra
         (0, F.concat(one_of("example dummy placeholder changeme sample", "e"), F.lit("_"), one_of(KEY_WORDS, "w"), part(digits, 1, 4, "9")), F.concat(key, F.lit("="), base), plain),
         (0, F.concat_ws("-", *[F.substr(hexes, F.lit(a), F.lit(b)) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), base, F.concat(plain, F.lit(" "), one_of("id uuid guid request", "y"))),
         (0, F.concat(prose, F.lit("_"), F.substr(digits, F.lit(1), F.lit(3))), F.concat(F.lit("id="), base), plain),
+        (0, F.concat(prose, F.lit("-"), F.substr(digits, F.lit(1), F.lit(2))), F.concat(one_of("www. mail. blog.", "h"), base, F.lit(".example.com")), plain),
     ]
     secrets, others = [k for k in kinds if k[0]], [k for k in kinds if not k[0]]
 
@@ -140,20 +143,33 @@ def labelled_findings(spark: SparkSession, n: int = DEFAULT_FINDINGS) -> DataFra
     )
 
 
-def train(findings: DataFrame) -> RandomForestClassificationModel:
-    """Forest from labelled findings (value, word, before, after, label); of more than MOST_FINDINGS rows those with the smallest hashes are taken."""
+def train(findings: DataFrame) -> RandomForestClassificationModel | None:
+    """Forest from labelled findings (value, word, before, after, label); of more than MOST_FINDINGS rows those with the smallest hashes are taken.
+
+    None, which takes nothing for a secret, if there are no findings.
+    """
+    if findings.isEmpty():
+        return None
     rows = findings.orderBy(F.xxhash64("value", "word", "before", "after")).limit(MOST_FINDINGS)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(rows))
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(rows.select("features", "label"))
 
 
-def findings(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text") -> DataFrame:
-    """Rows of docs for each candidate the forest takes for a secret, without the text, with at, value, score."""
+def findings(docs: DataFrame, model: RandomForestClassificationModel | None, text_col: str = "text") -> DataFrame:
+    """Rows of docs for each candidate the forest takes for a secret, without the text, with at, value, score.
+
+    Null and empty texts have none; very long ones are searched whole. A string
+    that occurs several times gives as many rows, and so do repeated rows. Columns
+    of docs named at, value or score are left out. No rows give no rows.
+    """
     kept = [c for c in docs.columns if c not in {text_col, "at", "value", "score"}]
     found = docs.select(*[F.col(c).alias(f"c_{c}") for c in kept], F.explode(candidates(F.col(text_col))).alias("f"))
     found = with_features(found.select(*[f"c_{c}" for c in kept], "f.*"))
-    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
-    scored = scored.withColumn("score", vector_to_array("probability")[1]).where(F.col("score") >= CUT)
+    if model is None:
+        scored = found.withColumn("score", F.lit(0.0)).limit(0)
+    else:
+        scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
+        scored = scored.withColumn("score", vector_to_array("probability")[1]).where(F.col("score") >= CUT)
     return scored.select(*[F.col(f"c_{c}").alias(c) for c in kept], "at", "value", "score")
 
 
@@ -166,16 +182,20 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents; found secrets are replaced by MASK in the text, and n_chars follows.
 
-    docs is read twice; the documents with findings are few and joined back by
-    the hash of their rows.
+    Longer secrets are replaced first, so that one within another leaves nothing
+    of either. Null and empty texts stay as they are, very long ones are scanned
+    whole, repeated rows are masked alike, no rows give no rows. All other columns
+    stay, whatever their names. docs is read twice; the documents with findings
+    are few and joined back by the hash of their rows.
     """
     columns = docs.columns
-    marked = docs.withColumn("hash_", row_hash(docs))
-    found = findings(marked.select("hash_", "text"), train(labelled_findings(spark)))
-    values = cut(found.groupBy(F.col("hash_").alias("h_")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("values_")))
+    marked = docs.select(row_hash(docs).alias("hash_"), F.struct(*columns).alias("doc_"))
+    found = findings(marked.select("hash_", F.col("doc_.text").alias("text")), train(labelled_findings(spark)))
+    longest = F.sort_array(F.collect_set(F.struct(F.length("value").alias("size"), "value")), asc=False)
+    values = cut(found.groupBy(F.col("hash_").alias("h_")).agg(longest.alias("values_")))
     joined = marked.join(broadcast_if_small(values, BROADCAST_DOCS), F.col("hash_") == F.col("h_"), "left")
-    clean = F.aggregate("values_", F.col("text"), lambda text, value: F.replace(text, value, F.lit(MASK)))
-    joined = joined.withColumn("text", F.when(F.col("values_").isNull(), F.col("text")).otherwise(clean))
-    if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("values_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return joined.select(*columns)
+    clean = F.aggregate("values_", F.col("doc_.text"), lambda text, value: F.replace(text, value["value"], F.lit(MASK)))
+    masked = joined.select("doc_", F.when(F.col("values_").isNotNull(), clean).alias("clean_"))
+    changed = {"text": F.col("clean_"), "n_chars": F.length("clean_").cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None}
+    keep = lambda c: F.when(F.col("clean_").isNull(), F.col("doc_")[c]).otherwise(changed[c]) if c in changed else F.col("doc_")[c]
+    return masked.select(*[keep(c).alias(c) for c in columns])

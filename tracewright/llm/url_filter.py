@@ -52,7 +52,7 @@ def matched_rule(rules=RULES) -> tuple[Column, Column]:
 def with_numbers(urls: DataFrame, url_col: str = "url") -> DataFrame:
     """urls (with host and path) with NUMBERS and the host's suffixes of one, two and three labels."""
     url = F.coalesce(F.col(url_col), F.lit(""))
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     labels = F.split("host", r"\.")
     count = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     size = F.length(url).cast("double")
@@ -112,12 +112,17 @@ class UrlModel:
 
     def score(self, urls: DataFrame) -> DataFrame:
         """urls (with host and path) with score, the probability that the url is unwanted."""
+        if self.trees is None:
+            return urls.withColumn("score", F.lit(float(self.overall)))
         scored = self.trees.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(self.with_rates(with_numbers(urls))))
         return scored.select(*urls.columns, vector_to_array("probability")[1].alias("score"))
 
 
 def train(labelled: DataFrame) -> UrlModel:
-    """Trees from labelled URLs (url, label 0 or 1); of more than MOST_URLS those with the smallest hashes are taken."""
+    """Trees from labelled URLs (url, label 0 or 1); of more than MOST_URLS those with the smallest hashes are taken.
+
+    Without labelled URLs, or with labels of one kind only, every URL scores that kind's share (0 without any).
+    """
     rows = cut(with_numbers(with_parts(labelled.orderBy(F.xxhash64("url")).limit(MOST_URLS))))
     overall = rows.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]
     rates = {
@@ -125,6 +130,8 @@ def train(labelled: DataFrame) -> UrlModel:
         for name in SUFFIXES
     }
     model = UrlModel(None, rates, overall)
+    if overall in (0.0, 1.0):
+        return model
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(model.with_rates(rows)).select("features", "label").coalesce(2)
     model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(ready)
     return model
