@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,29 +81,20 @@ def without_index(name: Column) -> Column:
     return F.regexp_replace(name, r"(_mb\d+)?(_vpp\d+)?$", "")
 
 
-def _short(name: str | None) -> str | None:
-    """Name without <...> and (...), nested ones included; of what is left the last word."""
-    if name is None or (("<" not in name) and ("(" not in name)):
-        return name
-    kept: list[str] = []
-    for c in name.replace("->", ""):
-        opening = {">": "<", ")": "("}.get(c)
-        if opening is None:
-            kept.append(c)
-            continue
-        at = len(kept) - 1
-        while at >= 0 and kept[at] != opening:
-            at -= 1
-        del kept[max(at, 0) :]
-    return "".join(kept).split(" ")[-1]
+def short_name(name: Column) -> Column:
+    """Name without what stands in <...> and (...), nested ones included, nor ->; of what is left the last word. Names without brackets stay.
+
+    Innermost brackets go in each round; a name has at most as many rounds as brackets that open.
+    """
+    plain = F.replace(name, F.lit("->"), F.lit(""))
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(plain, F.lit("[<(]"))))
+    bare = F.aggregate(rounds, plain, lambda left, _: F.regexp_replace(F.regexp_replace(left, "<[^<>]*>", ""), r"\([^()]*\)", ""))
+    return F.when(name.rlike("[<(]"), F.substring_index(bare, " ", -1)).otherwise(name)
 
 
 def short_names(events: DataFrame, column: str = "name", into: str = "short_name") -> DataFrame:
-    """events with shortened names; the nested brackets are parsed once for each distinct name. Memory kernels keep theirs."""
-    shorten = F.arrow_udf(lambda names: pa.array([_short(n) for n in names.to_pylist()], pa.string()), "string")
-    names = events.select(F.col(column).alias("n_")).distinct()
-    names = names.withColumn(into, F.when(starts_like("n_", MEMORY), F.col("n_")).otherwise(shorten("n_")))
-    return events.join(names, F.col(column).eqNullSafe(F.col("n_")), "left").drop("n_")
+    """events with shortened names; memory kernels keep theirs."""
+    return events.withColumn(into, F.when(starts_like(column, MEMORY), F.col(column)).otherwise(short_name(F.col(column))))
 
 
 # The four predicates for device rows differ on purpose; analyses name the one that they use.

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .intervals import containment_join
 
 THREAD = ["rank", "pid", "tid"]
 #: Order of starts and ends at one time: ends, then starts; longer events start first and end last. Events without
@@ -63,19 +64,20 @@ def call_stacks(events: DataFrame) -> DataFrame:
     return out.select(*THREAD, "index", F.coalesce("p_", root).alias("parent"), "depth", "height", "enter")
 
 
-def attach_threads(pairs: DataFrame, events: DataFrame, is_backward, annotation: str = "backward_step", fallback: str = "ProfilerStep") -> DataFrame:
+def attach_threads(pairs: DataFrame, events: DataFrame, is_backward, annotation: str = "backward_step", fallback: str = "ProfilerStep", width: int = 1_000_000) -> DataFrame:
     """closure() with the outermost rows of backward threads put under the innermost annotation of another thread that encloses them.
 
     is_backward is a condition on event rows that makes their thread a backward
-    one. Where no annotation encloses a row, one whose name starts like fallback is taken.
+    one. Where no annotation encloses a row, one whose name starts like fallback is
+    taken. Annotations are listed in time buckets of the given width.
     """
     backward = events.where(is_backward).select(*THREAD).distinct().withColumn("b_", F.lit(True))
     marked = pairs.join(F.broadcast(backward), THREAD, "left")
-    spans = events.where("stream = -1").select("rank", F.col("index").alias("s_index"), "name", F.col("ts").alias("s_ts"), (F.col("ts") + F.col("dur")).alias("s_end"))
-    spans = spans.where(F.col("name").startswith(annotation) | F.col("name").startswith(fallback)).withColumn("first_", F.col("name").startswith(annotation))
+    spans = events.where("stream = -1").select("rank", "index", "ts", (F.col("ts") + F.col("dur")).alias("end"), F.col("name").startswith(annotation).alias("first"), "name")
+    spans = spans.where(F.col("first") | F.col("name").startswith(fallback)).drop("name")
     roots = marked.where("b_ and depth = 0").select("rank", "index").join(events.select("rank", "index", "ts", "dur"), ["rank", "index"])
-    met = roots.join(F.broadcast(spans), "rank").where((F.col("s_ts") <= F.col("ts")) & (F.col("ts") + F.col("dur") <= F.col("s_end")) & (F.col("s_index") != F.col("index")))
-    chosen = met.groupBy("rank", F.col("index").alias("root_")).agg(F.max_by("s_index", F.struct("first_", "s_ts", "s_index")).alias("under_"))
+    met = containment_join(roots, spans, ["rank"], "ts", width).where((F.col("ts") + F.col("dur") <= F.col("s_end")) & (F.col("s_index") != F.col("index")))
+    chosen = met.groupBy("rank", F.col("index").alias("root_")).agg(F.max_by("s_index", F.struct("s_first", "s_ts", "s_index")).alias("under_"))
     above = pairs.select("rank", F.col("index").alias("under_"), F.col("ancestor").alias("above_"), F.col("level").alias("above_level"))
     top = marked.where("b_ and level = 0").select("rank", "pid", "tid", "index", "depth", F.col("ancestor").alias("root_")).join(chosen, ["rank", "root_"])
     shifts = chosen.join(pairs.where("level = depth").select("rank", F.col("index").alias("under_"), (F.col("depth") + 1).alias("shift_")), ["rank", "under_"]).select("rank", "root_", "shift_")

@@ -73,16 +73,16 @@ def bandwidth_summary(series: DataFrame) -> DataFrame:
     return describe(series.where("memory_bw_gbps > 0"), ["rank", "name"], "memory_bw_gbps")
 
 
-def memory_timeline(allocations: DataFrame, categories: int = 8) -> DataFrame:
-    """(t, sizes) from rows (seq, t, action, numbytes, category): running totals of each category, one row for each run of equal times.
+def memory_timeline(allocations: DataFrame, categories: int = 8, keys: list[str] = ()) -> DataFrame:
+    """(keys, t, sizes) from rows (keys, seq, t, action, numbytes, category): running totals of each category, one row for each run of equal times.
 
-    Times below zero stand for what was there before; they count at the earliest
+    keys name a trace (its rank); without any, all rows are one trace's. Times below zero stand for what was there before; they count at the earliest
     time above zero. Actions create and destroy change totals; others keep them.
     """
-    first = allocations.where("t > 0").agg(F.min("t").alias("f_"))
-    moved = allocations.join(F.broadcast(first)).withColumn("t", F.when(F.col("t") < 0, F.col("f_")).otherwise(F.col("t")))
+    first = F.min(F.when(F.col("t") > 0, F.col("t"))).over(Window.partitionBy(*keys))
+    moved = allocations.withColumn("t", F.when(F.col("t") < 0, first).otherwise(F.col("t")))
     sign = F.when(F.col("action").isin("destroy", "free", "2"), -1).when(F.col("action").isin("create", "alloc", "preexisting", "0", "1"), 1).otherwise(0)
-    summed = moved.groupBy("t").agg(*[F.sum(F.when(F.col("category") == k, sign * F.col("numbytes")).otherwise(0)).alias(f"c{k}") for k in range(categories)])
-    order = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)  # one trace's changes of memory
-    return summed.select("t", F.array(*[F.sum(f"c{k}").over(order) for k in range(categories)]).alias("sizes"))
+    summed = moved.groupBy(*keys, "t").agg(*[F.sum(F.when(F.col("category") == k, sign * F.col("numbytes")).otherwise(0)).alias(f"c{k}") for k in range(categories)])
+    order = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    return summed.select(*keys, "t", F.array(*[F.sum(f"c{k}").over(order) for k in range(categories)]).alias("sizes"))
 

@@ -117,19 +117,31 @@ def nth_below(events: DataFrame, pairs: DataFrame, starts: DataFrame, roots: Dat
 
 
 def join_execution_trace(events: DataFrame, et_nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """events with the given columns of the execution trace's node whose rf_id is their external id; null where there is none."""
-    nodes = et_nodes.select(F.col("rf_id").alias("rf_"), *columns).dropDuplicates(["rf_"])
-    return events.join(nodes, F.col("external_id") == F.col("rf_"), "left").drop("rf_")
+    """events with the given columns of their rank's execution-trace node whose rf_id is their external id; null where there is none.
+
+    Ids repeat between ranks; only nodes without a rank column, those of a single rank's trace, are joined by id alone.
+    """
+    keys = [c for c in ("rank",) if c in et_nodes.columns]
+    nodes = et_nodes.select(*[F.col(k).alias(f"n_{k}") for k in keys], F.col("rf_id").alias("rf_"), *columns).dropDuplicates([*[f"n_{k}" for k in keys], "rf_"])
+    same = F.col("external_id") == F.col("rf_")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"n_{k}"))
+    return events.join(nodes, same, "left").drop("rf_", *[f"n_{k}" for k in keys])
 
 
 def trim_children(rows: DataFrame) -> DataFrame:
-    """Rows (rank, tid, python_id, python_parent_id, ts, dur) cut to the end of their parent, parents before children, level by level."""
-    out = rows.withColumn("end_", F.col("ts") + F.col("dur"))
-    parent = lambda df: df.select(F.col("rank").alias("p_rank"), F.col("tid").alias("p_tid"), F.col("python_id").alias("p_id"), F.col("end_").alias("p_end"))
-    while True:  # as often as the deepest chain that still changes
-        joined = out.join(parent(out), (F.col("rank") == F.col("p_rank")) & (F.col("tid") == F.col("p_tid")) & (F.col("python_parent_id") == F.col("p_id")), "left")
-        cut = joined.withColumn("now_", F.least("end_", F.coalesce("p_end", F.col("end_")))).persist()
-        changed = not cut.where("now_ < end_").isEmpty()
-        out = cut.drop("end_", "p_rank", "p_tid", "p_id", "p_end").withColumnRenamed("now_", "end_")
-        if not changed:
-            return out.withColumn("dur", F.greatest(F.col("end_") - F.col("ts"), F.lit(0))).drop("end_")
+    """Rows (rank, tid, python_id, python_parent_id, ts, dur) cut to the earliest end among them and all their ancestors.
+
+    Each round doubles the distance to the ancestor that a row knows, so the
+    number of rounds is the logarithm of the deepest chain. Rounds are kept in
+    the checkpoint folder, if the session has one.
+    """
+    spark = rows.sparkSession
+    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)
+    known = rows.select("rank", "tid", "python_id", (F.col("ts") + F.col("dur")).alias("end_"), F.col("python_parent_id").alias("above_"))
+    while not known.where("above_ is not null").isEmpty():
+        higher = known.select(F.col("rank").alias("h_rank"), F.col("tid").alias("h_tid"), F.col("python_id").alias("h_id"), F.col("end_").alias("h_end"), F.col("above_").alias("h_above"))
+        met = known.join(higher, (F.col("rank") == F.col("h_rank")) & (F.col("tid") == F.col("h_tid")) & (F.col("above_") == F.col("h_id")), "left")
+        known = keep(met.select("rank", "tid", "python_id", F.least("end_", F.coalesce("h_end", "end_")).alias("end_"), F.col("h_above").alias("above_")))
+    trimmed = rows.join(known.drop("above_"), ["rank", "tid", "python_id"])
+    return trimmed.withColumn("dur", F.greatest(F.col("end_") - F.col("ts"), F.lit(0))).select(*rows.columns)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str = "ts", end: str = "end") -> DataFrame:
     """Disjoint intervals (keys, ts, end) that cover the same times; touching ones merge. Rows with null bounds are left out."""
-    within = Window.partitionBy(*keys).orderBy(start, end)
     known = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, F.col(start).alias("ts"), F.col(end).alias("end"))
     within = Window.partitionBy(*keys).orderBy("ts", "end")
     reached = F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))
@@ -58,16 +57,22 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int,
     """Pairs of rows with equal keys whose [ts, end) intervals overlap; columns of right get the prefix r_.
 
     Both sides are listed in buckets; a pair counts in the bucket of its later
-    start only. how is inner or left.
+    start only. how is inner, or left: rows of left without partner stay, with nulls.
     """
-    numbered = left.withColumn("row_", F.monotonically_increasing_id()) if how == "left" else left
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    numbered = left.withColumn("row_", F.monotonically_increasing_id())
     lefts = numbered.withColumn("bucket_", _buckets(F.col("ts"), F.col("end"), width))
     rights = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], _buckets(F.col("ts"), F.col("end"), width).alias("r_bucket_"))
     same = (F.col("bucket_") == F.col("r_bucket_")) & (F.col("bucket_") == F.floor(F.greatest("ts", "r_ts") / width))
     for key in keys:
         same = same & (F.col(key) == F.col(f"r_{key}"))
     overlap = (F.col("r_ts") < F.col("end")) & (F.col("ts") < F.col("r_end"))
-    return lefts.join(rights, same & overlap).drop("bucket_", "r_bucket_", "row_")
+    met = lefts.join(rights, same & overlap).drop("bucket_", "r_bucket_")
+    if how == "left":
+        alone = numbered.join(met.select("row_").distinct(), "row_", "left_anti")
+        met = met.unionByName(alone, allowMissingColumns=True)
+    return met.drop("row_")
 
 
 def asof_backward(points: DataFrame, values: DataFrame, keys: list[str], order: list[str], value: list[str]) -> DataFrame:

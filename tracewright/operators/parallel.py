@@ -148,14 +148,25 @@ def bubble_report_1f1b(linked: DataFrame, stages: int, micro_batches: int) -> Da
     )
 
 
-def idle_intervals(steps: DataFrame) -> DataFrame:
-    """Compute steps (group, rank, stage, direction, ts, dur) with idle: the gap to the end of the rank's step before; 0 for the first."""
-    order = Window.partitionBy("group", "rank").orderBy("ts")
-    return steps.withColumn("idle", F.coalesce(F.col("ts") - F.lag(F.col("ts") + F.col("dur")).over(order), F.lit(0)))
+def idle_intervals(rows: DataFrame) -> DataFrame:
+    """Forward and backward steps of annotated rows (group, rank, name, ts, dur, num_kernels, first_kernel_start, kernel_span), with direction and idle.
+
+    idle is the device's gap between a step's first kernel and the last kernel of
+    the annotated row with kernels before it, transfers included. A rank's first
+    step waits for its first recv_forward, so its idle is that one's host time (0
+    without one).
+    """
+    order = Window.partitionBy("group", "rank").orderBy("first_kernel_start", "ts")
+    gap = F.col("first_kernel_start") - F.lag(F.col("first_kernel_start") + F.col("kernel_span")).over(order)
+    received = F.when(F.col("name") == "recv_forward", F.struct("ts", "dur"))
+    waited = rows.withColumn("first_recv_", F.min(received).over(Window.partitionBy("group", "rank"))["dur"])
+    steps = waited.where("num_kernels > 0").withColumn("gap_", gap).where(F.col("name").isin("forward_step", "backward_step"))
+    idle = F.when(F.row_number().over(order) == 1, F.coalesce("first_recv_", F.lit(0))).otherwise(F.col("gap_"))
+    return steps.withColumns({"idle": idle, "direction": F.substring_index("name", "_", 1)}).drop("gap_", "first_recv_")
 
 
 def bubble_report_interleaved(steps: DataFrame, stages: int, virtual: int, micro_batches: int, group: int, overlap: bool = False) -> DataFrame:
-    """One row for each rank of an interleaved schedule, by position of forwards and backwards (ms). steps has idle; true transfer time can't be told and is 0.
+    """One row for each rank of an interleaved schedule, by position of forwards and backwards (ms). steps has idle; comm_total is the idle time of all steps.
 
     With w warm-up forwards: the first w + 1 forwards are warm-up, the last w
     backwards cool-down (none if w is 0), what is between steady.
@@ -173,7 +184,7 @@ def bubble_report_interleaved(steps: DataFrame, stages: int, virtual: int, micro
         total((F.col("stage") > 0) & forward & (F.col("k_") == 1)).alias("warmup_theoretical"), total(forward & (F.col("k_") <= F.col("w_") + 1)).alias("warmup_total"),
         total((F.col("stage") < stages - 1) & ~forward & (F.col("k_") == 1)).alias("steady_theoretical"),
         total((forward & (F.col("k_") > F.col("w_") + 1)) | (~forward & ~cool)).alias("steady_total"),
-        total(in_plan).alias("cooldown_theoretical"), total(cool & ~in_plan).alias("cooldown_extra"), F.lit(0.0).alias("comm_total"),
+        total(in_plan).alias("cooldown_theoretical"), total(cool & ~in_plan).alias("cooldown_extra"), total(F.lit(True)).alias("comm_total"),
         F.lit((stages - 1) / micro_batches / virtual).alias("ideal_bubble_ratio"),
     )
 

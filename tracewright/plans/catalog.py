@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import callstack, compare, counters, critical_path, dag, filters, intervals, kernels, parallel, silver
+from ..operators import callstack, compare, counters, critical_path, dag, drilldown, filters, intervals, kernels, parallel, silver
 from .fixtures import TR, trace_events
-from .pipeline_fixtures import MICRO_BATCHES, STAGES, STEPS, TRANSFERS, VIRTUAL, steps, transfers
+from .pipeline_fixtures import ANNOTATED, MICRO_BATCHES, STAGES, STEPS, TRANSFERS, VIRTUAL, annotated, steps, transfers
 
 #: Buckets of range joins on this data: times are months in microseconds, spans last minutes.
 WIDTH = 600_000_000
@@ -79,16 +79,16 @@ def gpu_kernel_stats(events):
 
 @query(
     "gpu_kernel_top_with_others",
-    f""", s AS (SELECT rank, name, sum(dur) AS sum, max(dur) AS max, min(dur) AS min, avg(dur) AS mean, coalesce(stddev_samp(dur), 0) AS stddev FROM tr WHERE stream = -1 GROUP BY rank, name),
+    f""", s AS (SELECT rank, name, sum(dur) AS sum, max(dur) AS max, min(dur) AS min, avg(dur) AS mean, coalesce(stddev_samp(dur), 0) AS stddev FROM tr WHERE stream <> -1 GROUP BY rank, name),
 r AS (SELECT *, sum(sum) OVER (PARTITION BY rank ORDER BY sum DESC, name ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY rank ORDER BY sum DESC, name) AS place, count(*) OVER (PARTITION BY rank) AS n FROM s),
 q AS (SELECT rank AS qr, quantile_cont(run, 0.8) AS cut FROM r GROUP BY rank),
-m AS (SELECT rank, CASE WHEN run > cut OR place > 6 THEN 'others' ELSE name END AS name, sum AS dur FROM r JOIN q ON rank = qr WHERE n > 6)
+m AS (SELECT rank, CASE WHEN run > cut OR place > 3 THEN 'others' ELSE name END AS name, sum AS dur FROM r JOIN q ON rank = qr WHERE n > 3)
 SELECT rank, name, {STATS} FROM m GROUP BY rank, name
-UNION ALL SELECT rank, name, sum, max, min, round(mean, 1), round(stddev, 1) FROM r WHERE n <= 6""",
+UNION ALL SELECT rank, name, sum, max, min, round(mean, 1), round(stddev, 1) FROM r WHERE n <= 3""",
 )
 def gpu_kernel_top(events):
-    stats = kernels.time_statistics(events.where("stream = -1"), ["rank", "name"])
-    return rounded(kernels.top_with_others(stats, ["rank"], 6), "mean", "stddev", digits=1)
+    stats = kernels.time_statistics(kernels.gpu_rows(events), ["rank", "name"])
+    return rounded(kernels.top_with_others(stats, ["rank"], 3), "mean", "stddev", digits=1)
 
 
 @query("merged_kernel_intervals", GPU + merged("gpu", "rank", "isl") + ' SELECT rank, ts, "end" FROM isl')
@@ -311,7 +311,7 @@ def filter_iteration_index(events):
 
 
 def anchored(condition: str, name: str = "aten::mm", position: int = 4) -> str:
-    return f""", an AS (SELECT rank AS ar, stream AS s, ts AS a, "end" AS z FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY ts, idx) AS p FROM tr WHERE name = '{name}') q WHERE p = {position + 1})
+    return f""", an AS MATERIALIZED (SELECT rank AS ar, stream AS s, ts AS a, "end" AS z FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY ts, idx) AS p FROM tr WHERE name = '{name}') q WHERE p = {position + 1})
 SELECT rank, idx AS index FROM tr JOIN an ON rank = ar AND stream = s WHERE {condition}"""
 
 
@@ -332,7 +332,7 @@ def filter_before_operator(events):
 
 @query(
     "filter_combined_operator",
-    """, an AS (SELECT rank AS ar, ts AS a, "end" AS z FROM tr WHERE name = 'ProfilerStep#4'), un AS (SELECT rank, idx, corr, cat FROM tr JOIN an ON rank = ar WHERE stream = -1 AND ts >= a AND "end" <= z)
+    """, an AS MATERIALIZED (SELECT rank AS ar, ts AS a, "end" AS z FROM tr WHERE name = 'ProfilerStep#4'), un AS (SELECT rank, idx, corr, cat FROM tr JOIN an ON rank = ar WHERE stream = -1 AND ts >= a AND "end" <= z)
 SELECT rank, idx AS index FROM un UNION ALL SELECT rank, idx FROM tr WHERE stream <> -1 AND EXISTS (SELECT 1 FROM un WHERE un.rank = tr.rank AND un.corr = tr.corr AND un.cat = 'cuda_runtime')""",
 )
 def filter_combined_operator(events):
@@ -581,18 +581,126 @@ def bubble_report_1f1b(spark, sf_dir):
     return parallel.bubble_report_1f1b(parallel.link_transfers(parallel.micro_batch_ids(transfers(spark))), STAGES, MICRO_BATCHES)
 
 
+IDLE = f"""{ANNOTATED}, gp AS (SELECT *, fks - lag(fks + span) OVER (PARTITION BY "group", rank ORDER BY fks, ts) AS gap FROM annotated WHERE num_kernels > 0),
+fr AS (SELECT "group" AS g, rank AS r, arg_min(dur, ts) AS wait FROM annotated WHERE name = 'recv_forward' GROUP BY ALL),
+i0 AS (SELECT *, row_number() OVER (PARTITION BY "group", rank ORDER BY fks, ts) AS p FROM gp WHERE name IN ('forward_step', 'backward_step')),
+i AS (SELECT i0.*, split_part(name, '_', 1) AS direction, CASE p WHEN 1 THEN coalesce(wait, 0) ELSE gap END AS idle FROM i0 LEFT JOIN fr ON "group" = g AND rank = r)"""
+
+
+@plain_query("idle_intervals", f'WITH {IDLE} SELECT "group", rank, direction, ts, idle FROM i')
+def idle_intervals(spark, sf_dir):
+    return parallel.idle_intervals(annotated(spark)).select("group", "rank", "direction", "ts", "idle")
+
+
 @plain_query(
     "bubble_report_interleaved",
-    f"""WITH {STEPS}, i AS (SELECT *, coalesce(ts - lag(ts + dur) OVER (PARTITION BY rank ORDER BY ts), 0) AS idle, row_number() OVER (PARTITION BY rank, direction ORDER BY ts) AS k, (4 - rank - 1) * 2 + 4 AS w FROM steps),
-f AS (SELECT *, direction = 'forward' AS fw, direction = 'backward' AND k > 16 - w AS cool FROM i)
-SELECT "group", rank, coalesce(sum(idle) FILTER (rank > 0 AND fw AND k = 1), 0) / 1000.0 AS warmup_theoretical, coalesce(sum(idle) FILTER (fw AND k <= w + 1), 0) / 1000.0 AS warmup_total,
+    f"""WITH {IDLE}, k AS (SELECT *, row_number() OVER (PARTITION BY "group", rank, direction ORDER BY ts) AS k, (4 - rank - 1) * 2 + 4 AS w FROM i),
+f AS (SELECT *, direction = 'forward' AS fw, direction = 'backward' AND k > 16 - w AS cool FROM k)
+SELECT "group", rank, stage, coalesce(sum(idle) FILTER (rank > 0 AND fw AND k = 1), 0) / 1000.0 AS warmup_theoretical, coalesce(sum(idle) FILTER (fw AND k <= w + 1), 0) / 1000.0 AS warmup_total,
  coalesce(sum(idle) FILTER (rank < 3 AND NOT fw AND k = 1), 0) / 1000.0 AS steady_theoretical, coalesce(sum(idle) FILTER ((fw AND k > w + 1) OR (NOT fw AND NOT cool)), 0) / 1000.0 AS steady_total,
- coalesce(sum(idle) FILTER (cool AND k - (16 - w) <= (4 - rank - 1) * 2), 0) / 1000.0 AS cooldown_theoretical, coalesce(sum(idle) FILTER (cool AND k - (16 - w) > (4 - rank - 1) * 2), 0) / 1000.0 AS cooldown_extra
-FROM f GROUP BY "group", rank""",
+ coalesce(sum(idle) FILTER (cool AND k - (16 - w) <= (4 - rank - 1) * 2), 0) / 1000.0 AS cooldown_theoretical, coalesce(sum(idle) FILTER (cool AND k - (16 - w) > (4 - rank - 1) * 2), 0) / 1000.0 AS cooldown_extra,
+ sum(idle) / 1000.0 AS comm_total, CAST({(STAGES - 1) / MICRO_BATCHES / VIRTUAL} AS DOUBLE) AS ideal_bubble_ratio
+FROM f GROUP BY "group", rank, stage""",
 )
 def bubble_report_interleaved(spark, sf_dir):
-    rows = parallel.idle_intervals(steps(spark)).withColumn("stage", F.col("rank"))
-    return parallel.bubble_report_interleaved(rows, STAGES, VIRTUAL, MICRO_BATCHES, 4).drop("stage", "comm_total", "ideal_bubble_ratio")
+    return parallel.bubble_report_interleaved(parallel.idle_intervals(annotated(spark)), STAGES, VIRTUAL, MICRO_BATCHES, 4)
+
+
+@plain_query(
+    "device_timeline",
+    f"""WITH {ANNOTATED} SELECT "group", rank, split_part(name, '_', 1) AS direction, ts // 1000000 AS micro_batch, min(fks) AS start, max(fks + span) AS "end", count(*) AS rows
+FROM annotated WHERE num_kernels > 0 AND fks > 0 AND name LIKE '%step' GROUP BY ALL""",
+)
+def device_timeline(spark, sf_dir):
+    rows = annotated(spark).where("name like '%step'").withColumns({"direction": F.substring_index("name", "_", 1), "last_kernel_end": F.col("first_kernel_start") + F.col("kernel_span")})
+    merged_steps = parallel.device_timeline(rows.withColumns({"micro_batch": F.floor(F.col("ts") / 1_000_000), "stage": F.lit(0)}))
+    return merged_steps.drop("stage")
+
+
+@plain_query("align_groups", f'WITH {ANNOTATED} SELECT "group", rank, name, ts - min(ts) FILTER (num_kernels > 0) OVER (PARTITION BY "group") AS ts FROM annotated')
+def align_groups(spark, sf_dir):
+    return parallel.align_groups(annotated(spark)).select("group", "rank", "name", "ts")
+
+
+@plain_query(
+    "phase_times",
+    f"""WITH {ANNOTATED} SELECT "group", rank, arg_min(dur, ts) FILTER (name = 'forward_step') / 1000.0 AS forward_step, arg_min(dur, ts) FILTER (name = 'recv_backward') / 1000.0 AS recv_backward FROM annotated GROUP BY ALL""",
+)
+def phase_times(spark, sf_dir):
+    return parallel.phase_times(annotated(spark), ("forward_step", "recv_backward"))
+
+
+@plain_query(
+    "step_names",
+    f"""WITH {STEPS} SELECT rank, direction || '_mb' || micro_batch || '_vpp' || stage AS name, direction AS without_index, direction || '_mb' || micro_batch AS without_stage, count(*) AS n FROM steps GROUP BY ALL""",
+)
+def step_names(spark, sf_dir):
+    named = steps(spark).withColumn("name", N.step_name(F.col("direction"), F.col("micro_batch"), F.col("stage")))
+    named = named.withColumns({"without_index": N.without_index(F.col("name")), "without_stage": F.regexp_replace("name", r"_vpp\d+$", "")})
+    return named.groupBy("rank", "name", "without_index", "without_stage").agg(F.count("*").alias("n"))
+
+
+@query("step_spans_from", """, k AS (SELECT *, row_number() OVER (PARTITION BY rank, name LIKE 'ProfilerStep%' ORDER BY ts, idx) AS p FROM tr),
+s AS (SELECT rank AS r, ts AS s_ts, dur AS s_dur, row_number() OVER (PARTITION BY rank ORDER BY ts, idx) AS q FROM tr WHERE name = 'aten::mm')
+SELECT rank, idx AS index, coalesce(s_ts, ts) AS ts, coalesce(s_dur, dur) AS dur FROM k LEFT JOIN s ON rank = r AND p = q AND name LIKE 'ProfilerStep%'""")
+def step_spans_from(events):
+    return parallel.step_spans_from(events, "aten::mm").select("rank", "index", "ts", "dur")
+
+
+@query("filter_first_iteration", ITERATED + " SELECT rank, idx AS index FROM it WHERE iteration = (SELECT min(iteration) FROM it WHERE iteration >= 0)")
+def filter_first_iteration(events):
+    return filters.first_iteration_filter()(iterated(events)).select(*KEYS)
+
+
+@query(
+    "names_by_patterns",
+    " SELECT rank, idx AS index, contains(name, 'mm') OR contains(name, 'Memcpy') AS contained, starts_with(name, 'aten::a') OR starts_with(name, 'cuda') AS started, cat IN ('cpu_op', 'cuda_runtime', 'cuda_driver') AS host FROM tr",
+)
+def names_by_patterns(events):
+    found = {"contained": N.names_contain(["mm", "Memcpy"]), "started": N.names_start_like(["aten::a", "cuda"]), "host": N.is_operator_or_runtime()}
+    return events.select("rank", "index", *[c.alias(k) for k, c in found.items()])
+
+
+@query(
+    "stack_labels",
+    """, h AS (SELECT rank, tid, CASE WHEN bool_or(name LIKE 'ProfilerStep%') THEN 'main' ELSE 'other' END AS label FROM (SELECT rank, CASE WHEN cat = 'cuda_runtime' THEN idx % 3 + 1 ELSE 0 END AS tid, name FROM tr WHERE stream = -1) GROUP BY ALL)
+SELECT rank, CAST(tid AS INT) AS tid, label, row_number() OVER (PARTITION BY rank, label ORDER BY tid) - 1 AS number FROM h""",
+)
+def stack_labels(events):
+    threads = events.withColumn("tid", F.when(F.col("cat") == "cuda_runtime", F.col("index") % 3 + 1).otherwise(0).cast("int"))
+    return callstack.stack_labels(threads).select("rank", "tid", "label", "number")
+
+
+@query(
+    "execution_trace_columns",
+    """, n AS (SELECT rank AS r, idx // 2 AS rf, max(name) AS et_name FROM tr WHERE stream = -1 AND idx >= 0 AND idx % 2 = 0 GROUP BY ALL)
+SELECT rank, idx AS index, et_name FROM tr LEFT JOIN n ON rank = r AND idx = rf""",
+)
+def execution_trace_columns(events):
+    nodes = events.where("stream = -1 and index >= 0 and index % 2 = 0").groupBy("rank", F.floor(F.col("index") / 2).alias("rf_id")).agg(F.max("name").alias("et_name"))
+    return drilldown.join_execution_trace(events.withColumn("external_id", F.col("index")), nodes, ["et_name"]).select("rank", "index", "et_name")
+
+
+@query(
+    "trimmed_children",
+    """, p AS (SELECT rank, idx, ts, "end", CASE WHEN idx >= 0 AND idx % 3 = 2 THEN idx - 1 WHEN idx % 3 = 1 THEN idx - 1 END AS up FROM tr WHERE idx >= 0)
+SELECT a.rank, a.idx AS index, greatest(least(a."end", coalesce(b."end", a."end"), coalesce(c."end", a."end")) - a.ts, 0) AS dur FROM p a LEFT JOIN p b ON a.rank = b.rank AND a.up = b.idx LEFT JOIN p c ON b.rank = c.rank AND b.up = c.idx""",
+)
+def trimmed_children(events):
+    rows = events.where("index >= 0").select("rank", F.lit(0).alias("tid"), F.col("index").alias("python_id"), F.when(F.col("index") % 3 > 0, F.col("index") - 1).alias("python_parent_id"), "ts", "dur")
+    return drilldown.trim_children(rows).select("rank", F.col("python_id").alias("index"), "dur")
+
+
+@query(
+    "overlapping_transfers",
+    GPU + """, m AS (SELECT * FROM gpu WHERE name LIKE 'Mem%'), n AS (SELECT * FROM gpu WHERE kernel_type = 'COMMUNICATION')
+SELECT m.rank, m.idx AS index, n.idx AS other FROM m LEFT JOIN n ON m.rank = n.rank AND n.ts < m."end" AND m.ts < n."end" """,
+)
+def overlapping_transfers(events):
+    rows = kernels.gpu_rows(events)
+    part = lambda where: rows.where(where).select("rank", "index", "ts", "end")
+    met = intervals.overlap_join(part("name like 'Mem%'"), part("kernel_type = 'COMMUNICATION'"), ["rank"], WIDTH, "left")
+    return met.select("rank", "index", F.col("r_index").alias("other"))
 
 
 @plain_query(
@@ -670,7 +778,7 @@ def memory_timeline(events):
 
 
 def clipped(events):
-    return critical_path.clip(silver.with_index_correlation(events), "ProfilerStep", 2).persist()
+    return critical_path.clip(silver.with_index_correlation(events), "ProfilerStep", 2)
 
 
 CLIPPED = CORRELATED + """, cw AS (SELECT rank AS wr, ts AS a, "end" AS z FROM tr WHERE name = 'ProfilerStep#2'), ch AS (SELECT ic.* FROM ic JOIN cw ON rank = wr WHERE stream = -1 AND ts >= a AND ts <= z AND dur > 0),

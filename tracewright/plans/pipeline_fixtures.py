@@ -62,3 +62,20 @@ pf AS (SELECT s.rank AS r1, s.index AS i1, r.rank AS r2, r.index AS i2, least(s.
 pb AS (SELECT s.rank AS r1, s.index AS i1, r.rank AS r2, r.index AS i2, least(s.kernel_span, r.kernel_span) AS comm FROM fo s JOIN fo r ON r.stage = s.stage - 1 AND r.k = s.k WHERE s.name = 'send_backward' AND r.name = 'recv_backward'),
 cm AS (SELECT r1 AS rr, i1 AS ii, comm FROM pf UNION ALL SELECT r2, i2, comm FROM pf UNION ALL SELECT r1, i1, comm FROM pb UNION ALL SELECT r2, i2, comm FROM pb),
 linked AS (SELECT r.*, coalesce(comm, 0) AS comm_time, kernel_span - coalesce(comm, 0) AS wait FROM rows_ r LEFT JOIN cm ON rank = rr AND index = ii)"""
+
+
+def annotated(spark: SparkSession) -> DataFrame:
+    """Annotated rows of an interleaved schedule in three groups: each step of steps() and the receive before it, some receives without kernels."""
+    rows = steps(spark).withColumnRenamed("stage", "chunk").withColumn("group", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    k = F.col("rank") + F.col("micro_batch") + F.col("chunk") + F.col("group")
+    step = lambda name, ts, dur, kernels, first, span: F.struct(name.alias("name"), ts.alias("ts"), dur.alias("dur"), kernels.alias("num_kernels"), first.alias("first_kernel_start"), span.alias("kernel_span"))
+    both = F.array(
+        step(F.concat(F.lit("recv_"), "direction"), F.col("ts") - 9000, (4000 + 100 * (k % 11)).cast("long"), F.when(k % 5 == 0, 0).otherwise(1), F.col("ts") - 8000, (1000 + 50 * (k % 7)).cast("long")),
+        step(F.concat("direction", F.lit("_step")), F.col("ts"), F.col("dur"), F.lit(3), F.col("ts") + 500 * F.col("group"), F.col("dur") - 700),
+    )
+    return rows.select("group", "rank", F.col("rank").alias("stage"), "chunk", "micro_batch", F.explode(both).alias("r")).select("*", "r.*").drop("r")
+
+
+ANNOTATED = f"""{STEPS}, gr AS (SELECT CAST(g AS INT) AS g FROM range(3) t(g)), sg AS (SELECT g, rank, stage AS chunk, micro_batch, direction, ts, dur, rank + micro_batch + stage + g AS k FROM steps, gr),
+annotated AS (SELECT g AS "group", rank, rank AS stage, 'recv_' || direction AS name, ts - 9000 AS ts, 4000 + 100 * (k % 11) AS dur, CASE k % 5 WHEN 0 THEN 0 ELSE 1 END AS num_kernels, ts - 8000 AS fks, 1000 + 50 * (k % 7) AS span FROM sg
+ UNION ALL SELECT g, rank, rank, direction || '_step', ts, dur, 3, ts + 500 * g, dur - 700 FROM sg)"""
