@@ -9,7 +9,7 @@ shingles. Common shingles are ordered last.
 No posting list is paired up. Each set is compared with the least head of its
 lists, then with the other heads that its group doesn't hold yet, and only what
 then lies in one list but in different groups is paired. A pair whose sizes or
-parities (which of 1,024 classes hold an odd number of shingles) rule the
+parities (which of its classes hold an odd number of shingles) rule the
 similarity out is not read; all others are verified on the whole sets, which
 are made anew from the texts that need it and not kept.
 """
@@ -31,7 +31,7 @@ BROADCAST_ROWS = 500_000
 COMMON, SAMPLE = 65_536, 16
 #: Texts of a sample that hold a common shingle, at least.
 COMMON_SETS = 8
-#: Classes of shingles whose parity is kept, in words of 64.
+#: Words of 64 parity bits of the smallest sets; larger sets have 4, 16, ... times as many, so that there is a class for each shingle at least.
 PARITY = 16
 
 
@@ -39,12 +39,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate([np.empty(0, np.int64), *arrays]))
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    words = PARITY
+    while 64 * words < len(s):
+        words *= 4
+    return np.packbits((np.bincount(s & (64 * words - 1), minlength=64 * words) & 1).astype(bool)).view(np.int64)
+
+
 def signed(text: Column) -> Column:
     """STRUCT<fp, m, odd> of a text's shingle set: signature (equal for equal sets), size and parities."""
 
     def made(texts: pa.Array) -> pa.Array:
         sets = [shingle_set(t) for t in texts.to_pylist()]
-        odd = [np.packbits((np.bincount(s & (64 * PARITY - 1), minlength=64 * PARITY) & 1).astype(bool)).view(np.int64) for s in sets]
+        odd = [_parity(s) for s in sets]
         return pa.StructArray.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), _lists(odd)], ["fp", "m", "odd"])
 
     return F.arrow_udf(made, "fp long, m long, odd array<bigint>")(text)
@@ -63,8 +70,10 @@ def shingles(text: Column) -> Column:
 def prefixes(text: Column, common: np.ndarray) -> Column:
     """STRUCT<fp, first> with the shingles of which two sets of similarity 4/5 share one: the first by value, common ones last."""
 
+    ordered = np.append(np.unique(common), np.iinfo(np.int64).max)  # a sentinel; whether it counts as common doesn't matter
+
     def first(s: np.ndarray) -> np.ndarray:
-        late = np.isin(s, common)
+        late = ordered[np.searchsorted(ordered, s)] == s
         return np.concatenate((s[~late], s[late]))[: len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0]
 
     def made(texts: pa.Array) -> pa.Array:
@@ -123,7 +132,8 @@ class Sets:
         """The pairs (a, b) that neither the sets' sizes nor their parities rule out."""
         side = lambda k: self.chosen.select(F.col("fp").alias(k), F.col("m").alias(f"{k}_m"), F.col("odd").alias(f"{k}_odd"))
         both = pairs.where("a <> b").join(side("a"), "a").join(side("b"), "b")
-        differ = sum(F.bit_count(F.get("a_odd", F.lit(k)).bitwiseXOR(F.get("b_odd", F.lit(k)))) for k in range(PARITY))
+        each = F.zip_with("a_odd", "b_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        differ = F.when(F.size("a_odd") == F.size("b_odd"), F.aggregate(each, F.lit(0), lambda x, y: x + y)).otherwise(0)
         sized = 5 * F.least("a_m", "b_m") >= 4 * F.greatest("a_m", "b_m")
         return both.where(sized & (9 * differ <= F.col("a_m") + F.col("b_m"))).select("a", "b")
 
