@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.operators import critical_path as C
 
@@ -36,6 +37,25 @@ def test_path_over_device_and_back(events):
     assert C.overlay(window, C.critical_path(window)).where("event like '%critical_path%'").count() == 16
 
 
+def test_lock_edges_across_threads(spark):
+    calls = [(0, "cudaHostAlloc", 24, 16), (1, "cudaHostAlloc", 18, 12), (2, "cudaLaunchKernel", 21, 24), (3, "cudaLaunchKernel", 48, 7), (4, "aten::clamp_min", 14, 46)]
+    host = spark.createDataFrame([(r, i, n, t, d) for r in (0, 1) for i, n, t, d in calls], "rank int, index long, name string, ts long, dur long")
+    rows = C.lock_edges(host).collect()
+    for rank in (0, 1):
+        got = {(r.a, r.b): (r.kind, r.dur) for r in rows if r["rank"] == rank}
+        assert got == {
+            (2, 3): (C.OPERATOR, 12), (0, 3): (C.DEPENDENCY, 0), (4, 3): (C.DEPENDENCY, 0), (3, 1): (C.DEPENDENCY, 0), (1, 5): (C.DEPENDENCY, 0), (6, 7): (C.OPERATOR, 7),
+        }
+
+
+def test_strict_paths(events):
+    window = C.clip(events)
+    assert C.edge_problems(window).isEmpty()
+    late = window.withColumn("ts", F.when(F.col("index") == 3, F.col("ts") - 95).otherwise(F.col("ts")))
+    with pytest.raises(ValueError, match="back in time"):
+        C.critical_path(late, strict=True)
+
+
 def test_merged_threads(spark):
     rows = [(0, 1, 1, "forward x"), (0, 1, 2, "autograd y"), (0, 1, 3, "other")]
     host = spark.createDataFrame(rows, "rank int, pid int, tid int, name string")

@@ -16,8 +16,9 @@ from .counters import queue_series
 from .dag import longest_path
 from .intervals import asof_backward, asof_forward
 
-# Calls that wait for the device, device rows of waiting, and the gap (µs) up to which kernels follow each other.
+# Calls that wait for the device, calls that take the runtime's lock, device rows of waiting, and the gap (µs) up to which kernels follow each other.
 BLOCKING = ["cudaDeviceSynchronize", "cudaStreamSynchronize", "cudaEventSynchronize", "cudaMemcpy", "cudaMemset", "hipDeviceSynchronize", "hipStreamSynchronize"]
+LOCKING = ["cudaHostAlloc", "cudaLaunchKernel", "cudaMemcpyAsync"]
 SYNC_ROWS = ["Stream Synchronize", "Context Synchronize", "Stream Sync", "Context Sync", "Event Sync"]
 KERNEL_GAP = 1500
 OPERATOR, DEPENDENCY, LAUNCH, KERNELS, SYNC = "operator_kernel", "dependency", "launch_delay", "kernel_kernel_delay", "sync_dependency"
@@ -101,10 +102,39 @@ def edges(events: DataFrame, merge_threads: bool = True) -> DataFrame:
     # a kernel that neither follows another nor found an idle stream still waits for its launch
     late = rows.where(F.col("l_ts").isNotNull() & ~F.coalesce(idle, F.lit(False)) & ~F.coalesce(follows, F.lit(False))).select(*_edge(2 * F.col("l_index"), 2 * F.col("index"), LAUNCH, F.col("index"), F.col("ts") - F.col("l_ts")))
 
-    found = cpu.unionByName(own).unionByName(launched).unionByName(followed).unionByName(late).unionByName(sync_edges(events)).withColumn("weight", F.greatest("dur", F.lit(0).cast("long")))
+    found = cpu.unionByName(lock_edges(host)).unionByName(own).unionByName(launched).unionByName(followed).unionByName(late).unionByName(sync_edges(events)).withColumn("weight", F.greatest("dur", F.lit(0).cast("long")))
     return found.groupBy("rank", "a", "b").agg(F.min_by(F.struct("kind", "index", "weight"), F.struct(F.col("kind") != SYNC, F.col("kind") != DEPENDENCY, "kind")).alias("e")).select("rank", "a", "b", "e.kind", "e.index", "e.weight")
 
 
+def lock_edges(host: DataFrame) -> DataFrame:
+    """Edges between calls of any thread of a rank that take the runtime's lock, which passes on in the order in which they end.
+
+    Every start leads to the first end after it (its own with its time, another's
+    without), and every end to the next point if that is an end too.
+    """
+    calls = host.where(F.col("name").isin(LOCKING)).select("rank", "index", "ts", "dur")
+    points = calls.select("rank", "index", "dur", F.expr("stack(2, ts, 1, ts + dur, 0) as (at, starts)"))
+    order = Window.partitionBy("rank").orderBy("at", "index", F.desc("starts"))
+    ended = F.when(F.col("starts") == 0, F.col("index"))
+    seen = points.withColumns(
+        {"end_": F.first(ended, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), "next_": F.lead("index").over(order), "next_starts_": F.lead("starts").over(order)}
+    )
+    own = F.col("end_") == F.col("index")
+    taken = seen.where("starts = 1 and end_ is not null").select(*_edge(2 * F.col("index"), 2 * F.col("end_") + 1, F.when(own, OPERATOR).otherwise(DEPENDENCY), F.col("index"), F.when(own, F.col("dur")).otherwise(0)))
+    passed = seen.where("starts = 0 and next_starts_ = 0").select(*_edge(2 * F.col("index") + 1, 2 * F.col("next_") + 1, DEPENDENCY, F.col("next_"), F.lit(0)))
+    return taken.unionByName(passed)
+
+
+def edge_problems(events: DataFrame) -> DataFrame:
+    """(rank, a, b, kind, problem) of edges that no sound graph has: those that lead back in time, and waits of a stream for itself."""
+    points = nodes(events).join(events.select("rank", "index", "stream"), ["rank", "index"]).select("rank", "node", "ts", "stream")
+    side = lambda k: points.withColumnsRenamed({"node": k, "ts": f"{k}_ts", "stream": f"{k}_stream"})
+    met = edges(events).join(side("a"), ["rank", "a"]).join(side("b"), ["rank", "b"])
+    itself = (F.col("kind") == SYNC) & (F.col("a_stream") >= 0) & (F.col("a_stream") == F.col("b_stream"))
+    problem = F.when(F.col("b_ts") < F.col("a_ts"), "back in time").when(itself, "sync within a stream")
+    return met.select("rank", "a", "b", "kind", problem.alias("problem")).where("problem is not null")
+
+
 def sync_edges(events: DataFrame) -> DataFrame:
     """Edges without weight for waits: device to host for synchronising calls, stream to stream for recorded events."""
     host, device = _used(events)
@@ -128,8 +158,13 @@ def sync_edges(events: DataFrame) -> DataFrame:
     return to_host.unionByName(between)
 
 
-def critical_path(events: DataFrame) -> DataFrame:
-    """(rank, node, position, reached, tied) of the longest path of each rank's window; edges that lead back in time are left out."""
+def critical_path(events: DataFrame, strict: bool = False) -> DataFrame:
+    """(rank, node, position, reached, tied) of the longest path of each rank's window; edges that lead back in time are left out.
+
+    strict raises ValueError instead, if any edge has one of edge_problems().
+    """
+    if strict and (bad := edge_problems(events).head(5)):
+        raise ValueError(f"unsound edges, such as {[tuple(r) for r in bad]}")
     points, links = nodes(events), edges(events)
     time = points.select("rank", "node", "ts")
     ahead = links.join(time.withColumnsRenamed({"node": "a", "ts": "a_ts"}), ["rank", "a"]).join(time.withColumnsRenamed({"node": "b", "ts": "b_ts"}), ["rank", "b"])

@@ -794,6 +794,20 @@ def critical_path_nodes(events):
     return critical_path.nodes(clipped(events))
 
 
+@query(
+    "runtime_lock_edges",
+    """, lc AS (SELECT rank, idx, ts, 20 * dur AS dur FROM tr WHERE name IN ('cudaLaunchKernel', 'cudaMemcpyAsync')),
+pt AS (SELECT rank, idx, dur, ts AS moment, 1 AS starts FROM lc UNION ALL SELECT rank, idx, dur, ts + dur, 0 FROM lc),
+sq AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY moment, idx, starts DESC) AS p FROM pt),
+nx AS (SELECT *, lead(idx) OVER w AS nidx, lead(starts) OVER w AS nstarts, min(CASE WHEN starts = 0 THEN p END) OVER (PARTITION BY rank ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ep FROM sq WINDOW w AS (PARTITION BY rank ORDER BY p))
+SELECT s.rank, 2 * s.idx AS a, 2 * e.idx + 1 AS b, CASE WHEN s.idx = e.idx THEN 'operator_kernel' ELSE 'dependency' END AS kind, CASE WHEN s.idx = e.idx THEN s.dur ELSE 0 END AS dur
+FROM nx s JOIN sq e ON e.rank = s.rank AND e.p = s.ep WHERE s.starts = 1
+UNION ALL SELECT rank, 2 * idx + 1, 2 * nidx + 1, 'dependency', 0 FROM nx WHERE starts = 0 AND nstarts = 0""",
+)
+def runtime_lock_edges(events):
+    return critical_path.lock_edges(events.withColumn("dur", 20 * F.col("dur"))).select("rank", "a", "b", "kind", "dur")
+
+
 @query("critical_path_edges")
 def critical_path_edges(events):
     return critical_path.edges(clipped(events))
