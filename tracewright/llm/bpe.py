@@ -66,6 +66,7 @@ def round_trip(text: Column, path: str | None = None) -> Column:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, repeated ones included. Null and empty texts have no tokens; very long texts are encoded whole; no rows give no rows. Other columns aren't read."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", round_trip(F.col("text")).alias("r")).select("doc_id", "r.*")

@@ -252,4 +252,5 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents; see compare_with_edits for odd rows."""
     return compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))

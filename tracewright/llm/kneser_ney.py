@@ -203,5 +203,6 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, repeated ones included. Null and empty texts are scored by their end alone; very long texts are read whole; no rows give no rows."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), trusted)

@@ -51,6 +51,7 @@ def scan(text: Column) -> Column:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, repeated ones included; see scan for null and empty texts. Very long texts are scanned whole; no rows give no rows. Other columns aren't read."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", scan(F.col("text")).alias("s"))
     return docs.select("doc_id", "s.n_words", "s.n_base", "s.first_word", "s.last_word", "s.base_labels", "s.labels", "s.score")

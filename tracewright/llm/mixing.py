@@ -197,6 +197,7 @@ def mix(sized: DataFrame) -> DataFrame:
 
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, repeated ones included; see mix for odd rows. Very long texts count with all their words. Other columns aren't read."""
     docs = table(spark, sf_dir, "documents")
     sized = cut(docs.select(F.monotonically_increasing_id().alias("row_"), "doc_id", "source", n_words(F.col("text")).alias("size")))
     return mix(sized).select("doc_id", "size", "source_size", "target", "taken")

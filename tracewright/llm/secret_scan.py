@@ -174,6 +174,7 @@ def findings(docs: DataFrame, model: RandomForestClassificationModel | None, tex
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each found string, of each row of documents; see findings for odd rows. Other columns aren't read."""
     model = train(labelled_findings(spark))
     found = findings(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return found.select("doc_id", F.col("at").alias("word_index"), F.length("value").alias("length"), F.sha2("value", 256).alias("secret_sha256"), "score")

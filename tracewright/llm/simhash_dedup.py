@@ -164,6 +164,7 @@ def with_groups(marked: DataFrame, id_col: str = "doc_id", max_bits: int = 4, gr
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, repeated ones included. Null and empty texts have fingerprint zero and are linked; very long texts have one fingerprint; no rows give no rows. Other columns aren't read."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = cut(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))

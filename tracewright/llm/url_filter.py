@@ -152,5 +152,6 @@ def judge(urls: DataFrame, model: UrlModel, url_col: str = "url", rules=RULES) -
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of pages, repeated ones included; see judge for null and malformed URLs. Very long URLs are read whole; no rows give no rows. Other columns aren't read."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages, train(labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict", "score")
