@@ -28,9 +28,9 @@ from .components import connected_components
 #: Narrow rows (at most 40 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Common shingles that are ordered last, at most, and the part of the texts they are found from; neither bears on results.
-COMMON, SAMPLE = 65_536, 16
+COMMON, SAMPLE = 262_144, 16
 #: Texts of a sample that hold a common shingle, at least.
-COMMON_SETS = 8
+COMMON_SETS = 2
 #: Words of 64 parity bits of the smallest sets; larger sets have 4, 16, ... times as many, so that there is a class for each shingle at least.
 PARITY = 16
 
@@ -64,7 +64,8 @@ def shingles(text: Column) -> Column:
         sets = [shingle_set(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), _lists(sets)], ["fp", "shingles"])
 
-    return F.arrow_udf(made, "fp long, shingles array<bigint>")(text)
+    # else the optimizer would make the sets before the join that picks the texts
+    return F.arrow_udf(made, "fp long, shingles array<bigint>").asNondeterministic()(text)
 
 
 def prefixes(text: Column, common: np.ndarray) -> Column:
@@ -159,7 +160,9 @@ class Sets:
         labels = connected_components(edges)
         placed = posted.join(group(labels, "fp"), F.col("fp") == F.col("fp_"), "left").select("s", "fp", "head", F.coalesce("fp_group", "fp").alias("group"))
         mixed = placed.groupBy("s").agg(F.min("group").alias("g_"), F.max("group").alias("h_")).where("g_ <> h_").select(F.col("s").alias("s_"))
-        open_ = cut(placed.join(mixed, F.col("s") == F.col("s_")).where("fp <> head").select("s", "fp", "group"))
+        sizes = self.chosen.select(F.col("fp").alias("f_"), "m")
+        open_ = placed.join(mixed, F.col("s") == F.col("s_")).where("fp <> head").join(sizes, F.col("fp") == F.col("f_"))
+        open_ = cut(open_.select("s", "fp", "m", "group"))
         x, y = open_.alias("x"), open_.alias("y")
-        across = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.group") != F.col("y.group")))
+        across = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.group") != F.col("y.group")) & (5 * F.least("x.m", "y.m") >= 4 * F.greatest("x.m", "y.m")))
         return connected_components(edges.union(self._verified(across.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))))
