@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import prefix_trie, quality_rules
 from .bpe import op7_bpe
 from .fingerprints import op10_fingerprints
 from .kneser_ney import op3_quality_classifier
 from .license_scan import op8_license_scan
 from .lm_scoring import op5_lm_score
 from .mixing import op9_mixture
+from .prefix_trie import op13_prefix_trie
 from .quality_rules import op6_quality_rules
 from .secret_scan import op4_secret_scan
 from .url_filter import op1_url_filter
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_mixture": op9_mixture,
     "op10_fingerprints": op10_fingerprints,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
