@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import prefix_trie, quality_rules
+from . import lexical_search, prefix_trie, quality_rules
 from .bpe import op7_bpe
 from .fingerprints import op10_fingerprints
 from .kneser_ney import op3_quality_classifier
+from .lexical_search import op12_lexical_search
 from .license_scan import op8_license_scan
 from .lm_scoring import op5_lm_score
 from .mixing import op9_mixture
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_mixture": op9_mixture,
     "op10_fingerprints": op10_fingerprints,
+    "op12_lexical_search": op12_lexical_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
+ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
