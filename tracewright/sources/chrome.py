@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from . import event_stream
 from .args import KINDS, REGISTRY, ArgSpec, ParserOptions
 
 EVENT = "ph string, cat string, name string, pid string, tid string, ts double, dur double, id string, bp string, s string, args variant"
@@ -20,28 +21,48 @@ NOISY_PYTHON = (r"<built-in", r"torch/_ops\.py", r".*<lambda>", r".*\bwrapper\b"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file with its metadata, events and path. A document is one task, so ingest once and go on from Parquet."""
+    """One row for each file with its metadata, events and path, for changes to small documents as a whole; raw_events() and metadata() read files of any size."""
     docs = spark.read.schema(SCHEMA).option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
     return docs.withColumn("rank", F.coalesce("distributedInfo.rank", F.lit(0)))
 
 
-def trace_files(spark: SparkSession, path: str) -> DataFrame:
-    """(rank, path): of several files of a rank the last by path."""
-    return read_documents(spark, path).groupBy("rank").agg(F.max("path").alias("path"))
+META = "schemaVersion int, distributedInfo struct<backend:string,rank:int,world_size:int,pg_count:int>, deviceProperties array<variant>, baseTimeNanoseconds bigint, traceName string"
 
 
-def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata of each rank; the events are not part of the projection."""
-    docs = read_documents(spark, path)
-    return docs.select("rank", "path", "schemaVersion", "distributedInfo", "deviceProperties", "baseTimeNanoseconds", "traceName")
+def metadata(spark: SparkSession, path: str, split_bytes: int = event_stream.SPLIT) -> DataFrame:
+    """Metadata of each rank's file, from what stands before and after the events; these are passed over one by one."""
+    keys = ["schemaVersion", "distributedInfo", "deviceProperties", "baseTimeNanoseconds", "traceName"]
+    found = event_stream.ranges(spark, path, split_bytes).select("path", F.from_json("metadata", META).alias("m"))
+    files = found.groupBy("path").agg(*[F.first(f"m.{k}", ignorenulls=True).alias(k) for k in keys])
+    return files.select(F.coalesce("distributedInfo.rank", F.lit(0)).alias("rank"), "path", *keys)
 
 
-def raw_events(spark: SparkSession, path: str) -> DataFrame:
-    """(rank, index, ph, cat, name, pid, tid, ts, dur, id, bp, s, args): all events with their position in the file."""
-    docs = read_documents(spark, path)
-    last = docs.groupBy("rank").agg(F.max("path").alias("path"))
-    kept = docs.join(F.broadcast(last), ["rank", "path"], "left_semi")  # one row for each rank
-    return kept.select("rank", F.posexplode("traceEvents").alias("index", "e")).select("rank", F.col("index").cast("long").alias("index"), "e.*")
+def trace_files(spark: SparkSession, path: str) -> DataFrame:
+    """(rank, path): of several files of a rank the last by path."""
+    return metadata(spark, path).groupBy("rank").agg(F.max("path").alias("path"))
+
+
+def raw_events(spark: SparkSession, path: str, split_bytes: int = event_stream.SPLIT, skip_categories: tuple[str, ...] = (), args: tuple[str, ...] | None = None, every_file: bool = False) -> DataFrame:
+    """(rank, index, ph, cat, name, pid, tid, ts, dur, id, bp, s, args): all events with their position in the file.
+
+    Files are read in ranges of split_bytes, event by event (see event_stream); of several files of a rank the last by
+    path counts, or all with every_file, which adds path. Events of skip_categories and arguments other than args are passed over while reading.
+    """
+    cuts = event_stream.ranges(spark, path, split_bytes).select("path", "split", "before", F.get_json_object("metadata", "$.distributedInfo.rank").try_cast("int").alias("r"))
+    of_file = Window.partitionBy("path")
+    cuts = cuts.select("path", "split", "before", F.coalesce(F.max("r").over(of_file), F.lit(0)).alias("rank"))
+    if not every_file:
+        cuts = cuts.withColumn("last", F.max("path").over(Window.partitionBy("rank"))).where("path = last").drop("last")
+    rows = event_stream.range_events(spark, path, split_bytes, skip_categories, args)
+    met = rows.join(F.broadcast(cuts), ["path", "split"])  # a row for each split_bytes of input
+    fields = [F.try_parse_json("args").alias("args") if c == "args" else F.col(c) for c in event_stream.FIELDS]
+    return met.select("rank", (F.col("before") + F.col("position")).alias("index"), *fields, *["path"] * every_file)
+
+
+def read_events(spark: SparkSession, path: str, options: ParserOptions = ParserOptions(), split_bytes: int = event_stream.SPLIT) -> DataFrame:
+    """The events table of the traces at path; what the options leave out is not even decoded into columns."""
+    raw = raw_events(spark, path, split_bytes, options.skip_categories, tuple(a.raw for a in options.args))
+    return parse(raw, options)
 
 
 def argument(spec: ArgSpec) -> Column:
