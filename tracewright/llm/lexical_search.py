@@ -26,7 +26,7 @@ from ._shared import cut, lower_ascii, remove_table, repeated, table, write_tabl
 #: Terms are runs of digits, letters A to Z and anything beyond ASCII; the second pattern is what parts them.
 TERM, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Terms and documents of a shard, from which on it is closed. A document is never split, so one longer than that has a shard of its own.
-SHARD_TERMS, SHARD_DOCS = 400_000, 16_384
+SHARD_TERMS, SHARD_DOCS = 150_000, 16_384
 #: Items searched for together; blocks of items and terms of items up to which they are broadcast, otherwise dealt over so many groups of shards.
 BLOCK_ITEMS, BROADCAST_BLOCKS, BROADCAST_TERMS, GROUPS = 256, 16, 1_000_000, 64
 INDEX = "shard long, ids binary, id_known binary, terms array<string>, dfs array<int>, docs binary, impacts binary"
