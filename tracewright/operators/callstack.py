@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from .intervals import containment_join
+from .scans import SEGMENT_US, in_segments, running
 
 THREAD = ["rank", "pid", "tid"]
 #: Order of starts and ends at one time: ends, then starts; longer events start first and end last. Events without
@@ -35,27 +36,35 @@ def _points(host: DataFrame) -> DataFrame:
     )
 
 
-def starts_with_depth(events: DataFrame) -> DataFrame:
-    """Host rows as (rank, pid, tid, index, depth, enter) with enter numbering starts of a thread in stack order."""
-    host = events.where("stream = -1")
-    order = Window.partitionBy(*THREAD).orderBy(*_ORDER)
-    open_ = F.coalesce(F.sum("delta_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = _points(host).withColumns({"depth": open_.cast("int"), "enter": F.row_number().over(order)})
-    return placed.where("delta_ = 1").select(*THREAD, "index", "depth", "enter")
+def starts_with_depth(events: DataFrame, segment: int = SEGMENT_US) -> DataFrame:
+    """Host rows as (rank, pid, tid, index, depth, enter, root) with enter numbering starts of a thread in stack order, and root the enter of the outermost row around.
+
+    Threads are scanned in segments of the given length of time.
+    """
+    points = in_segments(_points(events.where("stream = -1")), F.floor(F.col("at_") / segment))
+    counted = running(points, THREAD, _ORDER, sums={"open_": F.col("delta_"), "enter": F.lit(1)})
+    opens = F.col("delta_") == 1
+    outer = F.when(opens & (F.col("open_") == 1), F.col("enter"))
+    rooted = running(counted, THREAD, _ORDER, maxes={"root": outer}).where(opens)
+    return rooted.select(*THREAD, "index", (F.col("open_") - 1).cast("int").alias("depth"), F.col("enter").cast("long").alias("enter"), F.col("root").cast("long").alias("root"))
 
 
 def closure(starts: DataFrame) -> DataFrame:
-    """(rank, pid, tid, index, depth, ancestor, level): every start with the open start at each level up to its own."""
-    values = starts.select(*THREAD, F.col("depth").alias("level"), "enter", F.col("index").alias("value"), F.lit(None).cast("bigint").alias("index"), F.lit(None).cast("int").alias("depth"))
-    queries = starts.select(*THREAD, F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"), "enter", F.lit(None).cast("bigint").alias("value"), "index", "depth")
-    order = Window.partitionBy(*THREAD, "level").orderBy("enter", F.col("value").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    """(rank, pid, tid, index, depth, ancestor, level): every start with the open start at each level up to its own.
+
+    Outermost rows don't see each other, so each is a group of its own.
+    """
+    group = [*THREAD, "root"]
+    values = starts.select(*group, F.col("depth").alias("level"), "enter", F.col("index").alias("value"), F.lit(None).cast("bigint").alias("index"), F.lit(None).cast("int").alias("depth"))
+    queries = starts.select(*group, F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"), "enter", F.lit(None).cast("bigint").alias("value"), "index", "depth")
+    order = Window.partitionBy(*group, "level").orderBy("enter", F.col("value").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     met = values.unionByName(queries).withColumn("ancestor", F.last("value", ignorenulls=True).over(order))
     return met.where("index is not null").select(*THREAD, "index", "depth", "ancestor", "level")
 
 
-def call_stacks(events: DataFrame) -> DataFrame:
+def call_stacks(events: DataFrame, segment: int = SEGMENT_US) -> DataFrame:
     """Host rows with parent, depth and height. The parent of a thread's outermost rows is -|tid| (-1 for tid 0); height is 1 without callees."""
-    starts = starts_with_depth(events)
+    starts = starts_with_depth(events, segment)
     pairs = closure(starts)
     parents = pairs.where(F.col("level") == F.col("depth") - 1).select("rank", "index", F.col("ancestor").alias("p_"))
     heights = pairs.groupBy("rank", F.col("ancestor").alias("index")).agg((F.max(F.col("depth") - F.col("level")) + 1).alias("height"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from .kernels import describe
+from .scans import SEGMENT_US, running
 
 
 def idle_gaps(events: DataFrame, kernel_delay: int = 30) -> DataFrame:
@@ -35,14 +36,14 @@ def idle_statistics(gaps: DataFrame) -> DataFrame:
     return describe(gaps.where("gap is not null"), ["rank", "stream", "idle_category"], "gap")
 
 
-def queue_series(events: DataFrame) -> DataFrame:
+def queue_series(events: DataFrame, segment: int = SEGMENT_US) -> DataFrame:
     """(rank, stream, ts, index, queue_length): launches add one, starts of their kernels take one away; holds until the next row."""
     kernels = events.where(N.is_gpu_stream() & (F.col("correlation") >= 0)).select("rank", "stream", "correlation", F.col("ts").alias("k_ts"), F.col("index").alias("k_index"))
     launches = events.where(F.col("name").isin(N.LAUNCHES) & (F.col("correlation") >= 0)).select("rank", "correlation", F.col("ts").alias("l_ts"), F.col("index").alias("l_index"))
     pairs = launches.join(kernels, ["rank", "correlation"])
     points = pairs.select("rank", "stream", F.expr("stack(2, l_ts, l_index, 1, k_ts, k_index, -1) as (ts, index, delta)"))
-    order = Window.partitionBy("rank", "stream").orderBy("ts", F.desc("delta"), "index").rowsBetween(Window.unboundedPreceding, 0)
-    return points.select("rank", "stream", "ts", "index", F.sum("delta").over(order).alias("queue_length"), "delta")
+    summed = running(points, ["rank", "stream"], ["ts", F.desc("delta"), "index"], F.floor(F.col("ts") / segment), sums={"queue_length": F.col("delta")})
+    return summed.select("rank", "stream", "ts", "index", "queue_length", "delta")
 
 
 def queue_summary(series: DataFrame) -> DataFrame:
@@ -59,30 +60,33 @@ def time_blocked(events: DataFrame, series: DataFrame, most: int = 1024) -> Data
     return summed.join(span, F.col("rank") == F.col("r_")).select("rank", "stream", "duration_at_max_queue_length", relative.alias("relative_duration_at_max_queue_length"))
 
 
-def bandwidth_series(events: DataFrame) -> DataFrame:
+def bandwidth_series(events: DataFrame, segment: int = SEGMENT_US) -> DataFrame:
     """(rank, name, ts, memory_bw_gbps): total bandwidth of running copies by kind; a row at each time that changes it. Copies without duration last 1."""
     rows = events.where(N.is_gpu_stream() & N.starts_like("name", N.MEMORY)).withColumn("name", N.memory_kernel_type(F.col("name")))
     end = F.col("ts") + F.greatest(F.col("dur"), F.lit(1))
     rows = rows.select("rank", "name", "ts", end.alias("end"), F.col("memory_bw_gbps").alias("bw"))
     points = rows.select("rank", "name", F.expr("stack(2, ts, bw, end, -bw) as (ts, delta)")).groupBy("rank", "name", "ts").agg(F.sum("delta").alias("delta"))
-    order = Window.partitionBy("rank", "name").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return points.select("rank", "name", "ts", F.round(F.sum("delta").over(order), 6).alias("memory_bw_gbps"))
+    summed = running(points, ["rank", "name"], ["ts"], F.floor(F.col("ts") / segment), sums={"bw": F.col("delta")})
+    return summed.select("rank", "name", "ts", F.round("bw", 6).alias("memory_bw_gbps"))
 
 
 def bandwidth_summary(series: DataFrame) -> DataFrame:
     return describe(series.where("memory_bw_gbps > 0"), ["rank", "name"], "memory_bw_gbps")
 
 
-def memory_timeline(allocations: DataFrame, categories: int = 8, keys: list[str] = ()) -> DataFrame:
+def memory_timeline(allocations: DataFrame, categories: int = 8, keys: list[str] = (), segment: int = SEGMENT_US) -> DataFrame:
     """(keys, t, sizes) from rows (keys, seq, t, action, numbytes, category): running totals of each category, one row for each run of equal times.
 
     keys name a trace (its rank); without any, all rows are one trace's. Times below zero stand for what was there before; they count at the earliest
     time above zero. Actions create and destroy change totals; others keep them.
     """
-    first = F.min(F.when(F.col("t") > 0, F.col("t"))).over(Window.partitionBy(*keys))
-    moved = allocations.withColumn("t", F.when(F.col("t") < 0, first).otherwise(F.col("t")))
+    by = [f"key_{k}_" for k in keys] or ["all_"]
+    named = allocations.withColumns({f"key_{k}_": F.col(k) for k in keys} or {"all_": F.lit(0)})
+    firsts = named.where("t > 0").groupBy(*by).agg(F.min("t").alias("first_"))
+    joined = named.join(F.broadcast(firsts), by, "left")  # one row for each trace
+    moved = joined.withColumn("t", F.when(F.col("t") < 0, F.col("first_")).otherwise(F.col("t")))
     sign = F.when(F.col("action").isin("destroy", "free", "2"), -1).when(F.col("action").isin("create", "alloc", "preexisting", "0", "1"), 1).otherwise(0)
-    summed = moved.groupBy(*keys, "t").agg(*[F.sum(F.when(F.col("category") == k, sign * F.col("numbytes")).otherwise(0)).alias(f"c{k}") for k in range(categories)])
-    order = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return summed.select(*keys, "t", F.array(*[F.sum(f"c{k}").over(order) for k in range(categories)]).alias("sizes"))
+    summed = moved.groupBy(*by, "t").agg(*[F.sum(F.when(F.col("category") == k, sign * F.col("numbytes")).otherwise(0)).alias(f"c{k}") for k in range(categories)])
+    totals = running(summed, by, ["t"], F.floor(F.col("t") / segment), sums={f"s{k}": F.col(f"c{k}") for k in range(categories)})
+    return totals.select(*[F.col(f"key_{k}_").alias(k) for k in keys], "t", F.array(*[f"s{k}" for k in range(categories)]).alias("sizes"))
 

@@ -5,33 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import SEGMENT_US, in_segments, running
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str = "ts", end: str = "end") -> DataFrame:
-    """Disjoint intervals (keys, ts, end) that cover the same times; touching ones merge. Rows with null bounds are left out."""
+
+def merge_intervals(df: DataFrame, keys: list[str], start: str = "ts", end: str = "end", segment: int = SEGMENT_US) -> DataFrame:
+    """Disjoint intervals (keys, ts, end) that cover the same times; touching ones merge. Rows with null bounds are left out.
+
+    Scanned in segments of the given length of time, so that one key is many tasks; keys must not be null.
+    """
     known = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, F.col(start).alias("ts"), F.col(end).alias("end"))
-    within = Window.partitionBy(*keys).orderBy("ts", "end")
-    reached = F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = known.withColumn("new_", F.coalesce((F.col("ts") > reached).cast("int"), F.lit(0)))
-    grouped = flagged.withColumn("island_", F.sum("new_").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(*keys, "island_").agg(F.min("ts").alias("ts"), F.max("end").alias("end")).drop("island_")
+    order = ["ts", "end"]
+    reached = running(in_segments(known, F.floor(F.col("ts") / segment)), keys, order, maxes={"reached_": F.col("end")}, inclusive=False)
+    starts = F.when(F.coalesce(F.col("ts") > F.col("reached_"), F.lit(True)), F.col("ts"))
+    placed = running(reached, keys, order, maxes={"island_": starts})  # an island is named by its start
+    return placed.groupBy(*keys, F.col("island_").alias("ts")).agg(F.max("end").alias("end"))
 
 
-def covered_time(df: DataFrame, keys: list[str]) -> DataFrame:
+def covered_time(df: DataFrame, keys: list[str], segment: int = SEGMENT_US) -> DataFrame:
     """(keys, covered, first, last) of the merged intervals."""
-    merged = merge_intervals(df, keys)
+    merged = merge_intervals(df, keys, segment=segment)
     return merged.groupBy(*keys).agg(F.sum(F.col("end") - F.col("ts")).alias("covered"), F.min("ts").alias("first"), F.max("end").alias("last"))
 
 
-def overlap_states(df: DataFrame, keys: list[str], bit: Column) -> DataFrame:
+def overlap_states(df: DataFrame, keys: list[str], bit: Column, segment: int = SEGMENT_US) -> DataFrame:
     """Segments (keys, state, ts, end) of constant state > 0: the sum of bits of the kinds that run. bit names a row's kind; null rows are left out."""
-    merged = merge_intervals(df.withColumn("bit_", bit).where("bit_ is not null"), [*keys, "bit_"])
+    merged = merge_intervals(df.withColumn("bit_", bit).where("bit_ is not null"), [*keys, "bit_"], segment=segment)
     points = merged.select(*keys, F.expr("stack(2, ts, bit_, end, -bit_) as (at, delta)"))
     steps = points.groupBy(*keys, "at").agg(F.sum("delta").alias("delta"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    swept = steps.select(
-        *keys, F.col("at").alias("ts"), F.lead("at").over(order).alias("end"), F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("state")
-    )
-    return swept.where((F.col("state") > 0) & (F.col("end") > F.col("ts")))
+    swept = running(steps, keys, ["at"], F.floor(F.col("at") / segment), sums={"state": F.col("delta")}, nexts={"end": F.col("at")})
+    return swept.where((F.col("state") > 0) & (F.col("end") > F.col("at"))).select(*keys, "state", F.col("at").alias("ts"), "end")
 
 
 def _buckets(start: Column, end: Column, width: int) -> Column:

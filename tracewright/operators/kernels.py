@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from .intervals import containment_join, covered_time, overlap_join, overlap_states
+from .scans import SEGMENT_US
 
 #: Kinds of kernels with their bits, in the order of labels.
 TYPE_BITS = {"COMPUTATION": 1, "COMMUNICATION": 2, "MEMORY": 4}
@@ -32,11 +33,11 @@ def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def type_breakdown(events: DataFrame, with_memory: bool = True) -> DataFrame:
+def type_breakdown(events: DataFrame, with_memory: bool = True, segment: int = SEGMENT_US) -> DataFrame:
     """(kernel_type, sum, percentage): time in which kinds run, alone or overlapping, over all ranks; largest first."""
     kinds = {k: b for k, b in TYPE_BITS.items() if with_memory or k != "MEMORY"}
     bit = F.expr("case kernel_type " + " ".join(f"when '{k}' then {b}" for k, b in kinds.items()) + " end")
-    states = overlap_states(gpu_rows(events), ["rank"], bit)
+    states = overlap_states(gpu_rows(events), ["rank"], bit, segment)
     label = F.array_join(F.array_compact(F.array(*[F.when(F.col("state").bitwiseAND(b) != 0, k) for k, b in kinds.items()])), " overlapping ")
     summed = states.groupBy("state").agg(F.sum(F.col("end") - F.col("ts")).alias("sum")).select(label.alias("kernel_type"), "sum")
     total = F.sum("sum").over(Window.partitionBy())
@@ -76,11 +77,11 @@ def annotation_breakdown(events: DataFrame, gpu: bool = True, limit: int = 1000,
     return top_with_others(time_statistics(rows, ["rank", "name"]), ["rank"], limit, ratio, always)
 
 
-def temporal_breakdown(events: DataFrame) -> DataFrame:
+def temporal_breakdown(events: DataFrame, segment: int = SEGMENT_US) -> DataFrame:
     """Idle, compute and other busy time of each rank, with percentages of the span of its device rows (null for a span of zero)."""
     rows = gpu_rows(events)
-    span = covered_time(rows, ["rank"])
-    compute = covered_time(rows.where("kernel_type = 'COMPUTATION'"), ["rank"]).select(F.col("rank").alias("r_"), F.col("covered").alias("compute_"))
+    span = covered_time(rows, ["rank"], segment)
+    compute = covered_time(rows.where("kernel_type = 'COMPUTATION'"), ["rank"], segment).select(F.col("rank").alias("r_"), F.col("covered").alias("compute_"))
     joined = span.join(compute, F.col("rank") == F.col("r_"), "left").select(
         "rank", (F.col("last") - F.col("first")).alias("kernel_time"), (F.col("last") - F.col("first") - F.col("covered")).alias("idle_time"), F.coalesce("compute_", F.lit(0)).alias("compute_time")
     )
@@ -89,10 +90,10 @@ def temporal_breakdown(events: DataFrame) -> DataFrame:
     return joined.select("rank", "idle_time", "compute_time", "non_compute_time", "kernel_time", part("idle_time"), part("compute_time"), part("non_compute_time"))
 
 
-def communication_overlap(events: DataFrame) -> DataFrame:
+def communication_overlap(events: DataFrame, segment: int = SEGMENT_US) -> DataFrame:
     """(rank, comp_comm_overlap_pctg): share of communication during which computation runs; null without communication time."""
     bit = F.expr("case kernel_type when 'COMPUTATION' then 1 when 'COMMUNICATION' then 2 end")
-    states = overlap_states(gpu_rows(events), ["rank"], bit).withColumn("len_", F.col("end") - F.col("ts"))
+    states = overlap_states(gpu_rows(events), ["rank"], bit, segment).withColumn("len_", F.col("end") - F.col("ts"))
     both, comm = F.sum(F.when(F.col("state") == 3, F.col("len_")).otherwise(0)), F.sum(F.when(F.col("state") >= 2, F.col("len_")).otherwise(0))
     return states.groupBy("rank").agg(F.when(comm > 0, F.bround(both * 100.0 / comm, 2)).alias("comp_comm_overlap_pctg"))
 

@@ -12,6 +12,8 @@ from .pipeline_fixtures import ANNOTATED, MICRO_BATCHES, STAGES, STEPS, TRANSFER
 
 #: Buckets of range joins on this data: times are months in microseconds, spans last minutes.
 WIDTH = 600_000_000
+#: Segments of scans, µs: the fixture is a month long, so a day.
+SEGMENT = 86_400_000_000
 #: Delay below which a gap counts as waiting for the kernel, on this data's scale.
 DELAY = 30_000_000
 
@@ -66,7 +68,7 @@ run AS (SELECT rank, moment AS ts, lead(moment) OVER (PARTITION BY rank ORDER BY
   sum(len) AS sum FROM seg GROUP BY 1) s""",
 )
 def kernel_type_breakdown(events):
-    return kernels.type_breakdown(events)
+    return kernels.type_breakdown(events, segment=SEGMENT)
 
 
 STATS = 'sum(dur) AS sum, max(dur) AS max, min(dur) AS min, round(avg(dur), 1) AS mean, round(coalesce(stddev_samp(dur), 0), 1) AS stddev'
@@ -93,7 +95,7 @@ def gpu_kernel_top(events):
 
 @query("merged_kernel_intervals", GPU + merged("gpu", "rank", "isl") + ' SELECT rank, ts, "end" FROM isl')
 def merged_kernel_intervals(events):
-    return intervals.merge_intervals(kernels.gpu_rows(events), ["rank"])
+    return intervals.merge_intervals(kernels.gpu_rows(events), ["rank"], segment=SEGMENT)
 
 
 @query(
@@ -106,7 +108,7 @@ SELECT *, round_even(idle_time * 100.0 / kernel_time, 2) AS idle_time_pctg, roun
  round_even(non_compute_time * 100.0 / kernel_time, 2) AS non_compute_time_pctg FROM z""",
 )
 def temporal_breakdown(events):
-    return kernels.temporal_breakdown(events)
+    return kernels.temporal_breakdown(events, SEGMENT)
 
 
 @query(
@@ -115,7 +117,7 @@ def temporal_breakdown(events):
     + " SELECT rank, round_even(coalesce(sum(len) FILTER (state = 3), 0) * 100.0 / sum(len) FILTER (state >= 2), 2) AS comp_comm_overlap_pctg FROM seg GROUP BY rank",
 )
 def comm_comp_overlap(events):
-    return kernels.communication_overlap(events)
+    return kernels.communication_overlap(events, SEGMENT)
 
 
 GAPS = """, k AS (SELECT * FROM tr WHERE stream <> -1 AND cat IN ('kernel', 'gpu_memcpy', 'gpu_memset')), h AS (SELECT rank AS hr, corr AS hc, ts AS lts FROM tr WHERE stream = -1 AND corr >= 0),
@@ -152,12 +154,12 @@ series AS (SELECT rank, stream, ts, index, CAST(sum(delta) OVER (PARTITION BY ra
 
 @query("queue_length_series", QUEUE + " SELECT rank, stream, ts, index, queue_length FROM series")
 def queue_length_series(events):
-    return counters.queue_series(events).drop("delta")
+    return counters.queue_series(events, SEGMENT).drop("delta")
 
 
 @query("queue_length_summary", QUEUE + f" SELECT rank, stream, {described('queue_length')} FROM series GROUP BY ALL")
 def queue_length_summary(events):
-    return rounded(counters.queue_summary(counters.queue_series(events)), "mean", "std", "q25", "q50", "q75")
+    return rounded(counters.queue_summary(counters.queue_series(events, SEGMENT)), "mean", "std", "q25", "q50", "q75")
 
 
 @query(
@@ -168,7 +170,7 @@ SELECT rank, stream, CAST(coalesce(sum(len), 0) AS BIGINT) AS duration_at_max_qu
 FROM w JOIN sp ON rank = r WHERE queue_length >= 2 GROUP BY rank, stream""",
 )
 def time_blocked_full_queue(events):
-    return rounded(counters.time_blocked(events, counters.queue_series(events), 2), "relative_duration_at_max_queue_length", digits=9)
+    return rounded(counters.time_blocked(events, counters.queue_series(events, SEGMENT), 2), "relative_duration_at_max_queue_length", digits=9)
 
 
 BANDWIDTH = """, mm AS (SELECT rank, CASE WHEN name LIKE 'Memset%' THEN 'Memset' ELSE substr(name, 1, 11) END AS name, ts, ts + greatest(dur, 1) AS fin, bw FROM tr WHERE stream <> -1 AND (name LIKE 'Memcpy%' OR name LIKE 'Memset%')),
@@ -178,13 +180,13 @@ bws AS (SELECT rank, name, ts, round(round(sum(delta) OVER (PARTITION BY rank, n
 
 @query("memory_bw_series", BANDWIDTH + " SELECT rank, name, ts, CAST(CASE WHEN memory_bw_gbps = 0 THEN 0 ELSE memory_bw_gbps END AS DOUBLE) AS memory_bw_gbps FROM bws")
 def memory_bw_series(events):
-    series = rounded(counters.bandwidth_series(events), "memory_bw_gbps", digits=4)
+    series = rounded(counters.bandwidth_series(events, SEGMENT), "memory_bw_gbps", digits=4)
     return series.withColumn("memory_bw_gbps", F.when(F.col("memory_bw_gbps") == 0, 0.0).otherwise(F.col("memory_bw_gbps")))
 
 
 @query("memory_bw_summary", BANDWIDTH + f" SELECT rank, name, {described('memory_bw_gbps')} FROM bws WHERE memory_bw_gbps > 0 GROUP BY ALL")
 def memory_bw_summary(events):
-    series = rounded(counters.bandwidth_series(events), "memory_bw_gbps", digits=4)
+    series = rounded(counters.bandwidth_series(events, SEGMENT), "memory_bw_gbps", digits=4)
     return rounded(counters.bandwidth_summary(series), "mean", "std", "q25", "q50", "q75")
 
 
@@ -476,11 +478,11 @@ pr AS (SELECT a.rank, a.idx, a.corr, b.idx AS anc, b.ts AS bts, b.dur AS bdur, b
     ENCLOSED + """ SELECT rank, idx AS index, coalesce(arg_max(anc, CASE bcat WHEN 'cpu_op' THEN 2 ELSE 1 END) FILTER (anc <> idx), -1) AS parent, count(DISTINCT anc) - 1 AS depth FROM pr GROUP BY rank, idx""",
 )
 def call_stack_parent_depth(events):
-    return callstack.call_stacks(events).select("rank", "index", "parent", "depth")
+    return callstack.call_stacks(events, SEGMENT).select("rank", "index", "parent", "depth")
 
 
 def with_pairs(events):
-    return silver.with_index_correlation(events), callstack.closure(callstack.starts_with_depth(events))
+    return silver.with_index_correlation(events), callstack.closure(callstack.starts_with_depth(events, SEGMENT))
 
 
 @query(
@@ -497,7 +499,7 @@ def call_stack_kernel_rollup(events):
     ENCLOSED + """ SELECT rank, idx AS index, string_agg(CAST(anc AS VARCHAR), '/' ORDER BY CASE WHEN anc = idx THEN 3 WHEN bcat = 'cpu_op' THEN 2 ELSE 1 END) AS path FROM (SELECT DISTINCT rank, idx, anc, bcat FROM pr) q GROUP BY rank, idx""",
 )
 def op_stack_paths(events):
-    found = callstack.paths(callstack.closure(callstack.starts_with_depth(events)))
+    found = callstack.paths(callstack.closure(callstack.starts_with_depth(events, SEGMENT)))
     return found.select("rank", "index", F.array_join("path", "/").alias("path"))
 
 
