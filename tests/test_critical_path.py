@@ -11,7 +11,7 @@ def events(spark):
         (0, 0, 1, -1, 0, 1000, "ProfilerStep#1", "user_annotation", -1, -1),
         (0, 1, 1, -1, 10, 50, "aten::mm", "cpu_op", -1, -1),
         (0, 2, 1, -1, 20, 10, "cudaLaunchKernel", "cuda_runtime", 5, 3),
-        (0, 3, 7, 7, 100, 200, "gemm", "kernel", 5, 2),
+        (0, 3, 7, 7, 60, 240, "gemm", "kernel", 5, 2),
         (0, 4, 1, -1, 70, 10, "cudaLaunchKernel", "cuda_runtime", 6, 5),
         (0, 5, 7, 7, 310, 100, "ncclKernel_x", "kernel", 6, 4),
         (0, 6, 1, -1, 90, 330, "cudaDeviceSynchronize", "cuda_runtime", 7, 7),
@@ -26,14 +26,14 @@ def test_path_over_device_and_back(events):
     window = C.clip(events)
     assert window.where("index = 9").count() == 0
     kinds = {(r.a, r.b): (r.kind, r.weight) for r in C.edges(window).collect()}
-    assert kinds[4, 6] == (C.LAUNCH, 80)  # launch start to kernel start
+    assert kinds[4, 6] == (C.LAUNCH, 40)  # launch start to kernel start
     assert kinds[7, 10] == (C.KERNELS, 10)  # kernel end to the next kernel's start
     assert kinds[11, 13] == (C.SYNC, 0)  # last kernel end to the end of the synchronising call
     assert kinds[12, 13][1] == 0 if (12, 13) in kinds else True
     path = [r.node for r in C.critical_path(window).orderBy("position").collect()]
     assert path == [2, 4, 6, 7, 10, 11, 13, 16, 17]
     parts = {r.bound_by: r.time for r in C.summary(C.breakdown(window, C.critical_path(window))).collect()}
-    assert parts["gpu_compute_bound"] == 200 and parts["gpu_communication_bound"] == 100 and parts["gpu_launch_delay"] == 80
+    assert parts["gpu_compute_bound"] == 240 and parts["gpu_communication_bound"] == 100 and parts["gpu_kernel_launch_overhead"] == 40
     assert C.overlay(window, C.critical_path(window)).where("event like '%critical_path%'").count() == 16
 
 
@@ -51,7 +51,7 @@ def test_lock_edges_across_threads(spark):
 def test_strict_paths(events):
     window = C.clip(events)
     assert C.edge_problems(window).isEmpty()
-    late = window.withColumn("ts", F.when(F.col("index") == 3, F.col("ts") - 95).otherwise(F.col("ts")))
+    late = window.withColumn("ts", F.when(F.col("index") == 5, F.col("ts") - 200).otherwise(F.col("ts")))
     with pytest.raises(ValueError, match="back in time"):
         C.critical_path(late, strict=True)
 
@@ -60,3 +60,81 @@ def test_merged_threads(spark):
     rows = [(0, 1, 1, "forward x"), (0, 1, 2, "autograd y"), (0, 1, 3, "other")]
     host = spark.createDataFrame(rows, "rank int, pid int, tid int, name string")
     assert sorted(r.tid for r in C.merged_threads(host).collect()) == [1, 1, 3]
+
+
+def host_rows(spark, *rows):
+    """(tid, start, end, name) on one rank."""
+    made = [(0, i, 1, t, -1, s, e - s, n, "cuda_runtime" if n.startswith("cuda") else "cpu_op", -1, -1) for i, (t, s, e, n) in enumerate(rows)]
+    return spark.createDataFrame(made, "rank int, index long, pid int, tid int, stream int, ts long, dur long, name string, cat string, correlation long, index_correlation long")
+
+
+def test_time_is_put_down_to_the_innermost_row(spark):
+    """A holds B and C, C holds two launches: starts, ends, and the time between siblings."""
+    rows = host_rows(spark, (1, 0, 100, "A"), (1, 10, 30, "B"), (1, 60, 90, "C"), (1, 62, 70, "cudaLaunchKernel"), (1, 75, 80, "cudaLaunchKernel"), (1, 120, 130, "D"))
+    got = {(r.a, r.b): (r.kind, r["index"], r.weight) for r in C.edges(rows).collect()}
+    op = C.OPERATOR
+    assert got == {
+        (0, 2): (op, 0, 10), (2, 3): (op, 1, 20), (3, 4): (op, 0, 30), (4, 6): (op, 2, 2), (6, 7): (op, 3, 8), (7, 8): (op, 2, 5), (8, 9): (op, 4, 5), (9, 5): (op, 2, 10), (5, 1): (op, 0, 10),
+        (1, 10): (C.DEPENDENCY, None, 0), (10, 11): (op, 5, 10),
+    }
+
+
+def test_what_leads_back_in_time_stays_without_weight(spark, events):
+    late = C.clip(events).withColumn("ts", F.when(F.col("index") == 5, F.col("ts") - 20).otherwise(F.col("ts")))
+    got = {(r.a, r.b): (r.kind, r["index"], r.weight) for r in C.edges(late).collect()}
+    assert got[7, 10] == (C.KERNELS, 3, 0)
+    path = [r.node for r in C.critical_path(late).orderBy("position").collect()]
+    assert path == [2, 4, 6, 7, 10, 11, 13, 16, 17]
+
+
+def test_context_waits_for_every_stream(spark, events):
+    two = C.clip(events).withColumn("stream", F.when(F.col("index") == 3, 9).otherwise(F.col("stream")))
+    found = {(r.a, r.b) for r in C.edges(two).where(F.col("kind") == C.SYNC).collect()}
+    assert found == {(7, 13), (11, 13)}
+
+
+def test_launches_without_weight(events):
+    more = {(r.a, r.b): r.weight for r in C.edges(C.clip(events), zero_weight_launches=True).where(F.col("kind") == C.LAUNCH).collect()}
+    assert more == {(4, 6): 40, (8, 10): 0}
+
+
+def test_data_loading(events):
+    window = C.clip(events)
+    parts = C.breakdown(window, C.critical_path(window), ["^aten::add"])
+    assert {r.bound_by for r in parts.where("name = 'aten::add'").collect()} == {"data_loading"}
+
+
+def planted(spark, edges, times):
+    points = spark.createDataFrame([(0, n, t) for n, t in times.items()], "rank int, node long, ts long")
+    return points, spark.createDataFrame([(0, a, b) for a, b in edges], "rank int, a long, b long")
+
+
+def test_cycles_are_found_and_named(spark):
+    times = {n: 10 * n for n in range(30)} | {40: 50, 41: 50, 42: 50}
+    forward = [(n, n + 1) for n in range(29)]
+    assert C.cycles(*planted(spark, forward, times)).collect() == []
+    # two cycles with a way between, an edge back that closes none, a cycle at one time, a loop
+    more = forward + [(8, 5), (15, 12), (40, 41), (41, 42), (42, 40), (25, 25)]
+    got = {(r.cycle, r.node) for r in C.cycles(*planted(spark, more, times)).collect()}
+    assert got == {(5, n) for n in (5, 6, 7, 8)} | {(12, n) for n in (12, 13, 14, 15)} | {(40, n) for n in (40, 41, 42)} | {(25, 25)}
+    harmless = [(n, n + 1) for n in range(0, 20, 2)] + [(9, 2), (15, 4)]
+    assert C.cycles(*planted(spark, harmless, times)).collect() == []
+
+
+def test_cycles_of_random_graphs(spark):
+    import random
+
+    r, points, links, want = random.Random(8), [], [], set()
+    for rank in range(12):
+        times = {n: r.randint(0, 40) for n in range(25)}
+        edges = {(r.randrange(25), r.randrange(25)) for _ in range(35)}
+        reach = {n: {n} for n in times}
+        for _ in times:
+            for a, b in edges:
+                reach[a] |= reach[b]
+        proper = {n: set().union(*[reach[b] for a, b in edges if a == n], set()) for n in times}
+        points += [(rank, n, t) for n, t in times.items()]
+        links += [(rank, a, b) for a, b in edges]
+        want |= {(rank, min(m for m in times if n in reach[m] and m in reach[n]), n) for n in times if n in proper[n]}
+    got = C.cycles(spark.createDataFrame(points, "rank int, node long, ts long"), spark.createDataFrame(links, "rank int, a long, b long"))
+    assert {tuple(x) for x in got.collect()} == want

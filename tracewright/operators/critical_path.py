@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from .callstack import _ORDER, THREAD, _points
+from .callstack import _ORDER, THREAD, _points, closure, starts_with_depth
 from .counters import queue_series
 from .dag import longest_path
-from .intervals import asof_backward, asof_forward
+from .intervals import asof_backward, asof_forward, merge_intervals
 
 # Calls that wait for the device, calls that take the runtime's lock, device rows of waiting, and the gap (µs) up to which kernels follow each other.
 BLOCKING = ["cudaDeviceSynchronize", "cudaStreamSynchronize", "cudaEventSynchronize", "cudaMemcpy", "cudaMemset", "hipDeviceSynchronize", "hipStreamSynchronize"]
@@ -64,12 +64,16 @@ def _edge(a: Column, b: Column, kind: Column | str, index: Column, dur: Column)
     return ["rank", a.cast("long").alias("a"), b.cast("long").alias("b"), kind.alias("kind"), index.cast("long").alias("index"), dur.cast("long").alias("dur")]
 
 
-def edges(events: DataFrame, merge_threads: bool = True) -> DataFrame:
+def edges(events: DataFrame, merge_threads: bool = True, zero_weight_launches: bool = False) -> DataFrame:
     """(rank, a, b, kind, index, weight) with index the row that an edge's time is put down to. events need index_correlation.
 
-    Weights are differences of time; dependencies, waits and blocking calls weigh 0, and
-    none is negative. Of several edges between two nodes one stays, of waits and
-    dependencies those first.
+    Weights are differences of time; dependencies, waits and blocking calls weigh 0, and so
+    does what leads back in time. Time between two points of a thread is put down to the row that is
+    innermost then: the one that has started, the one that ends next, or between an end and a
+    start the parent of what has ended. The gap between two kernels is put down to
+    the earlier one; launches, dependencies and waits to none. zero_weight_launches
+    adds launches to kernels that wait for something else. Of several edges between two
+    nodes one stays, of waits and dependencies those first.
     """
     host, device = _used(events)
     if merge_threads:
@@ -79,12 +83,18 @@ def edges(events: DataFrame, merge_threads: bool = True) -> DataFrame:
     opens = F.col("delta_") == 1
     open_before = F.coalesce(F.sum("delta_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     node = 2 * F.col("index") + F.when(opens, 0).otherwise(1)
-    walked = points.withColumns({"node_": node, "open_": open_before, "prev_": F.lag(node).over(order), "prev_at_": F.lag("at_").over(order), "prev_index_": F.lag("index").over(order), "prev_open_": F.lag("delta_").over(order)})
+    locks = F.col("name").isin(LOCKING)
+    before = {"prev_": node, "prev_at_": F.col("at_"), "prev_index_": F.col("index"), "prev_opens_": opens, "prev_locks_": locks}
+    walked = points.withColumns({"node_": node, "open_": open_before} | {k: F.lag(v).over(order) for k, v in before.items()})
+    # calls that share the runtime's lock are linked by lock_edges(), unless one has ended before the other starts
+    shared = locks & F.col("prev_locks_") & (F.col("prev_opens_") | ~opens)
+    walked = walked.where(F.col("prev_").isNotNull() & ~shared)
+    parents = closure(starts_with_depth(host)).where("level = depth - 1").select("rank", F.col("index").alias("prev_index_"), F.col("ancestor").alias("parent_"))
+    walked = walked.join(parents, ["rank", "prev_index_"], "left")
     kind = F.when(opens & (F.col("open_") == 0), DEPENDENCY).otherwise(OPERATOR)
     blocked = ~opens & F.col("name").isin(BLOCKING)
-    # time between two points belongs to the innermost open row
-    owner = F.when(F.col("prev_open_") == 1, F.col("prev_index_")).otherwise(F.col("index"))
-    cpu = walked.where("prev_ is not null").select(*_edge(F.col("prev_"), F.col("node_"), kind, owner, F.when((kind == DEPENDENCY) | blocked, 0).otherwise(F.col("at_") - F.col("prev_at_"))))
+    owner = F.when(kind == OPERATOR, F.when(F.col("prev_opens_"), F.col("prev_index_")).when(~opens, F.col("index")).otherwise(F.col("parent_")))
+    cpu = walked.select(*_edge(F.col("prev_"), F.col("node_"), kind, owner, F.when((kind == DEPENDENCY) | blocked, 0).otherwise(F.col("at_") - F.col("prev_at_"))))
 
     own = device.select(*_edge(2 * F.col("index"), 2 * F.col("index") + 1, OPERATOR, F.col("index"), F.col("dur")))
 
@@ -93,16 +103,22 @@ def edges(events: DataFrame, merge_threads: bool = True) -> DataFrame:
     at_launch = series.where("delta = 1").select("rank", F.col("index").alias("l_index"), F.col("queue_length").alias("q_launch"))
     at_kernel = series.where("delta = -1").select("rank", "index", F.col("queue_length").alias("q_kernel"))
     launches = host.select("rank", F.col("index").alias("l_index"), F.col("ts").alias("l_ts"))
+    waits = wait_edges(events)
+    waited = waits.groupBy("rank", F.floor(F.col("b") / 2).alias("index")).agg(F.max(F.floor(F.col("a") / 2)).alias("s_index"))
+    waited = waited.join(device.select("rank", F.col("index").alias("s_index"), (F.col("ts") + F.col("dur")).alias("s_end_")), ["rank", "s_index"]).drop("s_index")
     rows = device.withColumns({"prev_": F.lag("index").over(stream), "prev_end_": F.lag(F.col("ts") + F.col("dur")).over(stream)}).select("rank", "index", "ts", "prev_", "prev_end_", F.col("index_correlation").alias("l_index"))
-    rows = rows.join(launches, ["rank", "l_index"], "left").join(at_launch, ["rank", "l_index"], "left").join(at_kernel, ["rank", "index"], "left")
-    idle = (F.coalesce("q_launch", F.lit(1)) == 1) & (F.coalesce("q_kernel", F.lit(0)) == 0) & (F.col("prev_end_").isNull() | (F.col("prev_end_") <= F.col("l_ts")))
-    launched = rows.where(F.col("l_ts").isNotNull() & idle).select(*_edge(2 * F.col("l_index"), 2 * F.col("index"), LAUNCH, F.col("index"), F.col("ts") - F.col("l_ts")))
-    follows = ~F.coalesce(idle, F.lit(False)) & F.col("prev_").isNotNull() & (F.col("ts") - F.col("prev_end_") < KERNEL_GAP)
-    followed = rows.where(follows).select(*_edge(2 * F.col("prev_") + 1, 2 * F.col("index"), KERNELS, F.col("index"), F.col("ts") - F.col("prev_end_")))
-    # a kernel that neither follows another nor found an idle stream still waits for its launch
-    late = rows.where(F.col("l_ts").isNotNull() & ~F.coalesce(idle, F.lit(False)) & ~F.coalesce(follows, F.lit(False))).select(*_edge(2 * F.col("l_index"), 2 * F.col("index"), LAUNCH, F.col("index"), F.col("ts") - F.col("l_ts")))
-
-    found = cpu.unionByName(lock_edges(host)).unionByName(own).unionByName(launched).unionByName(followed).unionByName(late).unionByName(sync_edges(events)).withColumn("weight", F.greatest("dur", F.lit(0).cast("long")))
+    rows = rows.join(launches, ["rank", "l_index"], "left").join(at_launch, ["rank", "l_index"], "left").join(at_kernel, ["rank", "index"], "left").join(waited, ["rank", "index"], "left")
+    earlier = lambda x, y: x.isNull() | (x < y)
+    idle = F.col("l_ts").isNotNull() & (F.coalesce("q_launch", F.lit(1)) == 1) & (F.coalesce("q_kernel", F.lit(0)) == 0) & earlier(F.col("prev_end_"), F.col("l_ts")) & earlier(F.col("s_end_"), F.col("l_ts"))
+    follows = ~idle & F.col("prev_").isNotNull() & (F.col("ts") - F.col("prev_end_") < KERNEL_GAP) & earlier(F.col("s_end_"), F.col("prev_end_"))
+    none = F.lit(None)
+    launch = lambda dur: _edge(2 * F.col("l_index"), 2 * F.col("index"), LAUNCH, none, dur)
+    device_edges = rows.where(idle).select(*launch(F.col("ts") - F.col("l_ts")))
+    device_edges = device_edges.unionByName(rows.where(follows).select(*_edge(2 * F.col("prev_") + 1, 2 * F.col("index"), KERNELS, F.col("prev_"), F.col("ts") - F.col("prev_end_"))))
+    if zero_weight_launches:
+        device_edges = device_edges.unionByName(rows.where(F.col("l_ts").isNotNull() & ~idle).select(*launch(F.lit(0))))
+
+    found = cpu.unionByName(lock_edges(host)).unionByName(own).unionByName(device_edges).unionByName(host_sync_edges(events)).unionByName(waits).withColumn("weight", F.greatest("dur", F.lit(0).cast("long")))
     return found.groupBy("rank", "a", "b").agg(F.min_by(F.struct("kind", "index", "weight"), F.struct(F.col("kind") != SYNC, F.col("kind") != DEPENDENCY, "kind")).alias("e")).select("rank", "a", "b", "e.kind", "e.index", "e.weight")
 
 
@@ -120,8 +136,8 @@ def lock_edges(host: DataFrame) -> DataFrame:
         {"end_": F.first(ended, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), "next_": F.lead("index").over(order), "next_starts_": F.lead("starts").over(order)}
     )
     own = F.col("end_") == F.col("index")
-    taken = seen.where("starts = 1 and end_ is not null").select(*_edge(2 * F.col("index"), 2 * F.col("end_") + 1, F.when(own, OPERATOR).otherwise(DEPENDENCY), F.col("index"), F.when(own, F.col("dur")).otherwise(0)))
-    passed = seen.where("starts = 0 and next_starts_ = 0").select(*_edge(2 * F.col("index") + 1, 2 * F.col("next_") + 1, DEPENDENCY, F.col("next_"), F.lit(0)))
+    taken = seen.where("starts = 1 and end_ is not null").select(*_edge(2 * F.col("index"), 2 * F.col("end_") + 1, F.when(own, OPERATOR).otherwise(DEPENDENCY), F.when(own, F.col("index")), F.when(own, F.col("dur")).otherwise(0)))
+    passed = seen.where("starts = 0 and next_starts_ = 0").select(*_edge(2 * F.col("index") + 1, 2 * F.col("next_") + 1, DEPENDENCY, F.lit(None), F.lit(0)))
     return taken.unionByName(passed)
 
 
@@ -135,58 +151,137 @@ def edge_problems(events: DataFrame) -> DataFrame:
     return met.select("rank", "a", "b", "kind", problem.alias("problem")).where("problem is not null")
 
 
-def sync_edges(events: DataFrame) -> DataFrame:
-    """Edges without weight for waits: device to host for synchronising calls, stream to stream for recorded events."""
+def host_sync_edges(events: DataFrame) -> DataFrame:
+    """Edges without weight from the end of the last kernel, of the stream or for a context of every stream, that began before a synchronising call returns."""
     host, device = _used(events)
     sync = events.where(N.is_gpu_stream() & F.col("name").isin(SYNC_ROWS))
-    calls = host.select("rank", F.col("index").alias("index_correlation"), (F.col("ts") + F.col("dur")).alias("c_end"))
+    calls = host.select("rank", F.col("index").alias("index_correlation"))
     waits = sync.join(calls, ["rank", "index_correlation"]).select("rank", "stream", (F.col("ts") + F.col("dur")).alias("at"), F.col("index_correlation").alias("call"), F.col("name").startswith("Context").alias("all_"))
-    ends = device.select("rank", "stream", (F.col("ts") + F.col("dur")).alias("at"), F.col("index").alias("kernel"))
-    of_stream = asof_backward(waits.where("not all_"), ends, ["rank", "stream"], ["at"], ["kernel"])
-    of_all = asof_backward(waits.where("all_").drop("stream"), ends.drop("stream"), ["rank"], ["at"], ["kernel"])
-    met = of_stream.select("rank", "call", "v_kernel").unionByName(of_all.select("rank", "call", "v_kernel")).where("v_kernel is not null")
-    to_host = met.select(*_edge(2 * F.col("v_kernel") + 1, 2 * F.col("call") + 1, SYNC, F.col("call"), F.lit(0)))
+    streams = device.select("rank", "stream").distinct()
+    waits = waits.where("not all_").drop("all_").unionByName(waits.where("all_").drop("stream", "all_").join(streams, "rank"))
+    starts = device.select("rank", "stream", F.col("ts").alias("at"), F.col("index").alias("kernel"))
+    met = asof_backward(waits, starts, ["rank", "stream"], ["at"], ["kernel"]).where("v_kernel is not null")
+    return met.select(*_edge(2 * F.col("v_kernel") + 1, 2 * F.col("call") + 1, SYNC, F.lit(None), F.lit(0)))
+
+
+def wait_edges(events: DataFrame) -> DataFrame:
+    """Edges without weight between streams: the next kernel on a stream that waits for an event, after what was launched before the event was recorded."""
+    host, device = _used(events)
     if "wait_on_stream" not in events.columns:
-        return to_host
-    # cudaStreamWaitEvent: the next kernel on the waiting stream waits for what was launched before the record
+        return device.where(F.lit(False)).select(*_edge(F.col("index"), F.col("index"), SYNC, F.lit(None), F.lit(0)))
     waiting = events.where((F.col("name") == "cudaStreamWaitEvent") & (F.col("wait_on_stream") >= 0)).select("rank", "ts", F.col("stream_arg").alias("stream") if "stream_arg" in events.columns else F.col("wait_on_stream").alias("stream"), F.col("wait_on_cuda_event_record_corr_id").alias("record"))
     records = host.select("rank", F.col("correlation").alias("record"), F.col("ts").alias("r_ts"))
     starts = device.select("rank", "stream", "ts", "index")
     after = asof_forward(waiting, starts, ["rank", "stream"], ["ts"], ["index"]).where("v_index is not null")
     before = asof_backward(after.join(records, ["rank", "record"]).select("rank", F.col("r_ts").alias("ts"), "v_index"), device.select("rank", "ts", F.col("index").alias("source")), ["rank"], ["ts"], ["source"])
-    between = before.where("v_source is not null and v_source <> v_index").select(*_edge(2 * F.col("v_source") + 1, 2 * F.col("v_index"), SYNC, F.col("v_index"), F.lit(0)))
-    return to_host.unionByName(between)
+    found = before.where("v_source is not null and v_source <> v_index")
+    return found.select(*_edge(2 * F.col("v_source") + 1, 2 * F.col("v_index"), SYNC, F.lit(None), F.lit(0))).distinct()
+
+
+def cycles(points: DataFrame, links: DataFrame) -> DataFrame:
+    """(rank, cycle, node): the nodes that reach themselves, and of those that reach each other the smallest as their cycle's name.
+
+    points has (rank, node, ts), links (rank, a, b). A cycle leads back in time
+    somewhere, and lies within the times that edges which don't lead forward span together. Only nodes within such
+    islands are looked at: those without predecessors or successors go, round by round,
+    and what is left is parted by what it reaches. A sound graph has no island but single times.
+    """
+    side = lambda k: points.select("rank", F.col("node").alias(k), F.col("ts").alias(f"{k}_ts"))
+    timed = links.select("rank", "a", "b").join(side("a"), ["rank", "a"]).join(side("b"), ["rank", "b"])
+    back = timed.where("b_ts <= a_ts").select("rank", F.col("b_ts").alias("ts"), F.col("a_ts").alias("end"))
+    islands = merge_intervals(back, ["rank"])
+    placed = asof_backward(points.select("rank", "node", "ts"), islands.select("rank", "ts", F.col("ts").alias("island"), F.col("end").alias("until")), ["rank"], ["ts"], ["island", "until"])
+    inside = placed.where("ts <= v_until").select("rank", "node", F.col("v_island").alias("island"))
+    of = lambda k: inside.select("rank", F.col("node").alias(k), F.col("island").alias(f"{k}_island"))
+    core = _kept(timed.join(of("a"), ["rank", "a"]).join(of("b"), ["rank", "b"]).where("a_island = b_island").select("rank", "a", "b").distinct())
+    found = None
+    while True:
+        core = _trimmed(core)
+        if core.isEmpty():
+            break
+        # every node takes the smallest name that reaches it; who reaches its name's owner in turn is on its cycle
+        named = _reached(core, core.select("rank", F.col("a").alias("node"), F.col("a").alias("name")).union(core.select("rank", "b", "b")).distinct())
+        to, of_a = named.withColumnsRenamed({"node": "b", "name": "b_name"}), named.withColumnsRenamed({"node": "a", "name": "a_name"})
+        within = _kept(core.join(to, ["rank", "b"]).join(of_a, ["rank", "a"]).where("a_name = b_name").select("rank", F.col("b").alias("a"), F.col("a").alias("b"), F.col("a_name").alias("name")))
+        owners = named.where("node = name")
+        members = _reached(within.select("rank", "a", "b"), owners)
+        found = members if found is None else found.unionByName(members)
+        core = _kept(core.join(members.select("rank", F.col("node").alias("a")), ["rank", "a"], "left_anti").join(members.select("rank", F.col("node").alias("b")), ["rank", "b"], "left_anti"))
+    empty = points.where(F.lit(False)).select("rank", F.col("node").alias("cycle"), "node")
+    if found is None:
+        return empty
+    # an owner that reaches nothing that reaches it is on no cycle, unless by itself
+    named = found.select("rank", F.col("name").alias("cycle"), "node")
+    size = named.groupBy("rank", "cycle").agg(F.count("*").alias("n"))
+    alone = links.where("a = b").select("rank", F.col("a").alias("cycle")).distinct()
+    real = size.where("n > 1").select("rank", "cycle").unionByName(alone).distinct()
+    return named.join(real, ["rank", "cycle"], "left_semi")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows, computed once: in the checkpoint folder where there is one, else in memory and on disk."""
+    from pyspark import StorageLevel
+
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _trimmed(core: DataFrame) -> DataFrame:
+    """Edges without those of nodes that have no predecessor or no successor, until all nodes left have both."""
+    left = core.count()
+    while left:
+        heads, tails = core.select("rank", F.col("b").alias("a")).distinct(), core.select("rank", F.col("a").alias("b")).distinct()
+        core = _kept(core.join(heads, ["rank", "a"], "left_semi").join(tails, ["rank", "b"], "left_semi"))
+        left, before = core.count(), left
+        if left == before:
+            break
+    return core
+
+
+def _reached(links: DataFrame, names: DataFrame) -> DataFrame:
+    """(rank, node, name): the smallest name that reaches each node along links, from nodes with names (rank, node, name) on."""
+    before = None
+    while True:
+        sent = links.join(names.withColumnRenamed("node", "a"), ["rank", "a"]).select("rank", F.col("b").alias("node"), "name")
+        names = _kept(names.unionByName(sent).groupBy("rank", "node").agg(F.min("name").alias("name")))
+        state = names.agg(F.count("*"), F.sum("name")).first()  # rows only grow more, names only smaller
+        if state == before:
+            return names
+        before = state
 
 
 def critical_path(events: DataFrame, strict: bool = False) -> DataFrame:
-    """(rank, node, position, reached, tied) of the longest path of each rank's window; edges that lead back in time are left out.
+    """(rank, node, position, reached, tied) of the longest path of each rank's window. Edges that lead back in time weigh nothing; where they close a cycle there is no path, and reading it fails.
 
-    strict raises ValueError instead, if any edge has one of edge_problems().
+    strict raises ValueError instead, if any edge has one of edge_problems() or cycles() has rows.
     """
+    points, links = nodes(events), edges(events)
     if strict and (bad := edge_problems(events).head(5)):
         raise ValueError(f"unsound edges, such as {[tuple(r) for r in bad]}")
-    points, links = nodes(events), edges(events)
-    time = points.select("rank", "node", "ts")
-    ahead = links.join(time.withColumnsRenamed({"node": "a", "ts": "a_ts"}), ["rank", "a"]).join(time.withColumnsRenamed({"node": "b", "ts": "b_ts"}), ["rank", "b"])
-    ahead = ahead.where((F.col("b_ts") > F.col("a_ts")) | ((F.col("b_ts") == F.col("a_ts")) & (F.col("kind").isin(OPERATOR, DEPENDENCY))))
-    return longest_path(points.withColumn("weight", F.lit(0).cast("long")), ahead, "rank")
+    if strict and (bad := cycles(points, links).head(5)):
+        raise ValueError(f"cycles, with nodes such as {[tuple(r) for r in bad]}")
+    return longest_path(points.withColumn("weight", F.lit(0).cast("long")), links, "rank")
 
 
-def bound_by(kind: Column, device: Column, name: Column) -> Column:
-    """What an edge's time is bound by."""
+def bound_by(kind: Column, device: Column, name: Column, data_loading: list[str] = ()) -> Column:
+    """What an edge's time is bound by; data_loading are patterns of host rows that load data."""
+    loads = F.lit(False)
+    for pattern in data_loading:
+        loads = loads | name.rlike(pattern)
     return (
-        F.when(kind == LAUNCH, "gpu_launch_delay").when(kind == KERNELS, "gpu_kernel_kernel_overhead").when(kind == SYNC, "sync").when(kind == DEPENDENCY, "dependency")
-        .when(~device, "cpu_bound").when(N.kernel_type(name) == "COMMUNICATION", "gpu_communication_bound").otherwise("gpu_compute_bound")
+        F.when(kind == LAUNCH, "gpu_kernel_launch_overhead").when(kind == KERNELS, "gpu_kernel_kernel_overhead").when(kind == SYNC, "sync").when(kind == DEPENDENCY, "dependency")
+        .when(~device & loads, "data_loading").when(~device, "cpu_bound").when(N.kernel_type(name) == "COMMUNICATION", "gpu_communication_bound").otherwise("gpu_compute_bound")
     )
 
 
-def breakdown(events: DataFrame, path: DataFrame) -> DataFrame:
+def breakdown(events: DataFrame, path: DataFrame, data_loading: list[str] = ()) -> DataFrame:
     """Edges along the path with their events: (rank, a, b, kind, weight, index, name, cat, bound_by)."""
     order = Window.partitionBy("rank").orderBy("position")
     steps = path.select("rank", F.lag("node").over(order).alias("a"), F.col("node").alias("b")).where("a is not null")
     rows = events.select("rank", "index", "name", "cat", "stream")
     met = steps.join(edges(events), ["rank", "a", "b"]).join(rows, ["rank", "index"], "left")
-    return met.select("rank", "a", "b", "kind", "weight", "index", "name", "cat", bound_by(F.col("kind"), F.col("stream") != -1, F.col("name")).alias("bound_by"))
+    return met.select("rank", "a", "b", "kind", "weight", "index", "name", "cat", bound_by(F.col("kind"), F.col("stream") != -1, F.col("name"), data_loading).alias("bound_by"))
 
 
 def summary(parts: DataFrame) -> DataFrame:
