@@ -30,11 +30,14 @@ def test_path_over_device_and_back(events):
     assert kinds[7, 10] == (C.KERNELS, 10)  # kernel end to the next kernel's start
     assert kinds[11, 13] == (C.SYNC, 0)  # last kernel end to the end of the synchronising call
     assert kinds[12, 13][1] == 0 if (12, 13) in kinds else True
-    path = [r.node for r in C.critical_path(window).orderBy("position").collect()]
-    assert path == [2, 4, 6, 7, 10, 11, 13, 16, 17]
-    parts = {r.bound_by: r.time for r in C.summary(C.breakdown(window, C.critical_path(window))).collect()}
+    links = C.edges(window).cache()
+    found = C.critical_path(window, links=links).cache()
+    assert [r.node for r in found.orderBy("position").collect()] == [2, 4, 6, 7, 10, 11, 13, 16, 17]
+    parts = {r.bound_by: r.time for r in C.summary(C.breakdown(window, found, links=links)).collect()}
     assert parts["gpu_compute_bound"] == 240 and parts["gpu_communication_bound"] == 100 and parts["gpu_kernel_launch_overhead"] == 40
-    assert C.overlay(window, C.critical_path(window)).where("event like '%critical_path%'").count() == 16
+    assert C.overlay(window, found).where("event like '%critical_path%'").count() == 16
+    loading = C.breakdown(window, found, ["^aten::add"], links)
+    assert {r.bound_by for r in loading.where("name = 'aten::add'").collect()} == {"data_loading"}
 
 
 def test_lock_edges_across_threads(spark):
@@ -98,12 +101,6 @@ def test_launches_without_weight(events):
     assert more == {(4, 6): 40, (8, 10): 0}
 
 
-def test_data_loading(events):
-    window = C.clip(events)
-    parts = C.breakdown(window, C.critical_path(window), ["^aten::add"])
-    assert {r.bound_by for r in parts.where("name = 'aten::add'").collect()} == {"data_loading"}
-
-
 def planted(spark, edges, times):
     points = spark.createDataFrame([(0, n, t) for n, t in times.items()], "rank int, node long, ts long")
     return points, spark.createDataFrame([(0, a, b) for a, b in edges], "rank int, a long, b long")

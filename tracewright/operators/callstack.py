@@ -62,6 +62,15 @@ def closure(starts: DataFrame) -> DataFrame:
     return met.where("index is not null").select(*THREAD, "index", "depth", "ancestor", "level")
 
 
+def parents(starts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, index, parent) from rows (by, depth, enter, index): the latest start one level up; outermost rows have none."""
+    asked = starts.where("depth > 0").select(*by, (F.col("depth") - 1).alias("level"), "enter", F.lit(None).cast("bigint").alias("value"), "index")
+    values = starts.select(*by, F.col("depth").alias("level"), "enter", F.col("index").alias("value"), F.lit(None).cast("bigint").alias("index"))
+    order = Window.partitionBy(*by, "level").orderBy("enter", F.col("value").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = values.unionByName(asked).withColumn("parent", F.last("value", ignorenulls=True).over(order))
+    return met.where("index is not null").select(*by, "index", "parent")
+
+
 def call_stacks(events: DataFrame, segment: int = SEGMENT_US) -> DataFrame:
     """Host rows with parent, depth and height. The parent of a thread's outermost rows is -|tid| (-1 for tid 0); height is 1 without callees."""
     starts = starts_with_depth(events, segment)

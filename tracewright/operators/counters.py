@@ -36,14 +36,27 @@ def idle_statistics(gaps: DataFrame) -> DataFrame:
     return describe(gaps.where("gap is not null"), ["rank", "stream", "idle_category"], "gap")
 
 
-def queue_series(events: DataFrame, segment: int = SEGMENT_US) -> DataFrame:
-    """(rank, stream, ts, index, queue_length): launches add one, starts of their kernels take one away; holds until the next row."""
+def _queue_points(events: DataFrame) -> DataFrame:
     kernels = events.where(N.is_gpu_stream() & (F.col("correlation") >= 0)).select("rank", "stream", "correlation", F.col("ts").alias("k_ts"), F.col("index").alias("k_index"))
     launches = events.where(F.col("name").isin(N.LAUNCHES) & (F.col("correlation") >= 0)).select("rank", "correlation", F.col("ts").alias("l_ts"), F.col("index").alias("l_index"))
     pairs = launches.join(kernels, ["rank", "correlation"])
-    points = pairs.select("rank", "stream", F.expr("stack(2, l_ts, l_index, 1, k_ts, k_index, -1) as (ts, index, delta)"))
-    summed = running(points, ["rank", "stream"], ["ts", F.desc("delta"), "index"], F.floor(F.col("ts") / segment), sums={"queue_length": F.col("delta")})
-    return summed.select("rank", "stream", "ts", "index", "queue_length", "delta")
+    return pairs.select("rank", "stream", "k_index", F.expr("stack(2, l_ts, l_index, 1, k_ts, k_index, -1) as (ts, index, delta)"))
+
+
+def _queue_lengths(points: DataFrame, segment: int) -> DataFrame:
+    return running(points, ["rank", "stream"], ["ts", F.desc("delta"), "index"], F.floor(F.col("ts") / segment), sums={"queue_length": F.col("delta")})
+
+
+def queue_series(events: DataFrame, segment: int = SEGMENT_US) -> DataFrame:
+    """(rank, stream, ts, index, queue_length): launches add one, starts of their kernels take one away; holds until the next row."""
+    return _queue_lengths(_queue_points(events), segment).select("rank", "stream", "ts", "index", "queue_length", "delta")
+
+
+def queues_of_kernels(events: DataFrame, segment: int = SEGMENT_US) -> DataFrame:
+    """(rank, index, q_launch, q_kernel): the queue's length after each kernel's launch and after its start."""
+    lengths = _queue_lengths(_queue_points(events), segment)
+    at = lambda delta: F.max(F.when(F.col("delta") == delta, F.col("queue_length")))
+    return lengths.groupBy("rank", F.col("k_index").alias("index")).agg(at(1).alias("q_launch"), at(-1).alias("q_kernel"))
 
 
 def queue_summary(series: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from .callstack import _ORDER, THREAD, _points, closure, starts_with_depth
-from .counters import queue_series
+from .callstack import _ORDER, THREAD, _points, parents
+from .counters import queues_of_kernels
 from .dag import longest_path
 from .intervals import asof_backward, asof_forward, merge_intervals
+from .keep import kept
 
 # Calls that wait for the device, calls that take the runtime's lock, device rows of waiting, and the gap (µs) up to which kernels follow each other.
 BLOCKING = ["cudaDeviceSynchronize", "cudaStreamSynchronize", "cudaEventSynchronize", "cudaMemcpy", "cudaMemset", "hipDeviceSynchronize", "hipStreamSynchronize"]
@@ -64,20 +65,22 @@ def _edge(a: Column, b: Column, kind: Column | str, index: Column, dur: Column)
     return ["rank", a.cast("long").alias("a"), b.cast("long").alias("b"), kind.alias("kind"), index.cast("long").alias("index"), dur.cast("long").alias("dur")]
 
 
-def edges(events: DataFrame, merge_threads: bool = True, zero_weight_launches: bool = False) -> DataFrame:
+def edges(events: DataFrame, merge_threads: bool = True, zero_weight_launches: bool = False, all_events: DataFrame | None = None) -> DataFrame:
     """(rank, a, b, kind, index, weight) with index the row that an edge's time is put down to. events need index_correlation.
 
     Weights are differences of time; dependencies, waits and blocking calls weigh 0, and so
     does what leads back in time. Time between two points of a thread is put down to the row that is
     innermost then: the one that has started, the one that ends next, or between an end and a
-    start the parent of what has ended. The gap between two kernels is put down to
+    start the row around both. The gap between two kernels is put down to
     the earlier one; launches, dependencies and waits to none. zero_weight_launches
-    adds launches to kernels that wait for something else. Of several edges between two
+    adds launches to kernels that wait for something else. Launch queues are counted over all_events,
+    the trace that the window was cut from, if given. Of several edges between two
     nodes one stays, of waits and dependencies those first.
     """
+    events = kept(events)
     host, device = _used(events)
     if merge_threads:
-        host = merged_threads(host)
+        host = kept(merged_threads(host))
     order = Window.partitionBy(*THREAD).orderBy(*_ORDER)
     points = _points(host).join(host.select("rank", "index", "name"), ["rank", "index"])
     opens = F.col("delta_") == 1
@@ -85,29 +88,26 @@ def edges(events: DataFrame, merge_threads: bool = True, zero_weight_launches: b
     node = 2 * F.col("index") + F.when(opens, 0).otherwise(1)
     locks = F.col("name").isin(LOCKING)
     before = {"prev_": node, "prev_at_": F.col("at_"), "prev_index_": F.col("index"), "prev_opens_": opens, "prev_locks_": locks}
-    walked = points.withColumns({"node_": node, "open_": open_before} | {k: F.lag(v).over(order) for k, v in before.items()})
+    walked = points.withColumns({"node_": node, "open_": open_before, "enter": F.row_number().over(order)} | {k: F.lag(v).over(order) for k, v in before.items()})
+    above = parents(walked.where(opens).select(*THREAD, F.col("open_").alias("depth"), "enter", "index"), THREAD).select("rank", "index", "parent")
     # calls that share the runtime's lock are linked by lock_edges(), unless one has ended before the other starts
     shared = locks & F.col("prev_locks_") & (F.col("prev_opens_") | ~opens)
     walked = walked.where(F.col("prev_").isNotNull() & ~shared)
-    parents = closure(starts_with_depth(host)).where("level = depth - 1").select("rank", F.col("index").alias("prev_index_"), F.col("ancestor").alias("parent_"))
-    walked = walked.join(parents, ["rank", "prev_index_"], "left")
+    walked = walked.join(above, ["rank", "index"], "left")
     kind = F.when(opens & (F.col("open_") == 0), DEPENDENCY).otherwise(OPERATOR)
     blocked = ~opens & F.col("name").isin(BLOCKING)
-    owner = F.when(kind == OPERATOR, F.when(F.col("prev_opens_"), F.col("prev_index_")).when(~opens, F.col("index")).otherwise(F.col("parent_")))
+    owner = F.when(kind == OPERATOR, F.when(F.col("prev_opens_"), F.col("prev_index_")).when(~opens, F.col("index")).otherwise(F.col("parent")))
     cpu = walked.select(*_edge(F.col("prev_"), F.col("node_"), kind, owner, F.when((kind == DEPENDENCY) | blocked, 0).otherwise(F.col("at_") - F.col("prev_at_"))))
 
     own = device.select(*_edge(2 * F.col("index"), 2 * F.col("index") + 1, OPERATOR, F.col("index"), F.col("dur")))
 
     stream = Window.partitionBy("rank", "stream").orderBy("ts", "index")
-    series = queue_series(events)
-    at_launch = series.where("delta = 1").select("rank", F.col("index").alias("l_index"), F.col("queue_length").alias("q_launch"))
-    at_kernel = series.where("delta = -1").select("rank", "index", F.col("queue_length").alias("q_kernel"))
     launches = host.select("rank", F.col("index").alias("l_index"), F.col("ts").alias("l_ts"))
     waits = wait_edges(events)
     waited = waits.groupBy("rank", F.floor(F.col("b") / 2).alias("index")).agg(F.max(F.floor(F.col("a") / 2)).alias("s_index"))
     waited = waited.join(device.select("rank", F.col("index").alias("s_index"), (F.col("ts") + F.col("dur")).alias("s_end_")), ["rank", "s_index"]).drop("s_index")
     rows = device.withColumns({"prev_": F.lag("index").over(stream), "prev_end_": F.lag(F.col("ts") + F.col("dur")).over(stream)}).select("rank", "index", "ts", "prev_", "prev_end_", F.col("index_correlation").alias("l_index"))
-    rows = rows.join(launches, ["rank", "l_index"], "left").join(at_launch, ["rank", "l_index"], "left").join(at_kernel, ["rank", "index"], "left").join(waited, ["rank", "index"], "left")
+    rows = rows.join(launches, ["rank", "l_index"], "left").join(queues_of_kernels(events if all_events is None else all_events), ["rank", "index"], "left").join(waited, ["rank", "index"], "left")
     earlier = lambda x, y: x.isNull() | (x < y)
     idle = F.col("l_ts").isNotNull() & (F.coalesce("q_launch", F.lit(1)) == 1) & (F.coalesce("q_kernel", F.lit(0)) == 0) & earlier(F.col("prev_end_"), F.col("l_ts")) & earlier(F.col("s_end_"), F.col("l_ts"))
     follows = ~idle & F.col("prev_").isNotNull() & (F.col("ts") - F.col("prev_end_") < KERNEL_GAP) & earlier(F.col("s_end_"), F.col("prev_end_"))
@@ -141,11 +141,11 @@ def lock_edges(host: DataFrame) -> DataFrame:
     return taken.unionByName(passed)
 
 
-def edge_problems(events: DataFrame) -> DataFrame:
+def edge_problems(events: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(rank, a, b, kind, problem) of edges that no sound graph has: those that lead back in time, and waits of a stream for itself."""
     points = nodes(events).join(events.select("rank", "index", "stream"), ["rank", "index"]).select("rank", "node", "ts", "stream")
     side = lambda k: points.withColumnsRenamed({"node": k, "ts": f"{k}_ts", "stream": f"{k}_stream"})
-    met = edges(events).join(side("a"), ["rank", "a"]).join(side("b"), ["rank", "b"])
+    met = (edges(events) if links is None else links).join(side("a"), ["rank", "a"]).join(side("b"), ["rank", "b"])
     itself = (F.col("kind") == SYNC) & (F.col("a_stream") >= 0) & (F.col("a_stream") == F.col("b_stream"))
     problem = F.when(F.col("b_ts") < F.col("a_ts"), "back in time").when(itself, "sync within a stream")
     return met.select("rank", "a", "b", "kind", problem.alias("problem")).where("problem is not null")
@@ -193,7 +193,7 @@ def cycles(points: DataFrame, links: DataFrame) -> DataFrame:
     placed = asof_backward(points.select("rank", "node", "ts"), islands.select("rank", "ts", F.col("ts").alias("island"), F.col("end").alias("until")), ["rank"], ["ts"], ["island", "until"])
     inside = placed.where("ts <= v_until").select("rank", "node", F.col("v_island").alias("island"))
     of = lambda k: inside.select("rank", F.col("node").alias(k), F.col("island").alias(f"{k}_island"))
-    core = _kept(timed.join(of("a"), ["rank", "a"]).join(of("b"), ["rank", "b"]).where("a_island = b_island").select("rank", "a", "b").distinct())
+    core = kept(timed.join(of("a"), ["rank", "a"]).join(of("b"), ["rank", "b"]).where("a_island = b_island").select("rank", "a", "b").distinct())
     found = None
     while True:
         core = _trimmed(core)
@@ -202,11 +202,11 @@ def cycles(points: DataFrame, links: DataFrame) -> DataFrame:
         # every node takes the smallest name that reaches it; who reaches its name's owner in turn is on its cycle
         named = _reached(core, core.select("rank", F.col("a").alias("node"), F.col("a").alias("name")).union(core.select("rank", "b", "b")).distinct())
         to, of_a = named.withColumnsRenamed({"node": "b", "name": "b_name"}), named.withColumnsRenamed({"node": "a", "name": "a_name"})
-        within = _kept(core.join(to, ["rank", "b"]).join(of_a, ["rank", "a"]).where("a_name = b_name").select("rank", F.col("b").alias("a"), F.col("a").alias("b"), F.col("a_name").alias("name")))
+        within = kept(core.join(to, ["rank", "b"]).join(of_a, ["rank", "a"]).where("a_name = b_name").select("rank", F.col("b").alias("a"), F.col("a").alias("b"), F.col("a_name").alias("name")))
         owners = named.where("node = name")
         members = _reached(within.select("rank", "a", "b"), owners)
         found = members if found is None else found.unionByName(members)
-        core = _kept(core.join(members.select("rank", F.col("node").alias("a")), ["rank", "a"], "left_anti").join(members.select("rank", F.col("node").alias("b")), ["rank", "b"], "left_anti"))
+        core = kept(core.join(members.select("rank", F.col("node").alias("a")), ["rank", "a"], "left_anti").join(members.select("rank", F.col("node").alias("b")), ["rank", "b"], "left_anti"))
     empty = points.where(F.lit(False)).select("rank", F.col("node").alias("cycle"), "node")
     if found is None:
         return empty
@@ -218,21 +218,12 @@ def cycles(points: DataFrame, links: DataFrame) -> DataFrame:
     return named.join(real, ["rank", "cycle"], "left_semi")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The rows, computed once: in the checkpoint folder where there is one, else in memory and on disk."""
-    from pyspark import StorageLevel
-
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def _trimmed(core: DataFrame) -> DataFrame:
     """Edges without those of nodes that have no predecessor or no successor, until all nodes left have both."""
     left = core.count()
     while left:
         heads, tails = core.select("rank", F.col("b").alias("a")).distinct(), core.select("rank", F.col("a").alias("b")).distinct()
-        core = _kept(core.join(heads, ["rank", "a"], "left_semi").join(tails, ["rank", "b"], "left_semi"))
+        core = kept(core.join(heads, ["rank", "a"], "left_semi").join(tails, ["rank", "b"], "left_semi"))
         left, before = core.count(), left
         if left == before:
             break
@@ -244,20 +235,20 @@ def _reached(links: DataFrame, names: DataFrame) -> DataFrame:
     before = None
     while True:
         sent = links.join(names.withColumnRenamed("node", "a"), ["rank", "a"]).select("rank", F.col("b").alias("node"), "name")
-        names = _kept(names.unionByName(sent).groupBy("rank", "node").agg(F.min("name").alias("name")))
+        names = kept(names.unionByName(sent).groupBy("rank", "node").agg(F.min("name").alias("name")))
         state = names.agg(F.count("*"), F.sum("name")).first()  # rows only grow more, names only smaller
         if state == before:
             return names
         before = state
 
 
-def critical_path(events: DataFrame, strict: bool = False) -> DataFrame:
+def critical_path(events: DataFrame, strict: bool = False, links: DataFrame | None = None) -> DataFrame:
     """(rank, node, position, reached, tied) of the longest path of each rank's window. Edges that lead back in time weigh nothing; where they close a cycle there is no path, and reading it fails.
 
-    strict raises ValueError instead, if any edge has one of edge_problems() or cycles() has rows.
+    strict raises ValueError instead, if any edge has one of edge_problems() or cycles() has rows. links are edges() of the same events, if they are there already.
     """
-    points, links = nodes(events), edges(events)
-    if strict and (bad := edge_problems(events).head(5)):
+    points, links = nodes(events), edges(events) if links is None else links
+    if strict and (bad := edge_problems(events, links).head(5)):
         raise ValueError(f"unsound edges, such as {[tuple(r) for r in bad]}")
     if strict and (bad := cycles(points, links).head(5)):
         raise ValueError(f"cycles, with nodes such as {[tuple(r) for r in bad]}")
@@ -275,12 +266,12 @@ def bound_by(kind: Column, device: Column, name: Column, data_loading: list[str]
     )
 
 
-def breakdown(events: DataFrame, path: DataFrame, data_loading: list[str] = ()) -> DataFrame:
+def breakdown(events: DataFrame, path: DataFrame, data_loading: list[str] = (), links: DataFrame | None = None) -> DataFrame:
     """Edges along the path with their events: (rank, a, b, kind, weight, index, name, cat, bound_by)."""
     order = Window.partitionBy("rank").orderBy("position")
     steps = path.select("rank", F.lag("node").over(order).alias("a"), F.col("node").alias("b")).where("a is not null")
     rows = events.select("rank", "index", "name", "cat", "stream")
-    met = steps.join(edges(events), ["rank", "a", "b"]).join(rows, ["rank", "index"], "left")
+    met = steps.join(edges(events) if links is None else links, ["rank", "a", "b"]).join(rows, ["rank", "index"], "left")
     return met.select("rank", "a", "b", "kind", "weight", "index", "name", "cat", bound_by(F.col("kind"), F.col("stream") != -1, F.col("name"), data_loading).alias("bound_by"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import callstack, compare, counters, critical_path, dag, drilldown, filters, intervals, kernels, parallel, silver
+from . import threaded
 from .fixtures import TR, trace_events
 from .pipeline_fixtures import ANNOTATED, MICRO_BATCHES, STAGES, STEPS, TRANSFERS, VIRTUAL, annotated, steps, transfers
 
@@ -17,8 +18,8 @@ SEGMENT = 86_400_000_000
 #: Delay below which a gap counts as waiting for the kernel, on this data's scale.
 DELAY = 30_000_000
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = dict(threaded.QUERIES)
+ORACLES: dict[str, str] = dict(threaded.ORACLES)
 
 
 def query(name: str, sql: str | None = None):
@@ -810,22 +811,6 @@ def runtime_lock_edges(events):
     return critical_path.lock_edges(events.withColumn("dur", 20 * F.col("dur"))).select("rank", "a", "b", "kind", "dur")
 
 
-@query("critical_path_edges")
-def critical_path_edges(events):
-    return critical_path.edges(clipped(events))
-
-
-@query("critical_path_longest")
-def critical_path_longest(events):
-    return critical_path.critical_path(clipped(events))
-
-
-@query("critical_path_breakdown")
-def critical_path_breakdown(events):
-    rows = clipped(events)
-    return critical_path.summary(critical_path.breakdown(rows, critical_path.critical_path(rows)))
-
-
 @query("kernel_breakdown_by_type", GPU + f" SELECT rank, kernel_type, name, {STATS} FROM gpu GROUP BY ALL")
 def kernel_breakdown_by_type(events):
     return rounded(kernels.kernel_breakdown(events), "mean", "stddev", digits=1)

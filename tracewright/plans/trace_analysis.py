@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import callstack, compare, counters, critical_path, kernels, silver
+from ..operators.keep import kept
 from ..sources import chrome, sinks
 from ..sources.args import ParserOptions
 
@@ -111,11 +112,13 @@ class TraceAnalysis:
     def get_cupti_counter_data_with_operators(self) -> DataFrame:
         return callstack.counters_with_operators(self.events, self.closure())
 
-    def critical_path_analysis(self, annotation: str = "ProfilerStep", instance: int = 0) -> tuple[DataFrame, DataFrame]:
-        """(path, breakdown of its edges) of each rank."""
-        window = critical_path.clip(self.events, annotation, instance).persist()
-        path = critical_path.critical_path(window)
-        return path, critical_path.breakdown(window, path)
+    def critical_path_analysis(self, annotation: str = "ProfilerStep", instance: int = 0, rank: int | None = None, data_loading: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+        """(path, breakdown of its edges) of each rank, or of the given one; data_loading are patterns of rows that load data."""
+        events = self.events if rank is None else self.events.where(F.col("rank") == rank)
+        window = kept(critical_path.clip(events, annotation, instance))
+        links = kept(critical_path.edges(window, all_events=events))
+        path = critical_path.critical_path(window, links=links)
+        return path, critical_path.breakdown(window, path, data_loading, links)
 
     def overlay_critical_path_analysis(self, path: str, annotation: str = "ProfilerStep", instance: int = 0) -> None:
         window = critical_path.clip(self.events, annotation, instance).persist()
