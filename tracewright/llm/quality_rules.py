@@ -30,6 +30,8 @@ GROWTH = 1.05
 LEAST = 1e-4
 #: Documents that a larger group's sketch counts for in a smaller one's.
 WEIGHT = 200.0
+#: Share of a group's documents up to whose measure a rule lets pass where the middle half has no width, as most are then zero or alike.
+UPPER = 0.95
 #: Distance of a cut-off from the middle half, in widths of that half.
 FENCE = 6.0
 #: Further distance, in steps of a document of median size.
@@ -145,11 +147,11 @@ def _shrunk(parts: DataFrame, keys: list[str], above: DataFrame, above_keys: lis
 
 
 def _quantiles(shares: DataFrame, keys: list[str]) -> DataFrame:
-    """q25, q50 and q75 by keys and measure: the middles of the first buckets up to which so large a share lies."""
+    """q25, q50, q75 and the UPPER quantile (high) by keys and measure: the middles of the first buckets up to which so large a share lies."""
     upto = F.sum("share").over(Window.partitionBy(*keys, "measure").orderBy("bucket"))
     middle = F.when(F.col("bucket") == 0, 0.0).otherwise(LEAST * F.pow(F.lit(GROWTH), F.col("bucket") - 0.5))
     ranked = shares.select(*keys, "measure", upto.alias("upto"), middle.alias("x"))
-    return ranked.groupBy(*keys, "measure").agg(*[F.min(F.when(F.col("upto") >= q, F.col("x"))).alias(name) for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+    return ranked.groupBy(*keys, "measure").agg(*[F.min(F.when(F.col("upto") >= q, F.col("x"))).alias(name) for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("high", UPPER))])
 
 
 def cutoffs(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -169,7 +171,9 @@ def cutoffs(measured: DataFrame, lang: str = "lang", source: str = "source") ->
         steps = step * quantile(rule, "q50") if rule in TWO_SIDED else F.lit(float(step))
         beyond = FENCE * (q75 - q25) + UNITS * steps / F.greatest(F.lit(1.0), quantile(size, "q50"))
         # a quantile stands for its whole bucket
-        return F.struct((q25 / GROWTH - beyond).alias("low"), (q75 * GROWTH + beyond).alias("high")).alias(rule)
+        fence_ = q75 * GROWTH + beyond
+        high = fence_ if rule in TWO_SIDED else F.when(q25 == q75, F.least(fence_, quantile(rule, "high") * GROWTH)).otherwise(fence_)
+        return F.struct((q25 / GROWTH - beyond).alias("low"), high.alias("high")).alias(rule)
 
     return cut(own.groupBy(*groups).agg(*[fence(r) for r in RULES]).select(*groups, F.struct(*RULES).alias("cuts")))
 
@@ -261,7 +265,7 @@ WITH d AS MATERIALIZED (
   FROM (SELECT lang, source, measure, sum(n) AS total FROM p GROUP BY ALL) t JOIN by_lang a ON a.lang IS NOT DISTINCT FROM t.lang AND a.measure = t.measure
   LEFT JOIN p o ON o.lang IS NOT DISTINCT FROM t.lang AND o.source IS NOT DISTINCT FROM t.source AND o.measure = t.measure AND o.bucket = a.bucket
 ), q AS (
-  SELECT lang, source, measure, min(x) FILTER (upto >= 0.25) AS q25, min(x) FILTER (upto >= 0.5) AS q50, min(x) FILTER (upto >= 0.75) AS q75
+  SELECT lang, source, measure, min(x) FILTER (upto >= 0.25) AS q25, min(x) FILTER (upto >= 0.5) AS q50, min(x) FILTER (upto >= 0.75) AS q75, min(x) FILTER (upto >= {UPPER}) AS high
   FROM (
     SELECT lang, source, measure, sum(share) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto,
       CASE WHEN bucket = 0 THEN 0 ELSE {LEAST} * pow({GROWTH}, bucket - 0.5) END AS x FROM own
@@ -275,7 +279,7 @@ WITH d AS MATERIALIZED (
     SELECT q.*, {FENCE} * (q75 - q25) + {UNITS} * CASE q.measure {" ".join(f"WHEN '{c}' THEN {f'{step} * q50' if c in TWO_SIDED else float(step)} / greatest(1.0, {size}_50)" for c, (size, step) in RULES.items())} END AS beyond
     FROM q JOIN s ON s.lang IS NOT DISTINCT FROM q.lang AND s.source IS NOT DISTINCT FROM q.source
   ) c ON c.lang IS NOT DISTINCT FROM x.lang AND c.source IS NOT DISTINCT FROM x.source AND c.measure = x.measure
-  WHERE x.x > q75 * {GROWTH} + beyond OR two_sided AND x.x < q25 / {GROWTH} - beyond
+  WHERE x.x > CASE WHEN q25 = q75 AND NOT two_sided THEN least(q75 * {GROWTH} + beyond, high * {GROWTH}) ELSE q75 * {GROWTH} + beyond END OR two_sided AND x.x < q25 / {GROWTH} - beyond
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM failing) AS kept FROM m
 """
