@@ -8,7 +8,9 @@ WEIGHT documents, and that one's with the sketch of all documents, so that small
 groups lean on larger ones by degrees. A cut-off lies FENCE widths of the middle
 half outside it, and UNITS of the smallest step that a document of the group's
 median size can take (one symbol of so many characters, one line of so many),
-so no cut-off is a fixed number. Everything is DataFrame functions; the join
+so no cut-off is a fixed number. Where the middle half has no width, as with
+rules that most documents of a group meet with the same value, the group's UPPER quantile cuts
+off if it lies lower. Everything is DataFrame functions; the join
 with the cut-offs filters.
 """
 
