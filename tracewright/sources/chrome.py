@@ -210,3 +210,16 @@ def with_rank(docs: DataFrame, rank: Column) -> DataFrame:
 def events_only(docs: DataFrame, path: str) -> None:
     """Traces with their event lists alone, one document for each row, as some viewers want them."""
     docs.select(F.to_json(F.struct("traceEvents")).alias("value")).write.mode("overwrite").text(path)
+
+
+def copy_with_rank(spark: SparkSession, path: str, target: str, rank: int) -> None:
+    """The trace at path (one file) written as a document of another rank, event by event; the rank changes in the metadata too."""
+    from .sinks import raw_json, write_document
+
+    raw = raw_events(spark, path, every_file=True).withColumn("rank", F.lit(rank))
+    heads = event_stream.ranges(spark, path).where("metadata <> '{}'").select(F.from_json("metadata", "map<string,variant>").alias("m"))
+    merged = heads.agg(F.aggregate(F.collect_list("m"), F.create_map().cast("map<string,variant>"), lambda a, b: F.map_concat(a, b)).alias("m"))  # the keys before the events and those after them
+    info = F.coalesce(F.from_json(F.to_json(F.col("m")["distributedInfo"]), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    fresh = F.map_concat(F.map_filter(info, lambda k, _: k != "rank"), F.create_map(F.lit("rank"), F.parse_json(F.lit(str(rank)))))
+    whole = F.map_concat(F.map_filter("m", lambda k, _: k != "distributedInfo"), F.create_map(F.lit("distributedInfo"), F.parse_json(F.to_json(fresh))))
+    write_document(raw_json(raw), target, merged.select(F.lit(rank).alias("rank"), F.to_json(whole).alias("header")))

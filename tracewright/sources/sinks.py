@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .document_sink import write_documents
+
 
 def event_json(df: DataFrame, *columns: str) -> DataFrame:
     """(rank, ts, event): rows as Chrome events of kind X with the given columns (all but the base ones by default) as args."""
@@ -45,11 +47,21 @@ def write_trace(events: DataFrame, path: str) -> None:
     ordered.write.mode("overwrite").partitionBy("rank").option("compression", "gzip").text(path)
 
 
-def write_document(events: DataFrame, path: str) -> None:
-    """One JSON document for each rank; for traces whose events fit into a row (up to 2 GB of text)."""
-    listed = events.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("ts", "event"))).alias("e"))
-    text = F.concat(F.lit('{"schemaVersion": 1, "distributedInfo": {"rank": '), F.col("rank").cast("string"), F.lit('}, "traceEvents": ['), F.array_join(F.col("e.event"), ","), F.lit("]}"))
-    listed.select("rank", text.alias("value")).write.mode("overwrite").partitionBy("rank").option("compression", "gzip").text(path)
+def write_document(events: DataFrame, path: str, metadata: DataFrame | None = None) -> None:
+    """One readable JSON document for each rank from rows (rank, ts, event), of any size; metadata (rank, header) has the documents' other keys."""
+    write_documents(events, path, metadata)
+
+
+def raw_json(raw: DataFrame) -> DataFrame:
+    """(rank, ts, event): rows of chrome.raw_events() as the events they were read from. Keys without a column of their own are lost."""
+
+    def value(name: str) -> Column:  # numbers stay numbers
+        number = F.col(name).rlike(r"^-?(0|[1-9]\d*)(\.\d+)?$")
+        quoted = F.to_json(F.array(name))
+        return F.when(number, F.try_parse_json(name)).when(F.col(name).isNotNull(), F.try_parse_json(F.substring(quoted, F.lit(2), F.length(quoted) - 2)))
+
+    fields = [value(c).alias(c) if c in ("pid", "tid", "id") else F.col(c) for c in ("ph", "cat", "name", "pid", "tid", "ts", "dur", "id", "bp", "s", "args")]
+    return raw.select("rank", "ts", F.to_json(F.struct(*fields)).alias("event"))
 
 
 def write_report(df: DataFrame, path: str, digits: int = 3) -> None:
