@@ -90,7 +90,61 @@ def test_ingest_is_incremental(spark, folder, tmp_path):
     target = str(tmp_path / "bronze")
     assert chrome.ingest(spark, folder, target).count() == 10
     assert chrome.ingest(spark, folder, target).count() == 10
-    assert spark.read.parquet(f"{target}/_sources_").count() == 3
+    assert spark.read.parquet(f"{target}/_manifest").count() == 3
+
+
+def put(folder, name, rank, names):
+    (folder / name).write_text(json.dumps({"distributedInfo": {"rank": rank}, "traceEvents": [{"ph": "X", "cat": "cpu_op", "name": n, "ts": 1, "dur": 1, "pid": 1, "tid": 1} for n in names]}))
+
+
+def by_rank(df):
+    return {r["rank"]: sorted(r.n) for r in df.groupBy("rank").agg(F.collect_list("name").alias("n")).collect()}
+
+
+def test_ingest_replaces_whole_ranks(spark, tmp_path):
+    folder, target = tmp_path / "in", str(tmp_path / "bronze")
+    folder.mkdir()
+    put(folder, "a.json", 0, ["old"])
+    put(folder, "m.json", 1, ["one"])
+    assert by_rank(chrome.ingest(spark, str(folder), target)) == {0: ["old"], 1: ["one"]}
+    put(folder, "b.json", 0, ["b1", "b2"])
+    put(folder, "c.json", 0, ["c"])  # two new files of a rank: the last wins
+    put(folder, "l.json", 1, ["not last"])  # a new file before a known one doesn't
+    assert by_rank(chrome.ingest(spark, str(folder), target)) == {0: ["c"], 1: ["one"]}
+    put(folder, "m.json", 1, ["one", "changed"])
+    assert by_rank(chrome.ingest(spark, str(folder), target)) == {0: ["c"], 1: ["changed", "one"]}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").upper() == "STATIC"
+
+
+def test_ingest_after_a_crash_before_the_manifest(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    folder, target = tmp_path / "in", str(tmp_path / "bronze")
+    folder.mkdir()
+    put(folder, "a.json", 0, ["a"])
+    chrome.ingest(spark, str(folder), target)
+    put(folder, "b.json", 0, ["b"])
+    whole = DataFrameWriter.parquet
+
+    def crashing(self, path, *args, **more):
+        if path.endswith("_manifest"):
+            raise OSError("crash")
+        return whole(self, path, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", crashing)
+    with pytest.raises(OSError):
+        chrome.ingest(spark, str(folder), target)
+    monkeypatch.undo()
+    assert by_rank(chrome.ingest(spark, str(folder), target)) == {0: ["b"]}
+    assert spark.read.parquet(f"{target}/_manifest").count() == 2
+
+
+def test_ingest_of_a_thousand_files(spark, tmp_path):
+    folder, target = tmp_path / "in", str(tmp_path / "bronze")
+    folder.mkdir()
+    for k in range(1000):
+        put(folder, f"{k:04}.json", k % 20, [f"n{k}"])
+    assert by_rank(chrome.ingest(spark, str(folder), target)) == {k: [f"n{980 + k}"] for k in range(20)}
 
 
 def test_repair(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..operators.keep import kept
 from . import event_stream
 from .args import KINDS, REGISTRY, ArgSpec, ParserOptions
 
@@ -42,18 +43,18 @@ def trace_files(spark: SparkSession, path: str) -> DataFrame:
     return metadata(spark, path).groupBy("rank").agg(F.max("path").alias("path"))
 
 
-def raw_events(spark: SparkSession, path: str, split_bytes: int = event_stream.SPLIT, skip_categories: tuple[str, ...] = (), args: tuple[str, ...] | None = None, every_file: bool = False) -> DataFrame:
+def raw_events(spark: SparkSession, path: str, split_bytes: int = event_stream.SPLIT, skip_categories: tuple[str, ...] = (), args: tuple[str, ...] | None = None, every_file: bool = False, files: list[str] | None = None) -> DataFrame:
     """(rank, index, ph, cat, name, pid, tid, ts, dur, id, bp, s, args): all events with their position in the file.
 
     Files are read in ranges of split_bytes, event by event (see event_stream); of several files of a rank the last by
-    path counts, or all with every_file, which adds path. Events of skip_categories and arguments other than args are passed over while reading.
+    path counts, or all with every_file, which adds path. files names those at path that are read. Events of skip_categories and arguments other than args are passed over while reading.
     """
-    cuts = event_stream.ranges(spark, path, split_bytes).select("path", "split", "before", F.get_json_object("metadata", "$.distributedInfo.rank").try_cast("int").alias("r"))
+    cuts = event_stream.ranges(spark, path, split_bytes, files).select("path", "split", "before", F.get_json_object("metadata", "$.distributedInfo.rank").try_cast("int").alias("r"))
     of_file = Window.partitionBy("path")
     cuts = cuts.select("path", "split", "before", F.coalesce(F.max("r").over(of_file), F.lit(0)).alias("rank"))
     if not every_file:
         cuts = cuts.withColumn("last", F.max("path").over(Window.partitionBy("rank"))).where("path = last").drop("last")
-    rows = event_stream.range_events(spark, path, split_bytes, skip_categories, args)
+    rows = event_stream.range_events(spark, path, split_bytes, skip_categories, args, files)
     met = rows.join(F.broadcast(cuts), ["path", "split"])  # a row for each split_bytes of input
     fields = [F.try_parse_json("args").alias("args") if c == "args" else F.col(c) for c in event_stream.FIELDS]
     return met.select("rank", (F.col("before") + F.col("position")).alias("index"), *fields, *["path"] * every_file)
@@ -137,25 +138,44 @@ def validate(raw: DataFrame, level: str = "standard") -> DataFrame:
     return rows.select("rank", F.explode("found").alias("f")).select("rank", "f.problem", "f.n").where("n > 0")
 
 
-def ingest(spark: SparkSession, path: str, target: str, options: ParserOptions = ParserOptions()) -> DataFrame:
-    """Parse the traces of a folder into Parquet by rank, with path, size and time of the source; ranks whose source is unchanged stay as they are."""
-    docs = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("source_size"), F.col("modificationTime").alias("source_time"))
-    try:
-        known = spark.read.parquet(f"{target}/_sources_")
-        docs = docs.join(known, ["path", "source_size", "source_time"], "left_anti")
-    except Exception as error:  # first time: there is no table yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    fresh = [r.path for r in docs.select("path").collect()]  # one row for each file
+MANIFEST = "path string, source_size long, source_time timestamp, rank int"
+
+
+def _exists(path: str) -> bool:
+    from pyarrow import fs
+
+    where, name = event_stream._place(path)
+    return where.get_file_info(name).type != fs.FileType.NotFound
+
+
+def ingest(spark: SparkSession, path: str, target: str, options: ParserOptions = ParserOptions(), split_bytes: int = event_stream.SPLIT) -> DataFrame:
+    """Parse the new and changed traces of a folder into Parquet by rank; ranks whose files are unchanged stay as they are.
+
+    The last file of a rank by path wins, be it new or known. All files are read by
+    one plan, whole ranks are replaced, and the manifest (path, source_size, source_time, rank of
+    each file) is written last: after a crash before that, the next call replaces the same ranks
+    again. Only the names of new files, and no list of events or ranks, come to the driver.
+    """
+    events, manifest = f"{target}/events", f"{target}/_manifest"
+    listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("source_size"), F.col("modificationTime").alias("source_time"))
+    known = spark.read.schema(MANIFEST).parquet(manifest) if _exists(manifest) else spark.createDataFrame([], MANIFEST)
+    fresh = [r.path for r in listed.join(known, ["path", "source_size", "source_time"], "left_anti").select("path").collect()]
     if fresh:
-        events = None
-        for file in fresh:
-            rows = parse(raw_events(spark, file), options)
-            events = rows if events is None else events.unionByName(rows)
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        events.write.mode("overwrite").partitionBy("rank").parquet(f"{target}/events")
-        docs.write.mode("append").parquet(f"{target}/_sources_")
-    return spark.read.parquet(f"{target}/events")
+        plain = event_stream._place(path)[1]
+        found = event_stream.ranges(spark, plain if "://" not in path else path, split_bytes, fresh)
+        local = F.regexp_extract("path", r"^(?:[a-z0-9]+:(?://[^/]*)?)?(.*)$", 1)
+        rank = F.coalesce(F.max(F.get_json_object("metadata", "$.distributedInfo.rank").try_cast("int")), F.lit(0))
+        ranks = found.groupBy(local.alias("name")).agg(rank.alias("rank"))
+        current = listed.withColumn("name", local)
+        entries = kept(current.join(ranks, "name").select("path", "source_size", "source_time", "rank"))
+        older = known.join(listed, ["path", "source_size", "source_time"], "left_semi")
+        last = entries.withColumn("new", F.lit(True)).unionByName(older.withColumn("new", F.lit(False))).groupBy("rank").agg(F.max(F.struct("path", "new")).alias("l"))
+        winners = [r.path for r in last.where("l.new").select("l.path").collect()]
+        if winners:
+            raw = raw_events(spark, plain if "://" not in path else path, split_bytes, options.skip_categories, tuple(a.raw for a in options.args), files=winners)
+            parse(raw, options).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rank").parquet(events)
+        entries.write.mode("append").parquet(manifest)
+    return spark.read.parquet(events)
 
 
 def device_ranks(events: DataFrame) -> DataFrame:

@@ -190,7 +190,7 @@ def events_of(text: Text, start: int, end: int, found: Found) -> Iterator[dict]:
 
 
 def _place(path: str):
-    """The file system and the path within it."""
+    """The file system that has a path, and the path within it."""
     from pyarrow import fs
 
     if path.startswith("file:/") and not path.startswith("file://"):
@@ -223,13 +223,20 @@ def text_of(path: str, start: int = 0) -> Text:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     split: int
     start: int
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads: a range of a large file, or small files up to about the same size."""
+
+    ranges: list[Range]
+
+
 def _number(value: Any) -> float | None:
     try:
         return float(value) if not isinstance(value, bool) else None
@@ -249,21 +256,36 @@ class _Reader(DataSourceReader):
         self.split = int(option.get("splitbytes", SPLIT))
         self.skip = list(json.loads(option.get("skipcategories", "[]")))
         self.args = json.loads(option["args"]) if "args" in option else None
+        self.files = json.loads(option["files"]) if "files" in option else None
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
         where, name = _place(self.path)
         prefix = self.path[: len(self.path) - len(name)] if self.path.endswith(name) else ""
-        info = where.get_file_info(name)
-        files = [info] if info.is_file else [f for f in where.get_file_info(fs.FileSelector(name, recursive=True)) if f.is_file and f.base_name.endswith((".json", ".json.gz"))]
-        found = []
+        if self.files is None:
+            info = where.get_file_info(name)
+            files = [info] if info.is_file else [f for f in where.get_file_info(fs.FileSelector(name, recursive=True)) if f.is_file and f.base_name.endswith((".json", ".json.gz"))]
+        else:
+            files = where.get_file_info([_place(f)[1] for f in self.files])
+        made, small, size = [], [], 0
         for file in sorted(files, key=lambda f: f.path):
             cuts = [0] if file.path.endswith(".gz") else list(range(0, max(file.size, 1), self.split))
-            found += [Range(prefix + file.path, k, at, (cuts + [1 << 62])[k + 1]) for k, at in enumerate(cuts)]
-        return found
+            own = [Range(prefix + file.path, k, at, (cuts + [1 << 62])[k + 1]) for k, at in enumerate(cuts)]
+            if len(own) > 1 or file.size > self.split // 4:
+                made += [Ranges([r]) for r in own]
+                continue
+            small, size = small + own, size + file.size
+            if size > self.split // 4 or len(small) >= 64:
+                made.append(Ranges(small))
+                small, size = [], 0
+        return made + [Ranges(small)] * bool(small)
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        for one in part.ranges:
+            yield from self._read(one)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def _read(self, part: Range) -> Iterator[pa.RecordBatch]:
         found, n = Found(), 0
         rows: list[tuple] = []
         try:
@@ -300,7 +322,7 @@ class _Reader(DataSourceReader):
 
 
 class EventStream(DataSource):
-    """Rows EVENTS, or RANGES if that schema is asked for. Options: splitBytes, skipCategories and args (JSON lists of categories to leave out and arguments to keep)."""
+    """Rows EVENTS, or RANGES if that schema is asked for. Options: splitBytes, and as JSON lists skipCategories (to leave out), args (to keep) and files (to read, of those at path)."""
 
     @classmethod
     def name(cls) -> str:
@@ -318,12 +340,12 @@ def _read(spark: SparkSession, path: str, schema: str, **options: str | int) ->
     return spark.read.format("trace_events").schema(schema).options(**options).load(path)
 
 
-def ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
+def ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT, files: list[str] | None = None) -> DataFrame:
     """(path, split, before, events, metadata): events before each range and in it, and the document's keys but its events.
 
     Reading it fails if two neighbouring ranges don't agree where the second one's first event is.
     """
-    found = _read(spark, path, RANGES, splitBytes=split_bytes)
+    found = _read(spark, path, RANGES, splitBytes=split_bytes, **({} if files is None else {"files": json.dumps(files)}))
     of_file = Window.partitionBy("path").orderBy("split")
     # a range within one event has none of its own and passes on what comes next
     expected = F.last("next", ignorenulls=True).over(of_file.rowsBetween(Window.unboundedPreceding, -1))
@@ -333,9 +355,8 @@ def ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFram
     return found.select("path", "split", checked.alias("before"), "events", "metadata")
 
 
-def range_events(spark: SparkSession, path: str, split_bytes: int = SPLIT, skip_categories: tuple[str, ...] = (), args: tuple[str, ...] | None = None) -> DataFrame:
+def range_events(spark: SparkSession, path: str, split_bytes: int = SPLIT, skip_categories: tuple[str, ...] = (), args: tuple[str, ...] | None = None, files: list[str] | None = None) -> DataFrame:
     """EVENTS: all events but those of skip_categories, with their position in their range; args is JSON text, cut down to the given keys."""
     options: dict[str, str | int] = {"splitBytes": split_bytes, "skipCategories": json.dumps(skip_categories)}
-    if args is not None:
-        options["args"] = json.dumps(args)
+    options |= {k: json.dumps(v) for k, v in (("args", args), ("files", files)) if v is not None}
     return _read(spark, path, EVENTS, **options)
