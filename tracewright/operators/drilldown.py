@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .quantiles import with_quartiles
 
 
 def parse_template(text: str) -> list[dict]:
@@ -69,11 +70,8 @@ def forward_backward_spans(matched: DataFrame, events: DataFrame, pairs: DataFra
 
 def span_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """mean, q25, q50, q75, max, min, var (sample), count of positive values."""
-    quartile = lambda q: F.percentile(value, F.lit(q))
-    return df.where(F.col(value) > 0).groupBy(*keys).agg(
-        F.avg(value).alias("mean"), quartile(0.25).alias("q25"), quartile(0.5).alias("q50"), quartile(0.75).alias("q75"), F.max(value).alias("max"),
-        F.min(value).alias("min"), F.var_samp(value).alias("var"), F.count(value).alias("count"),
-    )
+    found = with_quartiles(df.where(F.col(value) > 0), keys, value, F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.var_samp(value).alias("var"), F.count(value).alias("count"))
+    return found.select(*keys, "mean", "q25", "q50", "q75", "max", "min", "var", "count")
 
 
 def model_report(spans: DataFrame, nodes: DataFrame) -> DataFrame:

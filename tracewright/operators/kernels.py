@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from .intervals import containment_join, covered_time, overlap_join, overlap_states
+from .quantiles import with_quartiles
 from .scans import SEGMENT_US
 
 #: Kinds of kernels with their bits, in the order of labels.
@@ -25,12 +26,9 @@ def time_statistics(df: DataFrame, keys: list[str], value: str = "dur") -> DataF
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """count, mean, std (sample), min, quartiles (linear) and max by keys; exact."""
-    quartile = lambda q: F.percentile(value, F.lit(q))
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-        quartile(0.25).alias("q25"), quartile(0.5).alias("q50"), quartile(0.75).alias("q75"), F.max(value).alias("max"),
-    )
+    """count, mean, std (sample), min, quartiles (linear) and max by keys; exact, and no group is held in memory."""
+    found = with_quartiles(df, keys, value, F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return found.select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def type_breakdown(events: DataFrame, with_memory: bool = True, segment: int = SEGMENT_US) -> DataFrame:
