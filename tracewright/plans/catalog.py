@@ -18,6 +18,14 @@ SEGMENT = 86_400_000_000
 #: Delay below which a gap counts as waiting for the kernel, on this data's scale.
 DELAY = 30_000_000
 
+#: Events by the number of a rank, stage or step that they fall on.
+ON = lambda n: f"SELECT user_id % {n} AS on_, count(*) AS n FROM events GROUP BY 1"
+
+
+def events_on(spark, sf_dir, n: int, column: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy((F.col("user_id") % n).cast("int").alias(column)).agg(F.count("*").alias("n"))
+
+
 QUERIES: dict = dict(threaded.QUERIES)
 ORACLES: dict[str, str] = dict(threaded.ORACLES)
 
@@ -533,55 +541,54 @@ SIZES = {"tp": 2, "ep": 2, "dp": 3, "pp": 4}
 @plain_query(
     "rank_groups",
     """WITH r AS (SELECT CAST(k AS INT) AS rank, k % 2 AS tp, k // 2 % 2 AS ep, k // 4 % 3 AS dp, k // 12 % 4 AS pp FROM range(48) t(k))
-SELECT 'pp' AS token, CAST(tp + 2 * ep + 4 * dp AS INT) AS group_id, CAST(pp AS INT) AS pos, rank FROM r UNION ALL SELECT 'tp-dp', CAST(ep + 2 * pp AS INT), CAST(tp + 2 * dp AS INT), rank FROM r""",
+SELECT x.*, n FROM (SELECT 'pp' AS token, CAST(tp + 2 * ep + 4 * dp AS INT) AS group_id, CAST(pp AS INT) AS pos, rank FROM r UNION ALL SELECT 'tp-dp', CAST(ep + 2 * pp AS INT), CAST(tp + 2 * dp AS INT), rank FROM r) x JOIN (""" + ON(48) + ") ON rank = on_",
 )
 def rank_groups(spark, sf_dir):
-    return parallel.rank_groups(spark, SIZES, "pp").unionByName(parallel.rank_groups(spark, SIZES, "tp-dp"))
+    return parallel.rank_groups(spark, SIZES, "pp").unionByName(parallel.rank_groups(spark, SIZES, "tp-dp")).join(events_on(spark, sf_dir, 48, "rank"), "rank")
 
 
 @plain_query(
     "rank_neighbours",
     """WITH r AS (SELECT CAST(k AS INT) AS rank, CAST(k % 12 AS INT) AS group_id, CAST(k // 12 AS INT) AS pos FROM range(48) t(k))
-SELECT group_id, rank, CAST((rank + 36) % 48 AS INT) AS prev_rank, CAST((rank + 12) % 48 AS INT) AS next_rank, pos = 0 AS is_first, pos = 3 AS is_last FROM r""",
+SELECT group_id, rank, CAST((rank + 36) % 48 AS INT) AS prev_rank, CAST((rank + 12) % 48 AS INT) AS next_rank, pos = 0 AS is_first, pos = 3 AS is_last, n FROM r JOIN (""" + ON(48) + ") ON rank = on_",
 )
 def rank_neighbours(spark, sf_dir):
-    return parallel.neighbours(parallel.rank_groups(spark, SIZES, "pp")).select("group_id", "rank", "prev_rank", "next_rank", "is_first", "is_last")
+    return parallel.neighbours(parallel.rank_groups(spark, SIZES, "pp")).select("group_id", "rank", "prev_rank", "next_rank", "is_first", "is_last").join(events_on(spark, sf_dir, 48, "rank"), "rank")
 
 
 @plain_query(
     "pp_schedule_table",
     """WITH t AS (SELECT k AS position, k // 8 AS block, least(4, 10 - 4 * (k // 8)) AS width, k % 8 AS inside FROM range(20) t(k)),
 s AS (SELECT position, CAST(block * 4 + inside % width AS BIGINT) AS micro_batch, CAST(inside // width AS BIGINT) AS chunk FROM t)
-SELECT CASE WHEN position < 5 THEN position ELSE 5 + 2 * (position - 5) END AS step, 'forward' AS direction, micro_batch, chunk FROM s
-UNION ALL SELECT CASE WHEN position < 15 THEN 5 + 2 * position + 1 ELSE 20 + position END, 'backward', micro_batch, 1 - chunk FROM s""",
+SELECT x.*, n FROM (SELECT CASE WHEN position < 5 THEN position ELSE 5 + 2 * (position - 5) END AS step, 'forward' AS direction, micro_batch, chunk FROM s
+UNION ALL SELECT CASE WHEN position < 15 THEN 5 + 2 * position + 1 ELSE 20 + position END, 'backward', micro_batch, 1 - chunk FROM s) x JOIN (""" + ON(40) + ") ON step = on_",
 )
 def pp_schedule_table(spark, sf_dir):
-    return parallel.schedule_order(parallel.schedule_table(spark, 10, 2, 4), 5)
+    return parallel.schedule_order(parallel.schedule_table(spark, 10, 2, 4), 5).join(events_on(spark, sf_dir, 40, "step"), "step")
 
 
-@plain_query("pp_warmup", "SELECT CAST(k AS INT) AS stage, CAST(least((4 - k - 1) * 2 + 4, 16) AS INT) AS interleaved, CAST(least(4 - k - 1, 8) AS INT) AS plain FROM range(4) t(k)")
+@plain_query("pp_warmup", "SELECT CAST(k AS INT) AS stage, CAST(least((4 - k - 1) * 2 + 4, 16) AS INT) AS interleaved, CAST(least(4 - k - 1, 8) AS INT) AS plain, n FROM (SELECT on_ AS k, n FROM (" + ON(4) + "))")
 def pp_warmup(spark, sf_dir):
-    stage = F.col("id").cast("int")
-    four = F.lit(4)
-    return spark.range(4).select(stage.alias("stage"), parallel.warmup(four, stage, F.lit(8), F.lit(2), four).alias("interleaved"), parallel.warmup(four, stage, F.lit(8)).alias("plain"))
+    stage, four = F.col("stage"), F.lit(4)
+    return events_on(spark, sf_dir, 4, "stage").select("stage", "n", parallel.warmup(four, stage, F.lit(8), F.lit(2), four).alias("interleaved"), parallel.warmup(four, stage, F.lit(8)).alias("plain"))
 
 
-@plain_query("p2p_link", f'WITH {TRANSFERS} SELECT rank, name, index, comm_time, wait FROM linked')
+@plain_query("p2p_link", f'WITH {TRANSFERS} SELECT "group", rank, name, index, comm_time, wait FROM linked')
 def p2p_link(spark, sf_dir):
-    return parallel.link_transfers(parallel.micro_batch_ids(transfers(spark))).select("rank", "name", "index", "comm_time", "wait")
+    return parallel.link_transfers(parallel.micro_batch_ids(transfers(spark, sf_dir))).select("group", "rank", "name", "index", "comm_time", "wait")
 
 
 @plain_query(
     "bubble_report_1f1b",
-    f"""WITH {TRANSFERS}, o AS (SELECT min(ts) AS opt FROM linked WHERE stage = 0 AND name = 'optimizer_step'),
+    f"""WITH {TRANSFERS}, o AS (SELECT "group" AS og, min(ts) AS opt FROM linked WHERE stage = 0 AND name = 'optimizer_step' GROUP BY "group"),
 p AS (SELECT "group", rank, stage, arg_min(wait, ts) FILTER (name = 'recv_forward') AS w, coalesce(sum(wait) FILTER (name IN ('recv_forward', 'send_forward')), 0) AS warm,
  coalesce(sum(wait) FILTER (name IN ('send_backward', 'recv_backward')), 0) AS cool, max(ts + dur) FILTER (name IN ('backward_step', 'send_backward', 'recv_backward')) AS fin, sum(comm_time) AS comm FROM linked GROUP BY ALL)
 SELECT "group", rank, stage, CASE stage WHEN 0 THEN 0 ELSE w END / 1000.0 AS warmup_theoretical, warm / 1000.0 AS warmup_total, (warm - CASE stage WHEN 0 THEN 0 ELSE w END) / 1000.0 AS warmup_non_balanced,
  0.0 AS steady_theoretical, 0.0 AS steady_total, 0.0 AS steady_non_balanced, (CASE stage WHEN 3 THEN 0 ELSE cool END + greatest(opt - fin, 0)) / 1000.0 AS cooldown_theoretical, 0.0 AS cooldown_extra,
- comm / 1000.0 AS comm_total, CAST(3.0 / 11 AS DOUBLE) AS ideal_bubble_ratio FROM p, o""",
+ comm / 1000.0 AS comm_total, CAST(3.0 / 11 AS DOUBLE) AS ideal_bubble_ratio FROM p JOIN o ON "group" = og""",
 )
 def bubble_report_1f1b(spark, sf_dir):
-    return parallel.bubble_report_1f1b(parallel.link_transfers(parallel.micro_batch_ids(transfers(spark))), STAGES, MICRO_BATCHES)
+    return parallel.bubble_report_1f1b(parallel.link_transfers(parallel.micro_batch_ids(transfers(spark, sf_dir))), STAGES, MICRO_BATCHES)
 
 
 IDLE = f"""{ANNOTATED}, gp AS (SELECT *, fks - lag(fks + span) OVER (PARTITION BY "group", rank ORDER BY fks, ts) AS gap FROM annotated WHERE num_kernels > 0),
@@ -592,7 +599,7 @@ i AS (SELECT i0.*, split_part(name, '_', 1) AS direction, CASE p WHEN 1 THEN coa
 
 @plain_query("idle_intervals", f'WITH {IDLE} SELECT "group", rank, direction, ts, idle FROM i')
 def idle_intervals(spark, sf_dir):
-    return parallel.idle_intervals(annotated(spark)).select("group", "rank", "direction", "ts", "idle")
+    return parallel.idle_intervals(annotated(spark, sf_dir)).select("group", "rank", "direction", "ts", "idle")
 
 
 @plain_query(
@@ -606,7 +613,7 @@ SELECT "group", rank, stage, coalesce(sum(idle) FILTER (rank > 0 AND fw AND k =
 FROM f GROUP BY "group", rank, stage""",
 )
 def bubble_report_interleaved(spark, sf_dir):
-    return parallel.bubble_report_interleaved(parallel.idle_intervals(annotated(spark)), STAGES, VIRTUAL, MICRO_BATCHES, 4)
+    return parallel.bubble_report_interleaved(parallel.idle_intervals(annotated(spark, sf_dir)), STAGES, VIRTUAL, MICRO_BATCHES, 4)
 
 
 @plain_query(
@@ -615,14 +622,14 @@ def bubble_report_interleaved(spark, sf_dir):
 FROM annotated WHERE num_kernels > 0 AND fks > 0 AND name LIKE '%step' GROUP BY ALL""",
 )
 def device_timeline(spark, sf_dir):
-    rows = annotated(spark).where("name like '%step'").withColumns({"direction": F.substring_index("name", "_", 1), "last_kernel_end": F.col("first_kernel_start") + F.col("kernel_span")})
+    rows = annotated(spark, sf_dir).where("name like '%step'").withColumns({"direction": F.substring_index("name", "_", 1), "last_kernel_end": F.col("first_kernel_start") + F.col("kernel_span")})
     merged_steps = parallel.device_timeline(rows.withColumns({"micro_batch": F.floor(F.col("ts") / 1_000_000), "stage": F.lit(0)}))
     return merged_steps.drop("stage")
 
 
 @plain_query("align_groups", f'WITH {ANNOTATED} SELECT "group", rank, name, ts - min(ts) FILTER (num_kernels > 0) OVER (PARTITION BY "group") AS ts FROM annotated')
 def align_groups(spark, sf_dir):
-    return parallel.align_groups(annotated(spark)).select("group", "rank", "name", "ts")
+    return parallel.align_groups(annotated(spark, sf_dir)).select("group", "rank", "name", "ts")
 
 
 @plain_query(
@@ -630,7 +637,7 @@ def align_groups(spark, sf_dir):
     f"""WITH {ANNOTATED} SELECT "group", rank, arg_min(dur, ts) FILTER (name = 'forward_step') / 1000.0 AS forward_step, arg_min(dur, ts) FILTER (name = 'recv_backward') / 1000.0 AS recv_backward FROM annotated GROUP BY ALL""",
 )
 def phase_times(spark, sf_dir):
-    return parallel.phase_times(annotated(spark), ("forward_step", "recv_backward"))
+    return parallel.phase_times(annotated(spark, sf_dir), ("forward_step", "recv_backward"))
 
 
 @plain_query(
@@ -638,7 +645,7 @@ def phase_times(spark, sf_dir):
     f"""WITH {STEPS} SELECT rank, direction || '_mb' || micro_batch || '_vpp' || stage AS name, direction AS without_index, direction || '_mb' || micro_batch AS without_stage, count(*) AS n FROM steps GROUP BY ALL""",
 )
 def step_names(spark, sf_dir):
-    named = steps(spark).withColumn("name", N.step_name(F.col("direction"), F.col("micro_batch"), F.col("stage")))
+    named = steps(spark, sf_dir).withColumn("name", N.step_name(F.col("direction"), F.col("micro_batch"), F.col("stage")))
     named = named.withColumns({"without_index": N.without_index(F.col("name")), "without_stage": F.regexp_replace("name", r"_vpp\d+$", "")})
     return named.groupBy("rank", "name", "without_index", "without_stage").agg(F.count("*").alias("n"))
 
@@ -712,52 +719,59 @@ def overlapping_transfers(events):
  max(dur) / 1000.0 AS dur_max, avg(dur) / 1000.0 AS dur_mean, round(stddev_pop(dur) / 1000.0, 6) AS dur_std, count(DISTINCT rank) AS ranks FROM steps GROUP BY ALL""",
 )
 def ep_group_stats(spark, sf_dir):
-    rows = steps(spark).withColumn("event", F.concat(F.col("direction"), F.lit("_vpp"), (F.col("stage") - 1).cast("string")))
+    rows = steps(spark, sf_dir).withColumn("event", F.concat(F.col("direction"), F.lit("_vpp"), (F.col("stage") - 1).cast("string")))
     return rounded(parallel.expert_statistics(rows, parallel.rank_groups(spark, {"tp": 2, "ep": 2}, "ep")), "dur_std", digits=6)
 
 
-@plain_query("ep_pp_bundles", "SELECT CAST(g AS INT) AS ep_group, [CAST(g % 2 + 4 * (g // 2 % 3) AS INT), CAST(g % 2 + 4 * (g // 2 % 3) + 2 AS INT)] AS pp_groups FROM range(24) t(g)")
+@plain_query("ep_pp_bundles", "SELECT CAST(g AS INT) AS ep_group, [CAST(g % 2 + 4 * (g // 2 % 3) AS INT), CAST(g % 2 + 4 * (g // 2 % 3) + 2 AS INT)] AS pp_groups, n FROM (SELECT on_ AS g, n FROM (" + ON(24) + "))")
 def ep_pp_bundles(spark, sf_dir):
-    return parallel.bundles(parallel.rank_groups(spark, SIZES, "ep"), parallel.rank_groups(spark, SIZES, "pp"))
+    return parallel.bundles(parallel.rank_groups(spark, SIZES, "ep"), parallel.rank_groups(spark, SIZES, "pp")).join(events_on(spark, sf_dir, 24, "ep_group"), "ep_group")
 
 
-DAG = f"""{STEPS}, n AS (SELECT *, row_number() OVER (ORDER BY ts, rank, direction, micro_batch, stage) AS node FROM steps),
-ed AS (SELECT node AS b, lag(node) OVER (PARTITION BY rank ORDER BY ts, node) AS a, 'local' AS kind FROM n
- UNION ALL SELECT t.node, s.node, CASE WHEN s.rank < 3 THEN 'forward' ELSE 'forward_wrap' END FROM n s JOIN n t ON s.direction = 'forward' AND t.direction = 'forward' AND s.micro_batch = t.micro_batch
+DAG = f"""{STEPS}, n AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY ts, rank, direction, micro_batch, stage) AS node FROM steps),
+ed AS (SELECT "group", node AS b, lag(node) OVER (PARTITION BY "group", rank ORDER BY ts, node) AS a, 'local' AS kind FROM n
+ UNION ALL SELECT s."group", t.node, s.node, CASE WHEN s.rank < 3 THEN 'forward' ELSE 'forward_wrap' END FROM n s JOIN n t ON s."group" = t."group" AND s.direction = 'forward' AND t.direction = 'forward' AND s.micro_batch = t.micro_batch
    AND ((s.rank < 3 AND t.rank = s.rank + 1 AND t.stage = s.stage) OR (s.rank = 3 AND t.rank = 0 AND t.stage = s.stage + 1))
- UNION ALL SELECT t.node, s.node, CASE WHEN s.rank > 0 THEN 'backward' ELSE 'backward_wrap' END FROM n s JOIN n t ON s.direction = 'backward' AND t.direction = 'backward' AND s.micro_batch = t.micro_batch
+ UNION ALL SELECT s."group", t.node, s.node, CASE WHEN s.rank > 0 THEN 'backward' ELSE 'backward_wrap' END FROM n s JOIN n t ON s."group" = t."group" AND s.direction = 'backward' AND t.direction = 'backward' AND s.micro_batch = t.micro_batch
    AND ((s.rank > 0 AND t.rank = s.rank - 1 AND t.stage = s.stage) OR (s.rank = 0 AND t.rank = 3 AND t.stage = s.stage - 1))
- UNION ALL SELECT t.node, s.node, 'activation' FROM n s JOIN n t ON s.direction = 'forward' AND t.direction = 'backward' AND s.rank = t.rank AND s.micro_batch = t.micro_batch AND s.stage = t.stage),
+ UNION ALL SELECT s."group", t.node, s.node, 'activation' FROM n s JOIN n t ON s."group" = t."group" AND s.direction = 'forward' AND t.direction = 'backward' AND s.rank = t.rank AND s.micro_batch = t.micro_batch AND s.stage = t.stage),
 edges AS (SELECT * FROM ed WHERE a IS NOT NULL)"""
 
 
-def schedule(spark):
-    nodes = dag.schedule_nodes(steps(spark))
+def schedule(spark, sf_dir):
+    nodes = dag.schedule_nodes(steps(spark, sf_dir))
     return nodes, dag.schedule_edges(nodes, STAGES, VIRTUAL)
 
 
-@plain_query("pp_dag_edges", f"WITH {DAG} SELECT a, b, kind FROM edges")
+@plain_query("pp_dag_edges", f'WITH {DAG} SELECT "group", a, b, kind FROM edges')
 def pp_dag_edges(spark, sf_dir):
-    return schedule(spark)[1].select("a", "b", "kind")
+    return schedule(spark, sf_dir)[1].select("group", "a", "b", "kind")
 
 
-@plain_query("pp_dag_violations", f"WITH {DAG} SELECT a, b, kind, t.ts - s.ts - s.dur AS gap FROM edges JOIN n s ON a = s.node JOIN n t ON b = t.node WHERE t.ts - s.ts - s.dur < 0")
+@plain_query("pp_dag_violations", f'WITH {DAG} SELECT e."group", a, b, kind, t.ts - s.ts - s.dur AS gap FROM edges e JOIN n s ON a = s.node AND s."group" = e."group" JOIN n t ON b = t.node AND t."group" = e."group" WHERE t.ts - s.ts - s.dur < 0')
 def pp_dag_violations(spark, sf_dir):
-    return dag.violations(*schedule(spark)).select("a", "b", "kind", "gap")
+    return dag.violations(*schedule(spark, sf_dir)).select("group", "a", "b", "kind", "gap")
 
 
-@plain_query(
-    "pp_dag_total_time",
-    f"""WITH RECURSIVE {DAG}, reach AS (SELECT node, dur AS t FROM n UNION SELECT b, t + d.dur FROM reach JOIN edges ON a = node JOIN n d ON d.node = b) SELECT 0 AS "group", max(t) AS total FROM reach""",
-)
+REACH = f"""WITH RECURSIVE {DAG}, far(g, node, t) USING KEY (g, node) AS (
+  SELECT "group", node, dur FROM n UNION SELECT e."group", e.b, max(f.t) + any_value(d.dur) FROM far f JOIN edges e ON e."group" = f.g AND e.a = f.node JOIN n d ON d."group" = e."group" AND d.node = e.b
+  JOIN recurring.far o ON o.g = e."group" AND o.node = e.b GROUP BY e."group", e.b HAVING max(f.t) + any_value(d.dur) > max(o.t))"""
+
+
+@plain_query("pp_dag_total_time", REACH + ' SELECT g AS "group", max(t) AS total FROM far GROUP BY g')
 def pp_dag_total_time(spark, sf_dir):
     return pp_dag_longest_path(spark, sf_dir).groupBy("group").agg(F.max("reached").alias("total"))
 
 
-@plain_query("pp_dag_longest_path")
+@plain_query(
+    "pp_dag_longest_path",
+    REACH + """, come AS (SELECT e."group" AS g, e.b, min(e.a) AS a FROM edges e JOIN far x ON x.g = e."group" AND x.node = e.a JOIN far y ON y.g = e."group" AND y.node = e.b JOIN n d ON d."group" = e."group" AND d.node = e.b WHERE x.t + d.dur = y.t GROUP BY ALL),
+path AS (SELECT g, min(node) AS node, CAST(0 AS BIGINT) AS back FROM far f WHERE t = (SELECT max(t) FROM far o WHERE o.g = f.g) GROUP BY g UNION ALL SELECT p.g, c.a, p.back + 1 FROM path p JOIN come c ON c.g = p.g AND c.b = p.node)
+SELECT p.g AS "group", p.node, max(back) OVER (PARTITION BY p.g) - back AS position, f.t AS reached FROM path p JOIN far f ON f.g = p.g AND f.node = p.node""",
+)
 def pp_dag_longest_path(spark, sf_dir):
-    nodes, edges = schedule(spark)
-    return dag.longest_path(nodes.withColumn("weight", F.col("dur")), edges.withColumn("weight", F.lit(0).cast("long")), "group")
+    nodes, edges = schedule(spark, sf_dir)
+    return dag.longest_path(nodes.withColumn("weight", F.col("dur")), edges.withColumn("weight", F.lit(0).cast("long")), "group").select("group", "node", "position", "reached")
 
 
 @plain_query("gemm_tflops", "SELECT l_quantity AS m, round(2.0 * l_quantity * 128 * 64 / (l_linenumber * 10) / 1e6, 9) AS tflops, round((l_quantity * 64 + 64 * 128 + l_quantity * 128) * 2.0 / (l_linenumber * 10) / 1e3, 9) AS gbps FROM lineitem")
@@ -857,15 +871,15 @@ def overlay_patterns(events):
     f"""WITH {STEPS} SELECT CAST(rank % 2 AS INT) AS group_id, micro_batch, min(ts) FILTER (direction = 'forward') / 1000.0 AS forward_start_min, max(dur) FILTER (direction = 'backward') / 1000.0 AS backward_dur_max FROM steps GROUP BY ALL""",
 )
 def ep_group_wide(spark, sf_dir):
-    rows = steps(spark).withColumn("event", F.col("direction"))
+    rows = steps(spark, sf_dir).withColumn("event", F.col("direction"))
     wide = parallel.expert_wide(parallel.expert_statistics(rows, parallel.rank_groups(spark, {"tp": 2, "ep": 2}, "ep")), ["forward", "backward"])
     return wide.select("group_id", "micro_batch", "forward_start_min", "backward_dur_max")
 
 
-@plain_query("bubble_ratios", "SELECT CAST(k AS INT) AS p, (k - 1) / CAST(k - 1 + 8 AS DOUBLE) AS plain, (k - 1) / CAST(8 AS DOUBLE) / 2 AS interleaved FROM range(1, 9) t(k)")
+@plain_query("bubble_ratios", "SELECT CAST(k AS INT) AS p, (k - 1) / CAST(k - 1 + 8 AS DOUBLE) AS plain, (k - 1) / CAST(8 AS DOUBLE) / 2 AS interleaved, n FROM (SELECT on_ + 1 AS k, n FROM (" + ON(8) + "))")
 def bubble_ratios(spark, sf_dir):
-    p = F.col("id").cast("int")
-    return spark.range(1, 9).select(p.alias("p"), N.bubble_ratio(p, F.lit(8)).alias("plain"), N.bubble_ratio(p, F.lit(8), F.lit(2)).alias("interleaved"))
+    p = F.col("stage") + 1
+    return events_on(spark, sf_dir, 8, "stage").select(p.alias("p"), "n", N.bubble_ratio(p, F.lit(8)).alias("plain"), N.bubble_ratio(p, F.lit(8), F.lit(2)).alias("interleaved"))
 
 
 @query("timeline_events", " SELECT rank, idx AS index, CASE WHEN name LIKE '%(%' THEN trim(regexp_replace(regexp_replace(name, '<.*>', ''), '\\(.*\\)', '')) ELSE name END AS label, dur AS duration FROM tr WHERE stream <> -1")
