@@ -17,66 +17,64 @@ class ArgSpec:
     default: object
 
 
-def _specs(kind: str, default: object, text: str) -> dict[str, ArgSpec]:
-    pairs = (line.strip().split(" <- ") for line in text.strip().splitlines())
-    return {name: ArgSpec(name, raw, kind, default) for name, raw in pairs}
-
-
-# Column names and the keys they come from, by kind and default.
-REGISTRY: dict[str, ArgSpec] = (
-    _specs("Int", -1, """ev_idx <- Ev Idx
-        external_id <- External id
-        python_id <- Python id
-        python_parent_id <- Python parent id
-        fwd_thread_id <- Fwd thread id
-        sequence <- Sequence number
-        cbid <- cbid
-        correlation <- correlation
-        est_occupancy <- est. achieved occupancy %
-        bytes <- bytes
-        context <- context
-        device <- device
-        stream <- stream
-        queued <- queued
-        shared_memory <- shared memory
-        registers_per_thread <- registers per thread
-        wait_on_stream <- wait_on_stream
-        wait_on_cuda_event_record_corr_id <- wait_on_cuda_event_record_corr_id
-        op_count <- Op count
-        sort_index <- sort_index
-        process_rank <- Rank
-        seq_num <- Seq
-        batch_size <- batchSize""")
-    | _specs("Int", 0, """in_msg_nelems <- In msg nelems
-        out_msg_nelems <- Out msg nelems
-        in_msg_size <- In msg size
-        out_msg_size <- Out msg size
-        group_size <- Group size""")
-    | _specs("Float", 0.0, """warps_per_sm <- warps per SM
-        memory_bw_gbps <- memory bandwidth (GB/s)""")
-    | _specs("String", "", """kernel_backend <- kernel_backend
-        kernel_hash <- kernel_hash
-        finished <- finished
-        labels <- labels
-        collective_name <- Collective name
-        msg_dtype <- dtype
-        process_group_name <- Process Group Name
-        process_group_desc <- Process Group Description
-        batch_id <- batchId""")
-    | _specs("Object", None, """concrete_inputs <- Concrete Inputs
-        input_dims <- Input Dims
-        input_type <- Input type
-        input_strides <- Input Strides
-        blocks_per_sm <- blocks per SM
-        block <- block
-        grid <- grid
-        in_split_size <- In split size
-        out_split_size <- Out split size
-        input_tensors_start <- Input Tensors start
-        output_tensors_start <- Output Tensors start
-        process_group_ranks <- Process Group Ranks
-        pre_grad_nodes <- pre_grad_nodes""")
-)
+# Columns, the keys that they come from, the kinds of their values, and what stands for a missing one.
+REGISTRY: dict[str, ArgSpec] = {
+    a.name: a
+    for a in (
+        ArgSpec("ev_idx", "Ev Idx", "Int", -1),
+        ArgSpec("external_id", "External id", "Int", -1),
+        ArgSpec("python_id", "Python id", "Int", -1),
+        ArgSpec("python_parent_id", "Python parent id", "Int", -1),
+        ArgSpec("fwd_thread_id", "Fwd thread id", "Int", -1),
+        ArgSpec("sequence", "Sequence number", "Int", -1),
+        ArgSpec("cbid", "cbid", "Int", -1),
+        ArgSpec("correlation", "correlation", "Int", -1),
+        ArgSpec("est_occupancy", "est. achieved occupancy %", "Int", -1),
+        ArgSpec("bytes", "bytes", "Int", -1),
+        ArgSpec("context", "context", "Int", -1),
+        ArgSpec("device", "device", "Int", -1),
+        ArgSpec("stream", "stream", "Int", -1),
+        ArgSpec("queued", "queued", "Int", -1),
+        ArgSpec("shared_memory", "shared memory", "Int", -1),
+        ArgSpec("registers_per_thread", "registers per thread", "Int", -1),
+        ArgSpec("wait_on_stream", "wait_on_stream", "Int", -1),
+        ArgSpec("wait_on_cuda_event_record_corr_id", "wait_on_cuda_event_record_corr_id", "Int", -1),
+        ArgSpec("op_count", "Op count", "Int", -1),
+        ArgSpec("sort_index", "sort_index", "Int", -1),
+        ArgSpec("process_rank", "Rank", "Int", -1),
+        ArgSpec("seq_num", "Seq", "Int", -1),
+        ArgSpec("batch_size", "batchSize", "Int", -1),
+        ArgSpec("in_msg_nelems", "In msg nelems", "Int", 0),
+        ArgSpec("out_msg_nelems", "Out msg nelems", "Int", 0),
+        ArgSpec("in_msg_size", "In msg size", "Int", 0),
+        ArgSpec("out_msg_size", "Out msg size", "Int", 0),
+        ArgSpec("group_size", "Group size", "Int", 0),
+        ArgSpec("warps_per_sm", "warps per SM", "Float", 0.0),
+        ArgSpec("memory_bw_gbps", "memory bandwidth (GB/s)", "Float", 0.0),
+        ArgSpec("kernel_backend", "kernel_backend", "String", ""),
+        ArgSpec("kernel_hash", "kernel_hash", "String", ""),
+        ArgSpec("finished", "finished", "String", ""),
+        ArgSpec("labels", "labels", "String", ""),
+        ArgSpec("collective_name", "Collective name", "String", ""),
+        ArgSpec("msg_dtype", "dtype", "String", ""),
+        ArgSpec("process_group_name", "Process Group Name", "String", ""),
+        ArgSpec("process_group_desc", "Process Group Description", "String", ""),
+        ArgSpec("batch_id", "batchId", "String", ""),
+        ArgSpec("concrete_inputs", "Concrete Inputs", "Object", None),
+        ArgSpec("input_dims", "Input Dims", "Object", None),
+        ArgSpec("input_type", "Input type", "Object", None),
+        ArgSpec("input_strides", "Input Strides", "Object", None),
+        ArgSpec("blocks_per_sm", "blocks per SM", "Object", None),
+        ArgSpec("block", "block", "Object", None),
+        ArgSpec("grid", "grid", "Object", None),
+        ArgSpec("in_split_size", "In split size", "Object", None),
+        ArgSpec("out_split_size", "Out split size", "Object", None),
+        ArgSpec("input_tensors_start", "Input Tensors start", "Object", None),
+        ArgSpec("output_tensors_start", "Output Tensors start", "Object", None),
+        ArgSpec("process_group_ranks", "Process Group Ranks", "Object", None),
+        ArgSpec("pre_grad_nodes", "pre_grad_nodes", "Object", None),
+    )
+}
 
 GROUPS = {
     "index": ["external_id", "python_id", "python_parent_id"],
