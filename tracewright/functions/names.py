@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,16 @@ LAUNCHES = [
 # Bytes of an element by type name.
 ELEMENT_BYTES = {"float": 4.0, "float32": 4.0, "double": 8.0, "half": 2.0, "float16": 2.0, "c10::BFloat16": 2.0, "c10::Half": 2.0, "bfloat16": 2.0, "long": 8.0, "int": 4.0}
 
+# The steps of a pipeline schedule whose rows a report needs, whatever it is, and those that each kind of schedule needs besides.
+STEPS_OF_ALL = ["finalize_model_grads", "step", "logical_and_across_model_parallel_group", "reduce_max_stat_across_model_parallel_group", "should_run_forward_backward"]
+STEPS_OF = {
+    "1f1b": ["forward_step", "backward_step", "recv_forward", "recv_backward", "send_forward", "send_backward", "send_forward_recv_backward", "send_backward_recv_forward"],
+    "interleaved": ["forward_step", "backward_step"],
+    "interleaved_overlap": ["recv_forward", "recv_backward", "send_forward", "send_backward", "send_forward_recv_forward", "send_backward_recv_backward", "fwdbwd_epoverlap_run"],
+}
+# Kinds of floating-point instructions that a profiler counts: precision (f, h, d), then what is done.
+INSTRUCTIONS = ["ffma", "fmul", "fadd", "hfma", "hmul", "hadd", "dfma", "dmul", "dadd"]
+
 
 def starts_like(column: Column | str, pattern: str) -> Column:
     """Whether a pattern matches from the start of the value (nulls do not)."""
@@ -161,3 +172,23 @@ def attention_flops(batch: Column, heads: Column, queries: Column, keys: Column,
 def bubble_ratio(stages: Column, micro_batches: Column, virtual: Column | None = None) -> Column:
     """Ideal share of idle time: (p-1)/(p-1+m), or (p-1)/m/v with virtual stages."""
     return (stages - 1) / (stages - 1 + micro_batches) if virtual is None else (stages - 1) / micro_batches / virtual
+
+
+def is_schedule_step(name: Column, schedule: str = "1f1b") -> Column:
+    """Whether a row is a step, transfer or other span of the given schedule (a key of STEPS_OF): by the start of its name for 1f1b, where names carry more, else by the whole name."""
+    wanted = STEPS_OF[schedule] + STEPS_OF_ALL
+    if schedule == "1f1b":
+        return starts_like(name, "|".join(f"(?:{w})" for w in wanted))
+    return F.coalesce(name.isin(wanted), F.lit(False))
+
+
+def instruction_counter(kind: str) -> str:
+    """The profiler's counter of executed instructions of a kind."""
+    return f"smsp__sass_thread_inst_executed_op_{kind}_pred_on.sum"
+
+
+def instruction_flops(counters: list[str], value: Callable[[str], Column] = lambda c: F.col(f"`{c}`")) -> Column:
+    """Floating-point operations by counted instructions: fused ones count twice; of the counters only those of INSTRUCTIONS matter, missing values count 0."""
+    weights = {instruction_counter(k): 2.0 if k.endswith("fma") else 1.0 for k in INSTRUCTIONS}
+    terms = [weights[c] * F.coalesce(value(c).cast("double"), F.lit(0.0)) for c in counters if c in weights]
+    return reduce(lambda a, b: a + b, terms, F.lit(0.0))

@@ -578,6 +578,17 @@ def p2p_link(spark, sf_dir):
     return parallel.link_transfers(parallel.micro_batch_ids(transfers(spark, sf_dir))).select("group", "rank", "name", "index", "comm_time", "wait")
 
 
+@plain_query(
+    "schedule_steps",
+    f"""WITH {TRANSFERS} SELECT "group", 'interleaved' AS schedule, name, count(*) AS n FROM linked WHERE name IN ('forward_step', 'backward_step') GROUP BY ALL
+UNION ALL SELECT "group", '1f1b', name, count(*) FROM linked WHERE name <> 'optimizer_step' GROUP BY ALL""",
+)
+def schedule_steps(spark, sf_dir):
+    rows = transfers(spark, sf_dir)
+    kept = [rows.where(N.is_schedule_step(F.col("name"), s)).groupBy("group", F.lit(s).alias("schedule"), "name").agg(F.count("*").alias("n")) for s in ("interleaved", "1f1b")]
+    return kept[0].unionByName(kept[1])
+
+
 @plain_query(
     "bubble_report_1f1b",
     f"""WITH {TRANSFERS}, o AS (SELECT "group" AS og, min(ts) AS opt FROM linked WHERE stage = 0 AND name = 'optimizer_step' GROUP BY "group"),
