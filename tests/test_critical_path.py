@@ -135,3 +135,28 @@ def test_cycles_of_random_graphs(spark):
         want |= {(rank, min(m for m in times if n in reach[m] and m in reach[n]), n) for n in times if n in proper[n]}
     got = C.cycles(spark.createDataFrame(points, "rank int, node long, ts long"), spark.createDataFrame(links, "rank int, a long, b long"))
     assert {tuple(x) for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("rows", [20_000])
+def test_searches_forward_take_time_in_proportion(spark, rows):
+    """One rank's calls and points: with a frame up to the last row, lock_edges() alone had not ended on these in 100 s."""
+    import time
+
+    from tracewright.operators.intervals import asof_forward
+
+    calls = spark.range(3 * rows).selectExpr("cast(0 as int) as rank", "id as index", "'cudaLaunchKernel' as name", "5 * id as ts", "cast(7 as bigint) as dur")
+    points = calls.select("rank", (F.col("ts") - 2).alias("ts"), "index")
+    start = time.time()
+    assert C.lock_edges(calls).where("kind = 'operator_kernel'").count() > 0
+    met = asof_forward(points, calls.select("rank", "ts", F.col("index").alias("next")), ["rank"], ["ts"], ["next"])
+    assert met.where("v_next = index").count() == 3 * rows
+    assert time.time() - start < 30
+
+
+def test_equal_times_take_the_smaller_and_larger_value(spark):
+    from tracewright.operators.intervals import asof_backward, asof_forward
+
+    points = spark.createDataFrame([(0, 5)], "rank int, ts long")
+    values = spark.createDataFrame([(0, t, i) for t in (4, 6) for i in (3, 1, 2)], "rank int, ts long, index long")
+    assert [r.v_index for r in asof_forward(points, values, ["rank"], ["ts"], ["index"]).collect()] == [1]
+    assert [r.v_index for r in asof_backward(points, values, ["rank"], ["ts"], ["index"]).collect()] == [3]

@@ -130,10 +130,11 @@ def lock_edges(host: DataFrame) -> DataFrame:
     """
     calls = host.where(F.col("name").isin(LOCKING)).select("rank", "index", "ts", "dur")
     points = calls.select("rank", "index", "dur", F.expr("stack(2, ts, 1, ts + dur, 0) as (at, starts)"))
-    order = Window.partitionBy("rank").orderBy("at", "index", F.desc("starts"))
     ended = F.when(F.col("starts") == 0, F.col("index"))
+    # from the last row to the first, as a frame that ends at the last row is made anew for each row
+    back = Window.partitionBy("rank").orderBy(F.desc("at"), F.desc("index"), "starts")
     seen = points.withColumns(
-        {"end_": F.first(ended, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), "next_": F.lead("index").over(order), "next_starts_": F.lead("starts").over(order)}
+        {"end_": F.last(ended, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)), "next_": F.lag("index").over(back), "next_starts_": F.lag("starts").over(back)}
     )
     own = F.col("end_") == F.col("index")
     taken = seen.where("starts = 1 and end_ is not null").select(*_edge(2 * F.col("index"), 2 * F.col("end_") + 1, F.when(own, OPERATOR).otherwise(DEPENDENCY), F.when(own, F.col("index")), F.when(own, F.col("dur")).otherwise(0)))

@@ -78,7 +78,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int,
 
 
 def asof_backward(points: DataFrame, values: DataFrame, keys: list[str], order: list[str], value: list[str]) -> DataFrame:
-    """points with, in columns v_*, the latest row of values with equal keys that is not after it in order (values first on ties); null if none.
+    """points with, in columns v_*, the latest row of values with equal keys that is not after it in order (values first on ties, of several at one time the largest by value); null if none.
 
     One window over the union of both; no pairs are made.
     """
@@ -86,7 +86,7 @@ def asof_backward(points: DataFrame, values: DataFrame, keys: list[str], order:
 
 
 def asof_forward(points: DataFrame, values: DataFrame, keys: list[str], order: list[str], value: list[str]) -> DataFrame:
-    """The same with the earliest row of values that is after the point in order."""
+    """The same with the earliest row of values that is after the point in order, of several at one time the smallest by value."""
     return _asof(points, values, keys, order, value, forward=True)
 
 
@@ -95,11 +95,9 @@ def _asof(points: DataFrame, values: DataFrame, keys: list[str], order: list[str
     left = points.select(*keys, *order, F.lit(1).alias("side_"), F.struct(*carried).alias("p_") if carried else F.lit(None).alias("p_"), F.lit(None).alias("v_"))
     right = values.select(*keys, *order, F.lit(0).alias("side_"), F.lit(None).alias("p_"), F.struct(*value).alias("v_"))
     both = left.unionByName(right)
-    within = Window.partitionBy(*keys).orderBy(*order, "side_")
-    found = (
-        F.first("v_", ignorenulls=True).over(within.rowsBetween(1, Window.unboundedFollowing))
-        if forward
-        else F.last("v_", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    # a frame that ends at the last row is made anew for each row, so the search forward runs backwards
+    turned = [F.desc(c) if forward else F.asc(c) for c in (*order, "side_", "v_")]
+    within = Window.partitionBy(*keys).orderBy(*turned).rowsBetween(Window.unboundedPreceding, -1 if forward else 0)
+    found = F.last("v_", ignorenulls=True).over(within)
     out = both.withColumn("found_", found).where("side_ = 1")
     return out.select(*keys, *order, *[F.col(f"p_.{c}").alias(c) for c in carried], *[F.col(f"found_.{c}").alias(f"v_{c}") for c in value])
