@@ -244,7 +244,7 @@ def _reached(links: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def critical_path(events: DataFrame, strict: bool = False, links: DataFrame | None = None) -> DataFrame:
-    """(rank, node, position, reached, tied) of the longest path of each rank's window. Edges that lead back in time weigh nothing; where they close a cycle there is no path, and reading it fails.
+    """(rank, node, position, reached, tied) of the longest path of each rank's window. Edges that lead back in time weigh nothing; of edges on a cycle, where no path would end, those are left out.
 
     strict raises ValueError instead, if any edge has one of edge_problems() or cycles() has rows. links are edges() of the same events, if they are there already.
     """
@@ -253,7 +253,7 @@ def critical_path(events: DataFrame, strict: bool = False, links: DataFrame | No
         raise ValueError(f"unsound edges, such as {[tuple(r) for r in bad]}")
     if strict and (bad := cycles(points, links).head(5)):
         raise ValueError(f"cycles, with nodes such as {[tuple(r) for r in bad]}")
-    return longest_path(points.withColumn("weight", F.lit(0).cast("long")), links, "rank")
+    return longest_path(points.select("rank", "node", F.col("ts").alias("at"), F.lit(0).cast("long").alias("weight")), links, "rank")
 
 
 def bound_by(kind: Column, device: Column, name: Column, data_loading: list[str] = ()) -> Column:

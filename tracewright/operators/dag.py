@@ -11,11 +11,58 @@ from pyspark.sql import functions as F
 STEP = ["rank", "direction", "micro_batch", "stage"]
 
 
+def _knots(nodes: list[int], edges: list[tuple[int, int]]) -> dict[int, int]:
+    """A number for each node; nodes that reach each other have the same one (Tarjan's search, without recursion)."""
+    after: dict[int, list[int]] = {n: [] for n in nodes}
+    for a, b in edges:
+        after[a].append(b)
+    found: dict[int, int] = {}
+    seen: dict[int, int] = {}
+    low: dict[int, int] = {}
+    open_: list[int] = []
+    for root in nodes:
+        if root in seen:
+            continue
+        walk = [(root, iter(after[root]))]
+        seen[root] = low[root] = len(seen)
+        open_.append(root)
+        while walk:
+            n, left = walk[-1]
+            for b in left:
+                if b not in seen:
+                    seen[b] = low[b] = len(seen)
+                    open_.append(b)
+                    walk.append((b, iter(after[b])))
+                    break
+                if b not in found:
+                    low[n] = min(low[n], seen[b])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[n])
+                if low[n] == seen[n]:
+                    while n not in found:
+                        found[open_.pop()] = seen[n]
+    return found
+
+
+def _opened(nodes: pd.DataFrame, edges: pd.DataFrame, stuck: set[int]) -> pd.DataFrame:
+    """edges without those that close a cycle: of the edges on cycles, which lie between stuck nodes, those that lead back in time (column at), then of cycles at one time those that lead to no larger id."""
+    at = dict(zip(nodes["node"].tolist(), nodes["at"].tolist()))
+    for closes in (lambda a, b: at[b] < at[a], lambda a, b: (at[b], b) <= (at[a], a)):
+        inner = edges["a"].isin(stuck) & edges["b"].isin(stuck)
+        pairs = list(zip(edges.loc[inner, "a"].tolist(), edges.loc[inner, "b"].tolist()))
+        knot = _knots(sorted(stuck), pairs)
+        edges = edges.drop(edges.index[inner][[knot[a] == knot[b] and closes(a, b) for a, b in pairs]])
+    return edges
+
+
 def _longest(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     """One graph's longest path (node and edge weights are whole numbers): rows (node, position, reached, tied).
 
     Kahn's order by smallest id. Of equally long ways the one over the smaller
     predecessor, and of equally late ends the smaller node. tied counts all longest paths.
+    Where nodes have a time (column at), edges that close a cycle are left out; else a cycle is an error.
     """
     weight = dict(zip(nodes["node"].tolist(), nodes["weight"].tolist()))
     after: dict[int, list[tuple[int, int]]] = {n: [] for n in weight}
@@ -45,7 +92,9 @@ def _longest(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
             if not waiting[b]:
                 heapq.heappush(ready, b)
     if len(reached) < len(weight):
-        raise ValueError("the graph has a cycle")
+        if "at" not in nodes:
+            raise ValueError("the graph has a cycle")
+        return _longest(nodes.drop(columns="at"), _opened(nodes, edges, weight.keys() - reached.keys()))
     if not reached:
         return pd.DataFrame({"node": [], "position": [], "reached": [], "tied": []})
     total = max(reached.values())
@@ -59,7 +108,7 @@ def _longest(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
 
 
 def longest_path(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(key, node, position, reached, tied) for the graph of each key: nodes (key, node, weight), edges (key, a, b, weight).
+    """(key, node, position, reached, tied) for the graph of each key: nodes (key, node, weight, and at, a time, if cycles may be opened), edges (key, a, b, weight).
 
     One task holds one graph, which is a rank's clipped window or a pipeline group's iteration.
     """
@@ -72,7 +121,7 @@ def longest_path(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
     schema = f"{key} {kind}, node long, position long, reached long, tied double"
     links = edges.select(F.col(key).alias("key_"), "a", "b", "weight")
-    own = nodes.select(F.col(key).alias("own_"), "node", "weight")
+    own = nodes.select(F.col(key).alias("own_"), "node", "weight", *[c for c in ("at",) if c in nodes.columns])
     return own.groupBy("own_").cogroup(links.groupBy("key_")).applyInPandas(run, schema)
 
 
