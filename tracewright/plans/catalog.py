@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import callstack, compare, counters, critical_path, dag, drilldown, filters, intervals, kernels, parallel, silver
+from ..operators.keep import kept
 from . import threaded
 from .fixtures import TR, trace_events
 from .pipeline_fixtures import ANNOTATED, MICRO_BATCHES, STAGES, STEPS, TRANSFERS, VIRTUAL, annotated, steps, transfers
@@ -491,7 +492,7 @@ def call_stack_parent_depth(events):
 
 
 def with_pairs(events):
-    return silver.with_index_correlation(events), callstack.closure(callstack.starts_with_depth(events, SEGMENT))
+    return silver.with_index_correlation(events), callstack.closure(kept(callstack.starts_with_depth(events, SEGMENT)))
 
 
 @query(
@@ -873,8 +874,9 @@ def backward_links(events):
 @query("overlay_patterns")
 def overlay_patterns(events):
     rows, pairs = with_pairs(events)
-    found = callstack.frequent_sequences(rows, pairs, "aten", least=1)
-    return callstack.overlay_patterns(rows, pairs, found, "aten").select("rank", "index", "pattern")
+    sequences = kept(callstack.sequences(rows, pairs, "aten"))
+    found = callstack.frequent_sequences(rows, pairs, "aten", least=1, rows=sequences)
+    return callstack.overlay_patterns(rows, pairs, found, "aten", rows=sequences).select("rank", "index", "pattern")
 
 
 @plain_query(
