@@ -80,3 +80,26 @@ def test_memory_timeline_of_several_traces(spark):
     assert small == whole and len(small) == 118
     alone = counters.memory_timeline(df.where("rank = 2"), 2).orderBy("t").collect()
     assert [str(r.sizes) for r in alone] == [s for k, t, s in small if k == "2"]
+
+
+def test_shortest_annotations_take_no_pairs(spark, monkeypatch):
+    """Against all pairs, over several buckets; no join of intervals is made."""
+    import random
+
+    from tracewright.operators import intervals, kernels
+
+    monkeypatch.setattr(intervals, "overlap_join", None)
+    monkeypatch.setattr(kernels, "overlap_join", None, raising=False)
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        ts, dur = rng.randrange(500), rng.choice([0, 1, 5, 40, 300])
+        rows.append((rng.randrange(2), 1, rng.choice([7, 7, None]), i, 7, ts, dur, f"n{i}", rng.choice(["kernel", "gpu_user_annotation"])))
+    events = spark.createDataFrame(rows, "rank int, pid int, tid int, index long, stream int, ts long, dur long, name string, cat string")
+    marks = [r for r in rows if r[8] != "kernel" and r[2]]
+    want = {}
+    for r in rows:
+        if r[8] == "kernel":
+            met = [(m[6], m[5], m[3], m[7]) for m in marks if m[0] == r[0] and m[2] == r[2] and m[5] < r[5] + r[6] and r[5] < m[5] + m[6]]
+            want[r[3]] = min(met)[3] if met else None
+    for width in (50, 10_000):
+        assert {r["index"]: r.user_annotation for r in kernels.kernels_with_annotation(events, width).collect()} == want

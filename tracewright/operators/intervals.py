@@ -36,7 +36,7 @@ def overlap_states(df: DataFrame, keys: list[str], bit: Column, segment: int = S
     return swept.where((F.col("state") > 0) & (F.col("end") > F.col("at"))).select(*keys, "state", F.col("at").alias("ts"), "end")
 
 
-def _buckets(start: Column, end: Column, width: int) -> Column:
+def buckets(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width)))
 
 
@@ -47,7 +47,7 @@ def containment_join(points: DataFrame, spans: DataFrame, keys: list[str], at: s
     join is an equi-join; a point meets a span in exactly one bucket. Columns of
     spans get the prefix s_.
     """
-    listed = spans.select(*[F.col(c).alias(f"s_{c}") for c in spans.columns], _buckets(F.col("ts"), F.col("end"), width).alias("s_bucket_"))
+    listed = spans.select(*[F.col(c).alias(f"s_{c}") for c in spans.columns], buckets(F.col("ts"), F.col("end"), width).alias("s_bucket_"))
     placed = points.withColumn("bucket_", F.floor(F.col(at) / width))
     same = F.col("bucket_") == F.col("s_bucket_")
     for key in keys:
@@ -64,8 +64,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int,
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     numbered = left.withColumn("row_", F.monotonically_increasing_id())
-    lefts = numbered.withColumn("bucket_", _buckets(F.col("ts"), F.col("end"), width))
-    rights = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], _buckets(F.col("ts"), F.col("end"), width).alias("r_bucket_"))
+    lefts = numbered.withColumn("bucket_", buckets(F.col("ts"), F.col("end"), width))
+    rights = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], buckets(F.col("ts"), F.col("end"), width).alias("r_bucket_"))
     same = (F.col("bucket_") == F.col("r_bucket_")) & (F.col("bucket_") == F.floor(F.greatest("ts", "r_ts") / width))
     for key in keys:
         same = same & (F.col(key) == F.col(f"r_{key}"))

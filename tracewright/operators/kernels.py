@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from .intervals import containment_join, covered_time, overlap_join, overlap_states
+from .intervals import buckets, containment_join, covered_time, overlap_states
 from .quantiles import with_quartiles
 from .scans import SEGMENT_US
 
@@ -140,11 +142,62 @@ def operator_kernels(events: DataFrame, width: int, prefix: str = "aten::", same
     )
 
 
+def _least_overlapping(kernels: pa.Table, marks: pa.Table) -> pa.Table:
+    """(rank, index, r_dur, r_ts, r_index, r_name) of the least mark by (dur, ts, index) that overlaps each kernel, of one thread's bucket of time.
+
+    Marks are taken from the least on and each gives itself to all kernels it overlaps that have none yet:
+    with kernels by start those before its end, of which a tree of the latest ends leads to the ones that end after its start.
+    """
+    marks = marks.rename_columns([c.removeprefix("m_") for c in marks.column_names])
+    order = np.lexsort((marks["index"].to_numpy(), marks["ts"].to_numpy(), marks["dur"].to_numpy()))
+    starts, ends = kernels["ts"].to_numpy(), kernels["end"].to_numpy()
+    by_start = np.argsort(starts, kind="stable")
+    size = 1 << max(0, len(starts) - 1).bit_length()
+    least = np.iinfo(np.int64).min
+    tree = np.full(2 * size, least)
+    tree[size : size + len(starts)] = ends[by_start]
+    for level in range(size.bit_length() - 2, -1, -1):
+        at = np.arange(1 << level, 2 << level)
+        tree[at] = np.maximum(tree[2 * at], tree[2 * at + 1])
+    tree = tree.tolist()
+    before = np.searchsorted(starts[by_start], marks["end"].to_numpy()[order], side="left").tolist()
+    found = np.full(len(starts), -1)
+    for mark, start, stop in zip(order.tolist(), marks["ts"].to_numpy()[order].tolist(), before):
+        open_ = [(1, 0, size)] if tree[1] > start else []
+        while open_:
+            node, first, width = open_.pop()
+            if first >= stop or tree[node] <= start:
+                continue
+            if width > 1:
+                open_ += [(2 * node, first, width // 2), (2 * node + 1, first + width // 2, width // 2)]
+                continue
+            found[by_start[first]] = mark
+            tree[node] = least
+            while node > 1:
+                node //= 2
+                tree[node] = max(tree[2 * node], tree[2 * node + 1])
+        if tree[1] == least:
+            break
+    met = np.flatnonzero(found >= 0)
+    mark = marks.take(found[met])
+    return pa.table([*kernels.take(met).select(["rank", "index"]).columns, *mark.select(["dur", "ts", "index", "name"]).columns], names=["rank", "index", "r_dur", "r_ts", "r_index", "r_name"])
+
+
 def kernels_with_annotation(events: DataFrame, width: int) -> DataFrame:
-    """Device rows with user_annotation: the shortest GPU annotation on their pid and tid that overlaps them, null if none."""
+    """Device rows with user_annotation: the shortest GPU annotation on their pid and tid that overlaps them, null if none.
+
+    Both are listed in time buckets of the given width; no pairs are made, and a task holds a thread's bucket.
+    """
     span = lambda df: df.withColumn("end", F.col("ts") + F.col("dur"))
     kernels = span(events.where(N.is_gpu_stream() & (F.col("cat") != "gpu_user_annotation")))
     marks = span(events.where("cat = 'gpu_user_annotation'").select("rank", "pid", "tid", "index", "name", "ts", "dur"))
-    met = overlap_join(kernels.select("rank", "pid", "tid", "index", "ts", "end"), marks, ["rank", "pid", "tid"], width)
+    listed = lambda df, *columns: df.select("rank", "pid", "tid", buckets(F.col("ts"), F.col("end"), width).alias("bucket_"), "index", "ts", "end", *columns)
+    kind = dict(events.dtypes)
+    schema = f"rank {kind['rank']}, index {kind['index']}, r_dur {kind['dur']}, r_ts {kind['ts']}, r_index {kind['index']}, r_name string"
+    group = ["rank", "pid", "tid", "bucket_"]
+    marks = marks.dropna(subset=["rank", "pid", "tid"])  # nulls would meet in a group
+    other = listed(marks, "dur", "name")
+    other = other.select(*[F.col(c).alias(f"m_{c}") for c in other.columns])
+    met = listed(kernels).groupBy(*group).cogroup(other.groupBy(*[f"m_{c}" for c in group])).applyInArrow(_least_overlapping, schema)
     best = met.groupBy(F.col("rank").alias("m_rank"), F.col("index").alias("m_index")).agg(F.min_by("r_name", F.struct("r_dur", "r_ts", "r_index")).alias("user_annotation"))
     return kernels.join(best, (F.col("rank") == F.col("m_rank")) & (F.col("index") == F.col("m_index")), "left").drop("m_rank", "m_index")
