@@ -54,6 +54,15 @@ def test_peeling_recovers_differences(spark):
     assert got == pytest.approx(want)
 
 
+def test_a_retry_shuffles_digests_and_no_cells(spark):
+    rows = [(k, 0, list(range(900 + k)), list(range(400, 900))) for k in range(5)]
+    left = spark.createDataFrame(rows, "row_ long, pair int, own array<bigint>, other array<bigint>")
+    plan = P._attempt(left, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {r.row_: (r.done, r.mine, r.theirs) for r in P._attempt(left, 5).collect()}
+    assert got == {k: (True, 400 + k, 0) for k in range(5)}
+
+
 def test_one_line_shares_pieces_with_its_edit(spark):
     line = " ".join(f"the end of day{k} goes on. As it fills a line" for k in range(60))
     docs = spark.createDataFrame([(1, line), (2, "other words " * 300)], "doc_id long, text string")

@@ -124,7 +124,8 @@ def with_sketches(df: DataFrame, *found: str) -> DataFrame:
 
 
 def _attempt(pairs: DataFrame, level: int) -> DataFrame:
-    """(row_, pair, done, mine, theirs) for pairs (row_, pair, own, other) whose sketches differ, from rows of single cells; equal sketches give no row."""
+    """(row_, pair, done, mine, theirs) for pairs (row_, pair, own, other) whose sketches differ, from rows of single cells; equal sketches give no row. Only the digests are shuffled: a pair's cells are made, summed and peeled where its row lies."""
+    pairs = pairs.select("row_", "pair", "own", "other").repartition("row_", "pair")
     sides = F.expr("concat(transform(own, d -> struct(true as own, d)), transform(other, d -> struct(false as own, d)))")
     put = pairs.select("row_", "pair", F.explode(sides).alias("s")).select(
         "row_", "pair", F.expr(_page("s.d", level)).alias("page"), F.col("s.own").alias("own"), F.col("s.d").alias("key"), F.explode(F.expr(_cells("s.d", level))).alias("cell"),
@@ -231,17 +232,24 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     tried = with_tries(with_sketches(table_, "own", "edited", "next"), "own", {"edited": "to_edited", "next": "to_next"})
     shown = {"fingerprint": sketch_text("sketch_own"), "edited_fingerprint": sketch_text("sketch_edited")}
-    table_ = cut(tried.withColumns(shown).drop("sketch_own", "sketch_edited", "sketch_next"))
-    near = lambda t, other: _near(F.size("own") - F.col(f"{t}.mine"), F.size("own"), F.size(other))
+    near = lambda t, other: F.when(F.col(f"{t}.done"), _near(F.size("own") - F.col(f"{t}.mine"), F.size("own"), F.size(other)))
+    shown |= {"near_edited": near("to_edited", "edited"), "near_next": near("to_next", "next")}
+    # settled rows need no digests any more
+    left = lambda c, still: F.when(still, F.col(c)).alias(c)
+    to_edited, to_next = ~F.col("to_edited.done"), ~F.col("to_next.done")
+    table_ = cut(tried.withColumns(shown).select(
+        "row_", "id_", "size", "times", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "to_edited", "to_next",
+        left("own", to_edited | to_next), left("edited", to_edited), left("next", to_next),
+    ))
     open_ = table_.where("not (to_edited.done and to_next.done)")
-    settled = table_.where("to_edited.done and to_next.done").withColumns({"near_edited": near("to_edited", "edited"), "near_next": near("to_next", "next")})
+    settled = table_.where("to_edited.done and to_next.done")
     sides = [F.when(~F.col(f"{t}.done"), F.struct(F.lit(k).alias("pair"), F.col(other).alias("other"))) for k, (t, other) in enumerate((("to_edited", "edited"), ("to_next", "next")))]
     pairs = open_.select("row_", "own", F.explode(F.filter(F.array(*sides), lambda p: p.isNotNull())).alias("p"))
     late = _retried(pairs.select("row_", "p.pair", "own", "p.other")).groupBy(F.col("row_").alias("r_")).agg(
         *[F.max(F.when(F.col("pair") == k, F.col("near"))).alias(f"late_{k}") for k in (0, 1)]
     )
     open_ = open_.join(late, F.col("row_") == F.col("r_")).withColumns(
-        {"near_edited": F.coalesce("late_0", near("to_edited", "edited")), "near_next": F.coalesce("late_1", near("to_next", "next"))}
+        {"near_edited": F.coalesce("late_0", "near_edited"), "near_next": F.coalesce("late_1", "near_next")}
     )
     settled, open_ = settled.drop("row_"), open_.select(*[c for c in settled.columns if c != "row_"])
     full = settled.unionByName(open_)
