@@ -181,3 +181,57 @@ def test_stage_on_documents_against_all_pairs(spark):
     rows = docs.select("doc_id", "text").collect()
     want = sorted({rows[g].doc_id for g in near_groups(five_word_sets([r.text for r in rows]))})
     assert sorted(r.doc_id for r in S.dedup_stage(spark, docs, sf).collect()) == want
+
+
+def test_near_sets_share_an_item_and_fail_neither_sizes_nor_parities():
+    rng = np.random.default_rng(4)
+    draw = lambda n: np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+    near = 0
+    for m in [*range(1, 60), *rng.integers(60, 3000, 150).tolist()]:
+        core = draw(m)
+        for less, more in ((0, 1), (m // 9, m // 9), (m // 5, 0), (0, m // 4)):
+            a, b = core, np.union1d(core[less:], draw(more))
+            shared = len(np.intersect1d(a, b))
+            if 5 * shared < 4 * (len(a) + len(b) - shared) or np.array_equal(a, b):
+                continue
+            near += 1
+            assert len(np.intersect1d(near_sets.set_items(a), near_sets.set_items(b))), (m, less, more)
+            odd = [near_sets._parity(s, 1) for s in (a, b)]
+            assert len(near_sets._apart(np.array([len(a), len(b)]), np.array([1, 2]), None, odd)[0]) == 1
+    assert near > 400
+    assert all(near_sets.n_parts(5 * m // 4) <= 2 * near_sets.n_parts(m) for m in range(1, 5000))
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_a_list_of_pairs_just_too_far_is_compared_within_tasks(spark, monkeypatch, block):
+    """Copies with two edits each: most are too far from each other, and only a few of them link; no pairs of them are rows of a join."""
+    monkeypatch.setattr(near_sets, "BLOCK", block)
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(60):
+        copy = list(words)
+        for _ in range(3):
+            copy[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = near_groups(five_word_sets(texts))
+    assert 1 < len(set(want)) < 60
+    assert sorted(r.doc_id for r in S.dedup_stage(spark, docs, "").collect()) == sorted(set(want))
+    sets = near_sets.Sets(docs)
+    placed = sets._posted().withColumn("group", F.col("fp"))
+    possible = sets._across(placed).distinct()
+    assert sets._verified(possible).count() <= possible.count() < 60 * 59 // 4
+
+
+def test_pairs_by_simhash_are_candidates_and_a_common_passage_makes_no_lists(spark):
+    rng = random.Random(6)
+    passage = " ".join(f"common{k}" for k in range(12))
+    texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(60)) + " " + passage for _ in range(200)]
+    texts += [texts[0] + " one", texts[1] + " two"]
+    sets = near_sets.Sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = S.simhash_pairs(sets.chosen.select("fp", "simhash")).collect()
+    prints = {r.fp: r.simhash & (1 << 64) - 1 for r in sets.chosen.collect()}
+    near = {frozenset((a, b)) for a in prints for b in prints if a != b and (prints[a] ^ prints[b]).bit_count() <= 4}
+    assert near and {frozenset((r.a, r.b)) for r in found} <= near
+    assert sets._posted().groupBy("s").count().where("count > 20").isEmpty()

@@ -1,60 +1,65 @@
 """Texts whose sets of 5-word shingles have a Jaccard similarity of 4/5 or more, found exactly.
 
 Such texts differ in up to 13 bits of their SimHash fingerprints, where shared
-bytes guarantee nothing, so the pipeline's near-dedup stage takes its
-candidates from a prefix filter over the shingles: under any one order of all
-shingles, two such sets share one of the first m - ceil(4m/5) + 1 of their m
-shingles. Common shingles are ordered last.
-
-No posting list is paired up. Each set is compared with the least head of its
-lists, then with the other heads that its group doesn't hold yet, and only what
-then lies in one list but in different groups is paired. A pair whose sizes or
-parities (which of its classes hold an odd number of shingles) rule the
-similarity out is not read; all others are verified on the whole sets, which
-are made anew from the texts that need it and not kept.
+bytes guarantee nothing. The pairs that SimHash gives (simhash_dedup) are
+therefore verified on the sets and completed here by an exact index.
+
+Two near sets differ in at most a ninth of their sizes' sum, D shingles. Dealt
+by hash into K > D parts, they agree in K - D parts at least. So a set's items
+are its parts, each with all the shingles found there, and under any one order
+of items two near sets share one of the first D + 1. Larger parts come first:
+few unrelated texts agree in several shingles at once, however common one
+passage is, so lists of items are short where lists of shingles are long.
+
+Each set is compared with the least head of its lists, then with the other
+heads that its group doesn't hold yet. What then lies in one list but in
+different groups is compared within tasks, in cells of two blocks of at most
+about BLOCK sets, by sizes and parities (which classes of a set hold an odd
+number of shingles); neither ever rules out a near pair. Pairs that they leave
+are verified on the whole sets, which are made anew from the texts that need it
+and not kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._fingerprint import shingle_set, signature
-from ._shared import broadcast_if_small, cut, most_frequent
+from ._fingerprint import majority, mix64, shingle_set, signature
+from ._shared import broadcast_if_small, cut
 from .components import connected_components
 
 #: Narrow rows (at most 40 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Common shingles that are ordered last, at most, and the part of the texts they are found from; neither bears on results.
-COMMON, SAMPLE = 262_144, 16
-#: Texts of a sample that hold a common shingle, at least.
-COMMON_SETS = 2
-#: Words of 64 parity bits of the smallest sets; larger sets have 4, 16, ... times as many, so that there is a class for each shingle at least.
-PARITY = 16
+#: Words of 64 parity bits that sample the smallest sets; larger sets have 4, 16, ... times as many, so that there is a class for each shingle at least. It bears on cost only.
+SAMPLE = 16
+#: Sets of a list from which on it is compared in cells of two blocks of this size.
+BLOCK = 1024
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate([np.empty(0, np.int64), *arrays]))
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    words = PARITY
+def _parity(s: np.ndarray, words: int) -> np.ndarray:
     while 64 * words < len(s):
         words *= 4
     return np.packbits((np.bincount(s & (64 * words - 1), minlength=64 * words) & 1).astype(bool)).view(np.int64)
 
 
 def signed(text: Column) -> Column:
-    """STRUCT<fp, m, odd> of a text's shingle set: signature (equal for equal sets), size and parities."""
+    """STRUCT<fp, m, odd, simhash> of a text's shingle set: signature (equal for equal sets), size, parities and SimHash fingerprint."""
+    words = SAMPLE
 
     def made(texts: pa.Array) -> pa.Array:
         sets = [shingle_set(t) for t in texts.to_pylist()]
-        odd = [_parity(s) for s in sets]
-        return pa.StructArray.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), _lists(odd)], ["fp", "m", "odd"])
+        odd = [_parity(s, words) for s in sets]
+        prints = np.array([majority(s.view(np.uint64)) for s in sets], np.uint64).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), _lists(odd), pa.array(prints)], ["fp", "m", "odd", "simhash"])
 
-    return F.arrow_udf(made, "fp long, m long, odd array<bigint>")(text)
+    return F.arrow_udf(made, "fp long, m long, odd array<bigint>, simhash long")(text)
 
 
 def shingles(text: Column) -> Column:
@@ -68,20 +73,77 @@ def shingles(text: Column) -> Column:
     return F.arrow_udf(made, "fp long, shingles array<bigint>").asNondeterministic()(text)
 
 
-def prefixes(text: Column, common: np.ndarray) -> Column:
-    """STRUCT<fp, first> with the shingles of which two sets of similarity 4/5 share one: the first by value, common ones last."""
+def n_parts(m: int) -> int:
+    """The number of parts, a power of two, for pairs whose larger set has m shingles; more than such sets may differ in."""
+    most, parts = 2 * m // 9, 1
+    while parts < most + 1 + most // 8:
+        parts *= 2
+    return parts
 
-    ordered = np.append(np.unique(common), np.iinfo(np.int64).max)  # a sentinel; whether it counts as common doesn't matter
 
-    def first(s: np.ndarray) -> np.ndarray:
-        late = ordered[np.searchsorted(ordered, s)] == s
-        return np.concatenate((s[~late], s[late]))[: len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0]
+def set_items(s: np.ndarray) -> np.ndarray:
+    """The items (hashes) of a shingle set of which two different sets of similarity 4/5 or more share one."""
+    m, out = len(s), [np.empty(0, np.uint64)]
+    hashes, largest = mix64(s.view(np.uint64)), 5 * m // 4
+    for parts in sorted({n_parts(m), n_parts(largest)}):  # of which no more than one is between: a pair's larger set has m to 5m/4 shingles
+        differ = (m + largest) // 9
+        if not differ:
+            continue  # such sets are near only if equal
+        part = s & (parts - 1)
+        order, sizes = np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
+        sums, ends = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes[order], dtype=np.uint64))), np.cumsum(sizes)
+        items = mix64(sums[ends] - sums[ends - sizes] + mix64(np.arange(parts, dtype=np.uint64) + np.uint64(parts << 32)))
+        out.append(items[np.lexsort((items, -sizes))[: differ + 1]])
+    return np.concatenate(out).view(np.int64)
+
+
+def items(text: Column) -> Column:
+    """STRUCT<fp, items> of a text's shingle set."""
 
     def made(texts: pa.Array) -> pa.Array:
         sets = [shingle_set(t) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), _lists([first(s) for s in sets])], ["fp", "first"])
-
-    return F.arrow_udf(made, "fp long, first array<bigint>")(text)
+        return pa.StructArray.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), _lists([set_items(s) for s in sets])], ["fp", "items"])
+
+    return F.arrow_udf(made, "fp long, items array<bigint>")(text)
+
+
+def _apart(m: np.ndarray, group: np.ndarray, block: np.ndarray | None, odd: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in a list, of different groups (and blocks, if given), that neither sizes nor parities rule out."""
+    order = np.argsort(m, kind="stable")
+    words = min(map(len, odd))
+    # a wider row of parities folds to a narrower one, as its classes do
+    bits = np.stack([np.bitwise_xor.reduce(odd[k].reshape(-1, words), axis=0) for k in order]).view(np.uint64)
+    sizes, groups, ends = m[order], group[order], np.searchsorted(m[order], 5 * m[order] // 4, "right")
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k in range(len(order)):
+        keep = groups[k + 1 : ends[k]] != groups[k]
+        if block is not None:
+            keep &= block[order[k + 1 : ends[k]]] != block[order[k]]
+        others = k + 1 + np.flatnonzero(keep)
+        differ = np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        others = others[9 * differ <= sizes[k] + sizes[others]]
+        a.append(np.full(len(others), order[k]))
+        b.append(order[others])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _compared(batches):
+    """Pairs (a, b), a < b, that _apart leaves in the lists `sets` of cells."""
+    for batch in batches:
+        lists, inner = batch.column("sets"), batch.column("inner").to_pylist()
+        at, values = lists.offsets.to_numpy(), lists.values
+        fp, m, group, block = (values.field(c).to_numpy() for c in ("fp", "m", "group", "block"))
+        odd = values.field("odd")
+        starts, bits = odd.offsets.to_numpy(), odd.values.to_numpy()
+        found = [np.empty((0, 2), np.int64)]
+        for one, first, end in zip(inner, at[:-1].tolist(), at[1:].tolist()):
+            if end - first < 2:
+                continue
+            rows = [bits[starts[k] : starts[k + 1]] for k in range(first, end)]
+            a, b = _apart(m[first:end], group[first:end], None if one else block[first:end], rows)
+            found.append(np.sort(np.stack((fp[first + a], fp[first + b]), axis=1), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _near(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -93,21 +155,14 @@ def _near(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def common_shingles(rows: DataFrame) -> np.ndarray:
-    """Shingles that many texts of a sample by the texts' hashes hold; at most COMMON come to the driver."""
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.explode(shingles(F.col("text"))["shingles"]).alias("s"))
-    often = cut(sample.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_SETS))
-    return np.array([r.s for r in most_frequent(often, "n", COMMON).select("s").collect()], np.int64)
-
-
 class Sets:
     """The distinct shingle sets of rows (doc_id, text), and the pairs of them that are near."""
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
-        self.keys = cut(rows.select("doc_id", signed(F.col("text")).alias("s")).groupBy("doc_id", "s.fp").agg(F.count("*").alias("n"), F.max("s.m").alias("m"), F.max("s.odd").alias("odd")))
+        self.keys = cut(rows.select("doc_id", signed(F.col("text")).alias("s")).groupBy("doc_id", "s.fp").agg(F.count("*").alias("n"), F.max("s.m").alias("m"), F.max("s.odd").alias("odd"), F.max("s.simhash").alias("simhash")))
         # of texts with equal sets the one of the smallest id is read
-        self.chosen = cut(self.keys.where("m > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "m", "odd")).alias("c")).select("fp", "c.doc_id", "c.m", "c.odd"))
+        self.chosen = cut(self.keys.where("m > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "m", "odd", "simhash")).alias("c")).select("fp", "c.doc_id", "c.m", "c.odd", "c.simhash"))
         self.repeated = not self.keys.where("n > 1").isEmpty()
 
     def _read(self, wanted: DataFrame, made, name: str) -> DataFrame:
@@ -118,16 +173,27 @@ class Sets:
         return texts.dropDuplicates(["fp"]) if self.repeated else texts
 
     def _posted(self) -> DataFrame:
-        """(s, fp, head) of the prefix's posting lists with several members; head is the list's least fp."""
-        common = common_shingles(self.rows)
+        """(s, fp, head) of the items' lists with several members; head is the list's least fp."""
         copies = self.keys.where("m > 0").join(self.chosen.select(F.col("fp").alias("f_"), F.col("doc_id").alias("i_")), (F.col("fp") == F.col("f_")) & F.col("doc_id").eqNullSafe(F.col("i_")), "left_anti")
         copies = broadcast_if_small(cut(copies.select(F.col("fp").alias("f_"), F.col("doc_id").alias("i_"))), BROADCAST_ROWS)
-        made = self.rows.select("doc_id", prefixes(F.col("text"), common).alias("p")).select("doc_id", "p.fp", "p.first")
+        made = self.rows.select("doc_id", items(F.col("text")).alias("p")).select("doc_id", "p.fp", "p.items")
         made = made.join(copies, (F.col("fp") == F.col("f_")) & F.col("doc_id").eqNullSafe(F.col("i_")), "left_anti")
         made = made.dropDuplicates(["fp"]) if self.repeated else made
-        posted = made.select("fp", F.explode("first").alias("s"))
-        heads = posted.groupBy("s").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).where("head < last").select(F.col("s").alias("s_"), "head")
-        return cut(posted.join(heads, F.col("s") == F.col("s_")).select("s", "fp", "head"))
+        of_list = Window.partitionBy("s")
+        posted = made.select("fp", F.explode("items").alias("s")).withColumns({"head": F.min("fp").over(of_list), "last": F.max("fp").over(of_list)})
+        return cut(posted.where("head < last").select("s", "fp", "head"))
+
+    def _across(self, placed: DataFrame) -> DataFrame:
+        """Possible pairs (a, b) of different groups in one list of placed (s, fp, head, group); heads were compared before."""
+        of_list = Window.partitionBy("s")
+        mixed = placed.withColumns({"g_": F.min("group").over(of_list), "h_": F.max("group").over(of_list), "size_": F.count("*").over(of_list)})
+        mixed = mixed.where("g_ <> h_ and fp <> head").withColumn("blocks_", F.ceil(F.col("size_") / BLOCK).cast("int"))
+        mixed = mixed.select("s", "fp", "group", "blocks_", F.pmod(F.xxhash64("fp"), F.col("blocks_")).cast("int").alias("block"))
+        sides = self.chosen.select(F.col("fp").alias("f_"), "m", "odd")
+        members = mixed.join(sides, F.col("fp") == F.col("f_")).withColumn("with_", F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)))
+        low, high = F.least("block", "with_").alias("low"), F.greatest("block", "with_").alias("high")
+        cells = members.groupBy("s", low, high).agg(F.collect_list(F.struct("fp", "m", "group", "block", "odd")).alias("sets"))
+        return cells.select((F.col("low") == F.col("high")).alias("inner"), "sets").mapInArrow(_compared, "a long, b long")
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that neither the sets' sizes nor their parities rule out."""
@@ -147,10 +213,11 @@ class Sets:
         both = one.join(few, F.col("fp") == F.col("a")).drop("fp").join(two, F.col("b") == F.col("fp"))
         return cut(both.where(F.arrow_udf(_near, "boolean")("a_set", "b_set")).select("a", "b"))
 
-    def components(self) -> DataFrame:
-        """(node, component) of the signatures that chains of near pairs connect."""
+    def components(self, candidates: DataFrame) -> DataFrame:
+        """(node, component) of the signatures that chains of near pairs connect; candidates are pairs (a, b) to verify first."""
         posted = self._posted()
-        edges = self._verified(posted.groupBy(F.col("fp").alias("a")).agg(F.min("head").alias("b")))
+        firsts = posted.groupBy(F.col("fp").alias("a")).agg(F.min("head").alias("b"))
+        edges = self._verified(candidates.select("a", "b").union(firsts))
         group = lambda labels, fp: labels.select(F.col("node").alias(f"{fp}_"), F.col("component").alias(f"{fp}_group"))
         labels = connected_components(edges)
         other = posted.select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
@@ -159,10 +226,4 @@ class Sets:
         edges = edges.union(self._verified(other.where(apart).select("a", "b")))
         labels = connected_components(edges)
         placed = posted.join(group(labels, "fp"), F.col("fp") == F.col("fp_"), "left").select("s", "fp", "head", F.coalesce("fp_group", "fp").alias("group"))
-        mixed = placed.groupBy("s").agg(F.min("group").alias("g_"), F.max("group").alias("h_")).where("g_ <> h_").select(F.col("s").alias("s_"))
-        sizes = self.chosen.select(F.col("fp").alias("f_"), "m")
-        open_ = placed.join(mixed, F.col("s") == F.col("s_")).where("fp <> head").join(sizes, F.col("fp") == F.col("f_"))
-        open_ = cut(open_.select("s", "fp", "m", "group"))
-        x, y = open_.alias("x"), open_.alias("y")
-        across = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.group") != F.col("y.group")) & (5 * F.least("x.m", "y.m") >= 4 * F.greatest("x.m", "y.m")))
-        return connected_components(edges.union(self._verified(across.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))))
+        return connected_components(edges.union(self._verified(self._across(placed))))

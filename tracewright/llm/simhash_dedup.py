@@ -14,8 +14,8 @@ that differ in at most d bits share at least d. Such a finer entry leaves 4d
 bits free, so it holds at most 65,536 distinct fingerprints at d = 4, whatever
 the input.
 
-The pipeline stage asks for more, texts with a similarity of 4/5 or more; see
-near_sets.
+The pipeline stage asks for more, texts with a similarity of 4/5 or more; it
+verifies the pairs found so and completes them; see near_sets.
 """
 
 from __future__ import annotations
@@ -171,11 +171,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_groups(marked).select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def simhash_pairs(sets: DataFrame, max_bits: int = 4) -> DataFrame:
+    """Pairs (a, b) of rows (fp, simhash): each fp with the least of its fingerprint, and the least ones of fingerprints that links() joins."""
+    prints = cut(sets.groupBy("simhash").agg(F.min("fp").alias("least")))
+    side = lambda k: prints.select(F.col("simhash").alias(f"{k}_"), F.col("least").alias(k))
+    same = sets.join(side("b"), F.col("simhash") == F.col("b_")).select(F.col("fp").alias("a"), "b").where("a <> b")
+    linked = links(prints.select(F.col("simhash").alias("fp")), max_bits).withColumnsRenamed({"a": "from_", "b": "to_"})
+    linked = linked.join(side("a"), F.col("from_") == F.col("a_")).join(side("b"), F.col("to_") == F.col("b_"))
+    return same.union(linked.select("a", "b"))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest id stays (of repeated rows of that id, one; of its several texts, one).
 
-    A group is what chains of texts with a similarity of 4/5 or more reach
-    (near_sets); texts without words, null included, are alike. A null id stays
+    A group is what chains of texts with a similarity of 4/5 or more reach:
+    pairs within 4 bits of SimHash are verified on the texts' sets, and the
+    exact index of near_sets adds those that SimHash misses. Texts without words, null included, are alike. A null id stays
     only where its group has no other. All columns of docs are kept, whatever
     their names. Very long texts are one shingle set like others. No rows give
     no rows. docs is read several times; what goes is a narrow table of ids,
@@ -184,7 +195,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     sets = Sets(docs.select("doc_id", "text"))
     keys = sets.keys.select("doc_id", "fp", "n")
-    grouped = cut(with_groups(keys, groups=sets.components()))
+    grouped = cut(with_groups(keys, groups=sets.components(simhash_pairs(sets.chosen.select("fp", "simhash")))))
     # of a group's texts with its smallest id the one with the least signature stays
     named = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = named.groupBy("group").agg(F.min(F.struct("fp", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.fp").alias("k_fp"))
