@@ -74,3 +74,13 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert result(P.op10_fingerprints(spark, sf)) == slow(map(tuple, docs))
+
+
+def test_fingerprints_are_made_from_kept_digests(spark, monkeypatch):
+    """What is kept in the shared folder holds digests and no fingerprints, which are several times as long."""
+    kept, real = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: kept.append(df.columns) or real(df))
+    docs = spark.createDataFrame([(k, f"line {k}\nshared\nmore {k % 3}") for k in range(20)], "doc_id long, text string")
+    rows = P.compare_with_edits(docs).collect()
+    assert len(rows) == 20 and all(r.fingerprint and r.edited_fingerprint for r in rows)
+    assert any("own" in columns for columns in kept) and not any("fingerprint" in columns or "sketch_own" in columns for columns in kept)

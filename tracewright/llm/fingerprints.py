@@ -231,15 +231,12 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         digests(F.col("v.edited")).alias("edited"), F.col("v.next").alias("next"),
     )
     tried = with_tries(with_sketches(table_, "own", "edited", "next"), "own", {"edited": "to_edited", "next": "to_next"})
-    shown = {"fingerprint": sketch_text("sketch_own"), "edited_fingerprint": sketch_text("sketch_edited")}
     near = lambda t, other: F.when(F.col(f"{t}.done"), _near(F.size("own") - F.col(f"{t}.mine"), F.size("own"), F.size(other)))
-    shown |= {"near_edited": near("to_edited", "edited"), "near_next": near("to_next", "next")}
-    # settled rows need no digests any more
-    left = lambda c, still: F.when(still, F.col(c)).alias(c)
-    to_edited, to_next = ~F.col("to_edited.done"), ~F.col("to_next.done")
+    shown = {"near_edited": near("to_edited", "edited"), "near_next": near("to_next", "next")}
+    # digests are kept and fingerprints made anew from them, which are several times as long
     table_ = cut(tried.withColumns(shown).select(
-        "row_", "id_", "size", "times", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "to_edited", "to_next",
-        left("own", to_edited | to_next), left("edited", to_edited), left("next", to_next),
+        "row_", "id_", "size", "times", "edited_sha256", "near_edited", "near_next", "to_edited", "to_next", "own", "edited",
+        F.when(~F.col("to_next.done"), F.col("next")).alias("next"),
     ))
     open_ = table_.where("not (to_edited.done and to_next.done)")
     settled = table_.where("to_edited.done and to_next.done")
@@ -252,7 +249,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         {"near_edited": F.coalesce("late_0", "near_edited"), "near_next": F.coalesce("late_1", "near_next")}
     )
     settled, open_ = settled.drop("row_"), open_.select(*[c for c in settled.columns if c != "row_"])
-    full = settled.unionByName(open_)
+    full = with_sketches(settled.unionByName(open_), "own", "edited").withColumns({"fingerprint": sketch_text("sketch_own"), "edited_fingerprint": sketch_text("sketch_edited")})
     out = full.select(
         F.col("id_").alias(id_col), F.col("size").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "times",
     )
