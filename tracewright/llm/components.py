@@ -14,6 +14,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among a node's neighbours, then that
     label's own label, so that chains shorten by doubling. Labels are kept in
     the shared folder after each round; only a count comes to the driver.
+    Joins are merged, as the many small broadcasts of the rounds would be built
+    in the driver.
     Nulls, loops and repeated edges are ignored; no edges give no rows.
     """
     links = edges.where("a <> b").select("a", "b")
@@ -21,16 +23,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = cut(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = (
-            links.join(labels, links.b == labels.node)
+            links.join(labels.hint("merge"), links.b == labels.node)
             .groupBy("a")
             .agg(F.min("component").alias("near"))
         )
-        stepped = labels.join(near, labels.node == near.a).select(
+        stepped = labels.join(near.hint("merge"), labels.node == near.a).select(
             "node", F.col("component").alias("was"), F.least("component", "near").alias("component")
         )
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
         now = cut(
-            stepped.join(jump, stepped.component == jump.via, "left").select(
+            stepped.join(jump.hint("merge"), stepped.component == jump.via, "left").select(
                 "node", "was", F.least("component", F.coalesce("far", "component")).alias("component")
             )
         )

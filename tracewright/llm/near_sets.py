@@ -11,9 +11,8 @@ of items two near sets share one of the first D + 1. Larger parts come first:
 few unrelated texts agree in several shingles at once, however common one
 passage is, so lists of items are short where lists of shingles are long.
 
-Each set is compared with the least head of its lists, then with the other
-heads that its group doesn't hold yet. What then lies in one list but in
-different groups is compared within tasks, in cells of two blocks of at most
+Each set is compared with the heads of its lists. What then lies in one list
+but in different groups is compared within tasks, in cells of two blocks of at most
 about BLOCK sets, by sizes and parities (which classes of a set hold an odd
 number of shingles); neither ever rules out a near pair. Pairs that they leave
 are verified on the whole sets, which are made anew from the texts that need it
@@ -165,11 +164,11 @@ class Sets:
         self.chosen = cut(self.keys.where("m > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "m", "odd", "simhash")).alias("c")).select("fp", "c.doc_id", "c.m", "c.odd", "c.simhash"))
         self.repeated = not self.keys.where("n > 1").isEmpty()
 
-    def _read(self, wanted: DataFrame, made, name: str) -> DataFrame:
-        """(fp, name) once for each fp of wanted, made from the chosen texts."""
-        some = cut(wanted.join(self.chosen.select("fp", "doc_id"), "fp").select(F.col("fp").alias("f_"), F.col("doc_id").alias("i_")))
+    def _read(self, wanted: DataFrame) -> DataFrame:
+        """(fp, shingles) once for each fp of wanted, made from the chosen texts."""
+        some = cut(wanted.join(self.chosen.select("fp", "doc_id").hint("merge"), "fp").select(F.col("fp").alias("f_"), F.col("doc_id").alias("i_")))
         some = broadcast_if_small(some, BROADCAST_ROWS)
-        texts = self.rows.join(some, F.col("doc_id").eqNullSafe(F.col("i_"))).select("f_", made(F.col("text")).alias("s")).where("f_ = s.fp").select("s.fp", f"s.{name}")
+        texts = self.rows.join(some, F.col("doc_id").eqNullSafe(F.col("i_"))).select("f_", shingles(F.col("text")).alias("s")).where("f_ = s.fp").select("s.fp", "s.shingles")
         return texts.dropDuplicates(["fp"]) if self.repeated else texts
 
     def _posted(self) -> DataFrame:
@@ -189,7 +188,7 @@ class Sets:
         mixed = placed.withColumns({"g_": F.min("group").over(of_list), "h_": F.max("group").over(of_list), "size_": F.count("*").over(of_list)})
         mixed = mixed.where("g_ <> h_ and fp <> head").withColumn("blocks_", F.ceil(F.col("size_") / BLOCK).cast("int"))
         mixed = mixed.select("s", "fp", "group", "blocks_", F.pmod(F.xxhash64("fp"), F.col("blocks_")).cast("int").alias("block"))
-        sides = self.chosen.select(F.col("fp").alias("f_"), "m", "odd")
+        sides = self.chosen.select(F.col("fp").alias("f_"), "m", "odd").hint("merge")
         members = mixed.join(sides, F.col("fp") == F.col("f_")).withColumn("with_", F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)))
         low, high = F.least("block", "with_").alias("low"), F.greatest("block", "with_").alias("high")
         cells = members.groupBy("s", low, high).agg(F.collect_list(F.struct("fp", "m", "group", "block", "odd")).alias("sets"))
@@ -197,7 +196,7 @@ class Sets:
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that neither the sets' sizes nor their parities rule out."""
-        side = lambda k: self.chosen.select(F.col("fp").alias(k), F.col("m").alias(f"{k}_m"), F.col("odd").alias(f"{k}_odd"))
+        side = lambda k: self.chosen.select(F.col("fp").alias(k), F.col("m").alias(f"{k}_m"), F.col("odd").alias(f"{k}_odd")).hint("merge")
         both = pairs.where("a <> b").join(side("a"), "a").join(side("b"), "b")
         each = F.zip_with("a_odd", "b_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         differ = F.when(F.size("a_odd") == F.size("b_odd"), F.aggregate(each, F.lit(0), lambda x, y: x + y)).otherwise(0)
@@ -207,23 +206,15 @@ class Sets:
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are near."""
         pairs = cut(self._possible(pairs.distinct()))
-        few = broadcast_if_small(pairs, BROADCAST_ROWS)
-        one = self._read(pairs.select(F.col("a").alias("fp")).distinct(), shingles, "shingles").withColumnRenamed("shingles", "a_set")
-        two = self._read(pairs.select(F.col("b").alias("fp")).distinct(), shingles, "shingles").withColumnRenamed("shingles", "b_set")
-        both = one.join(few, F.col("fp") == F.col("a")).drop("fp").join(two, F.col("b") == F.col("fp"))
+        sets = cut(self._read(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()))
+        side = lambda k: sets.select(F.col("fp").alias(f"{k}_"), F.col("shingles").alias(f"{k}_set")).hint("merge")
+        both = pairs.join(side("a"), F.col("a") == F.col("a_")).join(side("b"), F.col("b") == F.col("b_"))
         return cut(both.where(F.arrow_udf(_near, "boolean")("a_set", "b_set")).select("a", "b"))
 
     def components(self, candidates: DataFrame) -> DataFrame:
-        """(node, component) of the signatures that chains of near pairs connect; candidates are pairs (a, b) to verify first."""
+        """(node, component) of the signatures that chains of near pairs connect; candidates are pairs (a, b) to verify beside those of sets and heads."""
         posted = self._posted()
-        firsts = posted.groupBy(F.col("fp").alias("a")).agg(F.min("head").alias("b"))
-        edges = self._verified(candidates.select("a", "b").union(firsts))
-        group = lambda labels, fp: labels.select(F.col("node").alias(f"{fp}_"), F.col("component").alias(f"{fp}_group"))
-        labels = connected_components(edges)
-        other = posted.select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
-        other = other.join(group(labels, "a"), F.col("a") == F.col("a_"), "left").join(group(labels, "b"), F.col("b") == F.col("b_"), "left")
-        apart = F.coalesce("a_group", "a") != F.coalesce("b_group", "b")
-        edges = edges.union(self._verified(other.where(apart).select("a", "b")))
-        labels = connected_components(edges)
-        placed = posted.join(group(labels, "fp"), F.col("fp") == F.col("fp_"), "left").select("s", "fp", "head", F.coalesce("fp_group", "fp").alias("group"))
+        edges = self._verified(candidates.select("a", "b").union(posted.select(F.col("fp").alias("a"), F.col("head").alias("b"))))
+        labels = connected_components(edges).select(F.col("node").alias("f_"), F.col("component").alias("group_"))
+        placed = posted.join(labels.hint("merge"), F.col("fp") == F.col("f_"), "left").select("s", "fp", "head", F.coalesce("group_", "fp").alias("group"))
         return connected_components(edges.union(self._verified(self._across(placed))))

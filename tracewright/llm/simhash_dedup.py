@@ -174,7 +174,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_pairs(sets: DataFrame, max_bits: int = 4) -> DataFrame:
     """Pairs (a, b) of rows (fp, simhash): each fp with the least of its fingerprint, and the least ones of fingerprints that links() joins."""
     prints = cut(sets.groupBy("simhash").agg(F.min("fp").alias("least")))
-    side = lambda k: prints.select(F.col("simhash").alias(f"{k}_"), F.col("least").alias(k))
+    side = lambda k: prints.select(F.col("simhash").alias(f"{k}_"), F.col("least").alias(k)).hint("merge")
     same = sets.join(side("b"), F.col("simhash") == F.col("b_")).select(F.col("fp").alias("a"), "b").where("a <> b")
     linked = links(prints.select(F.col("simhash").alias("fp")), max_bits).withColumnsRenamed({"a": "from_", "b": "to_"})
     linked = linked.join(side("a"), F.col("from_") == F.col("a_")).join(side("b"), F.col("to_") == F.col("b_"))
