@@ -235,3 +235,28 @@ def test_pairs_by_simhash_are_candidates_and_a_common_passage_makes_no_lists(spa
     near = {frozenset((a, b)) for a in prints for b in prints if a != b and (prints[a] ^ prints[b]).bit_count() <= 4}
     assert near and {frozenset((r.a, r.b)) for r in found} <= near
     assert sets._posted().groupBy("s").count().where("count > 60").isEmpty()
+
+
+def test_a_list_passes_on_fewer_pairs_than_it_has_members():
+    n, rng = 300, np.random.default_rng(2)
+    odd = [np.zeros(16, np.int64)] * n
+    a, b = near_sets._apart(np.full(n, 100), np.arange(n), None, odd)
+    assert len(a) == n - 1 and set(a) | set(b) == set(range(n))
+    a, b = near_sets._apart(np.full(n, 100), np.arange(n) % 2, rng.integers(0, 2, n), odd)
+    assert len(a) < n
+
+
+@pytest.mark.parametrize("shingles", [1 << 20, 300])
+def test_near_pairs_of_many_groups_leave_cells_as_a_forest(spark, monkeypatch, shingles):
+    """All pairs of 60 copies are near; each text counts as a group of its own, or as one of two."""
+    monkeypatch.setattr(near_sets, "BLOCK_SHINGLES", shingles)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words[:100] + [f"e{k}"] + words[100:]) for k in range(60)]
+    sets = near_sets.Sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    alone = sets._posted().withColumn("group", F.col("fp"))
+    pairs = sets._across(alone)
+    blocks = -(-60 * 197 // shingles)
+    assert pairs.count() < 60 * blocks
+    assert near_sets.connected_components(pairs).groupBy("component").count().select("count").collect() == [(59,)]  # the heads are left out
+    two = alone.withColumn("group", F.pmod("fp", F.lit(2)))
+    assert 1 <= sets._across(two).count() <= blocks * (blocks + 1) // 2

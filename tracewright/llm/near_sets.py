@@ -14,9 +14,11 @@ passage is, so lists of items are short where lists of shingles are long.
 Each set is compared with the heads of its lists. What then lies in one list
 but in different groups is compared within tasks, in cells of two blocks of at most
 about BLOCK sets, by sizes and parities (which classes of a set hold an odd
-number of shingles); neither ever rules out a near pair. Pairs that they leave
-are verified on the whole sets, which are made anew from the texts that need it
-and not kept.
+number of shingles); neither ever rules out a near pair. Of the pairs that they
+leave only a spanning forest is passed on, whose components are clusters of sets.
+The sets of a cluster, made anew from their texts, are compared whole, again
+within cells; a pair of groups that are joined already needs no comparison. So
+the rows that leave a cell are fewer than its members, however many pairs are near.
 """
 
 from __future__ import annotations
@@ -34,8 +36,11 @@ from .components import connected_components
 BROADCAST_ROWS = 500_000
 #: Words of 64 parity bits that sample the smallest sets; larger sets have 4, 16, ... times as many, so that there is a class for each shingle at least. It bears on cost only.
 SAMPLE = 16
-#: Sets of a list from which on it is compared in cells of two blocks of this size.
-BLOCK = 1024
+#: Sets of a list from which on it is compared in cells of two blocks of this size; shingles of a block where whole sets are held (8 MB).
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Columns (long) of pairs of sets with their groups.
+PAIR = ["a", "b", "group_a", "group_b"]
+PAIR_SCHEMA = ", ".join(f"{c} long" for c in PAIR)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -103,46 +108,81 @@ def items(text: Column) -> Column:
         sets = [shingle_set(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), _lists([set_items(s) for s in sets])], ["fp", "items"])
 
-    return F.arrow_udf(made, "fp long, items array<bigint>")(text)
+    # else the optimizer would make the items twice, once more for a filter of empty lists
+    return F.arrow_udf(made, "fp long, items array<bigint>").asNondeterministic()(text)
 
 
-def _apart(m: np.ndarray, group: np.ndarray, block: np.ndarray | None, odd: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in a list, of different groups (and blocks, if given), that neither sizes nor parities rule out."""
-    order = np.argsort(m, kind="stable")
+def _folded(odd: list[np.ndarray]) -> np.ndarray:
+    """Parities of sets as rows of the narrowest one's width; a wider row folds to a narrower one, as its classes do."""
     words = min(map(len, odd))
-    # a wider row of parities folds to a narrower one, as its classes do
-    bits = np.stack([np.bitwise_xor.reduce(odd[k].reshape(-1, words), axis=0) for k in order]).view(np.uint64)
-    sizes, groups, ends = m[order], group[order], np.searchsorted(m[order], 5 * m[order] // 4, "right")
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in odd]).view(np.uint64)
+
+
+def _apart(m: np.ndarray, group: np.ndarray, block: np.ndarray | None, odd: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (places in a list) of the pairs, of different groups (and blocks, if given), that neither sizes nor parities rule out."""
+    left, bits = np.argsort(m, kind="stable"), _folded(odd)
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for k in range(len(order)):
-        keep = groups[k + 1 : ends[k]] != groups[k]
-        if block is not None:
-            keep &= block[order[k + 1 : ends[k]]] != block[order[k]]
-        others = k + 1 + np.flatnonzero(keep)
-        differ = np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1, dtype=np.int64)
-        others = others[9 * differ <= sizes[k] + sizes[others]]
-        a.append(np.full(len(others), order[k]))
-        b.append(order[others])
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            x = reached.pop()
+            first, end = np.searchsorted(5 * m[left], 4 * m[x]), np.searchsorted(4 * m[left], 5 * m[x], "right")
+            others = left[first:end]
+            near = group[others] != group[x]
+            if block is not None:
+                near &= block[others] != block[x]
+            differ = np.bitwise_count(bits[others[near]] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            near[near] = 9 * differ <= m[x] + m[others[near]]
+            found = others[near]
+            if len(found):
+                a.append(np.full(len(found), x))
+                b.append(found)
+                reached += found.tolist()
+                left = np.delete(left, first + np.flatnonzero(near))
     return np.concatenate(a), np.concatenate(b)
 
 
 def _compared(batches):
-    """Pairs (a, b), a < b, that _apart leaves in the lists `sets` of cells."""
+    """Pairs (a, b), with their groups, that _apart leaves in the lists `sets` of cells; fewer than a list has members."""
     for batch in batches:
         lists, inner = batch.column("sets"), batch.column("inner").to_pylist()
         at, values = lists.offsets.to_numpy(), lists.values
         fp, m, group, block = (values.field(c).to_numpy() for c in ("fp", "m", "group", "block"))
         odd = values.field("odd")
         starts, bits = odd.offsets.to_numpy(), odd.values.to_numpy()
-        found = [np.empty((0, 2), np.int64)]
+        found = [np.empty((0, 4), np.int64)]
         for one, first, end in zip(inner, at[:-1].tolist(), at[1:].tolist()):
             if end - first < 2:
                 continue
             rows = [bits[starts[k] : starts[k + 1]] for k in range(first, end)]
             a, b = _apart(m[first:end], group[first:end], None if one else block[first:end], rows)
-            found.append(np.sort(np.stack((fp[first + a], fp[first + b]), axis=1), axis=1))
+            found.append(np.stack((fp[first + a], fp[first + b], group[first + a], group[first + b]), axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.T], PAIR)
+
+
+def _joined(key, cell):
+    """Near pairs (a, b) of a cell's sets, with their groups, that connect the groups which near pairs connect; fewer than it has groups."""
+    cell = cell.combine_chunks().sort_by("fp")
+    fp, block, group = (cell.column(c).to_numpy() for c in ("fp", "block", "group"))
+    sets = [x.values.to_numpy() for x in cell.column("shingles")]
+    joined = np.unique(group, return_inverse=True)[1]
+    m, bits = np.array(list(map(len, sets))), _folded([_parity(s, SAMPLE) for s in sets])
+    inner, a, b = key[1].as_py() == key[2].as_py(), [], []
+    for k, s in enumerate(sets):
+        others = k + 1 + np.flatnonzero((joined[k + 1 :] != joined[k]) & (5 * np.minimum(m[k + 1 :], m[k]) >= 4 * np.maximum(m[k + 1 :], m[k])))
+        others = others if inner else others[block[others] != block[k]]
+        others = others[9 * np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1, dtype=np.int64) <= m[k] + m[others]]
+        for x in others.tolist():
+            if joined[x] == joined[k]:
+                continue  # by a pair found meanwhile
+            shared = len(np.intersect1d(s, sets[x], assume_unique=True))
+            if 5 * shared >= 4 * (m[k] + m[x] - shared):
+                joined[joined == joined[x]] = joined[k]
+                a.append(k)
+                b.append(x)
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return pa.table([pa.array(x) for x in (fp[a], fp[b], group[a], group[b])], PAIR)
 
 
 def _near(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -154,6 +194,12 @@ def _near(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (fp, blocks_, ...), each once for every cell (low, high) of two blocks that its own block takes part in."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks_")).cast("int")).withColumn("with_", F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)))
+    return dealt.withColumns({"low": F.least("block", "with_"), "high": F.greatest("block", "with_")}).drop("blocks_", "with_")
+
+
 class Sets:
     """The distinct shingle sets of rows (doc_id, text), and the pairs of them that are near."""
 
@@ -183,16 +229,26 @@ class Sets:
         return cut(posted.where("head < last").select("s", "fp", "head"))
 
     def _across(self, placed: DataFrame) -> DataFrame:
-        """Possible pairs (a, b) of different groups in one list of placed (s, fp, head, group); heads were compared before."""
+        """Near pairs (a, b), with their groups, that connect the groups of placed (s, fp, head, group) which near pairs within lists connect; heads were compared before."""
         of_list = Window.partitionBy("s")
         mixed = placed.withColumns({"g_": F.min("group").over(of_list), "h_": F.max("group").over(of_list), "size_": F.count("*").over(of_list)})
         mixed = mixed.where("g_ <> h_ and fp <> head").withColumn("blocks_", F.ceil(F.col("size_") / BLOCK).cast("int"))
-        mixed = mixed.select("s", "fp", "group", "blocks_", F.pmod(F.xxhash64("fp"), F.col("blocks_")).cast("int").alias("block"))
         sides = self.chosen.select(F.col("fp").alias("f_"), "m", "odd").hint("merge")
-        members = mixed.join(sides, F.col("fp") == F.col("f_")).withColumn("with_", F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)))
-        low, high = F.least("block", "with_").alias("low"), F.greatest("block", "with_").alias("high")
-        cells = members.groupBy("s", low, high).agg(F.collect_list(F.struct("fp", "m", "group", "block", "odd")).alias("sets"))
-        return cells.select((F.col("low") == F.col("high")).alias("inner"), "sets").mapInArrow(_compared, "a long, b long")
+        members = _dealt(mixed.select("s", "fp", "group", "blocks_")).join(sides, F.col("fp") == F.col("f_"))
+        cells = members.groupBy("s", "low", "high").agg(F.collect_list(F.struct("fp", "m", "group", "block", "odd")).alias("sets"))
+        possible = cut(cells.select((F.col("low") == F.col("high")).alias("inner"), "sets").mapInArrow(_compared, PAIR_SCHEMA))
+        # a possible pair's sets are in one of these clusters, and each set in no more than one, however many lists it is in
+        clusters = connected_components(possible)
+        ends = F.explode(F.array(*[F.struct(F.col(k).alias("f_"), F.col(f"group_{k}").alias("group")) for k in "ab"]))
+        groups = possible.select(ends.alias("e")).select("e.f_", "e.group").distinct().hint("merge")
+        sizes = self.chosen.select(F.col("fp").alias("i_"), "m").hint("merge")
+        of_cluster = Window.partitionBy("component")
+        inside = clusters.join(groups, F.col("node") == F.col("f_")).join(sizes, F.col("node") == F.col("i_"))
+        blocks = F.greatest(F.ceil(F.count("*").over(of_cluster) / BLOCK), F.ceil(F.sum("m").over(of_cluster) / BLOCK_SHINGLES)).cast("int")
+        inside = cut(inside.select("component", F.col("node").alias("fp"), "group", blocks.alias("blocks_")))
+        sets = cut(self._read(inside.select("fp"))).select(F.col("fp").alias("f_"), "shingles").hint("merge")
+        members = _dealt(inside).join(sets, F.col("fp") == F.col("f_")).select("component", "low", "high", "fp", "group", "block", "shingles")
+        return cut(members.groupBy("component", "low", "high").applyInArrow(_joined, PAIR_SCHEMA))
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that neither the sets' sizes nor their parities rule out."""
@@ -217,4 +273,9 @@ class Sets:
         edges = self._verified(candidates.select("a", "b").union(posted.select(F.col("fp").alias("a"), F.col("head").alias("b"))))
         labels = connected_components(edges).select(F.col("node").alias("f_"), F.col("component").alias("group_"))
         placed = posted.join(labels.hint("merge"), F.col("fp") == F.col("f_"), "left").select("s", "fp", "head", F.coalesce("group_", "fp").alias("group"))
-        return connected_components(edges.union(self._verified(self._across(placed))))
+        joined = connected_components(self._across(placed).select(F.col("group_a").alias("a"), F.col("group_b").alias("b")))
+        joined = joined.select(F.col("node").alias("j_"), F.col("component").alias("root_")).hint("merge")
+        groups = labels.join(joined, F.col("group_") == F.col("j_"), "left").select(F.col("f_").alias("node"), F.coalesce("root_", "group_").alias("component"))
+        # a set that was in no group is one by itself
+        alone = joined.join(labels.hint("merge"), F.col("j_") == F.col("f_"), "left_anti").select(F.col("j_").alias("node"), F.col("root_").alias("component"))
+        return cut(groups.union(alone))
